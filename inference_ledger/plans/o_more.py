@@ -1,0 +1,3 @@
+"""Oracle SQL for the remaining query groups."""
+
+from .oracle import ORACLE  # noqa: F401
