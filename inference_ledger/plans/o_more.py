@@ -1,3 +1,4 @@
-"""Oracle SQL for the remaining query groups."""
+"""Imports the oracle modules of every query group (each adds to ORACLE)."""
 
 from .oracle import ORACLE  # noqa: F401
+from . import o_views  # noqa: F401
