@@ -22,10 +22,10 @@ from ..schemas import BACKENDS, MODEL_MAPPINGS, SETTINGS, UNTRACKED
 # first mapping wins); orphan-model points at a backend that does not exist.
 DEMO_CONFIG: dict[str, Any] = {
     "backends": [
-        {"id": "b1", "url": "http://h1:8080/", "context_size": 4000},
-        {"id": "b2", "url": "http://h2:8080", "context_size": 8000},
+        {"id": "b1", "url": "http://h1:8080/", "context_size": 64},
+        {"id": "b2", "url": "http://h2:8080", "context_size": 100},
         {"id": "b3", "url": "http://h3:8080/v1"},
-        {"id": "b4", "url": "http://h4:8080", "context_size": 600, "api_key": "secret"},
+        {"id": "b4", "url": "http://h4:8080", "context_size": 50, "api_key": "secret"},
     ],
     "model_mappings": [
         {"model_id": "chat-large", "backend_ids": ["b1", "b2"]},

@@ -119,3 +119,183 @@ def system_log_from_events(events: DataFrame) -> DataFrame:
 def system_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("event_id", "ts", "event_type", "props")
     return system_log_from_events(read_table(spark, sf_dir, "events", *cols))
+
+
+# ----------------------------------------------------------- captured requests
+
+def protocol_for_event(event_type: Column, event_id: Column) -> Column:
+    base = _case(event_type, PROTOCOL_BY_EVENT)
+    return F.when((base == "embeddings") & (event_id % 2 == 1), F.lit("embed_native")).otherwise(base)
+
+
+def _prompt_words(event_type: Column, k: Column) -> Column:
+    return F.trim(F.repeat(F.concat(event_type, F.lit(" ")), k.cast("int")))
+
+
+def requests_from_events(events: DataFrame) -> DataFrame:
+    """Captured request bodies, one per event (schema ``REQUESTS`` + model
+    columns). Bodies are built as literal text so that the oracle can rebuild
+    them byte for byte. A few bodies are malformed on purpose (F8/F9)."""
+    eid = F.col("event_id")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    proto = protocol_for_event(F.col("event_type"), eid)
+    model = model_for_user(F.col("user_id"))
+    text = _prompt_words(F.col("event_type"), k)
+    stream = F.when(eid % 2 == 1, F.lit("true")).otherwise(F.lit("false"))
+    msgs = F.concat(F.lit('[{"role":"user","content":"'), text, F.lit('"}]'))
+    head = F.concat(F.lit('{"model":"'), model, F.lit('",'))
+    chat = F.concat(head, F.lit('"messages":'), msgs, F.lit(',"stream":'), stream,
+                    F.when(eid % 5 == 0, F.lit(',"tools":[{"type":"function","function":{"name":"lookup"}}]'))
+                     .otherwise(F.lit("")),
+                    F.when(eid % 7 == 0, F.lit(',"temperature":0.5,"top_p":null')).otherwise(F.lit("")),
+                    F.when(eid % 9 == 0, F.lit(',"stream_options":{"chunk_size":1}')).otherwise(F.lit("")),
+                    F.lit("}"))
+    responses = F.concat(head, F.lit('"instructions":"Be brief.","input":'),
+                         F.when(eid % 3 == 0, msgs).otherwise(F.concat(F.lit('"'), text, F.lit('"'))),
+                         F.lit(',"stream":'), stream, F.lit("}"))
+    messages = F.concat(head, F.lit('"max_tokens":256,"system":"You are terse.","messages":'), msgs,
+                        F.lit(',"stream":'), stream, F.lit("}"))
+    emb_input = F.when(eid % 4 == 0, F.concat(F.lit('["'), text, F.lit('","'), text, F.lit('"]'))) \
+        .otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+    embeddings = F.concat(head, F.lit('"input":'), emb_input, F.lit("}"))
+    native = F.concat(head, F.lit('"input":"'), text, F.lit('"}'))
+    good = (F.when(proto == "chat", chat).when(proto == "responses", responses)
+            .when(proto == "messages", messages).when(proto == "embeddings", embeddings)
+            .otherwise(native))
+    body = (F.when(eid % 97 == 13, F.lit("not-json{"))
+            .when(eid % 89 == 7, F.concat(F.lit('{"messages":'), msgs, F.lit(',"input":"'), text, F.lit('"}')))
+            .when(eid % 83 == 5, F.concat(F.lit('{"model":"","messages":'), msgs, F.lit(',"input":"x"}')))
+            .otherwise(good))
+    return events.select(
+        eid.alias("request_id"), proto.alias("protocol"), F.col("ts").alias("started_at"),
+        body.alias("body"), model.alias("requested_model"),
+        (eid % 2 == 1).alias("stream"),
+    )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ("event_id", "ts", "user_id", "event_type", "props")
+    return requests_from_events(read_table(spark, sf_dir, "events", *cols))
+
+
+def responses_from_events(events: DataFrame) -> DataFrame:
+    """Captured non-stream outcomes, one per event (schema ``RESPONSES``)."""
+    eid = F.col("event_id")
+    et = F.col("event_type")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    proto = protocol_for_event(et, eid)
+    has_usage = (eid % 41) != 0
+    pt = (k * 10 + eid % 7).cast("string")
+    ct = F.when(et.isin("error", "purchase"), F.lit(0)).otherwise(eid % 97).cast("bigint")
+    ct_s = ct.cast("string")
+    ptct = (k * 10 + eid % 7 + ct).cast("string")
+    pt_half = F.floor((k * 10 + eid % 7) / 2).cast("bigint").cast("string")
+    pt_q = F.floor((k * 10 + eid % 7) / 4).cast("bigint").cast("string")
+    pt_e = F.floor((k * 10 + eid % 7) / 8).cast("bigint").cast("string")
+    timings = F.when(eid % 2 == 0, F.concat(
+        F.lit(',"timings":{"prompt_ms":'), (eid % 1000).cast("string"), F.lit(".5,"),
+        F.lit('"predicted_per_second":'), (eid % 50 + 10).cast("string"), F.lit(".25}"))).otherwise(F.lit(""))
+    chat_usage = F.concat(
+        F.lit('"usage":{"prompt_tokens":'), pt, F.lit(',"completion_tokens":'), ct_s,
+        F.lit(',"total_tokens":'), ptct,
+        F.when(eid % 3 == 0, F.concat(F.lit(',"prompt_tokens_details":{"cached_tokens":'), pt_half, F.lit("}")))
+         .otherwise(F.lit("")),
+        F.lit("}"))
+    chat = F.when(eid % 53 == 0, F.lit('{"choices":[],"usage":{"prompt_tokens":null,"input_tokens":5,"completion_tokens":1}}')) \
+        .when(has_usage, F.concat(F.lit('{"id":"r","choices":[{"index":0,"message":{"role":"assistant","content":"ok"}}],'),
+                                  chat_usage, timings, F.lit("}"))) \
+        .when(eid % 2 == 0, F.lit('{"choices":[],"usage":{}}')).otherwise(F.lit('{"choices":[]}'))
+    responses = F.when(has_usage, F.concat(
+        F.lit('{"output":[{"type":"text","text":"ok"}],"usage":{"input_tokens":'), pt,
+        F.lit(',"output_tokens":'), ct_s,
+        F.when(eid % 3 == 0, F.concat(F.lit(',"total_tokens":'), ptct, F.lit("1"))).otherwise(F.lit("")),
+        F.lit(',"input_tokens_details":{"cached_tokens":'), pt_half, F.lit("}}"), timings, F.lit("}"))) \
+        .otherwise(F.lit('{"output":[]}'))
+    messages = F.when(has_usage, F.concat(
+        F.lit('{"content":[{"type":"text","text":"ok"}],"usage":{"input_tokens":'), pt,
+        F.lit(',"output_tokens":'), ct_s, F.lit(',"cache_read_input_tokens":'), pt_q,
+        F.lit(',"cache_creation_input_tokens":'), pt_e, F.lit("}}"))) \
+        .otherwise(F.lit('{"content":[],"usage":null}'))
+    embeddings = F.when(has_usage, F.concat(F.lit('{"data":[],"usage":{"prompt_tokens":'), pt,
+                                            F.lit(',"total_tokens":'), pt, F.lit("}}"))) \
+        .otherwise(F.lit('{"data":[]}'))
+    native = F.when(has_usage, F.concat(F.lit('{"embeddings":[[0.1]],"prompt_eval_count":'), pt, F.lit("}"))) \
+        .otherwise(F.lit('{"embeddings":[[0.1]]}'))
+    ok_body = (F.when(proto == "chat", chat).when(proto == "responses", responses)
+               .when(proto == "messages", messages).when(proto == "embeddings", embeddings)
+               .otherwise(native))
+    is_error = et == "error"
+    failure = F.when(is_error, _case((eid % 3).cast("int"), {0: "internal", 1: "connection"}, "http"))
+    status = F.when(is_error, _case((eid % 3).cast("int"), {0: 500, 1: 502}, 429)).otherwise(F.lit(200)).cast("int")
+    err_body = F.when(eid % 2 == 0, F.lit('{"error":{"message":"backend says no","type":"rate_limit"}}')) \
+        .otherwise(F.lit("Stream Error"))
+    body = (F.when(failure == "http", err_body).when(failure.isNotNull(), F.lit(None).cast("string"))
+            .when(eid % 101 == 17, F.lit("<html>bad gateway</html>")).otherwise(ok_body))
+    ended = F.timestamp_add("MICROSECOND", (F.col("value") * F.lit(10000.0)).cast("bigint"), F.col("ts"))
+    return events.select(
+        eid.alias("request_id"), ended.alias("ended_at"), status.alias("status_code"),
+        failure.alias("failure_kind"), body.alias("body"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ("event_id", "ts", "event_type", "value", "props")
+    return responses_from_events(read_table(spark, sf_dir, "events", *cols))
+
+
+# ------------------------------------------------- catalog dims from TPC-H tables
+
+def catalog_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backends derived from ``supplier``: one per supplier, except suppliers
+    whose key ends in 7 (their ids stay referenced but unconfigured -> orphan
+    entries), plus a mirror entry re-using the id of every 50th supplier (a
+    duplicate id: the later entry wins in the catalog). Schema ``BACKENDS``."""
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
+    key = F.col("s_suppkey")
+    suffix = _case(F.pmod(key, F.lit(3)).cast("int"), {0: "", 1: "/"}, "/v1/")
+    main = s.filter(key % 10 != 7).select(
+        key.cast("int").alias("pos"),
+        F.concat(F.lit("b"), key.cast("string")).alias("id"),
+        F.concat(F.lit("http://s"), key.cast("string"), F.lit(":8080"), suffix).alias("url"),
+        F.when(key % 4 == 0, F.lit(None)).otherwise((F.col("s_nationkey") + 1) * 1024).cast("int").alias("context_size"))
+    mirror = s.filter(key % 50 == 0).select(
+        (key + 10_000_000).cast("int").alias("pos"),
+        F.concat(F.lit("b"), key.cast("string")).alias("id"),
+        F.concat(F.lit("http://mirror"), key.cast("string"), F.lit(":8080")).alias("url"),
+        F.lit(512).cast("int").alias("context_size"))
+    return main.unionByName(mirror)
+
+
+def catalog_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured ``/props`` documents for every 4th supplier; every 8th carries
+    ``default_generation_settings.n_ctx``. Schema ``BACKEND_PROPS``."""
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
+    key = F.col("s_suppkey")
+    suffix = _case(F.pmod(key, F.lit(3)).cast("int"), {0: "", 1: "/"}, "/v1/")
+    url = F.concat(F.lit("http://s"), key.cast("string"), F.lit(":8080"), suffix)
+    base = F.regexp_replace(F.regexp_replace(url, "/+$", ""), "/v1$", "")
+    doc = F.when(key % 8 == 0, F.concat(F.lit('{"default_generation_settings":{"n_ctx":'),
+                                        ((F.col("s_nationkey") + 1) * 2048).cast("string"), F.lit("}}"))) \
+        .otherwise(F.lit('{"default_generation_settings":{}}'))
+    return s.filter(key % 4 == 0).select(F.concat(base, F.lit("/props")).alias("props_url"), doc.alias("json"))
+
+
+def catalog_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model mappings derived from ``part`` and ``lineitem``: one mapping per
+    part (position = part key), model id from brand and size class (so ids
+    repeat and the first mapping must win), backends = the part's suppliers in
+    ``lineitem``, ascending. One shuffle (group lineitem by part); the
+    per-part supplier set is built by partial aggregation."""
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size")
+    li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey")
+    per_part = li.groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("_s"))
+    model = F.concat(F.lit("m-"), F.lower(F.regexp_replace("p_brand", "Brand#", "")), F.lit("-"),
+                     (F.col("p_size") % 5).cast("string"))
+    j = part.join(per_part, part.p_partkey == per_part.l_partkey, "left")
+    ids = F.transform(F.coalesce(F.col("_s"), F.array().cast("array<bigint>")),
+                      lambda x: F.concat(F.lit("b"), x.cast("string")))
+    return j.select(F.col("p_partkey").cast("int").alias("pos"), model.alias("model_id"), ids.alias("backend_ids"))
+
+
+# fixed values: catalog defaults of the derived configuration
+CATALOG_DEFAULT_MODEL = "m-13-0"
+CATALOG_DEFAULT_EMBEDDING_MODEL = "m-21-2"
