@@ -231,7 +231,7 @@ def responses_from_events(events: DataFrame) -> DataFrame:
         .otherwise(F.lit("Stream Error"))
     body = (F.when(failure == "http", err_body).when(failure.isNotNull(), F.lit(None).cast("string"))
             .when(eid % 101 == 17, F.lit("<html>bad gateway</html>")).otherwise(ok_body))
-    ended = F.timestamp_add("MICROSECOND", (F.col("value") * F.lit(10000.0)).cast("bigint"), F.col("ts"))
+    ended = F.timestamp_add("MICROSECOND", F.floor(F.col("value") * F.lit(10000.0)).cast("bigint"), F.col("ts"))
     return events.select(
         eid.alias("request_id"), ended.alias("ended_at"), status.alias("status_code"),
         failure.alias("failure_kind"), body.alias("body"))
