@@ -1,3 +1,37 @@
-"""Registered queries (filled in below)."""
+"""Registered SSE-fold queries: F5, F6, A11-A16, P7, P25."""
 
-from .registry import register  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.prompts import prompt_estimate
+from ..operators import sse
+from ..sources import derive
+from .registry import register
+
+SSE_OUT = ["request_id", "text", "prompt_tokens", "completion_tokens", "total_tokens",
+           "cache_read_input_tokens", "ttft_ms", "duration_ms", "tokens_per_second"]
+
+
+def stream_results(spark, sf_dir):
+    req = derive.stream_requests(spark, sf_dir)
+    req = req.withColumn("prompt_tokens", prompt_estimate(F.col("protocol"), F.col("body")))
+    return sse.finalize_streams(sse.fold(derive.sse_lines(spark, sf_dir)), req)
+
+
+def _sse(protocol):
+    def q(spark, sf_dir):
+        return stream_results(spark, sf_dir).filter(F.col("protocol") == protocol).select(*SSE_OUT)
+    return q
+
+
+register("sse_chat")(_sse("chat"))
+register("sse_responses")(_sse("responses"))
+register("sse_messages")(_sse("messages"))
+
+
+@register("sse_errors")
+def sse_errors(spark, sf_dir):
+    """P25: per request, whether the stream carried an error event and ended cleanly."""
+    f = sse.fold(derive.sse_lines(spark, sf_dir))
+    return f.groupBy("protocol", "saw_done", "saw_error").agg(F.count(F.lit(1)).alias("requests"))

@@ -299,3 +299,94 @@ def catalog_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # fixed values: catalog defaults of the derived configuration
 CATALOG_DEFAULT_MODEL = "m-13-0"
 CATALOG_DEFAULT_EMBEDDING_MODEL = "m-21-2"
+
+
+# ------------------------------------------------ captured SSE streams (conversations)
+
+# fixed values: stream fixture layout
+STREAM_PROTOCOL_BY_CONV_MOD3 = ["chat", "responses", "messages"]
+STREAM_EPOCH = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
+SEQ_FIRST_DELTA = 10
+SEQ_USAGE = 1_000_000
+SEQ_DONE = 1_000_001
+
+
+def _json_str(c: Column) -> Column:
+    """JSON string literal of a string column."""
+    arr = F.to_json(F.array(c))
+    return arr.substr(F.lit(2), F.length(arr) - 2)
+
+
+def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One streamed request per assistant turn: request_id = conv_id*100+turn,
+    protocol by conv_id mod 3, prompt = the preceding turn's text. The previous
+    turn is found with an equi-join on (conv_id, turn), which hash-partitions
+    on both keys, so one very long conversation is spread over many tasks."""
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    asst = conv.filter(F.col("role") == "assistant").select("conv_id", "turn")
+    prev = conv.select(F.col("conv_id").alias("p_conv"), (F.col("turn") + 1).alias("p_turn"),
+                       F.col("text").alias("prev_text"))
+    j = asst.join(prev, (asst.conv_id == prev.p_conv) & (asst.turn == prev.p_turn), "left")
+    proto = _case(F.pmod(F.col("conv_id"), F.lit(3)).cast("int"), dict(enumerate(STREAM_PROTOCOL_BY_CONV_MOD3)))
+    rid = F.col("conv_id") * 100 + F.col("turn")
+    model = model_for_user(F.col("conv_id"))
+    msgs = F.concat(F.lit('[{"role":"user","content":'), _json_str(F.coalesce(F.col("prev_text"), F.lit(""))),
+                    F.lit("}]"))
+    body = F.when(proto == "responses",
+                  F.concat(F.lit('{"model":"'), model, F.lit('","input":'), msgs, F.lit(',"stream":true}'))) \
+        .otherwise(F.concat(F.lit('{"model":"'), model, F.lit('","messages":'), msgs, F.lit(',"stream":true}')))
+    return j.select(
+        rid.alias("request_id"), proto.alias("protocol"),
+        F.timestamp_add("SECOND", rid, F.expr(STREAM_EPOCH)).alias("started_at"),
+        body.alias("body"), model.alias("requested_model"))
+
+
+def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured SSE lines (schema ``SSE_LINES``) for every assistant turn: a
+    non-data line, a malformed data line, dialect-specific text deltas (one
+    per word), an optional usage chunk and ``[DONE]``. Usage is present iff
+    conv_id mod 4 <> 0. arrival_ts = request start + offset(seq) ms."""
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    a = conv.filter(F.col("role") == "assistant").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
+        _case(F.pmod(F.col("conv_id"), F.lit(3)).cast("int"), dict(enumerate(STREAM_PROTOCOL_BY_CONV_MOD3))).alias("protocol"),
+        (F.col("conv_id") % 4 != 0).alias("has_usage"),
+        F.length("text").cast("bigint").alias("n"),
+        F.split(F.col("text"), " ").alias("w"))
+    nw = F.size("w").cast("bigint")
+    n = F.col("n").cast("string")
+    p = F.col("protocol")
+    fixed = a.select(
+        "request_id", "protocol", nw.alias("nw"),
+        F.explode(F.array(
+            F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("event: start").alias("line")),
+            F.struct(F.lit(2).cast("bigint").alias("seq"), F.lit("data: this-is-not-json").alias("line")),
+            F.struct(F.lit(3).cast("bigint").alias("seq"), F.when(
+                (p == "messages") & F.col("has_usage"),
+                F.concat(F.lit('data: {"type":"message_start","message":{"usage":{"input_tokens":'), n,
+                         F.lit(',"output_tokens":1,"cache_read_input_tokens":'),
+                         F.floor(F.col("n") / 4).cast("bigint").cast("string"), F.lit("}}}"))).alias("line")),
+            F.struct(F.lit(SEQ_USAGE).cast("bigint").alias("seq"), F.when(F.col("has_usage"), F.when(
+                p == "chat", F.concat(F.lit('data: {"choices":[],"usage":{"prompt_tokens":'), n,
+                                      F.lit(',"completion_tokens":'), nw.cast("string"),
+                                      F.lit(',"total_tokens":'), (F.col("n") + nw).cast("string"), F.lit("}}")))
+                .when(p == "responses", F.concat(
+                    F.lit('data: {"type":"response.completed","response":{"usage":{"input_tokens":'), n,
+                    F.lit(',"output_tokens":'), nw.cast("string"), F.lit("}}}")))
+                .otherwise(F.concat(F.lit('data: {"type":"message_delta","usage":{"output_tokens":'),
+                                    nw.cast("string"), F.lit("}}")))).alias("line")),
+            F.struct(F.lit(SEQ_DONE).cast("bigint").alias("seq"), F.lit("data: [DONE]").alias("line")),
+        )).alias("x")).select("request_id", "protocol", "nw", "x.seq", "x.line").filter(F.col("line").isNotNull())
+    words = a.select("request_id", "protocol", nw.alias("nw"), F.posexplode("w").alias("i", "word"))
+    d = _json_str(F.when(F.col("i") == 0, F.col("word")).otherwise(F.concat(F.lit(" "), F.col("word"))))
+    delta_line = (F.when(p == "chat", F.concat(F.lit('data: {"choices":[{"index":0,"delta":{"content":'), d, F.lit("}}]}")))
+                  .when(p == "responses", F.concat(F.lit('data: {"type":"response.output_text.delta","delta":'), d, F.lit("}")))
+                  .otherwise(F.concat(F.lit('data: {"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":'),
+                                      d, F.lit("}}"))))
+    deltas = words.select("request_id", "protocol", "nw", (F.col("i") + SEQ_FIRST_DELTA).cast("bigint").alias("seq"),
+                          delta_line.alias("line"))
+    lines = fixed.unionByName(deltas)
+    offset_ms = F.when(F.col("seq") < SEQ_USAGE, F.col("seq")).otherwise(F.col("nw") + 20 + (F.col("seq") - SEQ_USAGE))
+    start = F.timestamp_add("SECOND", F.col("request_id"), F.expr(STREAM_EPOCH))
+    return lines.select("request_id", "protocol", "seq",
+                        F.timestamp_add("MILLISECOND", offset_ms, start).alias("arrival_ts"), "line")
