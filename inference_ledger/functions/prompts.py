@@ -65,7 +65,8 @@ def prompt_text(protocol: Column, body: Column, v: Column | None = None) -> Colu
            .when(inp_kind.startswith("ARRAY") & first_is_str,
                  F.array_join(F.from_json(inp_json, "array<string>"), "\n"))
            .otherwise(F.coalesce(inp_json, F.lit("null"))))
-    return (F.when(protocol == "chat", F.concat(messages, tools))
+    return (F.when(v.isNull(), F.lit(""))
+            .when(protocol == "chat", F.concat(messages, tools))
             .when(protocol == "responses", responses)
             .when(protocol == "messages", msgs)
             .when(protocol == "embeddings", emb)
