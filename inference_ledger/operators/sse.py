@@ -132,14 +132,16 @@ def _last(present: Column, value: Column) -> Column:
     return F.max(F.when(present, F.struct(F.col("seq").alias("s"), value.alias("v"))))
 
 
-def fold(lines: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """A11-A15 per request. Output: request_id, protocol, text, usage_seen,
-    u_prompt/u_completion/u_total/u_cached/u_creation/u_read (chat/responses:
-    fields of the last valid usage object; messages: cumulative per field),
-    first_token_ts, last_ts, saw_done, saw_error."""
-    p = parse_lines(lines)
+PARTIAL_KEYS = ["request_id", "protocol", "bucket"]
+
+
+def fold_partials(parsed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Phase 1: aggregates per (request_id, protocol, seq bucket). Works on a
+    batch or a streaming DataFrame (then every bucket's state holds at most
+    ``bucket_rows`` lines)."""
+    p = parsed
     usage_struct = F.struct("u_prompt", "u_completion", "u_total", "u_cached", "u_creation", "u_read")
-    part = p.groupBy("request_id", "protocol", F.floor(F.col("seq") / bucket_rows).alias("bucket")).agg(
+    return p.groupBy("request_id", "protocol", F.floor(F.col("seq") / bucket_rows).alias("bucket")).agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.when(F.col("piece") != "", F.struct("seq", "piece")))),
             lambda x: x.getField("piece")), "").alias("text_part"),
@@ -154,6 +156,11 @@ def fold(lines: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         _last(F.col("u_creation").isNotNull(), F.col("u_creation")).alias("m_creation"),
         _last(F.col("u_read").isNotNull(), F.col("u_read")).alias("m_read"),
     )
+
+
+def stitch(part: DataFrame) -> DataFrame:
+    """Phase 2: combine the bucket partials of each request (text in bucket
+    order; the rest are max/min over (seq, value) structs)."""
     whole = part.groupBy("request_id", "protocol").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "text_part"))),
                                  lambda x: x.getField("text_part")), "").alias("text"),
@@ -179,6 +186,14 @@ def fold(lines: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     )
 
 
+def fold(lines: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """A11-A15 per request. Output: request_id, protocol, text, usage_seen,
+    u_prompt/u_completion/u_total/u_cached/u_creation/u_read (chat/responses:
+    fields of the last valid usage object; messages: cumulative per field),
+    first_token_ts, last_ts, saw_done, saw_error."""
+    return stitch(fold_partials(parse_lines(lines), bucket_rows))
+
+
 def finalize_streams(folded: DataFrame, stream_requests: DataFrame, estimate: str = "prompt_tokens") -> DataFrame:
     """A16 + P7 + J8 for streams: join the fold to its request (start time and
     prompt estimate). With usage: prompt falls back to the estimate, total to

@@ -1,4 +1,4 @@
 """Imports the oracle modules of every query group (each adds to ORACLE)."""
 
 from .oracle import ORACLE  # noqa: F401
-from . import o_views, o_routing, o_usage, o_sse, o_prompts  # noqa: F401
+from . import o_views, o_routing, o_usage, o_sse, o_prompts, o_sources  # noqa: F401

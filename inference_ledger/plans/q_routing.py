@@ -12,8 +12,9 @@ from .registry import register
 CFG = config.DEMO_CONFIG
 
 
-def _routed(spark, sf_dir, pick="round_robin"):
-    req = with_parsed(derive.requests(spark, sf_dir))
+def prepare_requests(req):
+    """Validation (F8/F9) and the prompt estimate, parsing each body once."""
+    req = with_parsed(req)
     v = F.col(PARSED)
     reason = reject_reason(F.col("protocol"), F.col("body"), v)
     model = F.coalesce(F.try_variant_get(v, "$.model", "string"), F.lit(""))
@@ -21,6 +22,11 @@ def _routed(spark, sf_dir, pick="round_robin"):
                      reason.alias("reject_reason"),
                      reject_status(reason, F.col("protocol")).alias("reject_status"),
                      prompt_estimate(F.col("protocol"), F.col("body"), v).alias("prompt_tokens"))
+    return req
+
+
+def _routed(spark, sf_dir, pick="round_robin"):
+    req = prepare_requests(derive.requests(spark, sf_dir))
     limits = routing.backend_limits(config.backends_df(spark, CFG))
     return routing.route(req, config.mappings_df(spark, CFG), limits,
                          CFG.get("default_model_id"), CFG.get("default_embedding_model_id"), pick)

@@ -1,3 +1,91 @@
-"""Registered queries (filled in below)."""
+"""Registered storage / export queries: S1-S6, S11 (write, then read back)."""
 
-from .registry import register  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import stats, views
+from ..schemas import LOG, LOG_COLUMNS, LOG_V1, SYSTEM_LOG
+from ..session import scratch_path
+from ..sources import derive, logstore
+from . import params as P
+from .registry import register
+
+# fixed values: files written before this instant use the first log schema
+EVOLVE_CUTOFF_EPOCH = 1705276800.0   # 2024-01-15 00:00:00 UTC
+
+
+@register("stored_totals_day")
+def stored_totals_day(spark, sf_dir):
+    """S4 + S2 + S1: create, append partitioned by dt, read back; the day filter
+    prunes ``dt`` partitions."""
+    root = scratch_path(spark, "store")
+    logstore.create_tables(spark, root)
+    logstore.append_log(derive.request_log(spark, sf_dir), root)
+    log = logstore.read_log(spark, root)
+    return stats.round_averages(stats.totals(log, stats.period_hours("day"), P.AS_OF_EPOCH), P.ROUND_DIGITS)
+
+
+@register("evolve_schema")
+def evolve_schema(spark, sf_dir):
+    """Older files lack the six later columns; reading with the full schema
+    yields NULL for them."""
+    root = scratch_path(spark, "evolve")
+    log = derive.request_log(spark, sf_dir)
+    old = log.filter(F.col("timestamp") < EVOLVE_CUTOFF_EPOCH)
+    new = log.filter(F.col("timestamp") >= EVOLVE_CUTOFF_EPOCH)
+    path = f"{root}/{logstore.REQUEST_LOG}"
+    old.select(*[f.name for f in LOG_V1.fields], "dt").write.partitionBy("dt").parquet(path)
+    new.select(*LOG_COLUMNS, "dt").write.mode("append").partitionBy("dt").parquet(path)
+    return derive.log_columns(logstore.read_log(spark, root))
+
+
+@register("clear_tables")
+def clear_tables(spark, sf_dir):
+    """Both tables emptied, schemas kept."""
+    root = scratch_path(spark, "clear")
+    logstore.create_tables(spark, root)
+    logstore.append_log(derive.request_log(spark, sf_dir), root)
+    logstore.append_system_log(derive.system_log(spark, sf_dir), root)
+    logstore.clear_tables(spark, root)
+    return derive.log_columns(logstore.read_log(spark, root))
+
+
+@register("system_log_ingest")
+def system_log_ingest(spark, sf_dir):
+    """S3: application log records arrive as JSON lines and are appended to the
+    system log; counted per level and source."""
+    root = scratch_path(spark, "syslog")
+    src = scratch_path(spark, "syslog-json")
+    derive.system_log(spark, sf_dir).write.json(src)
+    logstore.create_tables(spark, root)
+    logstore.ingest_system_log_json(spark, src, root)
+    s = logstore.read_system_log(spark, root)
+    return s.groupBy("level", "name").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count("traceback").alias("with_traceback"))
+
+
+@register("export_json")
+def export_json(spark, sf_dir):
+    """The stats document (totals + nested per-model array) as JSON, read
+    back with its schema and flattened per model."""
+    path = scratch_path(spark, "export-stats")
+    doc_df = logstore.stats_document(stats.totals_and_models(derive.request_log(spark, sf_dir)))
+    schema = doc_df.schema
+    doc_df.coalesce(1).write.json(path)
+    back = spark.read.schema(schema).json(path)
+    return back.select("total_requests", F.explode("model_requests").alias("m")).select(
+        "total_requests", "m.model_id", "m.count", "m.total_tokens", "m.total_compute_burn")
+
+
+@register("export_logs_page")
+def export_logs_page(spark, sf_dir):
+    """A log page exported as JSON lines and read back with the log schema."""
+    path = scratch_path(spark, "export-logs")
+    page = derive.log_columns(views.recent_logs(derive.request_log(spark, sf_dir), P.RECENT_LIMIT, 0))
+    logstore.export_logs_json(page, path)
+    return spark.read.schema(LOG).json(path)
+
+
+__all__ = ["SYSTEM_LOG"]

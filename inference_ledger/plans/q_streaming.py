@@ -1,3 +1,67 @@
-"""Registered queries (filled in below)."""
+"""Registered streaming queries: T-S1 .. T-S6. Each stages the derived capture
+table as parquet files in the shared checkpoint folder, runs the streaming job
+to completion (availableNow) and returns the sink read back in batch."""
 
-from .registry import register  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import routing, sse, stats
+from ..functions.prompts import prompt_estimate
+from ..session import scratch_path
+from ..sources import config, derive
+from ..streaming import jobs
+from . import params as P
+from .q_routing import CFG, prepare_requests
+from .q_sse import SSE_OUT
+from .registry import register
+
+
+def _stage_log(spark, sf_dir):
+    path = scratch_path(spark, "src-log")
+    derive.request_log(spark, sf_dir).write.partitionBy("dt").parquet(path)
+    return path
+
+
+@register("stream_append")
+def stream_append(spark, sf_dir):
+    out = jobs.append_log_stream(spark, _stage_log(spark, sf_dir), scratch_path(spark, "sink-log"))
+    return derive.log_columns(out)
+
+
+@register("stream_totals")
+def stream_totals(spark, sf_dir):
+    t = jobs.live_totals(spark, _stage_log(spark, sf_dir), scratch_path(spark, "sink-totals"))
+    return stats.round_averages(t, P.ROUND_DIGITS)
+
+
+@register("stream_recent")
+def stream_recent(spark, sf_dir):
+    return jobs.live_recent(spark, _stage_log(spark, sf_dir), scratch_path(spark, "sink-recent"), P.RECENT_LIMIT)
+
+
+@register("stream_series")
+def stream_series(spark, sf_dir):
+    return jobs.live_series_hourly(spark, _stage_log(spark, sf_dir), scratch_path(spark, "sink-series"))
+
+
+@register("stream_sse")
+def stream_sse(spark, sf_dir):
+    src = scratch_path(spark, "src-sse")
+    lines = derive.sse_lines(spark, sf_dir)
+    lines.write.parquet(src)
+    folded = jobs.live_sse_fold(spark, src, scratch_path(spark, "sink-sse"), lines.schema)
+    req = derive.stream_requests(spark, sf_dir)
+    req = req.withColumn("prompt_tokens", prompt_estimate(F.col("protocol"), F.col("body")))
+    return sse.finalize_streams(folded, req).select(*SSE_OUT)
+
+
+@register("stream_route")
+def stream_route(spark, sf_dir):
+    src = scratch_path(spark, "src-req")
+    reqs = derive.requests(spark, sf_dir)
+    reqs.write.parquet(src)
+    limits = routing.backend_limits(config.backends_df(spark, CFG))
+    return jobs.live_route(spark, src, scratch_path(spark, "sink-route"), reqs.schema,
+                           config.mappings_df(spark, CFG), limits, CFG.get("default_model_id"),
+                           CFG.get("default_embedding_model_id"), prepare_requests)
