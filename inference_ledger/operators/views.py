@@ -16,7 +16,8 @@ from ..functions.timefmt import human_time
 from ..session import checked_broadcast
 from . import stats
 
-NEWEST_FIRST = [F.desc("timestamp"), F.desc("id")]
+def _newest_first():
+    return [F.desc("timestamp"), F.desc("id")]
 
 
 def _clamp(limit: int | None, offset: int | None) -> tuple[int | None, int]:
@@ -29,7 +30,7 @@ def _clamp(limit: int | None, offset: int | None) -> tuple[int | None, int]:
 def recent_logs(log: DataFrame, limit: int | None = 50, offset: int | None = 0) -> DataFrame:
     """L2: newest first with limit/offset."""
     lim, off = _clamp(limit, offset)
-    df = log.orderBy(*NEWEST_FIRST)
+    df = log.orderBy(*_newest_first())
     if off:
         df = df.offset(off)
     return df.limit(lim) if lim is not None else df
@@ -38,18 +39,18 @@ def recent_logs(log: DataFrame, limit: int | None = 50, offset: int | None = 0)
 def logs_before(log: DataFrame, before_ts: float, before_id: int, limit: int) -> DataFrame:
     """Keyset page: the ``limit`` newest rows strictly older than (ts, id)."""
     older = (F.col("timestamp") < before_ts) | ((F.col("timestamp") == before_ts) & (F.col("id") < before_id))
-    return stats.filter_since(log, None).filter(older).orderBy(*NEWEST_FIRST).limit(limit)
+    return stats.filter_since(log, None).filter(older).orderBy(*_newest_first()).limit(limit)
 
 
 def all_logs(log: DataFrame) -> DataFrame:
     """Every row, newest first (range-partitioned global sort)."""
-    return log.orderBy(*NEWEST_FIRST)
+    return log.orderBy(*_newest_first())
 
 
 def system_logs_top(system_log: DataFrame, limit: int = 50) -> DataFrame:
     """L4: newest system-log rows."""
     lim, _ = _clamp(limit, 0)
-    df = system_log.orderBy(*NEWEST_FIRST)
+    df = system_log.orderBy(*_newest_first())
     return df.limit(lim) if lim is not None else df
 
 

@@ -45,8 +45,8 @@ def flatten_usage(df: DataFrame, usage_col: str = "usage") -> DataFrame:
     if usage_col not in df.columns:
         return df
     u = F.col(usage_col)
-    return df.drop(usage_col).select(
-        "*",
+    return df.select(
+        *[c for c in df.columns if c != usage_col],
         u.getField("prompt_tokens").alias("prompt_tokens"),
         u.getField("completion_tokens").alias("completion_tokens"),
         u.getField("total_tokens").alias("total_tokens"),
