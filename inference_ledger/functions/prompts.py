@@ -39,15 +39,24 @@ def _quoted(s: Column) -> Column:
     return arr.substr(F.lit(2), F.length(arr) - 2)
 
 
-def prompt_text(protocol: Column, body: Column, v: Column | None = None) -> Column:
+PROMPT_FIELDS = ("messages", "tools", "input", "system")
+
+
+def prompt_text(protocol: Column, body: Column, v: Column | None = None,
+                fields: dict[str, Column] | None = None) -> Column:
     """Text whose tokens estimate the prompt, per protocol. ``v`` is the body
-    parsed once (``with_parsed``); parsing per sub-expression would bloat the
-    generated code."""
+    parsed once (``with_parsed``); ``fields`` are the raw JSON texts of the
+    top-level ``PROMPT_FIELDS`` taken by one ``json_tuple`` pass
+    (``with_prompt_fields``). Without them each field is re-read from the body."""
     v = parsed(body) if v is None else v
-    tools = F.coalesce(json_of(body, "$.tools"), F.lit(""))
-    messages = F.coalesce(json_of(body, "$.messages"), F.lit("[]"))
+
+    def raw(name: str) -> Column:
+        return fields[name] if fields else json_of(body, "$." + name)
+
+    tools = F.coalesce(raw("tools"), F.lit(""))
+    messages = F.coalesce(raw("messages"), F.lit("[]"))
     inp_kind = kind(v, "$.input")
-    inp_json = json_of(body, "$.input")
+    inp_json = raw("input")
     inp_str = F.try_variant_get(v, "$.input", "string")
     # responses: str(instructions) + json(input) + json(tools); a string input is JSON-quoted
     responses = F.concat(
@@ -57,7 +66,7 @@ def prompt_text(protocol: Column, body: Column, v: Column | None = None) -> Colu
     # messages: json(messages) + str(system) + json(tools)
     system_kind = kind(v, "$.system")
     system = F.when(system_kind == "STRING", F.try_variant_get(v, "$.system", "string")) \
-        .otherwise(F.coalesce(json_of(body, "$.system"), F.lit("")))
+        .otherwise(F.coalesce(raw("system"), F.lit("")))
     msgs = F.concat(messages, system, tools)
     # embeddings: string as-is; list of strings joined by newline; else JSON
     first_is_str = kind(v, "$.input[0]") == "STRING"
@@ -73,19 +82,29 @@ def prompt_text(protocol: Column, body: Column, v: Column | None = None) -> Colu
             .otherwise(F.lit("")))
 
 
-def prompt_estimate(protocol: Column, body: Column, v: Column | None = None) -> Column:
+def prompt_estimate(protocol: Column, body: Column, v: Column | None = None,
+                    fields: dict[str, Column] | None = None) -> Column:
     """Native prompt-token estimate; the native embedding passthrough counts 0."""
     v = parsed(body) if v is None else v
     return F.when((protocol == "embed_native") | v.isNull(), F.lit(0).cast("bigint")) \
-        .otherwise(estimate_tokens(prompt_text(protocol, body, v)))
+        .otherwise(estimate_tokens(prompt_text(protocol, body, v, fields)))
 
 
 PARSED = "_body_v"
+FIELD_PREFIX = "_raw_"
 
 
 def with_parsed(df, body: str = "body"):
-    """Adds the body parsed once as VARIANT (column ``_body_v``)."""
-    return df.withColumn(PARSED, parsed(F.col(body)))
+    """Adds the body parsed once as VARIANT (column ``_body_v``) and the raw
+    JSON text of the top-level prompt fields from one ``json_tuple`` pass
+    (columns ``_raw_<field>``)."""
+    names = [FIELD_PREFIX + f for f in PROMPT_FIELDS]
+    raw = df.select("*", F.json_tuple(F.col(body), *PROMPT_FIELDS).alias(*names))
+    return raw.withColumn(PARSED, parsed(F.col(body)))
+
+
+def parsed_fields() -> dict[str, Column]:
+    return {f: F.col(FIELD_PREFIX + f) for f in PROMPT_FIELDS}
 
 
 def reject_reason(protocol: Column, body: Column, v: Column | None = None) -> Column:

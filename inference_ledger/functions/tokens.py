@@ -24,13 +24,18 @@ from pyspark.sql import types as T
 # oracle can run the same pattern) and the special-token form it keeps whole.
 SPECIAL_TOKEN_PATTERN = r"<\|[A-Za-z0-9_]+\|>"
 PIECE_PATTERN = SPECIAL_TOKEN_PATTERN + r"|\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
+# the same pattern with possessive quantifiers for Java's engine: the
+# alternatives are disjoint character classes, so no match ever needs to give
+# characters back and the matches are identical; it only skips backtracking.
+PIECE_PATTERN_JVM = r"<\|[A-Za-z0-9_]++\|>|\p{L}++|\p{N}{1,3}+|[^\s\p{L}\p{N}]++"
 DEFAULT_ENCODING = "cl100k_base"
 
 
 def estimate_tokens(text: Column) -> Column:
-    """Native estimate; NULL or empty text counts 0."""
-    n = F.regexp_count(text, F.lit(PIECE_PATTERN))
-    return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(n).cast("bigint")
+    """Native estimate; NULL or empty text counts 0. ``text`` is referenced
+    once: Spark does not share a sub-expression between a conditional's
+    branches, so a guard like ``when(text == '', 0)`` would build it twice."""
+    return F.coalesce(F.regexp_count(text, F.lit(PIECE_PATTERN_JVM)), F.lit(0)).cast("bigint")
 
 
 def exact_token_count(text: Column, vocab_path: str, pattern: str | None = None) -> Column:

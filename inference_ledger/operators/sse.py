@@ -27,80 +27,106 @@ DATA_PREFIX = "data: "
 DONE = "[DONE]"
 
 
+def _trimmed(line: Column) -> Column:
+    """Text after ``data: `` with surrounding whitespace removed (T22); NULL
+    for non-data lines."""
+    return F.when(line.startswith(DATA_PREFIX),
+                  F.regexp_replace(F.substring(line, len(DATA_PREFIX) + 1, 1 << 30), r"^\s+|\s+$", ""))
+
+
 def payload(line: Column) -> Column:
-    """F5 + T22: text after ``data: `` with surrounding whitespace removed;
-    NULL for non-data lines, empty payloads and ``[DONE]``."""
-    p = F.regexp_replace(F.substring(line, len(DATA_PREFIX) + 1, 1 << 30), r"^\s+|\s+$", "")
-    ok = line.startswith(DATA_PREFIX) & (p != "") & (p != DONE)
-    return F.when(ok, p)
-
-
-def _text_or_empty(v: Column, path: str) -> Column:
-    """A string value at ``path`` if it is a non-empty string, else ''."""
-    is_str = U.vkind(U.vget(v, path)) == "STRING"
-    s = F.try_variant_get(v, path, "string")
-    return F.when(is_str, F.coalesce(s, F.lit(""))).otherwise(F.lit(""))
-
-
-def _chunk_columns(v: Column, protocol: Column) -> dict[str, Column]:
-    """Per-chunk contributions for the three dialects (T7 predicates)."""
-    # chat: any truthy `choices` is a first token; text = choices[0].delta.content
-    choices = U.vget(v, "$.choices")
-    chat_first = U.truthy(choices)
-    chat_text = F.when(chat_first, _text_or_empty(v, "$.choices[0].delta.content")).otherwise(F.lit(""))
-    # responses: non-empty `output` items (text / message content) and typed text deltas
-    output = U.vget(v, "$.output")
-    out_items = F.try_variant_get(v, "$.output", "array<variant>")
-    item_text = F.transform(out_items, lambda it: F.when(
+    """the trimmed payload; NULL for non-data lines, empty payloads and ``[DONE]``."""
+    t = _trimmed(line)
+    return F.when((t != "") & (t != DONE), t)
+
+
+def _nonempty_array(x: Column) -> Column:
+    return F.coalesce(F.array_size(F.try_variant_get(x, "$", "array<variant>")) > 0, F.lit(False))
+
+
+def _nonempty_object(x: Column) -> Column:
+    return F.coalesce(F.size(F.try_variant_get(x, "$", "map<string,variant>")) > 0, F.lit(False))
+
+
+def _string_at(v: Column, path: str) -> Column:
+    """The string at ``path`` if it is a JSON string, else NULL."""
+    x = U.vget(v, path)
+    return F.when(U.vkind(x) == "STRING", F.try_variant_get(x, "$", "string"))
+
+
+def _chat(v: Column) -> tuple[Column, Column]:
+    # any non-empty `choices` is a first token; text = truthy choices[0].delta.content
+    first = _nonempty_array(U.vget(v, "$.choices"))
+    text = F.when(first, F.coalesce(_string_at(v, "$.choices[0].delta.content"), F.lit("")))
+    return first, text
+
+
+def _responses(v: Column) -> tuple[Column, Column]:
+    # non-empty `output` (text items / message contents) and typed text deltas
+    has_output = _nonempty_array(U.vget(v, "$.output"))
+    items = F.try_variant_get(v, "$.output", "array<variant>")
+    item_text = F.transform(items, lambda it: F.when(
         (F.try_variant_get(it, "$.type", "string") == "text") & U.has(it, "$.text"),
         F.coalesce(F.try_variant_get(it, "$.text", "string"), F.lit("")))
         .when((F.try_variant_get(it, "$.type", "string") == "message")
-              & U.vkind(U.vget(it, "$.message")).startswith("OBJECT"),
-              _text_or_empty(it, "$.message.content"))
+              & F.try_variant_get(it, "$.message", "map<string,variant>").isNotNull(),
+              F.coalesce(_string_at(it, "$.message.content"), F.lit("")))
         .otherwise(F.lit("")))
-    is_delta = (F.try_variant_get(v, "$.type", "string") == "response.output_text.delta")
-    delta_text = _text_or_empty(v, "$.delta")
-    typed = is_delta & (delta_text != "")
-    resp_first = U.truthy(output) | typed
-    resp_text = F.concat(F.when(U.truthy(output), F.array_join(F.coalesce(item_text, F.array()), ""))
-                         .otherwise(F.lit("")),
-                         F.when(typed, delta_text).otherwise(F.lit("")))
-    # messages: content_block_delta carrying a `text` key
-    msg_first = ((F.try_variant_get(v, "$.type", "string") == "content_block_delta")
-                 & U.has(v, "$.delta.text"))
-    msg_text = F.when(msg_first, _text_or_empty(v, "$.delta.text")).otherwise(F.lit(""))
-    first = (F.when(protocol == "chat", chat_first).when(protocol == "responses", resp_first)
-             .otherwise(msg_first))
-    text = (F.when(protocol == "chat", chat_text).when(protocol == "responses", resp_text)
-            .otherwise(msg_text))
-    # usage object: top-level `usage`, else the dialect's nested one (T6 truthiness)
+    delta = F.when(F.try_variant_get(v, "$.type", "string") == "response.output_text.delta",
+                   F.coalesce(_string_at(v, "$.delta"), F.lit("")))
+    typed = F.coalesce(delta != "", F.lit(False))
+    first = has_output | typed
+    joined = F.coalesce(F.array_join(item_text, ""), F.lit(""))
+    text = F.concat(F.when(has_output, joined).otherwise(F.lit("")), F.when(typed, delta).otherwise(F.lit("")))
+    return first, text
+
+
+def _messages(v: Column) -> tuple[Column, Column]:
+    # content_block_delta carrying a `text` key
+    first = F.coalesce((F.try_variant_get(v, "$.type", "string") == "content_block_delta")
+                       & U.has(v, "$.delta.text"), F.lit(False))
+    text = F.when(first, F.coalesce(_string_at(v, "$.delta.text"), F.lit("")))
+    return first, text
+
+
+def _usage_object(v: Column, protocol: Column) -> Column:
+    """Top-level ``usage`` if truthy, else the dialect's nested one."""
     top = U.vget(v, "$.usage")
     nested = F.when(protocol == "responses", U.vget(v, "$.response.usage")) \
         .when(protocol == "messages", U.vget(v, "$.message.usage"))
-    usage = F.when(U.truthy(top), top).when(U.truthy(nested) & U.vkind(nested).startswith("OBJECT"), nested)
-    return {"first": F.coalesce(first, F.lit(False)), "text": F.coalesce(text, F.lit("")), "usage": usage}
+    return F.when(_nonempty_object(top), top).when(_nonempty_object(nested), nested)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """F5 + F6 + P25: one row per line with the chunk's contributions.
-    Non-object or malformed JSON contributes nothing (the stream goes on)."""
-    pl = lines.select("request_id", "protocol", "seq", "arrival_ts", "line",
-                      payload(F.col("line")).alias("_payload"))
-    parsed = pl.select("*", F.try_parse_json(F.col("_payload")).alias("_v"))
+    Non-object or malformed JSON contributes nothing (the stream goes on).
+
+    Staged projections keep the per-line cost low: the payload is trimmed
+    once, only the line's own dialect branch is evaluated, and usage fields
+    are read only on lines that carry a usage object."""
+    t = lines.select("request_id", "protocol", "seq", "arrival_ts", "line", _trimmed(F.col("line")).alias("_t"))
+    t = t.select("request_id", "protocol", "seq", "arrival_ts", "line",
+                 F.coalesce(F.col("_t") == DONE, F.lit(False)).alias("_done"),
+                 F.when((F.col("_t") != "") & (F.col("_t") != DONE), F.col("_t")).alias("_payload"))
+    parsed = t.select("request_id", "protocol", "seq", "arrival_ts", "line", "_done",
+                      F.try_parse_json(F.col("_payload")).alias("_v"))
     v = F.col("_v")
-    is_obj = U.vkind(v).startswith("OBJECT")
-    c = _chunk_columns(v, F.col("protocol"))
-    u = c["usage"]
-    fields = U.usage_fields(u, F.lit(None).cast("bigint"))
+    proto = F.col("protocol")
+    is_obj = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    cf, ct = _chat(v)
+    rf, rt = _responses(v)
+    mf, mt = _messages(v)
+    first = F.when(proto == "chat", cf).when(proto == "responses", rf).otherwise(mf)
+    text = F.when(proto == "chat", ct).when(proto == "responses", rt).otherwise(mt)
     staged = parsed.select(
-        "request_id", "protocol", "seq", "arrival_ts",
+        "request_id", "protocol", "seq", "arrival_ts", "_done",
         is_obj.alias("_ok"),
-        c["first"].alias("_first"), c["text"].alias("_text"), u.alias("_u"),
-        (F.col("_payload").isNull() & (F.regexp_replace(F.substring(F.col("line"), 7, 1 << 30), r"^\s+|\s+$", "") == DONE)
-         & F.col("line").startswith(DATA_PREFIX)).alias("_done"),
+        F.when(is_obj, F.coalesce(first, F.lit(False))).otherwise(F.lit(False)).alias("first_token"),
+        F.when(is_obj, F.coalesce(text, F.lit(""))).otherwise(F.lit("")).alias("piece"),
+        F.when(is_obj, _usage_object(v, proto)).alias("_u"),
         ((F.col("line") == "event: error") | (is_obj & U.has(v, "$.error"))).alias("_error"),
     )
-    # chat/responses: usage_from_dict with a deferred fallback prompt
+    # chat/responses: usage_from_dict with a deferred fallback prompt; only on usage lines
     uu = F.col("_u")
     p_has, i_has = U.has(uu, "$.prompt_tokens"), U.has(uu, "$.input_tokens")
     c_has, o_has = U.has(uu, "$.completion_tokens"), U.has(uu, "$.output_tokens")
@@ -108,21 +134,24 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     completion = F.when(c_has, U.as_int(uu, "$.completion_tokens")).when(o_has, U.as_int(uu, "$.output_tokens")) \
         .otherwise(F.lit(0).cast("bigint"))
     total = U.as_int(uu, "$.total_tokens")
-    valid = (uu.isNotNull() & (~(p_has | i_has) | prompt.isNotNull()) & completion.isNotNull()
+    valid = ((~(p_has | i_has) | prompt.isNotNull()) & completion.isNotNull()
              & (~U.has(uu, "$.total_tokens") | total.isNotNull()))
+    on = uu.isNotNull()
+
+    def u(col: Column) -> Column:
+        return F.when(on, col)
+
     return staged.select(
-        "request_id", "protocol", "seq", "arrival_ts", "_done", "_error",
-        (F.col("_ok") & F.col("_first")).alias("first_token"),
-        F.when(F.col("_ok"), F.col("_text")).otherwise(F.lit("")).alias("piece"),
-        (F.col("_ok") & valid).alias("has_usage"),
-        prompt.alias("u_prompt"), completion.alias("u_completion"), total.alias("u_total"),
-        U.as_int(uu, "$.prompt_tokens_details.cached_tokens").alias("u_cached"),
-        U.as_int(uu, "$.cache_creation_input_tokens").alias("u_creation"),
-        U.as_int(uu, "$.cache_read_input_tokens").alias("u_read"),
-        (F.col("_ok") & uu.isNotNull() & i_has).alias("m_in_has"),
-        U.as_int(uu, "$.input_tokens").alias("m_in"),
-        (F.col("_ok") & uu.isNotNull() & o_has).alias("m_out_has"),
-        U.as_int(uu, "$.output_tokens").alias("m_out"),
+        "request_id", "protocol", "seq", "arrival_ts", "_done", "_error", "first_token", "piece",
+        F.coalesce(u(valid), F.lit(False)).alias("has_usage"),
+        u(prompt).alias("u_prompt"), u(completion).alias("u_completion"), u(total).alias("u_total"),
+        u(U.as_int(uu, "$.prompt_tokens_details.cached_tokens")).alias("u_cached"),
+        u(U.as_int(uu, "$.cache_creation_input_tokens")).alias("u_creation"),
+        u(U.as_int(uu, "$.cache_read_input_tokens")).alias("u_read"),
+        F.coalesce(u(i_has), F.lit(False)).alias("m_in_has"),
+        u(U.as_int(uu, "$.input_tokens")).alias("m_in"),
+        F.coalesce(u(o_has), F.lit(False)).alias("m_out_has"),
+        u(U.as_int(uu, "$.output_tokens")).alias("m_out"),
     )
 
 

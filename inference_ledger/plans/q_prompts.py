@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.prompts import (PARSED, normalise_payload, prompt_estimate, prompt_text, reject_reason,
-                                 reject_status, with_parsed)
+from ..functions.prompts import (PARSED, normalise_payload, parsed_fields, prompt_estimate, prompt_text,
+                                 reject_reason, reject_status, with_parsed)
 from ..functions.tokens import estimate_tokens, flatten_content
+from ..session import spread
 from ..sources import derive
 from ..sources.tables import read_table
 from .registry import register
@@ -20,8 +21,8 @@ def _prompt(protocols):
         return req.select(
             "request_id", "protocol",
             reject_reason(F.col("protocol"), F.col("body"), v).alias("reject_reason"),
-            prompt_text(F.col("protocol"), F.col("body"), v).alias("prompt_text"),
-            prompt_estimate(F.col("protocol"), F.col("body"), v).alias("prompt_tokens"))
+            prompt_text(F.col("protocol"), F.col("body"), v, parsed_fields()).alias("prompt_text"),
+            prompt_estimate(F.col("protocol"), F.col("body"), v, parsed_fields()).alias("prompt_tokens"))
     return q
 
 
@@ -34,9 +35,9 @@ register("prompt_text_embeddings")(_prompt(["embeddings", "embed_native"]))
 @register("token_estimate")
 def token_estimate(spark, sf_dir):
     """P14 (native) over whole texts of two tables, summed per group."""
-    conv = read_table(spark, sf_dir, "conversations", "role", "text").select(
+    conv = spread(read_table(spark, sf_dir, "conversations", "role", "text")).select(
         F.lit("conversations").alias("source"), F.col("role").alias("grp"), "text")
-    docs = read_table(spark, sf_dir, "documents", "lang", "text").select(
+    docs = spread(read_table(spark, sf_dir, "documents", "lang", "text")).select(
         F.lit("documents").alias("source"), F.col("lang").alias("grp"), "text")
     return conv.unionByName(docs).groupBy("source", "grp").agg(
         F.count(F.lit(1)).alias("texts"),

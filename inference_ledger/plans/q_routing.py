@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.prompts import PARSED, prompt_estimate, reject_reason, reject_status, with_parsed
+from ..functions.prompts import PARSED, parsed_fields, prompt_estimate, reject_reason, reject_status, with_parsed
 from ..operators import routing
 from ..sources import config, derive
 from .registry import register
@@ -21,7 +21,7 @@ def prepare_requests(req):
     req = req.select("request_id", "protocol", "started_at", model.alias("requested_model"), "stream",
                      reason.alias("reject_reason"),
                      reject_status(reason, F.col("protocol")).alias("reject_status"),
-                     prompt_estimate(F.col("protocol"), F.col("body"), v).alias("prompt_tokens"))
+                     prompt_estimate(F.col("protocol"), F.col("body"), v, parsed_fields()).alias("prompt_tokens"))
     return req
 
 

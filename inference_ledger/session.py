@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Dimension tables (backends, model mappings, untracked ids) come from a
-# routing configuration. They are broadcast only when a row count proves they
-# are small; otherwise the join falls back to a shuffle join.
-BROADCAST_MAX_ROWS = 200_000
+# routing configuration. They are broadcast only when Spark's own size estimate
+# of the plan (the statistic the planner uses for broadcast decisions: exact for
+# local relations, file sizes for scans, conservative through filters,
+# aggregates and joins) proves them small; otherwise the join falls back to a
+# shuffle join. Unknown sizes count as large.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -67,12 +70,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows (bounded probe)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of ``df`` (no job is run)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # pragma: no cover - e.g. a remote session: treat as unknown
+        return 1 << 62
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check; larger sides are returned
-    unhinted so the planner picks a shuffle join."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """True when the plan's size estimate is at most ``max_bytes``."""
+    return estimated_bytes(df) <= max_bytes
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only behind a size check; larger (or unknown) sides are
+    returned unhinted so the planner picks a shuffle join."""
+    return F.broadcast(df) if is_small(df, max_bytes) else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread CPU-heavy per-row work (JSON parsing, regex) over the cluster
+    when the input has fewer splits than cores (e.g. one large row group).
+    Large inputs already have many more splits than cores and are returned
+    untouched, so no shuffle is added at scale. Filters and column pruning
+    still reach the scan below the repartition."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

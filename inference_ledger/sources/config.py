@@ -80,24 +80,32 @@ def load_config(source: str | Path | dict) -> dict[str, Any]:
     return data
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """A small dimension as a local relation (Arrow path): its size is known
+    exactly to the optimizer, so size-checked broadcasts can trust it. A
+    plain list would become an RDD scan of unknown size."""
+    import pandas as pd
+    pdf = pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+    return spark.createDataFrame(pdf, schema)
+
+
 def backends_df(spark: SparkSession, cfg: dict) -> DataFrame:
     cfg = load_config(cfg)
     rows = [(i, b["id"], b["url"], b.get("context_size")) for i, b in enumerate(cfg["backends"])]
-    return spark.createDataFrame(rows, BACKENDS)
+    return _local(spark, rows, BACKENDS)
 
 
 def mappings_df(spark: SparkSession, cfg: dict) -> DataFrame:
     cfg = load_config(cfg)
     rows = [(i, m["model_id"], list(m["backend_ids"])) for i, m in enumerate(cfg["model_mappings"])]
-    return spark.createDataFrame(rows, MODEL_MAPPINGS)
+    return _local(spark, rows, MODEL_MAPPINGS)
 
 
 def settings_df(spark: SparkSession, cfg: dict) -> DataFrame:
     cfg = load_config(cfg)
-    return spark.createDataFrame(
-        [(cfg.get("default_model_id"), cfg.get("default_embedding_model_id"))], SETTINGS)
+    return _local(spark, [(cfg.get("default_model_id"), cfg.get("default_embedding_model_id"))], SETTINGS)
 
 
 def untracked_df(spark: SparkSession, cfg: dict) -> DataFrame:
     cfg = load_config(cfg)
-    return spark.createDataFrame([(m,) for m in (cfg.get("untracked_models") or [])], UNTRACKED)
+    return _local(spark, [(m,) for m in (cfg.get("untracked_models") or [])], UNTRACKED)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timefmt import epoch_date, epoch_seconds
 from ..schemas import LOG_COLUMNS
+from ..session import spread
 from .tables import read_table
 
 # fixed values: model ids by user_id % 6, protocol path and event-type mapping
@@ -175,7 +176,7 @@ def requests_from_events(events: DataFrame) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("event_id", "ts", "user_id", "event_type", "props")
-    return requests_from_events(read_table(spark, sf_dir, "events", *cols))
+    return requests_from_events(spread(read_table(spark, sf_dir, "events", *cols)))
 
 
 def responses_from_events(events: DataFrame) -> DataFrame:
@@ -239,7 +240,7 @@ def responses_from_events(events: DataFrame) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("event_id", "ts", "event_type", "value", "props")
-    return responses_from_events(read_table(spark, sf_dir, "events", *cols))
+    return responses_from_events(spread(read_table(spark, sf_dir, "events", *cols)))
 
 
 # ------------------------------------------------- catalog dims from TPC-H tables
@@ -346,7 +347,7 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     non-data line, a malformed data line, dialect-specific text deltas (one
     per word), an optional usage chunk and ``[DONE]``. Usage is present iff
     conv_id mod 4 <> 0. arrival_ts = request start + offset(seq) ms."""
-    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    conv = spread(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     a = conv.filter(F.col("role") == "assistant").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
         _case(F.pmod(F.col("conv_id"), F.lit(3)).cast("int"), dict(enumerate(STREAM_PROTOCOL_BY_CONV_MOD3))).alias("protocol"),

@@ -59,7 +59,7 @@ def latest_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ T-S2
 
-def append_log_stream(spark: SparkSession, source: str, sink: str, max_files: int = 8) -> DataFrame:
+def append_log_stream(spark: SparkSession, source: str, sink: str, max_files: int | None = None) -> DataFrame:
     """T-S2: continuous append of finished requests into the partitioned log."""
     s = file_stream(spark, source, LOG_WITH_DT, max_files)
     w = s.writeStream.format("parquet").partitionBy("dt").outputMode("append").option("path", sink)
@@ -69,7 +69,7 @@ def append_log_stream(spark: SparkSession, source: str, sink: str, max_files: in
 
 # ------------------------------------------------------------------ T-S3
 
-def live_totals(spark: SparkSession, source: str, sink: str, max_files: int = 8) -> DataFrame:
+def live_totals(spark: SparkSession, source: str, sink: str, max_files: int | None = None) -> DataFrame:
     """T-S3: totals maintained in complete mode (one state row); each batch
     overwrites the sink with the full result."""
     s = file_stream(spark, source, LOG_WITH_DT, max_files)
@@ -85,7 +85,7 @@ def live_totals(spark: SparkSession, source: str, sink: str, max_files: int = 8)
 
 # ------------------------------------------------------------------ T-S4
 
-def live_recent(spark: SparkSession, source: str, sink: str, k: int = 50, max_files: int = 8) -> DataFrame:
+def live_recent(spark: SparkSession, source: str, sink: str, k: int = 50, max_files: int | None = None) -> DataFrame:
     """T-S4: a bounded top-k (newest first) table maintained per batch: the
     previous version (k rows) union the batch, reduced to k rows, written as a
     new version folder. Never more than k + batch rows are handled."""
@@ -144,7 +144,7 @@ def live_series_hourly(spark: SparkSession, source: str, sink: str, watermark: s
 
 # ------------------------------------------------------------------ T-S1
 
-def live_sse_fold(spark: SparkSession, source: str, sink: str, schema, max_files: int | None = 4) -> DataFrame:
+def live_sse_fold(spark: SparkSession, source: str, sink: str, schema, max_files: int | None = None) -> DataFrame:
     """T-S1: SSE lines folded per (request, seq bucket) in update mode (state
     per bucket is bounded by the bucket size); the reader takes the latest
     partial per bucket and stitches requests in batch. Lines may arrive in any
@@ -161,7 +161,7 @@ def live_sse_fold(spark: SparkSession, source: str, sink: str, schema, max_files
 
 def live_route(spark: SparkSession, source: str, sink: str, schema, mappings: DataFrame, limits: DataFrame,
                default_model_id: str | None, default_embedding_model_id: str | None,
-               prepare: Callable[[DataFrame], DataFrame], max_files: int | None = 4) -> DataFrame:
+               prepare: Callable[[DataFrame], DataFrame], max_files: int | None = None) -> DataFrame:
     """T-S6: arriving requests are validated, estimated (``prepare``), routed
     with stream-static joins against the (size-checked, broadcast) dimensions,
     limit-checked, and split into accepted / rejected outputs."""

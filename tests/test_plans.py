@@ -38,9 +38,9 @@ def test_no_python_in_native_queries(spark):
 
 
 def test_broadcast_is_size_checked(spark):
-    small = spark.range(10)
-    assert is_small(small, 100) and not is_small(spark.range(1000), 100)
-    big = checked_broadcast(spark.range(1000), 100)
+    small = spark.createDataFrame([(i,) for i in range(10)], "id long")
+    assert is_small(small, 10_000) and not is_small(spark.range(10_000_000), 10_000)
+    big = checked_broadcast(spark.range(10_000_000), 10_000)
     assert "ResolvedHint" not in big._jdf.queryExecution().analyzed().toString()
     j = spark.range(5).join(checked_broadcast(small), "id")
     assert "BroadcastHashJoin" in _plan(j) or "BroadcastExchange" in _plan(j)
