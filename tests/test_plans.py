@@ -38,8 +38,11 @@ def test_no_python_in_native_queries(spark):
 
 
 def test_broadcast_is_size_checked(spark):
-    small = spark.createDataFrame([(i,) for i in range(10)], "id long")
+    import pandas as pd
+    small = spark.createDataFrame(pd.DataFrame({"id": list(range(10))}), "id long")   # local relation
     assert is_small(small, 10_000) and not is_small(spark.range(10_000_000), 10_000)
+    # a list-built frame is an RDD scan of unknown size: never broadcast
+    assert not is_small(spark.createDataFrame([(1,)], "id long"), 10_000)
     big = checked_broadcast(spark.range(10_000_000), 10_000)
     assert "ResolvedHint" not in big._jdf.queryExecution().analyzed().toString()
     j = spark.range(5).join(checked_broadcast(small), "id")
