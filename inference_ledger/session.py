@@ -73,9 +73,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer size estimate of ``df`` (no job is run)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     except Exception:  # pragma: no cover - e.g. a remote session: treat as unknown
         return 1 << 62
+    return int(size if isinstance(size, int) else size.toString())
 
 
 def is_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
