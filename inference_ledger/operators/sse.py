@@ -125,6 +125,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.when(is_obj, F.coalesce(text, F.lit(""))).otherwise(F.lit("")).alias("piece"),
         F.when(is_obj, _usage_object(v, proto)).alias("_u"),
         ((F.col("line") == "event: error") | (is_obj & U.has(v, "$.error"))).alias("_error"),
+        F.when(is_obj, F.try_variant_get(v, "$.error.message", "string")).alias("_err_msg"),
     )
     # chat/responses: usage_from_dict with a deferred fallback prompt; only on usage lines
     uu = F.col("_u")
@@ -142,7 +143,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         return F.when(on, col)
 
     return staged.select(
-        "request_id", "protocol", "seq", "arrival_ts", "_done", "_error", "first_token", "piece",
+        "request_id", "protocol", "seq", "arrival_ts", "_done", "_error", "_err_msg", "first_token", "piece",
         F.coalesce(u(valid), F.lit(False)).alias("has_usage"),
         u(prompt).alias("u_prompt"), u(completion).alias("u_completion"), u(total).alias("u_total"),
         u(U.as_int(uu, "$.prompt_tokens_details.cached_tokens")).alias("u_cached"),
@@ -178,6 +179,7 @@ def fold_partials(parsed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
         F.max("arrival_ts").alias("last_ts"),
         F.max(F.col("_done").cast("int")).alias("saw_done"),
         F.max(F.col("_error").cast("int")).alias("saw_error"),
+        _last(F.col("_err_msg").isNotNull(), F.col("_err_msg")).alias("err"),
         _last(F.col("has_usage"), usage_struct).alias("last_usage"),
         F.max(F.when(F.col("has_usage"), F.col("seq"))).alias("any_usage"),
         _last(F.col("m_in_has"), F.col("m_in")).alias("m_in"),
@@ -197,6 +199,7 @@ def stitch(part: DataFrame) -> DataFrame:
         F.max("last_ts").alias("last_ts"),
         (F.max("saw_done") == 1).alias("saw_done"),
         (F.max("saw_error") == 1).alias("saw_error"),
+        F.max("err").alias("err"),
         F.max("last_usage").alias("last_usage"),
         F.max("any_usage").isNotNull().alias("usage_seen"),
         F.max("m_in").alias("m_in"), F.max("m_out").alias("m_out"),
@@ -206,6 +209,7 @@ def stitch(part: DataFrame) -> DataFrame:
     lu = F.col("last_usage.v")
     return whole.select(
         "request_id", "protocol", "text", "usage_seen", "first_token_ts", "last_ts", "saw_done", "saw_error",
+        F.col("err.v").alias("error_message"),
         F.when(msgs, F.col("m_in.v")).otherwise(lu.getField("u_prompt")).alias("u_prompt"),
         F.when(msgs, F.coalesce(F.col("m_out.v"), F.lit(0).cast("bigint"))).otherwise(lu.getField("u_completion")).alias("u_completion"),
         F.when(msgs, F.lit(None).cast("bigint")).otherwise(lu.getField("u_total")).alias("u_total"),
@@ -237,7 +241,7 @@ def finalize_streams(folded: DataFrame, stream_requests: DataFrame, estimate: st
     prompt = F.when(seen, F.coalesce(F.col("u_prompt"), est)).otherwise(est)
     completion = F.when(seen, F.col("u_completion")).otherwise(counted)
     staged = j.select(
-        "request_id", "protocol", "text", "started_at", "first_token_ts", "last_ts",
+        "request_id", "protocol", "text", "started_at", "first_token_ts", "last_ts", "error_message",
         prompt.alias("prompt_tokens"), completion.alias("completion_tokens"),
         F.when(seen, F.coalesce(F.col("u_total"), prompt + F.col("u_completion"))).otherwise(est + counted)
          .alias("total_tokens"),

@@ -48,7 +48,8 @@ FROM log GROUP BY 1""",
 SELECT request_id, text, prompt_tokens, completion_tokens, total_tokens, cache_read_input_tokens, ttft_ms,
   duration_ms,
   CASE WHEN ttft_ms IS NOT NULL AND duration_ms > ttft_ms AND completion_tokens > 0
-       THEN completion_tokens / ((duration_ms - ttft_ms) / 1000.0) END AS tokens_per_second
+       THEN completion_tokens / ((duration_ms - ttft_ms) / 1000.0) END AS tokens_per_second,
+  error_message
 FROM sd""",
     "stream_route": f"""WITH {REQ_CTE}, {DEMO_DIMS}, {ROUTE_CTE}, {LIMIT_CTE}
 SELECT request_id, protocol, resolved_model, backend_id,

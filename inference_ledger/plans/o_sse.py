@@ -3,7 +3,9 @@
 The fixture writes one text delta per word, so the folded text is the turn's
 text; usage (when present) is n = length(text) prompt tokens and one
 completion token per word; the first-token line is seq 10 (or the first
-non-empty word for the responses dialect, which skips empty deltas).
+non-empty word for the responses dialect, which skips empty deltas). Failed
+streams count no text (T19) but keep usage seen before the failure (the
+messages dialect's message_start: n prompt, 1 completion).
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ sa AS (
   SELECT c.conv_id, c.turn, c.text, p.text AS prev_text,
     CAST(c.conv_id * 100 + c.turn AS BIGINT) AS request_id,
     CASE c.conv_id % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'responses' ELSE 'messages' END AS protocol,
-    (c.conv_id % 4 <> 0) AS has_usage,
+    (c.conv_id % 4 <> 0 AND c.conv_id % 7 <> 3) AS has_usage,
+    (c.conv_id % 7 = 3) AS fails,
+    (c.conv_id % 3 = 2 AND c.conv_id % 4 <> 0 AND c.conv_id % 7 = 3) AS start_usage_only,
     CAST(length(c.text) AS BIGINT) AS n,
     string_split(c.text, ' ') AS w
   FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn + 1 = c.turn
@@ -34,17 +38,18 @@ sb AS (
 sc AS (
   SELECT *,
     len(regexp_extract_all(ptext, '{PIECE}')) AS est,
-    CASE WHEN text = '' THEN 0 ELSE len(regexp_extract_all(text, '{PIECE}')) END AS counted,
-    CAST(20 + nw + 1 AS DOUBLE) AS duration_ms,
+    CASE WHEN fails OR text = '' THEN 0 ELSE len(regexp_extract_all(text, '{PIECE}')) END AS counted,
+    CAST(20 + nw + CASE WHEN fails THEN 2 ELSE 1 END AS DOUBLE) AS duration_ms,
     CASE WHEN first_idx IS NULL THEN NULL ELSE CAST(10 + first_idx - 1 AS DOUBLE) END AS ttft_ms
   FROM sb
 ),
 sd AS (
-  SELECT request_id, protocol, text,
-    CAST(CASE WHEN has_usage THEN n ELSE est END AS BIGINT) AS prompt_tokens,
-    CAST(CASE WHEN has_usage THEN nw ELSE counted END AS BIGINT) AS completion_tokens,
-    CAST(CASE WHEN has_usage THEN n + nw ELSE est + counted END AS BIGINT) AS total_tokens,
-    CAST(CASE WHEN has_usage AND protocol = 'messages' THEN n // 4 END AS BIGINT) AS cache_read_input_tokens,
+  SELECT request_id, protocol, text, fails,
+    CASE WHEN fails THEN 'Backend HTTP 500: overloaded' END AS error_message,
+    CAST(CASE WHEN has_usage OR start_usage_only THEN n ELSE est END AS BIGINT) AS prompt_tokens,
+    CAST(CASE WHEN has_usage THEN nw WHEN start_usage_only THEN 1 ELSE counted END AS BIGINT) AS completion_tokens,
+    CAST(CASE WHEN has_usage THEN n + nw WHEN start_usage_only THEN n + 1 ELSE est + counted END AS BIGINT) AS total_tokens,
+    CAST(CASE WHEN (has_usage OR start_usage_only) AND protocol = 'messages' THEN n // 4 END AS BIGINT) AS cache_read_input_tokens,
     ttft_ms, duration_ms
   FROM sc
 )"""
@@ -55,7 +60,8 @@ def _sse(protocol: str) -> str:
 SELECT request_id, text, prompt_tokens, completion_tokens, total_tokens, cache_read_input_tokens, ttft_ms,
   duration_ms,
   CASE WHEN ttft_ms IS NOT NULL AND duration_ms > ttft_ms AND completion_tokens > 0
-       THEN completion_tokens / ((duration_ms - ttft_ms) / 1000.0) END AS tokens_per_second
+       THEN completion_tokens / ((duration_ms - ttft_ms) / 1000.0) END AS tokens_per_second,
+  error_message
 FROM sd WHERE protocol = '{protocol}'"""
 
 
@@ -64,5 +70,6 @@ ORACLE.update({
     "sse_responses": _sse("responses"),
     "sse_messages": _sse("messages"),
     "sse_errors": f"""WITH {STREAM_CTE}
-SELECT protocol, true AS saw_done, false AS saw_error, count(*) AS requests FROM sd GROUP BY protocol""",
+SELECT protocol, NOT (fails AND protocol = 'messages') AS saw_done, fails AS saw_error, count(*) AS requests
+FROM sd GROUP BY ALL""",
 })

@@ -10,7 +10,7 @@ from ..sources import derive
 from .registry import register
 
 SSE_OUT = ["request_id", "text", "prompt_tokens", "completion_tokens", "total_tokens",
-           "cache_read_input_tokens", "ttft_ms", "duration_ms", "tokens_per_second"]
+           "cache_read_input_tokens", "ttft_ms", "duration_ms", "tokens_per_second", "error_message"]
 
 
 def stream_results(spark, sf_dir):

@@ -310,6 +310,9 @@ STREAM_EPOCH = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
 SEQ_FIRST_DELTA = 10
 SEQ_USAGE = 1_000_000
 SEQ_DONE = 1_000_001
+STREAM_ERROR_TEXT = "Backend HTTP 500: overloaded"
+STREAM_ERROR_OPENAI = '{"error":{"message":"Backend HTTP 500: overloaded","type":"api_error","code":500}}'
+STREAM_ERROR_MESSAGES = '{"error":{"message":"Backend HTTP 500: overloaded","type":"api_error"}}'
 
 
 def _json_str(c: Column) -> Column:
@@ -346,12 +349,15 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured SSE lines (schema ``SSE_LINES``) for every assistant turn: a
     non-data line, a malformed data line, dialect-specific text deltas (one
     per word), an optional usage chunk and ``[DONE]``. Usage is present iff
-    conv_id mod 4 <> 0. arrival_ts = request start + offset(seq) ms."""
+    conv_id mod 4 <> 0; streams with conv_id mod 7 = 3 fail: no usage chunk,
+    and the proxy's error event (P25) replaces the clean end.
+    arrival_ts = request start + offset(seq) ms."""
     conv = spread(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     a = conv.filter(F.col("role") == "assistant").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
         _case(F.pmod(F.col("conv_id"), F.lit(3)).cast("int"), dict(enumerate(STREAM_PROTOCOL_BY_CONV_MOD3))).alias("protocol"),
         (F.col("conv_id") % 4 != 0).alias("has_usage"),
+        (F.col("conv_id") % 7 == 3).alias("fails"),
         F.length("text").cast("bigint").alias("n"),
         F.split(F.col("text"), " ").alias("w"))
     nw = F.size("w").cast("bigint")
@@ -367,7 +373,7 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.concat(F.lit('data: {"type":"message_start","message":{"usage":{"input_tokens":'), n,
                          F.lit(',"output_tokens":1,"cache_read_input_tokens":'),
                          F.floor(F.col("n") / 4).cast("bigint").cast("string"), F.lit("}}}"))).alias("line")),
-            F.struct(F.lit(SEQ_USAGE).cast("bigint").alias("seq"), F.when(F.col("has_usage"), F.when(
+            F.struct(F.lit(SEQ_USAGE).cast("bigint").alias("seq"), F.when(F.col("has_usage") & ~F.col("fails"), F.when(
                 p == "chat", F.concat(F.lit('data: {"choices":[],"usage":{"prompt_tokens":'), n,
                                       F.lit(',"completion_tokens":'), nw.cast("string"),
                                       F.lit(',"total_tokens":'), (F.col("n") + nw).cast("string"), F.lit("}}")))
@@ -376,7 +382,13 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(',"output_tokens":'), nw.cast("string"), F.lit("}}}")))
                 .otherwise(F.concat(F.lit('data: {"type":"message_delta","usage":{"output_tokens":'),
                                     nw.cast("string"), F.lit("}}")))).alias("line")),
-            F.struct(F.lit(SEQ_DONE).cast("bigint").alias("seq"), F.lit("data: [DONE]").alias("line")),
+            # a failed stream ends with the proxy's error event instead of a clean end
+            F.struct(F.lit(SEQ_DONE).cast("bigint").alias("seq"), F.when(~F.col("fails"), F.lit("data: [DONE]"))
+                     .when(p == "messages", F.lit("event: error"))
+                     .otherwise(F.lit("data: " + STREAM_ERROR_OPENAI)).alias("line")),
+            F.struct(F.lit(SEQ_DONE + 1).cast("bigint").alias("seq"), F.when(F.col("fails"), F.when(
+                p == "messages", F.lit("data: " + STREAM_ERROR_MESSAGES)).otherwise(F.lit("data: [DONE]")))
+                .alias("line")),
         )).alias("x")).select("request_id", "protocol", "nw", "x.seq", "x.line").filter(F.col("line").isNotNull())
     words = a.select("request_id", "protocol", nw.alias("nw"), F.posexplode("w").alias("i", "word"))
     d = _json_str(F.when(F.col("i") == 0, F.col("word")).otherwise(F.concat(F.lit(" "), F.col("word"))))
