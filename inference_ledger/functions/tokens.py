@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,6 @@ def exact_token_count(text: Column, vocab_path: str, pattern: str | None = None)
     """Exact BPE count with ``allowed_special='all'`` semantics, as an Arrow-
     batched pandas UDF. ``vocab_path`` is a ``.tiktoken`` rank file readable by
     every executor (shared storage)."""
-    import pandas as pd
 
     @F.pandas_udf(T.LongType())
     def _count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
