@@ -198,3 +198,5 @@ lg AS (
 )
 SELECT * FROM lg WHERE model_id NOT IN ('orphan-model', 'unmapped-model')""",
 })
+
+ORACLE["log_build_bucketed"] = ORACLE["log_build"]

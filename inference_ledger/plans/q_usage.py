@@ -49,3 +49,21 @@ def log_build(spark, sf_dir):
     log = finalize.build_log(limited, derive.responses(spark, sf_dir),
                              config.untracked_df(spark, CFG))
     return derive.log_columns(log)
+
+
+@register("log_build_bucketed")
+def log_build_bucketed(spark, sf_dir):
+    """J8 with co-located capture tables: requests and responses are written
+    bucketed by request_id (as a capture job would land them), so the
+    request-response join reads matching buckets and shuffles neither side."""
+    from ..session import scratch_path
+    from ..sources import logstore
+    from .q_routing import prepare_requests
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rq = logstore.write_bucketed(derive.requests(spark, sf_dir), scratch_path(spark, "cap-req"), "request_id", n)
+    rs = logstore.write_bucketed(derive.responses(spark, sf_dir), scratch_path(spark, "cap-resp"), "request_id", n)
+    limits = routing.backend_limits(config.backends_df(spark, CFG))
+    routed = routing.route(prepare_requests(spark.table(rq)), config.mappings_df(spark, CFG), limits,
+                           CFG.get("default_model_id"), CFG.get("default_embedding_model_id"))
+    log = finalize.build_log(routing.check_limit(routed), spark.table(rs), config.untracked_df(spark, CFG))
+    return derive.log_columns(log)

@@ -124,3 +124,14 @@ def export_logs_json(page: DataFrame, path: str) -> None:
 __all__ = ["LOG", "create_tables", "append_log", "read_log", "clear_tables", "ingest_system_log_json",
            "append_system_log", "read_system_log", "export_stats_json", "export_logs_json", "flatten_usage",
            "stats_document"]
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, name: str | None = None) -> str:
+    """Write a capture table bucketed (and sorted) by ``key`` at ``path`` and
+    register it in the session catalog. Two tables bucketed the same way on
+    the join key join without an exchange (co-located sort-merge join)."""
+    import uuid
+    name = name or f"ledger_{uuid.uuid4().hex[:12]}"
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+       .option("path", path).saveAsTable(name))
+    return name
