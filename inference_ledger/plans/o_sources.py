@@ -58,3 +58,6 @@ SELECT request_id, protocol, resolved_model, backend_id,
 FROM limited2""",
 })
 _ = R
+
+ORACLE["stream_system_recent"] = ORACLE["system_logs_topk"]
+ORACLE["stream_system_ingest"] = ORACLE["system_log_ingest"]

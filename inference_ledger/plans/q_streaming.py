@@ -65,3 +65,25 @@ def stream_route(spark, sf_dir):
     return jobs.live_route(spark, src, scratch_path(spark, "sink-route"), reqs.schema,
                            config.mappings_df(spark, CFG), limits, CFG.get("default_model_id"),
                            CFG.get("default_embedding_model_id"), prepare_requests)
+
+
+@register("stream_system_recent")
+def stream_system_recent(spark, sf_dir):
+    """T-S4 for the system log: live newest-first top-k of arriving records."""
+    from ..schemas import SYSTEM_LOG
+    src = scratch_path(spark, "src-syslog")
+    derive.system_log(spark, sf_dir).write.json(src)
+    cols = [f.name for f in SYSTEM_LOG.fields]
+    return jobs.live_recent(spark, src, scratch_path(spark, "sink-sysrecent"), P.SYSTEM_LOG_LIMIT,
+                            schema=SYSTEM_LOG, columns=cols, source_format="json")
+
+
+@register("stream_system_ingest")
+def stream_system_ingest(spark, sf_dir):
+    """S3 streaming ingest of JSON-lines application logs into the system log."""
+    from ..schemas import SYSTEM_LOG
+    src = scratch_path(spark, "src-syslog")
+    derive.system_log(spark, sf_dir).write.json(src)
+    s = jobs.ingest_system_log_stream(spark, src, scratch_path(spark, "sink-syslog"), SYSTEM_LOG)
+    return s.groupBy("level", "name").agg(F.count(F.lit(1)).alias("records"),
+                                          F.count("traceback").alias("with_traceback"))

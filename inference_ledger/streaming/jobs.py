@@ -85,20 +85,25 @@ def live_totals(spark: SparkSession, source: str, sink: str, max_files: int | No
 
 # ------------------------------------------------------------------ T-S4
 
-def live_recent(spark: SparkSession, source: str, sink: str, k: int = 50, max_files: int | None = None) -> DataFrame:
+def live_recent(spark: SparkSession, source: str, sink: str, k: int = 50, max_files: int | None = None,
+                schema=LOG_WITH_DT, columns: list[str] | None = None, source_format: str = "parquet") -> DataFrame:
     """T-S4: a bounded top-k (newest first) table maintained per batch: the
     previous version (k rows) union the batch, reduced to k rows, written as a
-    new version folder. Never more than k + batch rows are handled."""
-    s = file_stream(spark, source, LOG_WITH_DT, max_files)
+    new version folder. Never more than k + batch rows are handled. Works for
+    the request log and the system log (``schema``/``columns``)."""
+    cols = columns or LOG_COLUMNS
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", str(max_files))
+    s = r.format(source_format).load(source)
     order = [F.desc("timestamp"), F.desc("id")]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark_ = batch.sparkSession
-        cur = batch.select(*LOG_COLUMNS)
-        prev_versions = _versions(spark_, sink)
-        prev = [v for v in prev_versions if v < batch_id]
+        cur = batch.select(*cols)
+        prev = [v for v in _versions(spark_, sink) if v < batch_id]
         if prev:
-            cur = cur.unionByName(spark_.read.parquet(f"{sink}/v={max(prev)}").select(*LOG_COLUMNS))
+            cur = cur.unionByName(spark_.read.parquet(f"{sink}/v={max(prev)}").select(*cols))
         cur.orderBy(*order).limit(k).write.mode("overwrite").parquet(f"{sink}/v={batch_id}")
 
     run_available_now(s.writeStream.foreachBatch(merge), scratch_path(spark, "ckpt-recent"))
@@ -106,6 +111,22 @@ def live_recent(spark: SparkSession, source: str, sink: str, k: int = 50, max_fi
     return spark.read.parquet(f"{sink}/v={last}")
 
 
+def ingest_system_log_stream(spark: SparkSession, source: str, sink: str, schema,
+                             max_files: int | None = None) -> DataFrame:
+    """S3 as a stream: application log records arriving as JSON lines are
+    appended to the system-log table (file sink, exactly once); records
+    lacking a required field are dropped."""
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", str(max_files))
+    s = r.json(source)
+    ok = s.filter(F.col("id").isNotNull() & F.col("timestamp").isNotNull() & F.col("level").isNotNull()
+                  & F.col("name").isNotNull() & F.col("message").isNotNull())
+    run_available_now(ok.writeStream.format("parquet").outputMode("append").option("path", sink),
+                      scratch_path(spark, "ckpt-syslog"))
+    return spark.read.schema(schema).parquet(sink)
+
+
 def _versions(spark: SparkSession, root: str) -> list[int]:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(root)
