@@ -245,20 +245,26 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------- catalog dims from TPC-H tables
 
+def _supplier_url(key: Column) -> Column:
+    suffix = _case(F.pmod(key, F.lit(3)).cast("int"), {0: "", 1: "/"}, "/v1/")
+    return F.concat(F.lit("http://s"), key.cast("string"), F.lit(":8080"), suffix)
+
+
 def catalog_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Backends derived from ``supplier``: one per supplier, except suppliers
-    whose key ends in 7 (their ids stay referenced but unconfigured -> orphan
-    entries), plus a mirror entry re-using the id of every 50th supplier (a
-    duplicate id: the later entry wins in the catalog). Schema ``BACKENDS``."""
-    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
+    """Backends derived from ``supplier``: every supplier in good standing
+    (non-negative account balance) is a configured backend; suppliers in debt
+    stay referenced by mappings but unconfigured (orphan entries). Suppliers of
+    nation 0 also have a mirror entry re-using their id (a duplicate id: the
+    later entry wins in the catalog). Schema ``BACKENDS``."""
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
     key = F.col("s_suppkey")
-    suffix = _case(F.pmod(key, F.lit(3)).cast("int"), {0: "", 1: "/"}, "/v1/")
-    main = s.filter(key % 10 != 7).select(
+    main = s.filter(F.col("s_acctbal") >= 0).select(
         key.cast("int").alias("pos"),
         F.concat(F.lit("b"), key.cast("string")).alias("id"),
-        F.concat(F.lit("http://s"), key.cast("string"), F.lit(":8080"), suffix).alias("url"),
-        F.when(key % 4 == 0, F.lit(None)).otherwise((F.col("s_nationkey") + 1) * 1024).cast("int").alias("context_size"))
-    mirror = s.filter(key % 50 == 0).select(
+        _supplier_url(key).alias("url"),
+        F.when(F.col("s_nationkey") % 4 == 0, F.lit(None))
+         .otherwise((F.col("s_nationkey") + 1) * 1024).cast("int").alias("context_size"))
+    mirror = s.filter((F.col("s_acctbal") >= 0) & (F.col("s_nationkey") == 0)).select(
         (key + 10_000_000).cast("int").alias("pos"),
         F.concat(F.lit("b"), key.cast("string")).alias("id"),
         F.concat(F.lit("http://mirror"), key.cast("string"), F.lit(":8080")).alias("url"),
@@ -267,17 +273,15 @@ def catalog_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured ``/props`` documents for every 4th supplier; every 8th carries
-    ``default_generation_settings.n_ctx``. Schema ``BACKEND_PROPS``."""
+    """Captured ``/props`` documents, one per supplier; those of even nations
+    carry ``default_generation_settings.n_ctx``. Schema ``BACKEND_PROPS``."""
     s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     key = F.col("s_suppkey")
-    suffix = _case(F.pmod(key, F.lit(3)).cast("int"), {0: "", 1: "/"}, "/v1/")
-    url = F.concat(F.lit("http://s"), key.cast("string"), F.lit(":8080"), suffix)
-    base = F.regexp_replace(F.regexp_replace(url, "/+$", ""), "/v1$", "")
-    doc = F.when(key % 8 == 0, F.concat(F.lit('{"default_generation_settings":{"n_ctx":'),
-                                        ((F.col("s_nationkey") + 1) * 2048).cast("string"), F.lit("}}"))) \
+    base = F.regexp_replace(F.regexp_replace(_supplier_url(key), "/+$", ""), "/v1$", "")
+    doc = F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit('{"default_generation_settings":{"n_ctx":'),
+                                                     ((F.col("s_nationkey") + 1) * 2048).cast("string"), F.lit("}}"))) \
         .otherwise(F.lit('{"default_generation_settings":{}}'))
-    return s.filter(key % 4 == 0).select(F.concat(base, F.lit("/props")).alias("props_url"), doc.alias("json"))
+    return s.select(F.concat(base, F.lit("/props")).alias("props_url"), doc.alias("json"))
 
 
 def catalog_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
