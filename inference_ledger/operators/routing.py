@@ -23,7 +23,7 @@ PATH_BY_PROTOCOL = {"chat": "/v1/chat/completions", "responses": "/v1/responses"
 LIMIT_ERROR_TYPE = "exceed_context_size_error"
 LIMIT_ERROR_TYPE_MESSAGES = "invalid_request_error"
 LIST_DEFAULT_CONTEXT = 4096
-OWNER = "multiproxy"
+OWNER = "proxy"   # owner label of catalog entries (configurable per deployment)
 
 
 def strip_slashes(url: Column) -> Column:
