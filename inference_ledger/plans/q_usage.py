@@ -59,7 +59,7 @@ def log_build_bucketed(spark, sf_dir):
     from ..session import scratch_path
     from ..sources import logstore
     from .q_routing import prepare_requests
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = spark.sparkContext.defaultParallelism          # one bucket per core of the cluster
     rq = logstore.write_bucketed(derive.requests(spark, sf_dir), scratch_path(spark, "cap-req"), "request_id", n)
     rs = logstore.write_bucketed(derive.responses(spark, sf_dir), scratch_path(spark, "cap-resp"), "request_id", n)
     limits = routing.backend_limits(config.backends_df(spark, CFG))

@@ -26,7 +26,21 @@ from ..session import scratch_path
 
 
 def run_available_now(writer, checkpoint: str) -> None:
-    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start with ``trigger(availableNow=True)`` and wait. The number of state
+    partitions is fixed when a query first starts (then kept in its
+    checkpoint); it is sized to the cluster's parallelism rather than the
+    session's batch shuffle setting. The stream clones the session conf at
+    start, so the setting is restored right after."""
+    spark = SparkSession.getActiveSession()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key) if spark else None
+    if spark:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if spark and old is not None:
+            spark.conf.set(key, old)
     q.awaitTermination()
     if q.exception() is not None:  # pragma: no cover
         raise RuntimeError(str(q.exception()))
