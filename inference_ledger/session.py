@@ -90,13 +90,16 @@ def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Da
     return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None, key: str | None = None) -> DataFrame:
     """Spread CPU-heavy per-row work (JSON parsing, regex) over the cluster
     when the input has fewer splits than cores (e.g. one large row group).
     Large inputs already have many more splits than cores and are returned
     untouched, so no shuffle is added at scale. Filters and column pruning
-    still reach the scan below the repartition."""
+    still reach the scan below the repartition. With ``key`` the rows are
+    hash-partitioned on it, so a later join or aggregation on that key (with
+    the same partition count) reuses the partitioning instead of shuffling
+    again."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target)
+    return df.repartition(target, key) if key else df.repartition(target)
