@@ -81,18 +81,12 @@ def load_config(source: str | Path | dict) -> dict[str, Any]:
 
 
 def _local(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
-    """A small dimension as literal rows (``inline`` of an array of structs),
-    which the optimizer folds into a local relation of exactly known size, so
-    size-checked broadcasts can trust it, whatever the session's Arrow
-    setting. A plain ``createDataFrame(list)`` would be an RDD scan of
-    unknown size."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
-               for r in rows]
-    arr = F.array(*structs) if structs else F.array().cast(T.ArrayType(schema))
-    out = spark.range(1).select(F.inline(arr))
-    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """A small dimension as literal rows (``inline`` of an array of structs):
+    its row count is a literal in the plan, so size-checked broadcasts can
+    trust it whatever the session's Arrow setting (a plain
+    ``createDataFrame(list)`` is an RDD scan of unknown size)."""
+    from ..functions.sqltext import rows_relation
+    return rows_relation(spark, rows, schema)
 
 
 def backends_df(spark: SparkSession, cfg: dict) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sqltext
 from ..functions.timefmt import _EPOCH_NTZ, epoch_date, epoch_seconds
 from ..schemas import LOG_COLUMNS
 from ..session import spread
@@ -45,16 +46,8 @@ def model_for_user(user_id: Column) -> Column:
     return _case(F.pmod(user_id, F.lit(6)), dict(enumerate(MODEL_BY_USER_MOD6)))
 
 
-def _sql_case(key: str, mapping: dict, default=None) -> str:
-    arms = " ".join(f"WHEN {key} = {_sql_lit(k)} THEN {_sql_lit(v)}" for k, v in mapping.items())
-    tail = f" ELSE {_sql_lit(default)}" if default is not None else ""
-    return f"CASE {arms}{tail} END"
-
-
-def _sql_lit(v) -> str:
-    if isinstance(v, str):
-        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return repr(v)
+_sql_case = sqltext.case
+_sql_lit = sqltext.literal
 
 
 def request_log_from_events(events: DataFrame) -> DataFrame:
@@ -143,45 +136,49 @@ def _prompt_words(event_type: Column, k: Column) -> Column:
     return F.trim(F.repeat(F.concat(event_type, F.lit(" ")), k.cast("int")))
 
 
+PROTOCOL_SQL = ("CASE WHEN event_type IN ('click', 'error') THEN 'chat' WHEN event_type = 'view' THEN 'responses' "
+                "WHEN event_type = 'signup' THEN 'messages' "
+                "WHEN event_type = 'purchase' AND event_id % 2 = 1 THEN 'embed_native' "
+                "WHEN event_type = 'purchase' THEN 'embeddings' END")
+
+
 def requests_from_events(events: DataFrame) -> DataFrame:
     """Captured request bodies, one per event (schema ``REQUESTS`` + model
     columns). Bodies are built as literal text so that the oracle can rebuild
-    them byte for byte. A few bodies are malformed on purpose (F8/F9)."""
-    eid = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    proto = protocol_for_event(F.col("event_type"), eid)
-    model = model_for_user(F.col("user_id"))
-    text = _prompt_words(F.col("event_type"), k)
-    stream = F.when(eid % 2 == 1, F.lit("true")).otherwise(F.lit("false"))
-    msgs = F.concat(F.lit('[{"role":"user","content":"'), text, F.lit('"}]'))
-    head = F.concat(F.lit('{"model":"'), model, F.lit('",'))
-    chat = F.concat(head, F.lit('"messages":'), msgs, F.lit(',"stream":'), stream,
-                    F.when(eid % 5 == 0, F.lit(',"tools":[{"type":"function","function":{"name":"lookup"}}]'))
-                     .otherwise(F.lit("")),
-                    F.when(eid % 7 == 0, F.lit(',"temperature":0.5,"top_p":null')).otherwise(F.lit("")),
-                    F.when(eid % 9 == 0, F.lit(',"stream_options":{"chunk_size":1}')).otherwise(F.lit("")),
-                    F.lit("}"))
-    responses = F.concat(head, F.lit('"instructions":"Be brief.","input":'),
-                         F.when(eid % 3 == 0, msgs).otherwise(F.concat(F.lit('"'), text, F.lit('"'))),
-                         F.lit(',"stream":'), stream, F.lit("}"))
-    messages = F.concat(head, F.lit('"max_tokens":256,"system":"You are terse.","messages":'), msgs,
-                        F.lit(',"stream":'), stream, F.lit("}"))
-    emb_input = F.when(eid % 4 == 0, F.concat(F.lit('["'), text, F.lit('","'), text, F.lit('"]'))) \
-        .otherwise(F.concat(F.lit('"'), text, F.lit('"')))
-    embeddings = F.concat(head, F.lit('"input":'), emb_input, F.lit("}"))
-    native = F.concat(head, F.lit('"input":"'), text, F.lit('"}'))
-    good = (F.when(proto == "chat", chat).when(proto == "responses", responses)
-            .when(proto == "messages", messages).when(proto == "embeddings", embeddings)
-            .otherwise(native))
-    body = (F.when(eid % 97 == 13, F.lit("not-json{"))
-            .when(eid % 89 == 7, F.concat(F.lit('{"messages":'), msgs, F.lit(',"input":"'), text, F.lit('"}')))
-            .when(eid % 83 == 5, F.concat(F.lit('{"model":"","messages":'), msgs, F.lit(',"input":"x"}')))
-            .otherwise(good))
-    return events.select(
-        eid.alias("request_id"), proto.alias("protocol"), F.col("ts").alias("started_at"),
-        body.alias("body"), model.alias("requested_model"),
-        (eid % 2 == 1).alias("stream"),
-    )
+    them byte for byte. A few bodies are malformed on purpose (F8/F9).
+    Written as SQL select lists (few driver round trips)."""
+    model = sqltext.case("pmod(user_id, 6)", dict(enumerate(MODEL_BY_USER_MOD6)))
+    s1 = events.selectExpr(
+        "event_id", "ts", "event_type",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) AS _k",
+        f"{PROTOCOL_SQL} AS protocol", f"{model} AS requested_model")
+    s2 = s1.selectExpr(
+        "event_id", "ts", "protocol", "requested_model",
+        "trim(repeat(concat(event_type, ' '), CAST(_k AS INT))) AS _txt",
+        "CASE WHEN event_id % 2 = 1 THEN 'true' ELSE 'false' END AS _stream")
+    s3 = s2.selectExpr(
+        "*",
+        """concat('[{"role":"user","content":"', _txt, '"}]') AS _msgs""",
+        """concat('{"model":"', requested_model, '",') AS _head""")
+    body = """CASE
+      WHEN event_id % 97 = 13 THEN 'not-json{'
+      WHEN event_id % 89 = 7 THEN concat('{"messages":', _msgs, ',"input":"', _txt, '"}')
+      WHEN event_id % 83 = 5 THEN concat('{"model":"","messages":', _msgs, ',"input":"x"}')
+      WHEN protocol = 'chat' THEN concat(_head, '"messages":', _msgs, ',"stream":', _stream,
+        CASE WHEN event_id % 5 = 0 THEN ',"tools":[{"type":"function","function":{"name":"lookup"}}]' ELSE '' END,
+        CASE WHEN event_id % 7 = 0 THEN ',"temperature":0.5,"top_p":null' ELSE '' END,
+        CASE WHEN event_id % 9 = 0 THEN ',"stream_options":{"chunk_size":1}' ELSE '' END, '}')
+      WHEN protocol = 'responses' THEN concat(_head, '"instructions":"Be brief.","input":',
+        CASE WHEN event_id % 3 = 0 THEN _msgs ELSE concat('"', _txt, '"') END, ',"stream":', _stream, '}')
+      WHEN protocol = 'messages' THEN concat(_head, '"max_tokens":256,"system":"You are terse.","messages":',
+        _msgs, ',"stream":', _stream, '}')
+      WHEN protocol = 'embeddings' THEN concat(_head, '"input":',
+        CASE WHEN event_id % 4 = 0 THEN concat('["', _txt, '","', _txt, '"]') ELSE concat('"', _txt, '"') END, '}')
+      ELSE concat(_head, '"input":"', _txt, '"}')
+    END"""
+    return s3.selectExpr(
+        "event_id AS request_id", "protocol", "ts AS started_at", f"{body} AS body",
+        "requested_model", "event_id % 2 = 1 AS stream")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,62 +187,58 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses_from_events(events: DataFrame) -> DataFrame:
-    """Captured non-stream outcomes, one per event (schema ``RESPONSES``)."""
-    eid = F.col("event_id")
-    et = F.col("event_type")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    proto = protocol_for_event(et, eid)
-    has_usage = (eid % 41) != 0
-    pt = (k * 10 + eid % 7).cast("string")
-    ct = F.when(et.isin("error", "purchase"), F.lit(0)).otherwise(eid % 97).cast("bigint")
-    ct_s = ct.cast("string")
-    ptct = (k * 10 + eid % 7 + ct).cast("string")
-    pt_half = F.floor((k * 10 + eid % 7) / 2).cast("bigint").cast("string")
-    pt_q = F.floor((k * 10 + eid % 7) / 4).cast("bigint").cast("string")
-    pt_e = F.floor((k * 10 + eid % 7) / 8).cast("bigint").cast("string")
-    timings = F.when(eid % 2 == 0, F.concat(
-        F.lit(',"timings":{"prompt_ms":'), (eid % 1000).cast("string"), F.lit(".5,"),
-        F.lit('"predicted_per_second":'), (eid % 50 + 10).cast("string"), F.lit(".25}"))).otherwise(F.lit(""))
-    chat_usage = F.concat(
-        F.lit('"usage":{"prompt_tokens":'), pt, F.lit(',"completion_tokens":'), ct_s,
-        F.lit(',"total_tokens":'), ptct,
-        F.when(eid % 3 == 0, F.concat(F.lit(',"prompt_tokens_details":{"cached_tokens":'), pt_half, F.lit("}")))
-         .otherwise(F.lit("")),
-        F.lit("}"))
-    chat = F.when(eid % 53 == 0, F.lit('{"choices":[],"usage":{"prompt_tokens":null,"input_tokens":5,"completion_tokens":1}}')) \
-        .when(has_usage, F.concat(F.lit('{"id":"r","choices":[{"index":0,"message":{"role":"assistant","content":"ok"}}],'),
-                                  chat_usage, timings, F.lit("}"))) \
-        .when(eid % 2 == 0, F.lit('{"choices":[],"usage":{}}')).otherwise(F.lit('{"choices":[]}'))
-    responses = F.when(has_usage, F.concat(
-        F.lit('{"output":[{"type":"text","text":"ok"}],"usage":{"input_tokens":'), pt,
-        F.lit(',"output_tokens":'), ct_s,
-        F.when(eid % 3 == 0, F.concat(F.lit(',"total_tokens":'), ptct, F.lit("1"))).otherwise(F.lit("")),
-        F.lit(',"input_tokens_details":{"cached_tokens":'), pt_half, F.lit("}}"), timings, F.lit("}"))) \
-        .otherwise(F.lit('{"output":[]}'))
-    messages = F.when(has_usage, F.concat(
-        F.lit('{"content":[{"type":"text","text":"ok"}],"usage":{"input_tokens":'), pt,
-        F.lit(',"output_tokens":'), ct_s, F.lit(',"cache_read_input_tokens":'), pt_q,
-        F.lit(',"cache_creation_input_tokens":'), pt_e, F.lit("}}"))) \
-        .otherwise(F.lit('{"content":[],"usage":null}'))
-    embeddings = F.when(has_usage, F.concat(F.lit('{"data":[],"usage":{"prompt_tokens":'), pt,
-                                            F.lit(',"total_tokens":'), pt, F.lit("}}"))) \
-        .otherwise(F.lit('{"data":[]}'))
-    native = F.when(has_usage, F.concat(F.lit('{"embeddings":[[0.1]],"prompt_eval_count":'), pt, F.lit("}"))) \
-        .otherwise(F.lit('{"embeddings":[[0.1]]}'))
-    ok_body = (F.when(proto == "chat", chat).when(proto == "responses", responses)
-               .when(proto == "messages", messages).when(proto == "embeddings", embeddings)
-               .otherwise(native))
-    is_error = et == "error"
-    failure = F.when(is_error, _case((eid % 3).cast("int"), {0: "internal", 1: "connection"}, "http"))
-    status = F.when(is_error, _case((eid % 3).cast("int"), {0: 500, 1: 502}, 429)).otherwise(F.lit(200)).cast("int")
-    err_body = F.when(eid % 2 == 0, F.lit('{"error":{"message":"backend says no","type":"rate_limit"}}')) \
-        .otherwise(F.lit("Stream Error"))
-    body = (F.when(failure == "http", err_body).when(failure.isNotNull(), F.lit(None).cast("string"))
-            .when(eid % 101 == 17, F.lit("<html>bad gateway</html>")).otherwise(ok_body))
-    ended = F.timestamp_add("MICROSECOND", F.floor(F.col("value") * F.lit(10000.0)).cast("bigint"), F.col("ts"))
-    return events.select(
-        eid.alias("request_id"), ended.alias("ended_at"), status.alias("status_code"),
-        failure.alias("failure_kind"), body.alias("body"))
+    """Captured non-stream outcomes, one per event (schema ``RESPONSES``).
+    Written as SQL select lists (few driver round trips)."""
+    s1 = events.selectExpr(
+        "event_id", "ts", "event_type", "value",
+        f"{PROTOCOL_SQL} AS protocol",
+        "event_id % 41 <> 0 AS _has_usage",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) * 10 + event_id % 7 AS _pt",
+        "CASE WHEN event_type IN ('error', 'purchase') THEN CAST(0 AS BIGINT) ELSE event_id % 97 END AS _ct",
+        "CASE WHEN event_type = 'error' THEN CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'internal' "
+        "WHEN 1 THEN 'connection' ELSE 'http' END END AS failure_kind")
+    s2 = s1.selectExpr(
+        "*",
+        "CAST(_pt AS STRING) AS _pts", "CAST(_ct AS STRING) AS _cts", "CAST(_pt + _ct AS STRING) AS _ptct",
+        "CAST(floor(_pt / 2) AS BIGINT) AS _half", "CAST(floor(_pt / 4) AS BIGINT) AS _quarter",
+        "CAST(floor(_pt / 8) AS BIGINT) AS _eighth",
+        """CASE WHEN event_id % 2 = 0 THEN concat(',"timings":{"prompt_ms":', CAST(event_id % 1000 AS STRING),
+             '.5,"predicted_per_second":', CAST(event_id % 50 + 10 AS STRING), '.25}') ELSE '' END AS _timings""")
+    body = """CASE
+      WHEN failure_kind = 'http' THEN CASE WHEN event_id % 2 = 0
+        THEN '{"error":{"message":"backend says no","type":"rate_limit"}}' ELSE 'Stream Error' END
+      WHEN failure_kind IS NOT NULL THEN CAST(NULL AS STRING)
+      WHEN event_id % 101 = 17 THEN '<html>bad gateway</html>'
+      WHEN protocol = 'chat' THEN
+        CASE WHEN event_id % 53 = 0 THEN '{"choices":[],"usage":{"prompt_tokens":null,"input_tokens":5,"completion_tokens":1}}'
+             WHEN _has_usage THEN concat('{"id":"r","choices":[{"index":0,"message":{"role":"assistant","content":"ok"}}],',
+               '"usage":{"prompt_tokens":', _pts, ',"completion_tokens":', _cts, ',"total_tokens":', _ptct,
+               CASE WHEN event_id % 3 = 0 THEN concat(',"prompt_tokens_details":{"cached_tokens":', CAST(_half AS STRING), '}')
+                    ELSE '' END, '}', _timings, '}')
+             WHEN event_id % 2 = 0 THEN '{"choices":[],"usage":{}}' ELSE '{"choices":[]}' END
+      WHEN protocol = 'responses' THEN
+        CASE WHEN _has_usage THEN concat('{"output":[{"type":"text","text":"ok"}],"usage":{"input_tokens":', _pts,
+          ',"output_tokens":', _cts,
+          CASE WHEN event_id % 3 = 0 THEN concat(',"total_tokens":', _ptct, '1') ELSE '' END,
+          ',"input_tokens_details":{"cached_tokens":', CAST(_half AS STRING), '}}', _timings, '}')
+        ELSE '{"output":[]}' END
+      WHEN protocol = 'messages' THEN
+        CASE WHEN _has_usage THEN concat('{"content":[{"type":"text","text":"ok"}],"usage":{"input_tokens":', _pts,
+          ',"output_tokens":', _cts, ',"cache_read_input_tokens":', CAST(_quarter AS STRING),
+          ',"cache_creation_input_tokens":', CAST(_eighth AS STRING), '}}')
+        ELSE '{"content":[],"usage":null}' END
+      WHEN protocol = 'embeddings' THEN
+        CASE WHEN _has_usage THEN concat('{"data":[],"usage":{"prompt_tokens":', _pts, ',"total_tokens":', _pts, '}}')
+        ELSE '{"data":[]}' END
+      ELSE CASE WHEN _has_usage THEN concat('{"embeddings":[[0.1]],"prompt_eval_count":', _pts, '}')
+                ELSE '{"embeddings":[[0.1]]}' END
+    END"""
+    return s2.selectExpr(
+        "event_id AS request_id",
+        "timestampadd(MICROSECOND, CAST(floor(value * 10000.0D) AS BIGINT), ts) AS ended_at",
+        "CAST(CASE WHEN event_type = 'error' THEN CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 500 WHEN 1 THEN 502 "
+        "ELSE 429 END ELSE 200 END AS INT) AS status_code",
+        "failure_kind", f"{body} AS body")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
