@@ -105,7 +105,7 @@ def build_log(limited: DataFrame, responses: DataFrame, untracked: DataFrame | N
     (404/503) log the requested id, ``N/A`` and no usage; limit rejections log
     the backend root URL, status 400 and (estimate, 0, estimate); forwarded
     requests take the captured outcome (A17). ``include_failed=False`` keeps
-    only forwarded requests (T16). Untracked models are dropped last (T15)."""
+    only successful requests (T16). Untracked models are dropped last (T15)."""
     req = limited.filter(~F.col("limit_status").isin(400, 422) | F.col("limit_exceeded"))
     resp = responses.select("request_id", "ended_at", "status_code", "failure_kind", "body")
     j = req.join(resp, "request_id", "left")
@@ -139,7 +139,9 @@ def build_log(limited: DataFrame, responses: DataFrame, untracked: DataFrame | N
         F.when(forwarded, F.col("tokens_per_second")).alias("tokens_per_second"),
     )
     if not include_failed:
-        out = out.filter(F.col("backend_url") != "N/A")
+        # Failures are queued as background tasks right before an HTTP
+        # error is raised, so they are likely never stored
+        out = out.filter(F.col("status_code") == 200)
     if untracked is not None:
         ids = untracked.select("model_id").distinct()
         out = out.join(checked_broadcast(ids), "model_id", "left_anti")
