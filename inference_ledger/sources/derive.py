@@ -352,61 +352,57 @@ def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         body.alias("body"), model.alias("requested_model"))
 
 
+def _json_str_sql(x: str) -> str:
+    """SQL: JSON string literal of the string expression ``x``."""
+    return f"substr(to_json(array({x})), 2, length(to_json(array({x}))) - 2)"
+
+
 def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured SSE lines (schema ``SSE_LINES``) for every assistant turn: a
     non-data line, a malformed data line, dialect-specific text deltas (one
     per word), an optional usage chunk and ``[DONE]``. Usage is present iff
     conv_id mod 4 <> 0; streams with conv_id mod 7 = 3 fail: no usage chunk,
     and the proxy's error event (P25) replaces the clean end.
-    arrival_ts = request start + offset(seq) ms."""
+    arrival_ts = request start + offset(seq) ms. Written as SQL select lists."""
     conv = spread(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
-    a = conv.filter(F.col("role") == "assistant").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
-        _case(F.pmod(F.col("conv_id"), F.lit(3)).cast("int"), dict(enumerate(STREAM_PROTOCOL_BY_CONV_MOD3))).alias("protocol"),
-        (F.col("conv_id") % 4 != 0).alias("has_usage"),
-        (F.col("conv_id") % 7 == 3).alias("fails"),
-        F.length("text").cast("bigint").alias("n"),
-        F.split(F.col("text"), " ").alias("w"))
-    nw = F.size("w").cast("bigint")
-    n = F.col("n").cast("string")
-    p = F.col("protocol")
-    fixed = a.select(
-        "request_id", "protocol", nw.alias("nw"),
-        F.explode(F.array(
-            F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("event: start").alias("line")),
-            F.struct(F.lit(2).cast("bigint").alias("seq"), F.lit("data: this-is-not-json").alias("line")),
-            F.struct(F.lit(3).cast("bigint").alias("seq"), F.when(
-                (p == "messages") & F.col("has_usage"),
-                F.concat(F.lit('data: {"type":"message_start","message":{"usage":{"input_tokens":'), n,
-                         F.lit(',"output_tokens":1,"cache_read_input_tokens":'),
-                         F.floor(F.col("n") / 4).cast("bigint").cast("string"), F.lit("}}}"))).alias("line")),
-            F.struct(F.lit(SEQ_USAGE).cast("bigint").alias("seq"), F.when(F.col("has_usage") & ~F.col("fails"), F.when(
-                p == "chat", F.concat(F.lit('data: {"choices":[],"usage":{"prompt_tokens":'), n,
-                                      F.lit(',"completion_tokens":'), nw.cast("string"),
-                                      F.lit(',"total_tokens":'), (F.col("n") + nw).cast("string"), F.lit("}}")))
-                .when(p == "responses", F.concat(
-                    F.lit('data: {"type":"response.completed","response":{"usage":{"input_tokens":'), n,
-                    F.lit(',"output_tokens":'), nw.cast("string"), F.lit("}}}")))
-                .otherwise(F.concat(F.lit('data: {"type":"message_delta","usage":{"output_tokens":'),
-                                    nw.cast("string"), F.lit("}}")))).alias("line")),
-            # a failed stream ends with the proxy's error event instead of a clean end
-            F.struct(F.lit(SEQ_DONE).cast("bigint").alias("seq"), F.when(~F.col("fails"), F.lit("data: [DONE]"))
-                     .when(p == "messages", F.lit("event: error"))
-                     .otherwise(F.lit("data: " + STREAM_ERROR_OPENAI)).alias("line")),
-            F.struct(F.lit(SEQ_DONE + 1).cast("bigint").alias("seq"), F.when(F.col("fails"), F.when(
-                p == "messages", F.lit("data: " + STREAM_ERROR_MESSAGES)).otherwise(F.lit("data: [DONE]")))
-                .alias("line")),
-        )).alias("x")).select("request_id", "protocol", "nw", "x.seq", "x.line").filter(F.col("line").isNotNull())
-    words = a.select("request_id", "protocol", nw.alias("nw"), F.posexplode("w").alias("i", "word"))
-    d = _json_str(F.when(F.col("i") == 0, F.col("word")).otherwise(F.concat(F.lit(" "), F.col("word"))))
-    delta_line = (F.when(p == "chat", F.concat(F.lit('data: {"choices":[{"index":0,"delta":{"content":'), d, F.lit("}}]}")))
-                  .when(p == "responses", F.concat(F.lit('data: {"type":"response.output_text.delta","delta":'), d, F.lit("}")))
-                  .otherwise(F.concat(F.lit('data: {"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":'),
-                                      d, F.lit("}}"))))
-    deltas = words.select("request_id", "protocol", "nw", (F.col("i") + SEQ_FIRST_DELTA).cast("bigint").alias("seq"),
-                          delta_line.alias("line"))
+    proto = sqltext.case("pmod(conv_id, 3)", dict(enumerate(STREAM_PROTOCOL_BY_CONV_MOD3)))
+    a = conv.filter("role = 'assistant'").selectExpr(
+        "conv_id * 100 + turn AS request_id", f"{proto} AS protocol",
+        "conv_id % 4 <> 0 AS has_usage", "conv_id % 7 = 3 AS fails",
+        "CAST(length(text) AS BIGINT) AS n", "split(text, ' ') AS w")
+    a = a.selectExpr("*", "CAST(size(w) AS BIGINT) AS nw")
+    usage_line = f"""CASE WHEN has_usage AND NOT fails THEN CASE
+        WHEN protocol = 'chat' THEN concat('data: {{"choices":[],"usage":{{"prompt_tokens":', CAST(n AS STRING),
+          ',"completion_tokens":', CAST(nw AS STRING), ',"total_tokens":', CAST(n + nw AS STRING), '}}}}')
+        WHEN protocol = 'responses' THEN concat('data: {{"type":"response.completed","response":{{"usage":{{"input_tokens":',
+          CAST(n AS STRING), ',"output_tokens":', CAST(nw AS STRING), '}}}}}}')
+        ELSE concat('data: {{"type":"message_delta","usage":{{"output_tokens":', CAST(nw AS STRING), '}}}}') END END"""
+    start_line = f"""CASE WHEN protocol = 'messages' AND has_usage THEN
+        concat('data: {{"type":"message_start","message":{{"usage":{{"input_tokens":', CAST(n AS STRING),
+          ',"output_tokens":1,"cache_read_input_tokens":', CAST(CAST(floor(n / 4) AS BIGINT) AS STRING), '}}}}}}') END"""
+    end_line = (f"CASE WHEN NOT fails THEN 'data: [DONE]' WHEN protocol = 'messages' THEN 'event: error' "
+                f"ELSE {sqltext.literal('data: ' + STREAM_ERROR_OPENAI)} END")
+    after_end = (f"CASE WHEN fails THEN CASE WHEN protocol = 'messages' "
+                 f"THEN {sqltext.literal('data: ' + STREAM_ERROR_MESSAGES)} ELSE 'data: [DONE]' END END")
+    fixed = a.selectExpr("request_id", "protocol", "nw", f"""inline(array(
+        named_struct('seq', CAST(1 AS BIGINT), 'line', 'event: start'),
+        named_struct('seq', CAST(2 AS BIGINT), 'line', 'data: this-is-not-json'),
+        named_struct('seq', CAST(3 AS BIGINT), 'line', {start_line}),
+        named_struct('seq', CAST({SEQ_USAGE} AS BIGINT), 'line', {usage_line}),
+        named_struct('seq', CAST({SEQ_DONE} AS BIGINT), 'line', {end_line}),
+        named_struct('seq', CAST({SEQ_DONE + 1} AS BIGINT), 'line', {after_end})))""").filter("line IS NOT NULL")
+    words = a.selectExpr("request_id", "protocol", "nw", "posexplode(w) AS (i, word)")
+    d = _json_str_sql("CASE WHEN i = 0 THEN word ELSE concat(' ', word) END")
+    delta_line = f"""CASE
+        WHEN protocol = 'chat' THEN concat('data: {{"choices":[{{"index":0,"delta":{{"content":', {d}, '}}}}]}}')
+        WHEN protocol = 'responses' THEN concat('data: {{"type":"response.output_text.delta","delta":', {d}, '}}')
+        ELSE concat('data: {{"type":"content_block_delta","index":0,"delta":{{"type":"text_delta","text":', {d}, '}}}}')
+      END"""
+    deltas = words.selectExpr("request_id", "protocol", "nw", f"CAST(i + {SEQ_FIRST_DELTA} AS BIGINT) AS seq",
+                              f"{delta_line} AS line")
     lines = fixed.unionByName(deltas)
-    offset_ms = F.when(F.col("seq") < SEQ_USAGE, F.col("seq")).otherwise(F.col("nw") + 20 + (F.col("seq") - SEQ_USAGE))
-    start = F.timestamp_add("SECOND", F.col("request_id"), F.expr(STREAM_EPOCH))
-    return lines.select("request_id", "protocol", "seq",
-                        F.timestamp_add("MILLISECOND", offset_ms, start).alias("arrival_ts"), "line")
+    return lines.selectExpr(
+        "request_id", "protocol", "seq",
+        f"timestampadd(MILLISECOND, CASE WHEN seq < {SEQ_USAGE} THEN seq ELSE nw + 20 + (seq - {SEQ_USAGE}) END, "
+        f"timestampadd(SECOND, request_id, {STREAM_EPOCH})) AS arrival_ts",
+        "line")
