@@ -248,9 +248,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------- catalog dims from TPC-H tables
 
-def _supplier_url(key: Column) -> Column:
-    suffix = _case(F.pmod(key, F.lit(3)).cast("int"), {0: "", 1: "/"}, "/v1/")
-    return F.concat(F.lit("http://s"), key.cast("string"), F.lit(":8080"), suffix)
+SUPPLIER_URL_SQL = ("concat('http://s', CAST(s_suppkey AS STRING), ':8080', "
+                    "CASE CAST(pmod(s_suppkey, 3) AS INT) WHEN 0 THEN '' WHEN 1 THEN '/' ELSE '/v1/' END)")
 
 
 def catalog_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,19 +258,14 @@ def catalog_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
     stay referenced by mappings but unconfigured (orphan entries). Suppliers of
     nation 0 also have a mirror entry re-using their id (a duplicate id: the
     later entry wins in the catalog). Schema ``BACKENDS``."""
-    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
-    key = F.col("s_suppkey")
-    main = s.filter(F.col("s_acctbal") >= 0).select(
-        key.cast("int").alias("pos"),
-        F.concat(F.lit("b"), key.cast("string")).alias("id"),
-        _supplier_url(key).alias("url"),
-        F.when(F.col("s_nationkey") % 4 == 0, F.lit(None))
-         .otherwise((F.col("s_nationkey") + 1) * 1024).cast("int").alias("context_size"))
-    mirror = s.filter((F.col("s_acctbal") >= 0) & (F.col("s_nationkey") == 0)).select(
-        (key + 10_000_000).cast("int").alias("pos"),
-        F.concat(F.lit("b"), key.cast("string")).alias("id"),
-        F.concat(F.lit("http://mirror"), key.cast("string"), F.lit(":8080")).alias("url"),
-        F.lit(512).cast("int").alias("context_size"))
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").filter("s_acctbal >= 0")
+    main = s.selectExpr(
+        "CAST(s_suppkey AS INT) AS pos", "concat('b', CAST(s_suppkey AS STRING)) AS id",
+        f"{SUPPLIER_URL_SQL} AS url",
+        "CAST(CASE WHEN s_nationkey % 4 = 0 THEN NULL ELSE (s_nationkey + 1) * 1024 END AS INT) AS context_size")
+    mirror = s.filter("s_nationkey = 0").selectExpr(
+        "CAST(s_suppkey + 10000000 AS INT) AS pos", "concat('b', CAST(s_suppkey AS STRING)) AS id",
+        "concat('http://mirror', CAST(s_suppkey AS STRING), ':8080') AS url", "CAST(512 AS INT) AS context_size")
     return main.unionByName(mirror)
 
 
@@ -279,12 +273,10 @@ def catalog_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured ``/props`` documents, one per supplier; those of even nations
     carry ``default_generation_settings.n_ctx``. Schema ``BACKEND_PROPS``."""
     s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
-    key = F.col("s_suppkey")
-    base = F.regexp_replace(F.regexp_replace(_supplier_url(key), "/+$", ""), "/v1$", "")
-    doc = F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit('{"default_generation_settings":{"n_ctx":'),
-                                                     ((F.col("s_nationkey") + 1) * 2048).cast("string"), F.lit("}}"))) \
-        .otherwise(F.lit('{"default_generation_settings":{}}'))
-    return s.select(F.concat(base, F.lit("/props")).alias("props_url"), doc.alias("json"))
+    return s.selectExpr(
+        f"concat(regexp_replace(regexp_replace({SUPPLIER_URL_SQL}, '/+$', ''), '/v1$', ''), '/props') AS props_url",
+        """CASE WHEN s_nationkey % 2 = 0 THEN concat('{"default_generation_settings":{"n_ctx":',
+             CAST((s_nationkey + 1) * 2048 AS STRING), '}}') ELSE '{"default_generation_settings":{}}' END AS json""")
 
 
 def catalog_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,13 +287,12 @@ def catalog_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     per-part supplier set is built by partial aggregation."""
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size")
     li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey")
-    per_part = li.groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("_s"))
-    model = F.concat(F.lit("m-"), F.lower(F.regexp_replace("p_brand", "Brand#", "")), F.lit("-"),
-                     (F.col("p_size") % 5).cast("string"))
+    per_part = li.groupBy("l_partkey").agg(F.expr("array_sort(collect_set(l_suppkey)) AS _s"))
     j = part.join(per_part, part.p_partkey == per_part.l_partkey, "left")
-    ids = F.transform(F.coalesce(F.col("_s"), F.array().cast("array<bigint>")),
-                      lambda x: F.concat(F.lit("b"), x.cast("string")))
-    return j.select(F.col("p_partkey").cast("int").alias("pos"), model.alias("model_id"), ids.alias("backend_ids"))
+    return j.selectExpr(
+        "CAST(p_partkey AS INT) AS pos",
+        "concat('m-', lower(regexp_replace(p_brand, 'Brand#', '')), '-', CAST(p_size % 5 AS STRING)) AS model_id",
+        "transform(coalesce(_s, CAST(array() AS array<bigint>)), x -> concat('b', CAST(x AS STRING))) AS backend_ids")
 
 
 # fixed values: catalog defaults of the derived configuration
