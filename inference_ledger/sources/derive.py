@@ -101,22 +101,17 @@ def log_columns(df: DataFrame) -> DataFrame:
 
 
 def system_log_from_events(events: DataFrame) -> DataFrame:
-    eid = F.col("event_id")
-    et = F.col("event_type")
-    level = (F.when((et == "error") & (eid % 7 == 0), F.lit("CRITICAL"))
-             .when(et == "error", F.lit("ERROR"))
-             .when(et == "signup", F.lit("WARNING"))
-             .otherwise(F.lit("INFO")))
-    traceback = F.when((et == "error") & (eid % 3 == 0), F.concat(
-        F.lit('Traceback (most recent call last):\n  File "proxy", line '),
-        (eid % 500).cast("string"), F.lit(", in forward\nRuntimeError: "), F.col("props")))
-    return events.select(
-        eid.alias("id"),
-        epoch_seconds(F.col("ts")).alias("timestamp"),
-        level.alias("level"),
-        F.concat(F.lit("proxy."), et).alias("name"),
-        F.col("props").alias("message"),
-        traceback.alias("traceback"),
+    """System log (S3 records), one row per event."""
+    return events.selectExpr(
+        "event_id AS id",
+        f"timestampdiff(MICROSECOND, {_EPOCH_NTZ}, CAST(ts AS TIMESTAMP_NTZ)) / 1000000.0D AS timestamp",
+        "CASE WHEN event_type = 'error' AND event_id % 7 = 0 THEN 'CRITICAL' WHEN event_type = 'error' THEN 'ERROR' "
+        "WHEN event_type = 'signup' THEN 'WARNING' ELSE 'INFO' END AS level",
+        "concat('proxy.', event_type) AS name",
+        "props AS message",
+        "CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN concat("
+        "'Traceback (most recent call last):\\n  File \"proxy\", line ', CAST(event_id % 500 AS STRING), "
+        "', in forward\\nRuntimeError: ', props) END AS traceback",
     )
 
 
@@ -325,22 +320,21 @@ def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn is found with an equi-join on (conv_id, turn), which hash-partitions
     on both keys, so one very long conversation is spread over many tasks."""
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    asst = conv.filter(F.col("role") == "assistant").select("conv_id", "turn")
-    prev = conv.select(F.col("conv_id").alias("p_conv"), (F.col("turn") + 1).alias("p_turn"),
-                       F.col("text").alias("prev_text"))
+    asst = conv.filter("role = 'assistant'").select("conv_id", "turn")
+    prev = conv.selectExpr("conv_id AS p_conv", "turn + 1 AS p_turn", "text AS prev_text")
     j = asst.join(prev, (asst.conv_id == prev.p_conv) & (asst.turn == prev.p_turn), "left")
-    proto = _case(F.pmod(F.col("conv_id"), F.lit(3)).cast("int"), dict(enumerate(STREAM_PROTOCOL_BY_CONV_MOD3)))
-    rid = F.col("conv_id") * 100 + F.col("turn")
-    model = model_for_user(F.col("conv_id"))
-    msgs = F.concat(F.lit('[{"role":"user","content":'), _json_str(F.coalesce(F.col("prev_text"), F.lit(""))),
-                    F.lit("}]"))
-    body = F.when(proto == "responses",
-                  F.concat(F.lit('{"model":"'), model, F.lit('","input":'), msgs, F.lit(',"stream":true}'))) \
-        .otherwise(F.concat(F.lit('{"model":"'), model, F.lit('","messages":'), msgs, F.lit(',"stream":true}')))
-    return j.select(
-        rid.alias("request_id"), proto.alias("protocol"),
-        F.timestamp_add("SECOND", rid, F.expr(STREAM_EPOCH)).alias("started_at"),
-        body.alias("body"), model.alias("requested_model"))
+    proto = sqltext.case("pmod(conv_id, 3)", dict(enumerate(STREAM_PROTOCOL_BY_CONV_MOD3)))
+    model = sqltext.case("pmod(conv_id, 6)", dict(enumerate(MODEL_BY_USER_MOD6)))
+    staged = j.selectExpr(
+        "conv_id * 100 + turn AS request_id", f"{proto} AS protocol", f"{model} AS requested_model",
+        f"""concat('[{{"role":"user","content":', {_json_str_sql("coalesce(prev_text, '')")}, '}}]') AS _msgs""")
+    return staged.selectExpr(
+        "request_id", "protocol",
+        f"timestampadd(SECOND, request_id, {STREAM_EPOCH}) AS started_at",
+        """CASE WHEN protocol = 'responses'
+             THEN concat('{"model":"', requested_model, '","input":', _msgs, ',"stream":true}')
+             ELSE concat('{"model":"', requested_model, '","messages":', _msgs, ',"stream":true}') END AS body""",
+        "requested_model")
 
 
 def _json_str_sql(x: str) -> str:
