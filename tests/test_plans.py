@@ -60,3 +60,19 @@ def test_sse_fold_no_python_and_two_phase(spark):
     p = _plan(all_queries()["sse_chat"](spark, SF))
     assert p.count("HashAggregate") + p.count("ObjectHashAggregate") + p.count("SortAggregate") >= 4
     _ = F
+
+
+def test_spread_only_when_splits_are_few(spark):
+    from inference_ledger.session import spread
+    many = spark.range(0, 1000, numPartitions=64)
+    assert spread(many) is many                                   # enough splits: untouched, no shuffle
+    few = spark.range(0, 1000, numPartitions=1)
+    spread_few = spread(few, key="id")
+    assert spread_few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_checkpoint_dir_comes_from_the_session(spark):
+    from inference_ledger.session import checkpoint_dir, scratch_path
+    root = checkpoint_dir(spark)
+    assert root and root == spark.sparkContext.getCheckpointDir().rstrip("/")
+    assert scratch_path(spark, "x").startswith(root + "/x-")
