@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import near_dedup, packing, token_files
 from .encode import public_tokenizer
 
 
@@ -36,6 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark, sf_dir):
     return token_files.token_digest(spark, table(spark, sf_dir, "documents"),
                                     public_tokenizer("byte_bpe_50k.json"), end_id=2)
@@ -47,6 +51,6 @@ def op10_pack(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_token_files, op10_pack)
+    f.__name__: f for f in (op6_near_dedup, op7_token_files, op10_pack)
 }
 ORACLE_SQL: dict[str, str] = {}
