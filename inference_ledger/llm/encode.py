@@ -16,7 +16,10 @@ import re
 import numpy as np
 import pyarrow as pa
 
-WORDS_KEPT = 700_000    # entries of each dictionary before it is emptied (about 200 MB)
+from .columns import slices
+
+WORDS_KEPT = 900_000    # entries of each dictionary before it is emptied (about 120 MB each)
+SEEN_SLOTS = 1 << 22    # a word is kept from the second time on (one byte per slot)
 _ODD_BLANK = re.compile(r" \s|\s ")
 _TRUE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -36,6 +39,7 @@ class Encoder:
         steps = pre.get("pretokenizers", [pre])
         self.lower = bool(spec.get("normalizer"))
         self.keeps_blank = not self.lower
+        self.kind = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
         if self.lower:
             pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
         else:
@@ -45,54 +49,67 @@ class Encoder:
         self.cut = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN_SLOTS)
 
-    def _learn(self, missing: set[str]) -> None:
-        """Put every missing word into ``self.words``."""
-        if len(self.words) + len(missing) > WORDS_KEPT:
-            self.words.clear()
+    def _split(self, unit: str) -> list[str]:
+        """Pre-tokens of a unit, or the unit itself where the library must normalise it."""
+        if not self.lower:
+            return self.cut(unit)
+        return [unit] if unit and max(unit) > "ÿ" else self.cut(unit.lower())
+
+    def _lookup(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces by the library; those met before are kept."""
         if len(self.pieces) > WORDS_KEPT:
-            self.pieces.clear()
-        cut, pieces, parts = self.cut, self.pieces, {}
-        for w in missing:
-            s = w
-            if self.lower:
-                if w and max(w) > "ÿ":     # rare letters: the library normalises the word itself
-                    parts[w] = [w]
-                    continue
-                s = w.lower()
-            parts[w] = cut(s)
-        new = list({p for ps in parts.values() for p in ps if p not in pieces})
-        if new:
-            got = self.lib.encode_batch_fast(new, add_special_tokens=False)
-            for p, e in zip(new, got):
-                pieces[p] = np.array(e.ids, dtype="<u4").tobytes()
-        words, take = self.words, pieces.__getitem__
-        for w, ps in parts.items():
-            words[w] = b"".join(map(take, ps))
-
-    def _units(self, text: str) -> list[str]:
-        if self.keeps_blank:
-            if _ODD_BLANK.search(text):
-                units = _TRUE_CUT.split(text)
+            self.pieces = {}
+        new = list(pieces)
+        ids = self.lib.encode_batch_fast(new, add_special_tokens=False)
+        got = {p: np.array(e.ids, dtype=self.kind).tobytes() for p, e in zip(new, ids)}
+        self._keep(got, self.pieces)
+        return got
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of every missing unit; those met before also enter ``self.words``."""
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
+        split, blank, known = self._split, " " if self.keeps_blank else "", self.pieces
+        parts = {u: split(blank + u) for u in missing}
+        new = {p for ps in parts.values() for p in ps if p not in known}
+        got = self._lookup(new) if new else {}
+        out = {u: b"".join([got[p] if p in got else known[p] for p in ps]) for u, ps in parts.items()}
+        self._keep(out, self.words)
+        return out
+
+    def _keep(self, found: dict[str, bytes], into: dict[str, bytes]) -> None:
+        seen = self.seen
+        for w, ids in found.items():
+            slot = hash(w) % SEEN_SLOTS
+            if seen[slot]:
+                into[w] = ids
             else:
-                units = text.split(" ")
-            return [units[0], *[" " + u for u in units[1:]]]
-        return text.split(" ")
+                seen[slot] = 1
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text (null: empty) as little-endian uint32."""
         if not text:
             return np.empty(0, "<u4")
-        units = self._units(text)
-        try:
-            return np.frombuffer(b"".join(map(self.words.__getitem__, units)), dtype="<u4")
-        except KeyError:
-            pass
-        missing = {u for u in units if u not in self.words}
-        if len(self.words) + len(missing) > WORDS_KEPT:
-            missing = set(units)        # the dictionary is emptied, so all of them are needed
-        self._learn(missing)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, units)), dtype="<u4")
+        head = b""
+        if self.keeps_blank:
+            units = (_TRUE_CUT.split if _ODD_BLANK.search(text) else _by_blank)(text)
+            first = self._split(units[0])         # the first unit has no blank before it
+            ids = self._lookup(set(first)) if first else {}
+            head = b"".join([ids[p] for p in first])
+            del units[0]
+        else:
+            units = text.split(" ")
+        found = list(map(self.words.get, units))
+        if None in found:
+            learnt = self._learn({u for u, x in zip(units, found) if x is None})
+            found = [learnt[u] if x is None else x for u, x in zip(units, found)]
+        return np.frombuffer(head + b"".join(found), dtype=self.kind).astype("<u4")
+
+
+def _by_blank(text: str) -> list[str]:
+    return text.split(" ")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -105,6 +122,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def texts(batches, name: str = "text"):
+    """(batch of a few MB, its texts as Python strings) for every Arrow batch."""
+    for batch in batches:
+        for part in slices(batch, name):
+            yield part, text_column(part, name)
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -21,26 +21,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .encode import encoder, text_column
+from .columns import ranges_within, slices
+from .encode import encoder, texts
 from .token_files import with_starts
 
 SIZE = 2048
 
 
 def encode_in_order(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Pass one: part, local_start, doc_id, n_tokens, ids (little-endian uint32 bytes)."""
+    """Pass one: part, local_start, doc_id, n_tokens, wide, ids
+    (little-endian bytes of 16 bits an id, or of 32 where wide)."""
 
     def encoded(batches):
         enc, part, written = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = [enc.encode(t).tobytes() + end for t in text_column(batch)]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+        end = np.array([end_id], "<u4")
+        for batch, column in texts(batches):
+            ids = [np.concatenate([enc.encode(t), end]) for t in column]
+            n = np.array([len(x) for x in ids], np.int64)
+            wide = [len(x) > 0 and int(x.max()) > 0xFFFF for x in ids]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(ids), part, np.int32)), pa.array(written + np.cumsum(n) - n),
-                batch.column(0), pa.array(n),
-                pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))],
-                names=["part", "local_start", "doc_id", "n_tokens", "ids"])
+                batch.column(0), pa.array(n), pa.array(wide),
+                pa.array([(x if w else x.astype("<u2")).tobytes() for x, w in zip(ids, wide)], pa.binary())],
+                names=["part", "local_start", "doc_id", "n_tokens", "wide", "ids"])
             written += int(n.sum())
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -48,53 +51,51 @@ def encode_in_order(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFr
                .withColumn("tie", F.xxhash64("text"))
                .repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
                .select("doc_id", "text"))
-    return ordered.mapInArrow(encoded, "part int, local_start long, doc_id long, n_tokens long, ids array<int>")
+    return ordered.mapInArrow(encoded, "part int, local_start long, doc_id long, n_tokens long, wide boolean, ids binary")
 
 
 def cut_pieces(encoded: DataFrame, size: int = SIZE) -> DataFrame:
     """Pass two over ``encode_in_order``'s written rows: one row per piece, with its ids."""
 
     def pieces(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "ids")):
             begin = batch.column("start").to_numpy()
             n = batch.column("n_tokens").to_numpy()
-            column = batch.column("ids")
-            flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
             count = (begin + n - 1) // size - begin // size + 1       # a document has one id at least
             row = np.repeat(np.arange(len(n)), count)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            k = ranges_within(count)
             sequence = begin[row] // size + k
             a = np.maximum(begin[row], sequence * size)
             b = np.minimum(begin[row] + n[row], (sequence + 1) * size)
-            lo = offsets[row] + (a - begin[row])
-            ids = [flat[x:y] for x, y in zip(lo, lo + (b - a))]
+            all_ids = [np.frombuffer(x.as_buffer(), "<u4" if w.as_py() else "<u2").astype("<u4")
+                       for x, w in zip(batch.column("ids"), batch.column("wide"))]
+            ids = [all_ids[r][x:y].tobytes() for r, x, y in zip(row, a - begin[row], b - begin[row])]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(pa.array(row)), pa.array(a - begin[row]), pa.array(b - a),
                 pa.array(n[row]), pa.array(sequence), pa.array(a - sequence * size),
-                pa.array(ids, pa.list_(pa.int32()))],
+                pa.array(ids, pa.binary())],
                 names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    rows = with_starts(encoded).select("doc_id", "start", "n_tokens", "ids")
+    rows = with_starts(encoded).select("doc_id", "start", "n_tokens", "wide", "ids")
     return rows.mapInArrow(
-        pieces, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+        pieces, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int,
                    size: int = SIZE) -> DataFrame:
-    """Pieces with their ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
+    """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary,
+    little-endian uint32)."""
     folder = scratch_path(spark, "pack-ids")
-    encode_in_order(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(folder)
+    encode_in_order(docs, tokenizer_path, end_id).write.parquet(folder)
     return cut_pieces(spark.read.parquet(folder), size)
 
 
 def pack_digest(pieces: DataFrame) -> DataFrame:
-    """Replace each piece's ids by the CRC-32 of their little-endian 32-bit form."""
+    """Replace each piece's ids by their CRC-32."""
 
     def crc(batches):
         for batch in batches:
-            column = batch.column("ids")
-            flat, at = column.values.to_numpy().astype("<u4", copy=False), column.offsets.to_numpy()
-            got = [zlib.crc32(flat[x:y]) for x, y in zip(at[:-1], at[1:])]
+            got = [zlib.crc32(x.as_buffer()) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(got, pa.int64())], names=[*batch.schema.names[:-1], "ids_crc32"])
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .encode import encoder, text_column
+from .encode import encoder, text_column, texts
 
 # fixed values: ids per word and bits per id of each selector
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3])
@@ -43,61 +43,46 @@ BLOCKS_PER_FILE = 256
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word of each run, words, escapes) of uint32 ids. All runs advance
-    side by side, each choosing the selector that takes the most ids."""
+    """(first word of each run, words, escapes) of uint32 ids. Each word
+    takes the selector that holds the most of the next ids."""
     n = len(ids)
     runs = -(-n // RUN)
     if not runs:
         return np.empty(0, "<u4"), np.empty(0, "<u8"), np.empty(0, "<u4")
-    v = np.minimum(ids, ESCAPE).astype(np.uint64)
-    grid = np.zeros(runs * RUN + 240, np.uint64)
-    grid[:n] = v
-    need = np.searchsorted(np.array([0, *[(1 << int(b)) - 1 for b in BITS[2:]]]), v).astype(np.int8)
-    need = np.concatenate([need, np.zeros(len(grid) - n, np.int8)]) + 1   # index into COUNTS[1:]
-    lengths = np.minimum(RUN, n - RUN * np.arange(runs))
-    at, out = np.zeros(runs, np.int64), []
-    lanes = np.arange(runs)
-    while len(lanes):
-        start = lanes * RUN + at[lanes]
-        left = lengths[lanes] - at[lanes]
-        selector = np.full(len(lanes), len(COUNTS) - 1)
-        undecided = np.ones(len(lanes), bool)
-        for s in range(len(COUNTS) - 1):          # from many narrow ids to few wide ones
-            rows = np.flatnonzero(undecided)
-            if not len(rows):
-                break
-            take = min(int(COUNTS[s]), RUN)
-            if BITS[s] == 0:                      # zero runs must be whole
-                rows = rows[left[rows] >= take]
-                if not len(rows):
-                    continue
-                rows = rows[v_at(grid, start[rows]) == 0]
-                if not len(rows):
-                    continue
-            k = np.arange(take)
-            fits = (need[start[rows][:, None] + k] <= max(s, 1)) | (k >= left[rows][:, None])
-            ok = fits.all(axis=1)
-            selector[rows[ok]] = s
-            undecided[rows[ok]] = False
-        word = selector.astype(np.uint64) << np.uint64(60)
-        for s in np.unique(selector):
-            rows, b = np.flatnonzero(selector == s), int(BITS[s])
-            if b:
-                k = np.arange(int(COUNTS[s]))
-                fields = grid[start[rows][:, None] + k]
-                fields[k >= left[rows][:, None]] = 0
-                word[rows] |= np.bitwise_or.reduce(fields << (k * b).astype(np.uint64), axis=1)
-        out.append((lanes, word))
-        at[lanes] += COUNTS[selector]
-        lanes = lanes[at[lanes] < lengths[lanes]]
-    lane, word = (np.concatenate(x) for x in zip(*out))
-    order = np.argsort(lane, kind="stable")
-    first = np.searchsorted(lane[order], np.arange(runs))
-    return first.astype("<u4"), word[order].astype("<u8"), ids[ids >= ESCAPE].astype("<u4")
-
-
-def v_at(grid: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return grid[at]
+    width = max(int(COUNTS.max()), RUN)
+    v = np.zeros(n + width, np.uint64)
+    v[:n] = np.minimum(ids, ESCAPE)
+    here = np.arange(n)
+    run_end = np.minimum((here // RUN + 1) * RUN, n)
+    best = np.full(n, len(COUNTS) - 1)
+    for s in range(len(COUNTS) - 2, -1, -1):      # from few wide ids to many narrow ones
+        wide = np.where(v[:n] >> np.uint64(BITS[s]) > 0, here, n)
+        wide = np.minimum.accumulate(wide[::-1])[::-1]          # next id that is too wide
+        reach = np.minimum(wide, run_end) - here
+        full = reach >= COUNTS[s]
+        if BITS[s]:                               # the end of a run may fill a word in part
+            full |= (wide >= run_end) & (run_end - here <= COUNTS[s])
+        best[full] = s
+    at, picked = np.arange(runs) * RUN, []
+    ends = np.minimum(at + RUN, n)
+    while len(at):                                # all runs advance side by side
+        picked.append(at)
+        at = at + COUNTS[best[at]]
+        more = at < ends
+        at, ends = at[more], ends[more]
+    start = np.sort(np.concatenate(picked))
+    selector = best[start]
+    taken = np.minimum(COUNTS[selector], run_end[start] - start)
+    word = selector.astype(np.uint64) << np.uint64(60)
+    for s in np.unique(selector):
+        rows, b = np.flatnonzero(selector == s), int(BITS[s])
+        if b:
+            k = np.arange(int(COUNTS[s]))
+            fields = v[start[rows][:, None] + k]
+            fields[k >= taken[rows][:, None]] = 0
+            word[rows] |= np.bitwise_or.reduce(fields << (k * b).astype(np.uint64), axis=1)
+    first = np.searchsorted(start, np.arange(runs) * RUN)
+    return first.astype("<u4"), word.astype("<u8"), ids[ids >= ESCAPE].astype("<u4")
 
 
 def unpack(first: np.ndarray, words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
@@ -170,8 +155,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         end = np.array([end_id], "<u4")
         held: list = []
         size = 0
-        for batch in batches:
-            for doc_id, text in zip(text_column(batch, "doc_id"), text_column(batch)):
+        for batch, column in texts(batches):
+            for doc_id, text in zip(text_column(batch, "doc_id"), column):
                 held.append((doc_id, np.concatenate([enc.encode(text), end])))
                 size += len(held[-1][1])
                 if size >= BLOCK_IDS:
