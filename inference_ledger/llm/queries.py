@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, token_files
+from . import near_dedup, packing, repeats, token_files
 from .encode import public_tokenizer
 
 
@@ -45,12 +45,16 @@ def op7_token_files(spark, sf_dir):
                                     public_tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op9_repeats(spark, sf_dir):
+    return repeats.repeat_digest(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark, sf_dir):
     return packing.pack_digest(packing.pack_documents(
         spark, table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=1))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_near_dedup, op7_token_files, op10_pack)
+    f.__name__: f for f in (op6_near_dedup, op7_token_files, op9_repeats, op10_pack)
 }
 ORACLE_SQL: dict[str, str] = {}
