@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from .columns import slices
 
-WORDS_KEPT = 900_000    # entries of each dictionary before it is emptied (about 120 MB each)
+WORDS_KEPT = 900_000    # entries of the dictionary before it is emptied (about 130 MB)
 SEEN_SLOTS = 1 << 22    # a word is kept from the second time on (one byte per slot)
 _ODD_BLANK = re.compile(r" \s|\s ")
 _TRUE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -47,8 +47,8 @@ class Encoder:
             pattern = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
                        r"|\s+(?!\S)|\s+")
         self.cut = regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}       # units, less the blank before them
+        self.inner: dict[str, bytes] = {}       # pre-tokens that no blank comes before
         self.seen = bytearray(SEEN_SLOTS)
 
     def _split(self, unit: str) -> list[str]:
@@ -57,26 +57,44 @@ class Encoder:
             return self.cut(unit)
         return [unit] if unit and max(unit) > "ÿ" else self.cut(unit.lower())
 
-    def _lookup(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces by the library; those met before are kept."""
-        if len(self.pieces) > WORDS_KEPT:
-            self.pieces = {}
-        new = list(pieces)
-        ids = self.lib.encode_batch_fast(new, add_special_tokens=False)
-        got = {p: np.array(e.ids, dtype=self.kind).tobytes() for p, e in zip(new, ids)}
-        self._keep(got, self.pieces)
-        return got
+    def _lookup(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces by the library."""
+        return [np.array(e.ids, dtype=self.kind).tobytes()
+                for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of every missing unit; those met before also enter ``self.words``."""
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        split, blank, known = self._split, " " if self.keeps_blank else "", self.pieces
-        parts = {u: split(blank + u) for u in missing}
-        new = {p for ps in parts.values() for p in ps if p not in known}
-        got = self._lookup(new) if new else {}
-        out = {u: b"".join([got[p] if p in got else known[p] for p in ps]) for u, ps in parts.items()}
-        self._keep(out, self.words)
+        """Ids of every missing unit; units and pieces met before are kept."""
+        for kept in (self.words, self.inner):
+            if len(kept) > WORDS_KEPT:
+                kept.clear()
+        split, words, inner = self._split, self.words, self.inner
+        if self.keeps_blank:
+            parts = {u: split(" " + u) for u in missing}
+            pieces = {p for ps in parts.values() for p in ps}
+            starts = [p[1:] for p in pieces if p[0] == " " and p[1:] not in words]
+            others = [p for p in pieces if p[0] != " " and p not in inner]
+            ids = self._lookup([" " + p for p in starts] + others)
+            at_start, rest = dict(zip(starts, ids)), dict(zip(others, ids[len(starts):]))
+            out = {}
+            for u, ps in parts.items():
+                first, *more = ps
+                got = [words[first[1:]] if first[1:] in words else at_start[first[1:]]] if first[0] == " " else \
+                    [inner[first] if first in inner else rest[first]]
+                for p in more:
+                    if p[0] == " ":
+                        got.append(words[p[1:]] if p[1:] in words else at_start[p[1:]])
+                    else:
+                        got.append(inner[p] if p in inner else rest[p])
+                out[u] = b"".join(got) if more else got[0]
+            self._keep(rest, inner)
+            out |= at_start
+        else:
+            parts = {u: split(u) for u in missing}
+            new = [p for p in {p for ps in parts.values() for p in ps} if p not in words]
+            found = dict(zip(new, self._lookup(new)))
+            out = {u: b"".join([found[p] if p in found else words[p] for p in ps]) for u, ps in parts.items()}
+            out |= found
+        self._keep(out, words)
         return out
 
     def _keep(self, found: dict[str, bytes], into: dict[str, bytes]) -> None:
@@ -95,9 +113,7 @@ class Encoder:
         head = b""
         if self.keeps_blank:
             units = (_TRUE_CUT.split if _ODD_BLANK.search(text) else _by_blank)(text)
-            first = self._split(units[0])         # the first unit has no blank before it
-            ids = self._lookup(set(first)) if first else {}
-            head = b"".join([ids[p] for p in first])
+            head = b"".join(self._lookup(self._split(units[0])))     # no blank before the first unit
             del units[0]
         else:
             units = text.split(" ")
