@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, repeats, token_files
+from . import decontaminate, near_dedup, packing, repeats, token_files
 from .encode import public_tokenizer
 
 
@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(
+        spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,6 @@ def op10_pack(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_near_dedup, op7_token_files, op9_repeats, op10_pack)
+    f.__name__: f for f in (op4_decontaminate, op6_near_dedup, op7_token_files, op9_repeats, op10_pack)
 }
 ORACLE_SQL: dict[str, str] = {}
