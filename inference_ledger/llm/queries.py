@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, packing, repeats, token_files
+from . import decontaminate, language, licences, near_dedup, packing, repeats, token_files
 from .encode import public_tokenizer
 
 
@@ -36,6 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licences(spark, sf_dir):
+    return licences.scan_licences(table(spark, sf_dir, "documents")).drop("places")
+
+
+def op2_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.contamination(
         spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
@@ -60,6 +68,6 @@ def op10_pack(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_decontaminate, op6_near_dedup, op7_token_files, op9_repeats, op10_pack)
+    f.__name__: f for f in (op1_licences, op2_language, op4_decontaminate, op6_near_dedup, op7_token_files, op9_repeats, op10_pack)
 }
 ORACLE_SQL: dict[str, str] = {}
