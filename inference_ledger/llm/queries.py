@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licences, near_dedup, packing, repeats, token_files
+from . import archives, decontaminate, extract, language, licences, near_dedup, packing, repeats, token_files
 from .encode import public_tokenizer
 
 
@@ -44,11 +44,19 @@ def op2_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_archives(spark, sf_dir):
+    return archives.archive_digest(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.contamination(
         spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op5_extract(spark, sf_dir):
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -68,6 +76,6 @@ def op10_pack(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licences, op2_language, op4_decontaminate, op6_near_dedup, op7_token_files, op9_repeats, op10_pack)
+    f.__name__: f for f in (op1_licences, op2_language, op3_archives, op4_decontaminate, op5_extract, op6_near_dedup, op7_token_files, op9_repeats, op10_pack)
 }
 ORACLE_SQL: dict[str, str] = {}
