@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, decontaminate, extract, language, licences, near_dedup, packing, repeats, token_files
+from . import archives, decontaminate, extract, language, licences, near_dedup, neighbours, packing, repeats, token_files
 from .encode import public_tokenizer
 
 
@@ -66,6 +66,11 @@ def op7_token_files(spark, sf_dir):
                                     public_tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op8_neighbours(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
 def op9_repeats(spark, sf_dir):
     return repeats.repeat_digest(spark, table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,6 @@ def op10_pack(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licences, op2_language, op3_archives, op4_decontaminate, op5_extract, op6_near_dedup, op7_token_files, op9_repeats, op10_pack)
+    f.__name__: f for f in (op1_licences, op2_language, op3_archives, op4_decontaminate, op5_extract, op6_near_dedup, op7_token_files, op8_neighbours, op9_repeats, op10_pack)
 }
 ORACLE_SQL: dict[str, str] = {}
