@@ -254,3 +254,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     prints = spark.read.parquet(folder)
     return (prints.join(near_groups(spark, prints), "fp")
             .select("doc_id", F.expr("lower(lpad(hex(fp), 16, '0'))").alias("fingerprint"), "component_id"))
+
+
+def one_per_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, that have their group's smallest doc_id (one row
+    per group: a null doc_id counts as larger than any other, ties go to the smaller text hash)."""
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    keys = [did.alias("did"), F.xxhash64(F.col("text").cast("string")).alias("th")]
+    folder = scratch_path(spark, "fingerprints")
+    (with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                                  *keys)).select("doc_id", "did", "th", "fp").write.parquet(folder))
+    prints = spark.read.parquet(folder)
+    kept = (prints.join(near_groups(spark, prints).select("fp", "root"), "fp")
+            .groupBy("root").agg(F.min(F.struct("did", "th")).alias("first")).select("first.*"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys)
+    return rows.join(kept, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).select("row.*")

@@ -356,3 +356,25 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def repeat_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return remove_repeats(spark, docs.select("doc_id", "text")).select(
         "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs``, with all columns, the text less its repeated bytes (and less the parts of
+    characters that a cut leaves), and n_chars, if there is such a column, that text's length."""
+    text_at = docs.columns.index("text")
+    names = docs.columns
+    sizes_at = names.index("n_chars") if "n_chars" in names else None
+
+    def decode(batches):
+        for batch in batches:
+            row, kept = batch.column(0), batch.column(1)
+            columns = [row.field(i) for i in range(row.type.num_fields)]
+            was_null = columns[text_at].is_null().to_pylist()
+            text = [None if null else x.as_buffer().to_pybytes().decode("utf-8", "ignore")
+                    for null, x in zip(was_null, kept)]
+            columns[text_at] = pa.array(text, pa.string())
+            if sizes_at is not None:
+                columns[sizes_at] = pa.array([None if t is None else len(t) for t in text], columns[sizes_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return remove_repeats(spark, docs).select("row", "kept").mapInArrow(decode, docs.schema)
