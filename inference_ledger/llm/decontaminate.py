@@ -152,5 +152,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, items: DataFrame) -> D
     found.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct().write.parquet(folder)
     bad = spark.read.parquet(folder)
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id"))
-                     & (F.xxhash64(docs["text"].cast("string")) == F.col("bad_hash")), "left_anti")
+    # the columns travel in one struct, so that none can clash with the keys
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(bad, F.col("row.doc_id").cast("long").eqNullSafe(F.col("bad_id"))
+                     & (F.xxhash64(F.col("row.text").cast("string")) == F.col("bad_hash")), "left_anti").select("row.*")

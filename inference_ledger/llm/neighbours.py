@@ -3,7 +3,7 @@
 Every tree gives each vector a long hash string (signs of ``BITS`` random projections) and
 keeps the strings in a sorted array. A query descends each tree to its longest matching
 prefixes, then all trees ascend together, one bit at a time, until the vectors that
-share the prefix in any tree number ``SHARE`` of the shard's. Those are ranked by their
+share the prefix in any tree number ``SHARE`` of the shard's (``LEAST`` at least, or all). Those are ranked by their
 exact cosine.
 
 Equal vectors are one class with its ``k + 1`` smallest ids, which is all a result can use. Classes are
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS, SHARE = 64, 32, 0.5
+TREES, BITS, SHARE, LEAST = 64, 32, 0.5, 64
 SHARD = 8192
 SEED = 20
 
@@ -49,7 +49,7 @@ class Forest:
         h = self.strings(self.unit)
         self.order = np.argsort(h, axis=0, kind="stable")
         self.sorted = np.take_along_axis(h, self.order, axis=0)
-        self.wanted = max(1, int(np.ceil(SHARE * len(vectors))))
+        self.wanted = min(len(vectors), max(LEAST, int(np.ceil(SHARE * len(vectors)))))
 
     def strings(self, unit: np.ndarray) -> np.ndarray:
         """Hash strings [vector, tree], the first bit highest."""
