@@ -33,8 +33,8 @@ from ..session import scratch_path
 from .encode import encoder, text_column, texts
 
 # fixed values: ids per word and bits per id of each selector
-COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3])
-BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20])
+COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3], np.int32)
+BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20], np.int32)
 RUN = 1024                      # ids between two stored word offsets
 ESCAPE = (1 << 20) - 1
 HEAD = struct.Struct("<4siqIIII")
@@ -52,17 +52,18 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     width = max(int(COUNTS.max()), RUN)
     v = np.zeros(n + width, np.uint64)
     v[:n] = np.minimum(ids, ESCAPE)
-    here = np.arange(n)
+    small = v[:n].astype(np.int32)
+    here = np.arange(n, dtype=np.int32)
     run_end = np.minimum((here // RUN + 1) * RUN, n)
+    left = run_end - here
     best = np.full(n, len(COUNTS) - 1)
     for s in range(len(COUNTS) - 2, -1, -1):      # from few wide ids to many narrow ones
-        wide = np.where(v[:n] >> np.uint64(BITS[s]) > 0, here, n)
-        wide = np.minimum.accumulate(wide[::-1])[::-1]          # next id that is too wide
-        reach = np.minimum(wide, run_end) - here
-        full = reach >= COUNTS[s]
-        if BITS[s]:                               # the end of a run may fill a word in part
-            full |= (wide >= run_end) & (run_end - here <= COUNTS[s])
-        best[full] = s
+        wide = small >> BITS[s] > 0
+        if np.diff(np.flatnonzero(wide), prepend=-1, append=n).max() <= COUNTS[s]:
+            continue                              # nowhere so many narrow ids together
+        stop = np.where(wide, here, run_end)
+        reach = np.minimum.accumulate(stop[::-1])[::-1] - here
+        best[reach >= np.minimum(left, COUNTS[s])] = s          # a run's last word may be filled in part
     at, picked = np.arange(runs) * RUN, []
     ends = np.minimum(at + RUN, n)
     while len(at):                                # all runs advance side by side
@@ -90,7 +91,7 @@ def unpack(first: np.ndarray, words: np.ndarray, escapes: np.ndarray, n: int) ->
     if not n:
         return np.empty(0, "<u4")
     selector = (words >> np.uint64(60)).astype(np.int64)
-    count = COUNTS[selector]
+    count = COUNTS[selector].astype(np.int64)
     run = np.repeat(np.arange(len(first)), np.diff(np.append(first.astype(np.int64), len(words))))
     ends = np.cumsum(count)
     begin_of_run = (ends - count)[first]
