@@ -37,6 +37,8 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3], np.int32
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20], np.int32)
 RUN = 1024                      # ids between two stored word offsets
 ESCAPE = (1 << 20) - 1
+#: for every value, the least selector (from 1: a lone zero has no use for 0) wide enough for it
+_LEAST = (1 + np.searchsorted(1 << BITS[1:], np.arange(ESCAPE + 1), side="right")).astype(np.uint8)
 HEAD = struct.Struct("<4siqIIII")
 BLOCK_IDS = 1 << 16             # a block is closed once it holds this many ids
 BLOCKS_PER_FILE = 256
@@ -49,21 +51,27 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     runs = -(-n // RUN)
     if not runs:
         return np.empty(0, "<u4"), np.empty(0, "<u8"), np.empty(0, "<u4")
-    width = max(int(COUNTS.max()), RUN)
-    v = np.zeros(n + width, np.uint64)
+    v = np.zeros(n + RUN, np.uint64)
     v[:n] = np.minimum(ids, ESCAPE)
-    small = v[:n].astype(np.int32)
-    here = np.arange(n, dtype=np.int32)
-    run_end = np.minimum((here // RUN + 1) * RUN, n)
-    left = run_end - here
-    best = np.full(n, len(COUNTS) - 1)
+    run_end = np.minimum((np.arange(n, dtype=np.int32) // RUN + 1) * RUN, n)
+    # least selector each id fits, run by run; beyond a run's end all fit, so its last word may be part empty
+    widest = int(COUNTS[0])
+    least = np.zeros((runs, RUN + widest), np.uint8)
+    flat = np.zeros(runs * RUN, np.uint8)
+    flat[:n] = _LEAST[v[:n].astype(np.int32)]
+    least[:, :RUN] = flat.reshape(runs, RUN)
+    need = {1: least}                             # width -> largest of the next so many
+    best = np.full((runs, RUN), len(COUNTS) - 1, np.uint8)
     for s in range(len(COUNTS) - 2, -1, -1):      # from few wide ids to many narrow ones
-        wide = small >> BITS[s] > 0
-        if np.diff(np.flatnonzero(wide), prepend=-1, append=n).max() <= COUNTS[s]:
-            continue                              # nowhere so many narrow ids together
-        stop = np.where(wide, here, run_end)
-        reach = np.minimum.accumulate(stop[::-1])[::-1] - here
-        best[reach >= np.minimum(left, COUNTS[s])] = s          # a run's last word may be filled in part
+        c = int(COUNTS[s])
+        half = max(w for w in need if w <= c)
+        while half < c:
+            w = min(2 * half, c)
+            m = need[half]
+            need[w] = np.maximum(m[:, :m.shape[1] - (w - half)], m[:, w - half:])
+            half = w
+        best[need[c][:, :RUN] <= max(s, 1)] = s
+    best = best.ravel()[:n]
     at, picked = np.arange(runs) * RUN, []
     ends = np.minimum(at + RUN, n)
     while len(at):                                # all runs advance side by side
@@ -72,7 +80,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         more = at < ends
         at, ends = at[more], ends[more]
     start = np.sort(np.concatenate(picked))
-    selector = best[start]
+    selector = best[start].astype(np.int64)
     taken = np.minimum(COUNTS[selector], run_end[start] - start)
     word = selector.astype(np.uint64) << np.uint64(60)
     for s in np.unique(selector):
