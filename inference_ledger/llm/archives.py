@@ -98,6 +98,22 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
+def frame_end(data: bytes, at: int) -> int:
+    """Where the Zstandard frame that begins at ``at`` ends, from its block headers (fixed by the format)."""
+    flags = data[at + 4]
+    single = flags >> 5 & 1
+    at += 5 + (0 if single else 1) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6]
+    last = False
+    while not last:
+        head = data[at:at + 3]
+        if len(head) < 3:
+            raise ValueError("archive ends inside a frame")
+        head = int.from_bytes(head, "little")
+        last = bool(head & 1)
+        at += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)      # a run-length block has one byte
+    return at + 4 * (flags >> 2 & 1)
+
+
 def frames(data: bytes):
     """(dictionary frame's bytes or None, then each record frame's decoded bytes)."""
     import zstandard
@@ -114,12 +130,11 @@ def frames(data: bytes):
                 decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body))
             at += 8 + size
         elif data[at:at + 4] == FRAME_MAGIC:
-            one = (decoder or zstandard.ZstdDecompressor()).decompressobj()
-            raw = one.decompress(data[at:])
-            if not one.eof:
+            end = frame_end(data, at)
+            if end > len(data):
                 raise ValueError("archive ends inside a frame")
-            at = len(data) - len(one.unused_data)
-            yield raw
+            yield (decoder or zstandard.ZstdDecompressor()).decompressobj().decompress(data[at:end])
+            at = end
         else:
             raise ValueError("not a Zstandard frame")
         first = False
