@@ -107,6 +107,10 @@ def parsed_fields() -> dict[str, Column]:
     return {f: F.col(FIELD_PREFIX + f) for f in PROMPT_FIELDS}
 
 
+# fixed values: texts and numbers that count as booleans
+BOOLEAN_TEXTS = ("true", "false", "t", "f", "yes", "no", "y", "n", "on", "off", "1", "0")
+
+
 def reject_reason(protocol: Column, body: Column, v: Column | None = None) -> Column:
     """F8 + F9: NULL for a valid request, else the first failing rule."""
     v = parsed(body) if v is None else v
@@ -117,11 +121,38 @@ def reject_reason(protocol: Column, body: Column, v: Column | None = None) -> Co
     input_kind = F.coalesce(kind(v, "$.input"), F.lit("VOID"))
     input_present = input_kind != "VOID"
     native = protocol == "embed_native"
+
+    def kind_of(x: Column, path: str = "$") -> Column:
+        return F.coalesce(F.schema_of_variant(F.variant_get(x, path, "variant")), F.lit("VOID"))
+
+    def elements(path: str) -> Column:
+        return F.try_variant_get(v, path, "array<variant>")
+
+    def objects(path: str) -> Column:
+        return F.coalesce(F.forall(elements(path), lambda x: kind_of(x).startswith("OBJECT")), F.lit(False))
+
+    # chat messages: a role text, and content as text, list of objects, or none
+    turns = F.coalesce(F.forall(elements("$.messages"), lambda m: kind_of(m).startswith("OBJECT")
+                                & (kind_of(m, "$.role") == "STRING")
+                                & (kind_of(m, "$.content").isin("VOID", "STRING")
+                                   | (kind_of(m, "$.content").startswith("ARRAY") & F.coalesce(F.forall(
+                                       F.try_variant_get(m, "$.content", "array<variant>"),
+                                       lambda p: kind_of(p).startswith("OBJECT")), F.lit(False))))), F.lit(False))
+    stream_kind = kind_of(v, "$.stream")
+    stream_ok = stream_kind.isin("VOID", "BOOLEAN") | F.coalesce(
+        F.lower(F.try_variant_get(v, "$.stream", "string")).isin(*BOOLEAN_TEXTS), F.lit(False))
+    input_ok = (input_kind.isin("VOID", "STRING") | (input_kind.startswith("ARRAY") & objects("$.input")))
     return (F.when(v.isNull() | ~is_obj, F.lit("invalid_json"))
             .when(native & (model.isNull() | (model == "")), F.lit("missing_model"))
             .when(~native & (model_kind != "STRING"), F.lit("missing_model"))
             .when(protocol.isin("chat", "messages") & ~msgs_ok, F.lit("missing_messages"))
-            .when((protocol == "embeddings") & ~input_present, F.lit("missing_input")))
+            .when((protocol == "embeddings") & ~input_present, F.lit("missing_input"))
+            .when((protocol == "chat") & ~turns, F.lit("invalid_messages"))
+            .when((protocol == "messages") & ~objects("$.messages"), F.lit("invalid_messages"))
+            .when((protocol == "responses") & ~input_ok, F.lit("invalid_input"))
+            .when((protocol == "embeddings") & ~(input_kind == "STRING") & ~input_kind.startswith("ARRAY"),
+                  F.lit("invalid_input"))
+            .when(protocol.isin("chat", "responses", "messages") & ~stream_ok, F.lit("invalid_stream")))
 
 
 def reject_status(reason: Column, protocol: Column) -> Column:

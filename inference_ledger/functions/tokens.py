@@ -1,25 +1,15 @@
-"""Token counts of a text column.
+"""Token estimate of a text column.
 
-Two forms:
-
-* ``estimate_tokens`` -- native (JVM, codegen) piece count: special tokens, runs
-  of letters, runs of up to three digits, runs of other non-space characters.
-  BPE merges never cross these pieces, so on ordinary text this is a lower
-  bound of the exact count; it equals the exact count on the reference's
-  golden strings. Returned under the name ``*_estimate``, never as exact.
-* ``exact_token_count`` -- an iterator pandas UDF over a BPE vocabulary file
-  (``tiktoken`` format), loaded once per Python worker. Used only when a
-  vocabulary is available; the test machine has none offline.
+``estimate_tokens`` is a native (JVM, codegen) piece count: special tokens, runs of letters,
+runs of up to three digits, runs of other non-space characters. BPE merges never
+cross these pieces, so on ordinary text this is a lower bound of the exact count.
+Returned under the name ``*_estimate``, never as exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # fixed values: the piece pattern (Java regex; RE2-compatible so the DuckDB
 # oracle can run the same pattern) and the special-token form it keeps whole.
@@ -29,7 +19,6 @@ PIECE_PATTERN = SPECIAL_TOKEN_PATTERN + r"|\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
 # alternatives are disjoint character classes, so no match ever needs to give
 # characters back and the matches are identical; it only skips backtracking.
 PIECE_PATTERN_JVM = r"<\|[A-Za-z0-9_]++\|>|\p{L}++|\p{N}{1,3}+|[^\s\p{L}\p{N}]++"
-DEFAULT_ENCODING = "cl100k_base"
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -39,29 +28,6 @@ def estimate_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(PIECE_PATTERN_JVM)), F.lit(0)).cast("bigint")
 
 
-def exact_token_count(text: Column, vocab_path: str, pattern: str | None = None) -> Column:
-    """Exact BPE count with ``allowed_special='all'`` semantics, as an Arrow-
-    batched pandas UDF. ``vocab_path`` is a ``.tiktoken`` rank file readable by
-    every executor (shared storage)."""
-
-    @F.pandas_udf(T.LongType())
-    def _count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-        from tiktoken.load import load_tiktoken_bpe
-
-        ranks = load_tiktoken_bpe(vocab_path)
-        specials = {"<|endoftext|>": len(ranks), "<|fim_prefix|>": len(ranks) + 1,
-                    "<|fim_middle|>": len(ranks) + 2, "<|fim_suffix|>": len(ranks) + 3,
-                    "<|endofprompt|>": len(ranks) + 4}
-        split = pattern or (r"""(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+""")
-        enc = tiktoken.Encoding(name=DEFAULT_ENCODING, pat_str=split, mergeable_ranks=ranks,
-                                special_tokens=specials)
-        for s in batches:
-            yield s.map(lambda t: 0 if not t else len(enc.encode(t, allowed_special="all"))).astype("int64")
-
-    return _count(text)
-
-
 def flatten_content(content_json: Column) -> Column:
     """P13 over a JSON content value: a string as-is; a list -> concatenation of
     every item's ``text`` with no separator; anything else -> empty."""

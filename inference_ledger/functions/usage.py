@@ -23,6 +23,27 @@ def as_int(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "bigint")
 
 
+def whole(v: Column, path: str) -> Column:
+    """The integer at ``path``: an integral number or a text of digits, else NULL (5.5 is no integer)."""
+    i, d = as_int(v, path), F.try_variant_get(v, path, "double")
+    return F.when(d.isNull() | (d == i.cast("double")), i)
+
+
+def extras_valid(u: Column) -> Column:
+    """The optional fields of a usage record: counters are integers or null, details are
+    objects of integers (no nulls inside) or null."""
+    def absent(path: str) -> Column:
+        return vkind(vget(u, path)).isin("", "VOID")
+
+    ok = F.lit(True)
+    for name in ("cache_creation_input_tokens", "cache_read_input_tokens"):
+        ok = ok & (absent(f"$.{name}") | whole(u, f"$.{name}").isNotNull())
+    for name in ("prompt_tokens_details", "completion_tokens_details"):
+        inside = F.map_values(F.try_variant_get(u, f"$.{name}", "map<string,variant>"))
+        ok = ok & (absent(f"$.{name}") | F.coalesce(F.forall(inside, lambda x: whole(x, "$").isNotNull()), F.lit(False)))
+    return ok
+
+
 def vkind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit(""))
 
@@ -56,12 +77,12 @@ def usage_fields(u: Column, fallback_prompt: Column) -> dict[str, Column]:
     p_has, i_has = has(u, "$.prompt_tokens"), has(u, "$.input_tokens")
     c_has, o_has = has(u, "$.completion_tokens"), has(u, "$.output_tokens")
     t_has = has(u, "$.total_tokens")
-    prompt = (F.when(p_has, as_int(u, "$.prompt_tokens"))
-              .when(i_has, as_int(u, "$.input_tokens")).otherwise(fallback_prompt.cast("bigint")))
-    completion = (F.when(c_has, as_int(u, "$.completion_tokens"))
-                  .when(o_has, as_int(u, "$.output_tokens")).otherwise(F.lit(0).cast("bigint")))
-    total = F.when(t_has, as_int(u, "$.total_tokens")).otherwise(prompt + completion)
-    valid = (prompt.isNotNull() & completion.isNotNull() & total.isNotNull())
+    prompt = (F.when(p_has, whole(u, "$.prompt_tokens"))
+              .when(i_has, whole(u, "$.input_tokens")).otherwise(fallback_prompt.cast("bigint")))
+    completion = (F.when(c_has, whole(u, "$.completion_tokens"))
+                  .when(o_has, whole(u, "$.output_tokens")).otherwise(F.lit(0).cast("bigint")))
+    total = F.when(t_has, whole(u, "$.total_tokens")).otherwise(prompt + completion)
+    valid = prompt.isNotNull() & completion.isNotNull() & total.isNotNull() & extras_valid(u)
     return {
         "prompt_tokens": prompt,
         "completion_tokens": completion,
@@ -108,3 +129,8 @@ def timings(data: Column) -> tuple[Column, Column]:
     """``timings.prompt_ms`` -> ttft, ``timings.predicted_per_second`` -> speed."""
     return (F.try_variant_get(data, "$.timings.prompt_ms", "double"),
             F.try_variant_get(data, "$.timings.predicted_per_second", "double"))
+
+
+def timings_fail(data: Column) -> Column:
+    """``timings`` that is there but no object (null, too) is an internal failure."""
+    return has(data, "$.timings") & ~vkind(vget(data, "$.timings")).startswith("OBJECT")

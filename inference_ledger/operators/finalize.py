@@ -20,6 +20,8 @@ from ..session import checked_broadcast
 CONNECTION_DETAIL = "Connection error (ConnectError): all connection attempts failed"
 INTERNAL_DETAIL = "Internal error (RuntimeError): backend stream aborted"
 DECODE_DETAIL = "Internal error (JSONDecodeError): Expecting value: line 1 column 1 (char 0)"
+NOT_AN_OBJECT_DETAIL = "Internal error (AttributeError): the body is not a JSON object"
+NO_TIMINGS_DETAIL = "Internal error (AttributeError): timings is not a JSON object"
 INVALID_USAGE_DETAIL = "Internal error (ValidationError): invalid usage record"
 NOT_MAPPED_TEXT = "Model '%s' is not mapped to any backends and no valid default model is configured."
 NO_BACKENDS_TEXT = "No configured backends found for model '%s'."
@@ -66,15 +68,17 @@ def finalize_responses(joined: DataFrame, estimate: str = "prompt_tokens") -> Da
     extracted = parsed.select(
         *base,
         *[F.when(native, nu[k]).otherwise(oa[k]).alias("_u_" + k) for k in oa],
-        data.isNotNull().alias("_decodable"), ttft.alias("_ttft"), tps.alias("_tps"))
+        (U.vkind(data) != "").alias("_decodable"), U.vkind(data).startswith("OBJECT").alias("_object"),
+        F.coalesce(U.timings_fail(data), F.lit(False)).alias("_bad_timings"), ttft.alias("_ttft"), tps.alias("_tps"))
     valid = F.col("_u_usage_valid")
     decodable = F.col("_decodable")
     kind = F.col("failure_kind")
-    good = kind.isNull() & decodable & valid
+    read = kind.isNull() & F.col("_object") & valid         # the usage has been read
+    good = read & ~F.col("_bad_timings")
     status = (F.when(kind == "http", F.col("status_code"))
               .when(kind == "connection", F.lit(502))
               .when(kind.isNotNull(), F.lit(500))
-              .when(~decodable | ~valid, F.lit(500))
+              .when(~good, F.lit(500))
               .otherwise(F.col("status_code"))).cast("int")
     error = (F.when(kind == "http",
                     F.concat(F.lit("Backend HTTP "), F.col("status_code").cast("string"), F.lit(": "),
@@ -82,13 +86,15 @@ def finalize_responses(joined: DataFrame, estimate: str = "prompt_tokens") -> Da
              .when(kind == "connection", F.lit(CONNECTION_DETAIL))
              .when(kind.isNotNull(), F.lit(INTERNAL_DETAIL))
              .when(~decodable, F.lit(DECODE_DETAIL))
-             .when(~valid, F.lit(INVALID_USAGE_DETAIL)))
-    # on any failure the usage falls back to (estimate, 0, estimate)
+             .when(~F.col("_object"), F.lit(NOT_AN_OBJECT_DETAIL))
+             .when(~valid, F.lit(INVALID_USAGE_DETAIL))
+             .when(F.col("_bad_timings"), F.lit(NO_TIMINGS_DETAIL)))
+    # on a failure before the usage is read it falls back to (estimate, 0, estimate)
     fallback = {"prompt_tokens": est, "completion_tokens": F.lit(0).cast("bigint"), "total_tokens": est}
     return extracted.select(
         *base,
         status.alias("final_status"),
-        *[F.when(good, F.col("_u_" + c)).otherwise(fallback.get(c, F.lit(None).cast("bigint"))).alias(c)
+        *[F.when(read, F.col("_u_" + c)).otherwise(fallback.get(c, F.lit(None).cast("bigint"))).alias(c)
           for c in USAGE_COLS],
         F.when(good, F.col("_ttft")).alias("ttft_ms"),
         F.when(good, F.col("_tps")).alias("tokens_per_second"),

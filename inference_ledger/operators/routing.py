@@ -94,7 +94,7 @@ def route(requests: DataFrame, mappings: DataFrame, limits: DataFrame,
     backend_id, backend_root_url, backend_limit, target_url, logged_model.
 
     ``pick`` chooses one backend among the available ones: ``round_robin``
-    (``request_id mod n``) or ``hash`` (``xxhash64(request_id) mod n``).
+    (``request_id mod n``) or ``hash`` (the first 32 bits of md5(request_id) mod n).
     """
     avail = checked_broadcast(available_backends(mappings, limits))
     default_id = F.when(F.col("protocol").isin(*EMBEDDING_PROTOCOLS), F.lit(default_embedding_model_id)) \
@@ -108,7 +108,7 @@ def route(requests: DataFrame, mappings: DataFrame, limits: DataFrame,
     found = mapped | F.col("_m2").isNotNull()
     backends = F.when(mapped, F.col("_b1")).otherwise(F.col("_b2"))
     n = F.size(backends)
-    key = F.col("request_id") if pick == "round_robin" else F.xxhash64(F.col("request_id"))
+    key = F.col("request_id") if pick == "round_robin" else F.expr("CAST(conv(substr(md5(CAST(request_id AS STRING)), 1, 8), 16, 10) AS BIGINT)")
     chosen = F.when(found & (n > 0), F.element_at(backends, (F.pmod(key, n) + 1).cast("int")))
     if "reject_status" in requests.columns:
         chosen = F.when(F.col("reject_status").isNull(), chosen)

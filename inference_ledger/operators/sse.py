@@ -25,6 +25,8 @@ from ..functions.tokens import estimate_tokens
 BUCKET_ROWS = 4096
 DATA_PREFIX = "data: "
 DONE = "[DONE]"
+# fixed values: the dialects' own last events
+END_EVENTS = ("response.completed", "response.failed", "response.incomplete", "message_stop")
 
 
 def _trimmed(line: Column) -> Column:
@@ -126,17 +128,18 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.when(is_obj, _usage_object(v, proto)).alias("_u"),
         ((F.col("line") == "event: error") | (is_obj & U.has(v, "$.error"))).alias("_error"),
         F.when(is_obj, F.try_variant_get(v, "$.error.message", "string")).alias("_err_msg"),
+        F.when(is_obj, F.try_variant_get(v, "$.type", "string").isin(*END_EVENTS)).alias("_last"),
     )
     # chat/responses: usage_from_dict with a deferred fallback prompt; only on usage lines
     uu = F.col("_u")
     p_has, i_has = U.has(uu, "$.prompt_tokens"), U.has(uu, "$.input_tokens")
     c_has, o_has = U.has(uu, "$.completion_tokens"), U.has(uu, "$.output_tokens")
-    prompt = F.when(p_has, U.as_int(uu, "$.prompt_tokens")).when(i_has, U.as_int(uu, "$.input_tokens"))
-    completion = F.when(c_has, U.as_int(uu, "$.completion_tokens")).when(o_has, U.as_int(uu, "$.output_tokens")) \
+    prompt = F.when(p_has, U.whole(uu, "$.prompt_tokens")).when(i_has, U.whole(uu, "$.input_tokens"))
+    completion = F.when(c_has, U.whole(uu, "$.completion_tokens")).when(o_has, U.whole(uu, "$.output_tokens")) \
         .otherwise(F.lit(0).cast("bigint"))
-    total = U.as_int(uu, "$.total_tokens")
+    total = U.whole(uu, "$.total_tokens")
     valid = ((~(p_has | i_has) | prompt.isNotNull()) & completion.isNotNull()
-             & (~U.has(uu, "$.total_tokens") | total.isNotNull()))
+             & (~U.has(uu, "$.total_tokens") | total.isNotNull()) & U.extras_valid(uu))
     on = uu.isNotNull()
 
     def u(col: Column) -> Column:
@@ -144,6 +147,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     return staged.select(
         "request_id", "protocol", "seq", "arrival_ts", "_done", "_error", "_err_msg", "first_token", "piece",
+        (F.col("_done") | F.coalesce("_error", F.lit(False)) | F.coalesce("_last", F.lit(False))).alias("_end"),
         F.coalesce(u(valid), F.lit(False)).alias("has_usage"),
         u(prompt).alias("u_prompt"), u(completion).alias("u_completion"), u(total).alias("u_total"),
         u(U.as_int(uu, "$.prompt_tokens_details.cached_tokens")).alias("u_cached"),
@@ -172,12 +176,11 @@ def fold_partials(parsed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     p = parsed
     usage_struct = F.struct("u_prompt", "u_completion", "u_total", "u_cached", "u_creation", "u_read")
     return p.groupBy("request_id", "protocol", F.floor(F.col("seq") / bucket_rows).alias("bucket")).agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("piece") != "", F.struct("seq", "piece")))),
-            lambda x: x.getField("piece")), "").alias("text_part"),
+        F.collect_set(F.when(F.col("piece") != "", F.struct("seq", "piece"))).alias("pieces"),
         F.min(F.when(F.col("first_token"), F.col("arrival_ts"))).alias("first_token_ts"),
         F.max("arrival_ts").alias("last_ts"),
         F.max(F.col("_done").cast("int")).alias("saw_done"),
+        F.max(F.col("_end").cast("int")).alias("saw_end"),
         F.max(F.col("_error").cast("int")).alias("saw_error"),
         _last(F.col("_err_msg").isNotNull(), F.col("_err_msg")).alias("err"),
         _last(F.col("has_usage"), usage_struct).alias("last_usage"),
@@ -189,9 +192,21 @@ def fold_partials(parsed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     )
 
 
+def merge_partials(parts: DataFrame) -> DataFrame:
+    """Parts of the same bucket from several batches as one: everything in a part is a
+    minimum, a maximum by ``seq`` or a set keyed by ``seq``, so repeats change nothing."""
+    least = [F.min(c).alias(c) for c in ("first_token_ts",)]
+    most = [F.max(c).alias(c) for c in ("last_ts", "saw_done", "saw_end", "saw_error", "err", "last_usage",
+                                        "any_usage", "m_in", "m_out", "m_creation", "m_read")]
+    return parts.groupBy(*PARTIAL_KEYS).agg(
+        F.array_distinct(F.flatten(F.collect_list("pieces"))).alias("pieces"), *least, *most)
+
+
 def stitch(part: DataFrame) -> DataFrame:
     """Phase 2: combine the bucket partials of each request (text in bucket
     order; the rest are max/min over (seq, value) structs)."""
+    part = part.withColumn("text_part", F.array_join(F.transform(
+        F.array_sort("pieces"), lambda x: x.getField("piece")), ""))
     whole = part.groupBy("request_id", "protocol").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "text_part"))),
                                  lambda x: x.getField("text_part")), "").alias("text"),
@@ -228,14 +243,21 @@ def fold(lines: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
 
 def finalize_streams(folded: DataFrame, stream_requests: DataFrame, estimate: str = "prompt_tokens") -> DataFrame:
-    """A16 + P7 + J8 for streams: join the fold to its request (start time and
-    prompt estimate). With usage: prompt falls back to the estimate, total to
-    prompt + completion. Without usage: (estimate, count(text), sum) on a clean
-    end; a failed stream counts no text (T19)."""
-    j = folded.join(stream_requests.select("request_id", "started_at", F.col(estimate).alias("_est")),
-                    "request_id", "inner")
+    """A16 + P7 + J8 for streams: join every request (start time and prompt estimate) to its
+    fold; a request without a captured line keeps the estimate. With usage: prompt falls back to
+    the estimate, total to prompt + completion. Without usage: (estimate, count(text), sum)
+    however the stream ended, with ``[DONE]`` or not; a failed stream counts no text (T19)."""
+    req = stream_requests.select("request_id", F.col("protocol").alias("_protocol"), "started_at",
+                                 F.col(estimate).alias("_est")) if "protocol" in stream_requests.columns else \
+        stream_requests.select("request_id", F.lit(None).cast("string").alias("_protocol"), "started_at",
+                               F.col(estimate).alias("_est"))
+    j = (req.join(folded, "request_id", "left")
+         .withColumn("protocol", F.coalesce("protocol", "_protocol")).drop("_protocol")
+         .withColumn("text", F.coalesce("text", F.lit("")))
+         .withColumn("usage_seen", F.coalesce("usage_seen", F.lit(False)))
+         .withColumn("saw_error", F.coalesce("saw_error", F.lit(False))))
     est = F.col("_est").cast("bigint")
-    clean = F.col("saw_done") & ~F.col("saw_error")
+    clean = ~F.col("saw_error")
     counted = F.when(clean, estimate_tokens(F.col("text"))).otherwise(F.lit(0).cast("bigint"))
     seen = F.col("usage_seen")
     prompt = F.when(seen, F.coalesce(F.col("u_prompt"), est)).otherwise(est)

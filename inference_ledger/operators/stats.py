@@ -89,6 +89,20 @@ def totals(log: DataFrame, hours: int | None = None, as_of: float | None = None)
     return _zero_fill_when_empty(agg, "total_requests")
 
 
+def total_parts(log: DataFrame) -> DataFrame:
+    """What ``totals`` needs of a part of the log: counts and sums, no averages. Parts add up."""
+    counts = [F.expr(f"count({sql[4:-1]}) AS n_{name}") for name, sql in MEASURE_SQL.items()]
+    sums = [F.expr(f"sum({sql[4:-1]}) AS s_{name}") for name, sql in MEASURE_SQL.items()]
+    return log.agg(F.expr("count(1) AS total_requests"), *counts, *sums)
+
+
+def totals_of_parts(parts: DataFrame) -> DataFrame:
+    """A1 + A2 from any number of ``total_parts`` rows."""
+    whole = parts.agg(F.expr("coalesce(sum(total_requests), 0) AS total_requests"), *[
+        F.expr((f"sum(s_{m}) / sum(n_{m})" if m in AVG_MEASURES else f"sum(s_{m})") + f" AS {m}") for m in MEASURE_SQL])
+    return _zero_fill_when_empty(whole, "total_requests")
+
+
 def model_rollup(log: DataFrame, hours: int | None = None, as_of: float | None = None) -> DataFrame:
     """A3 + L1: per-model measures, busiest model first (tie-break on id, T13)."""
     df = filter_hours(log, hours, as_of) if hours else log

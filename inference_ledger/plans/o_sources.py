@@ -27,7 +27,8 @@ def _evolved_cols() -> str:
 ORACLE.update({
     "stored_totals_day": ORACLE["totals_day"],
     "evolve_schema": f"WITH {LOG_CTE}\nSELECT {_evolved_cols()} FROM log",
-    "clear_tables": f"WITH {LOG_CTE}\nSELECT {LOG_COLS} FROM log WHERE false",
+    "clear_tables": """SELECT 'request_log' AS table_name, count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM events
+UNION ALL SELECT 'system_log', count(*), CAST(0 AS BIGINT) FROM events""",
     "system_log_ingest": f"""WITH {SYSLOG_CTE}
 SELECT level, name, count(*) AS records, count(traceback) AS with_traceback FROM syslog GROUP BY ALL""",
     "export_json": f"""WITH {LOG_CTE}
@@ -43,6 +44,16 @@ FROM log GROUP BY model_id""",
 SELECT strftime(make_timestamp(CAST(round("timestamp" * 1000000.0) AS BIGINT)), '%Y-%m-%d %H:00') AS label,
   count(*) AS requests, CAST(sum(total_tokens) AS BIGINT) AS tokens,
   CAST(sum(coalesce(prompt_cached_tokens, 0) + coalesce(cache_read_input_tokens, 0)) AS BIGINT) AS cached_tokens
+FROM log GROUP BY 1""",
+    "stream_series_day": f"""WITH {LOG_CTE}
+SELECT strftime(make_timestamp(CAST(round("timestamp" * 1000000.0) AS BIGINT)), '%Y-%m-%d') AS label,
+  count(*) AS requests, CAST(sum(total_tokens) AS BIGINT) AS tokens,
+  CAST(sum(coalesce(prompt_cached_tokens, 0) + coalesce(cache_read_input_tokens, 0)) AS BIGINT) AS cached_tokens
+FROM log GROUP BY 1""",
+    "stream_series_month": f"""WITH {LOG_CTE}
+SELECT strftime(make_timestamp(CAST(round("timestamp" * 1000000.0) AS BIGINT)), '%Y-%m') AS label,
+  count(*) AS requests, CAST(sum(total_tokens) AS BIGINT) AS tokens,
+  CAST(sum(coalesce(prompt_cached_tokens, 0) + coalesce(cache_read_input_tokens, 0)) AS BIGINT) AS cached_tokens
 FROM log GROUP BY 1""",
     "stream_sse": f"""WITH {STREAM_CTE}
 SELECT request_id, text, prompt_tokens, completion_tokens, total_tokens, cache_read_input_tokens, ttft_ms,

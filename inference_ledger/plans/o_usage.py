@@ -31,7 +31,7 @@ responses AS (
     failure_kind,
     CASE
       WHEN failure_kind = 'http' THEN CASE WHEN event_id % 2 = 0
-        THEN '{"error":{"message":"backend says no","type":"rate_limit"}}' ELSE 'Stream Error' END
+        THEN '{"error":{"message":"tray 3 is jammed","type":"paper"}}' ELSE 'out of toner' END
       WHEN failure_kind IS NOT NULL THEN NULL
       WHEN event_id % 101 = 17 THEN '<html>bad gateway</html>'
       WHEN protocol = 'chat' THEN

@@ -49,7 +49,7 @@ log AS (
     CASE status
       WHEN 500 THEN 'Internal error (RuntimeError): upstream closed the stream before the final chunk was received; partial output discarded (props ' || props || ')'
       WHEN 502 THEN 'Connection error (ConnectError): all connection attempts failed'
-      WHEN 429 THEN 'Backend HTTP 429: {"error":{"message":"rate limited","type":"rate_limit"}}'
+      WHEN 429 THEN 'Backend HTTP 429: {"error":{"message":"tray 1 is empty","type":"paper"}}'
     END AS error_message,
     ttft AS ttft_ms,
     CASE WHEN ttft IS NOT NULL AND dur > ttft AND has_usage AND ct > 0

@@ -42,13 +42,21 @@ def evolve_schema(spark, sf_dir):
 
 @register("clear_tables")
 def clear_tables(spark, sf_dir):
-    """Both tables emptied, schemas kept."""
+    """Rows per table before and after emptying; schemas are kept."""
     root = scratch_path(spark, "clear")
     logstore.create_tables(spark, root)
     logstore.append_log(derive.request_log(spark, sf_dir), root)
     logstore.append_system_log(derive.system_log(spark, sf_dir), root)
+    tables = {"request_log": logstore.read_log, "system_log": logstore.read_system_log}
+    folder = scratch_path(spark, "counts")
+    for name, read in tables.items():
+        (read(spark, root).agg(F.count(F.lit(1)).alias("rows_before"))
+         .select(F.lit(name).alias("table_name"), "rows_before").write.mode("append").parquet(folder))
     logstore.clear_tables(spark, root)
-    return derive.log_columns(logstore.read_log(spark, root))
+    after = [read(spark, root).agg(F.count(F.lit(1)).alias("rows_after")).withColumn("table_name", F.lit(name))
+             for name, read in tables.items()]
+    return spark.read.parquet(folder).join(after[0].unionByName(after[1]), "table_name") \
+        .select("table_name", "rows_before", "rows_after")
 
 
 @register("system_log_ingest")

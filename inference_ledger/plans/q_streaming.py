@@ -1,6 +1,7 @@
-"""Registered streaming queries: T-S1 .. T-S6. Each stages the derived capture
-table as parquet files in the shared checkpoint folder, runs the streaming job
-to completion (availableNow) and returns the sink read back in batch."""
+"""Registered streaming queries: T-S1 .. T-S6. Each puts one half of the derived capture
+table (by a hash of the row, so in no order of time) as Parquet files in the shared
+folder, runs the job over them a few files at a time, adds the other half, and starts the
+job again on the same sink: several batches, out of order, and a restart."""
 
 from __future__ import annotations
 
@@ -17,73 +18,104 @@ from .q_sse import SSE_OUT
 from .registry import register
 
 
-def _stage_log(spark, sf_dir):
-    path = scratch_path(spark, "src-log")
-    derive.request_log(spark, sf_dir).write.partitionBy("dt").parquet(path)
-    return path
+FILES = 4            # per half; two to a batch
+PER_BATCH = 2
+
+
+def _twice(df, source, job, fmt="parquet"):
+    """Both halves of ``df`` to ``source``, the job after each; its last result."""
+    halves = df.withColumn("_half", F.expr("pmod(xxhash64(struct(*)), 2)"))
+    for half in (1, 0):
+        (halves.filter(F.col("_half") == half).drop("_half").repartition(FILES)
+         .write.mode("append").format(fmt).save(source))
+        out = job()
+    return out
+
+
+def _log(spark, sf_dir):
+    return derive.request_log(spark, sf_dir)
 
 
 @register("stream_append")
 def stream_append(spark, sf_dir):
-    out = jobs.append_log_stream(spark, _stage_log(spark, sf_dir), scratch_path(spark, "sink-log"))
+    src, sink = scratch_path(spark, "src-log"), scratch_path(spark, "sink-log")
+    out = _twice(_log(spark, sf_dir), src, lambda: jobs.append_log_stream(spark, src, sink, PER_BATCH))
     return derive.log_columns(out)
 
 
 @register("stream_totals")
 def stream_totals(spark, sf_dir):
-    t = jobs.live_totals(spark, _stage_log(spark, sf_dir), scratch_path(spark, "sink-totals"))
+    src, sink = scratch_path(spark, "src-log"), scratch_path(spark, "sink-totals")
+    t = _twice(_log(spark, sf_dir), src, lambda: jobs.live_totals(spark, src, sink, PER_BATCH))
     return stats.round_averages(t, P.ROUND_DIGITS)
 
 
 @register("stream_recent")
 def stream_recent(spark, sf_dir):
-    return jobs.live_recent(spark, _stage_log(spark, sf_dir), scratch_path(spark, "sink-recent"), P.RECENT_LIMIT)
+    src, sink = scratch_path(spark, "src-log"), scratch_path(spark, "sink-recent")
+    return _twice(_log(spark, sf_dir), src, lambda: jobs.live_recent(spark, src, sink, P.RECENT_LIMIT, PER_BATCH))
+
+
+def _series(spark, sf_dir, period):
+    src, sink = scratch_path(spark, "src-log"), scratch_path(spark, f"sink-series-{period}")
+    return _twice(_log(spark, sf_dir), src, lambda: jobs.live_series(spark, src, sink, period, PER_BATCH))
 
 
 @register("stream_series")
 def stream_series(spark, sf_dir):
-    return jobs.live_series_hourly(spark, _stage_log(spark, sf_dir), scratch_path(spark, "sink-series"))
+    return _series(spark, sf_dir, "hour")
 
 
-@register("stream_sse")
-def stream_sse(spark, sf_dir):
-    src = scratch_path(spark, "src-sse")
+@register("stream_series_day")
+def stream_series_day(spark, sf_dir):
+    return _series(spark, sf_dir, "day")
+
+
+@register("stream_series_month")
+def stream_series_month(spark, sf_dir):
+    return _series(spark, sf_dir, "month")
+
+
+def _sse(spark, sf_dir, job):
+    src, sink = scratch_path(spark, "src-sse"), scratch_path(spark, "sink-sse")
     lines = derive.sse_lines(spark, sf_dir)
-    lines.write.parquet(src)
-    folded = jobs.live_sse_fold(spark, src, scratch_path(spark, "sink-sse"), lines.schema)
+    folded = _twice(lines, src, lambda: job(spark, src, sink, lines.schema, PER_BATCH))
     req = derive.stream_requests(spark, sf_dir)
     req = req.withColumn("prompt_tokens", prompt_estimate(F.col("protocol"), F.col("body")))
     return sse.finalize_streams(folded, req).select(*SSE_OUT)
 
 
+@register("stream_sse")
+def stream_sse(spark, sf_dir):
+    return _sse(spark, sf_dir, jobs.live_sse_fold)
+
+
 @register("stream_route")
 def stream_route(spark, sf_dir):
-    src = scratch_path(spark, "src-req")
+    src, sink = scratch_path(spark, "src-req"), scratch_path(spark, "sink-route")
     reqs = derive.requests(spark, sf_dir)
-    reqs.write.parquet(src)
     limits = routing.backend_limits(config.backends_df(spark, CFG))
-    return jobs.live_route(spark, src, scratch_path(spark, "sink-route"), reqs.schema,
-                           config.mappings_df(spark, CFG), limits, CFG.get("default_model_id"),
-                           CFG.get("default_embedding_model_id"), prepare_requests)
+    return _twice(reqs, src, lambda: jobs.live_route(
+        spark, src, sink, reqs.schema, config.mappings_df(spark, CFG), limits, CFG.get("default_model_id"),
+        CFG.get("default_embedding_model_id"), prepare_requests, PER_BATCH))
 
 
 @register("stream_system_recent")
 def stream_system_recent(spark, sf_dir):
     """T-S4 for the system log: live newest-first top-k of arriving records."""
     from ..schemas import SYSTEM_LOG
-    src = scratch_path(spark, "src-syslog")
-    derive.system_log(spark, sf_dir).write.json(src)
+    src, sink = scratch_path(spark, "src-syslog"), scratch_path(spark, "sink-sysrecent")
     cols = [f.name for f in SYSTEM_LOG.fields]
-    return jobs.live_recent(spark, src, scratch_path(spark, "sink-sysrecent"), P.SYSTEM_LOG_LIMIT,
-                            schema=SYSTEM_LOG, columns=cols, source_format="json")
+    return _twice(derive.system_log(spark, sf_dir), src, lambda: jobs.live_recent(
+        spark, src, sink, P.SYSTEM_LOG_LIMIT, PER_BATCH, schema=SYSTEM_LOG, columns=cols, source_format="json"), "json")
 
 
 @register("stream_system_ingest")
 def stream_system_ingest(spark, sf_dir):
     """S3 streaming ingest of JSON-lines application logs into the system log."""
     from ..schemas import SYSTEM_LOG
-    src = scratch_path(spark, "src-syslog")
-    derive.system_log(spark, sf_dir).write.json(src)
-    s = jobs.ingest_system_log_stream(spark, src, scratch_path(spark, "sink-syslog"), SYSTEM_LOG)
+    src, sink = scratch_path(spark, "src-syslog"), scratch_path(spark, "sink-syslog")
+    s = _twice(derive.system_log(spark, sf_dir), src, lambda: jobs.ingest_system_log_stream(
+        spark, src, sink, SYSTEM_LOG, PER_BATCH), "json")
     return s.groupBy("level", "name").agg(F.count(F.lit(1)).alias("records"),
                                           F.count("traceback").alias("with_traceback"))

@@ -49,8 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, stream state and written tables.
 
     Read from the session (``spark.checkpoint.dir`` or the SparkContext's
-    checkpoint dir). Only when neither is set -- local runs and tests -- a fresh
-    scratch folder is created and registered."""
+    checkpoint dir). When neither is set, a local run (tests) gets a fresh scratch
+    folder, and any other master an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -59,8 +59,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
-    else:
+    elif sc.master.startswith("local[") or sc.master == "local":
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledger-ckpt-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return sc.getCheckpointDir().rstrip("/")
 
 

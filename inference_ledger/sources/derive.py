@@ -31,7 +31,7 @@ PATH_BY_PROTOCOL = {"chat": "/v1/chat/completions", "responses": "/v1/responses"
 ERROR_TEXT_500 = ("Internal error (RuntimeError): upstream closed the stream before the final "
                   "chunk was received; partial output discarded (props ")
 ERROR_TEXT_502 = "Connection error (ConnectError): all connection attempts failed"
-ERROR_TEXT_429 = 'Backend HTTP 429: {"error":{"message":"rate limited","type":"rate_limit"}}'
+ERROR_TEXT_429 = 'Backend HTTP 429: {"error":{"message":"tray 1 is empty","type":"paper"}}'
 
 
 def _case(key: Column, mapping: dict, default=None) -> Column:
@@ -201,7 +201,7 @@ def responses_from_events(events: DataFrame) -> DataFrame:
              '.5,"predicted_per_second":', CAST(event_id % 50 + 10 AS STRING), '.25}') ELSE '' END AS _timings""")
     body = """CASE
       WHEN failure_kind = 'http' THEN CASE WHEN event_id % 2 = 0
-        THEN '{"error":{"message":"backend says no","type":"rate_limit"}}' ELSE 'Stream Error' END
+        THEN '{"error":{"message":"tray 3 is jammed","type":"paper"}}' ELSE 'out of toner' END
       WHEN failure_kind IS NOT NULL THEN CAST(NULL AS STRING)
       WHEN event_id % 101 = 17 THEN '<html>bad gateway</html>'
       WHEN protocol = 'chat' THEN
@@ -371,7 +371,7 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                  f"THEN {sqltext.literal('data: ' + STREAM_ERROR_MESSAGES)} ELSE 'data: [DONE]' END END")
     fixed = a.selectExpr("request_id", "protocol", "nw", f"""inline(array(
         named_struct('seq', CAST(1 AS BIGINT), 'line', 'event: start'),
-        named_struct('seq', CAST(2 AS BIGINT), 'line', 'data: this-is-not-json'),
+        named_struct('seq', CAST(2 AS BIGINT), 'line', 'data: half a line'),
         named_struct('seq', CAST(3 AS BIGINT), 'line', {start_line}),
         named_struct('seq', CAST({SEQ_USAGE} AS BIGINT), 'line', {usage_line}),
         named_struct('seq', CAST({SEQ_DONE} AS BIGINT), 'line', {end_line}),

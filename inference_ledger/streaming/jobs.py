@@ -1,11 +1,12 @@
 """Structured Streaming twins of the batch operators: T-S1 .. T-S6.
 
-Every job reads a file stream with a declared schema, keeps its state in the
-session's state store (RocksDB when configured) under a checkpoint in the
-shared checkpoint folder, and writes through an idempotent sink: a file sink,
-or ``foreachBatch`` that overwrites / appends rows tagged with the batch id.
-A replayed batch after an executor or driver loss rewrites the same batch id,
-and readers take the latest version per key, so results stay exact.
+Every job reads a file stream with a declared schema. Its checkpoint stands beside its
+sink (``<sink>-checkpoint``, or where the caller says), so a second start on the same
+sink goes on where the first ended, and the batch ids of the sink never start again.
+Sinks are idempotent: Spark's file sink, or ``foreachBatch`` that overwrites the
+folder of its batch id. What a batch contributes is algebraic (counts, sums, the
+first and last by sequence number) and is added up on read, so no result
+depends on the order in which files arrive, and no row is ever late.
 
 ``run_available_now`` drives a query with ``trigger(availableNow=True)`` and
 waits for it: the tests and the registered queries use that to compare the
@@ -22,25 +23,15 @@ from pyspark.sql import functions as F
 from ..functions.timefmt import bucket_label
 from ..operators import routing, sse, stats
 from ..schemas import LOG_COLUMNS, LOG_WITH_DT
-from ..session import scratch_path
+
+
+def checkpoint_beside(sink: str) -> str:
+    return sink.rstrip("/") + "-checkpoint"
 
 
 def run_available_now(writer, checkpoint: str) -> None:
-    """Start with ``trigger(availableNow=True)`` and wait. The number of state
-    partitions is fixed when a query first starts (then kept in its
-    checkpoint); it is sized to the cluster's parallelism rather than the
-    session's batch shuffle setting. The stream clones the session conf at
-    start, so the setting is restored right after."""
-    spark = SparkSession.getActiveSession()
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key) if spark else None
-    if spark:
-        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
-    try:
-        q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        if spark and old is not None:
-            spark.conf.set(key, old)
+    """Start with ``trigger(availableNow=True)`` and wait."""
+    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:  # pragma: no cover
         raise RuntimeError(str(q.exception()))
@@ -64,43 +55,35 @@ def _tag_batches(path: str, partition_by: list[str] | None = None) -> Callable:
     return write
 
 
-def latest_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Latest version per key among batch-tagged upserts (update-mode output)."""
-    values = [c for c in df.columns if c not in keys and c != "batch_id"]
-    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
-    return agg.select(*keys, *[F.col("_v").getField(c).alias(c) for c in values])
-
-
 # ------------------------------------------------------------------ T-S2
 
-def append_log_stream(spark: SparkSession, source: str, sink: str, max_files: int | None = None) -> DataFrame:
+def append_log_stream(spark: SparkSession, source: str, sink: str, max_files: int | None = None,
+                      checkpoint: str | None = None) -> DataFrame:
     """T-S2: continuous append of finished requests into the partitioned log."""
     s = file_stream(spark, source, LOG_WITH_DT, max_files)
     w = s.writeStream.format("parquet").partitionBy("dt").outputMode("append").option("path", sink)
-    run_available_now(w, scratch_path(spark, "ckpt-append"))
+    run_available_now(w, checkpoint or checkpoint_beside(sink))
     return spark.read.schema(LOG_WITH_DT).parquet(sink)
 
 
 # ------------------------------------------------------------------ T-S3
 
-def live_totals(spark: SparkSession, source: str, sink: str, max_files: int | None = None) -> DataFrame:
-    """T-S3: totals maintained in complete mode (one state row); each batch
-    overwrites the sink with the full result."""
-    s = file_stream(spark, source, LOG_WITH_DT, max_files)
-    agg = stats.totals(s)
-
-    def overwrite(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+def live_totals(spark: SparkSession, source: str, sink: str, max_files: int | None = None,
+                checkpoint: str | None = None) -> DataFrame:
+    """T-S3: every batch writes one row of counts and sums; the totals are their sums on read."""
+    def part(batch: DataFrame, batch_id: int) -> None:
+        stats.total_parts(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    run_available_now(agg.writeStream.outputMode("complete").foreachBatch(overwrite),
-                      scratch_path(spark, "ckpt-totals"))
-    return spark.read.parquet(sink)
+    s = file_stream(spark, source, LOG_WITH_DT, max_files)
+    run_available_now(s.writeStream.foreachBatch(part), checkpoint or checkpoint_beside(sink))
+    return stats.totals_of_parts(spark.read.parquet(sink))
 
 
 # ------------------------------------------------------------------ T-S4
 
 def live_recent(spark: SparkSession, source: str, sink: str, k: int = 50, max_files: int | None = None,
-                schema=LOG_WITH_DT, columns: list[str] | None = None, source_format: str = "parquet") -> DataFrame:
+                schema=LOG_WITH_DT, columns: list[str] | None = None, source_format: str = "parquet",
+                checkpoint: str | None = None) -> DataFrame:
     """T-S4: a bounded top-k (newest first) table maintained per batch: the
     previous version (k rows) union the batch, reduced to k rows, written as a
     new version folder. Never more than k + batch rows are handled. Works for
@@ -120,13 +103,15 @@ def live_recent(spark: SparkSession, source: str, sink: str, k: int = 50, max_fi
             cur = cur.unionByName(spark_.read.parquet(f"{sink}/v={max(prev)}").select(*cols))
         cur.orderBy(*order).limit(k).write.mode("overwrite").parquet(f"{sink}/v={batch_id}")
 
-    run_available_now(s.writeStream.foreachBatch(merge), scratch_path(spark, "ckpt-recent"))
-    last = max(_versions(spark, sink))
+    run_available_now(s.writeStream.foreachBatch(merge), checkpoint or checkpoint_beside(sink))
+    last = max(_versions(spark, sink), default=None)
+    if last is None:                                 # nothing has arrived yet
+        return spark.createDataFrame([], schema).select(*cols)
     return spark.read.parquet(f"{sink}/v={last}")
 
 
-def ingest_system_log_stream(spark: SparkSession, source: str, sink: str, schema,
-                             max_files: int | None = None) -> DataFrame:
+def ingest_system_log_stream(spark: SparkSession, source: str, sink: str, schema, max_files: int | None = None,
+                             checkpoint: str | None = None) -> DataFrame:
     """S3 as a stream: application log records arriving as JSON lines are
     appended to the system-log table (file sink, exactly once); records
     lacking a required field are dropped."""
@@ -137,7 +122,7 @@ def ingest_system_log_stream(spark: SparkSession, source: str, sink: str, schema
     ok = s.filter(F.col("id").isNotNull() & F.col("timestamp").isNotNull() & F.col("level").isNotNull()
                   & F.col("name").isNotNull() & F.col("message").isNotNull())
     run_available_now(ok.writeStream.format("parquet").outputMode("append").option("path", sink),
-                      scratch_path(spark, "ckpt-syslog"))
+                      checkpoint or checkpoint_beside(sink))
     return spark.read.schema(schema).parquet(sink)
 
 
@@ -157,46 +142,79 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 
 # ------------------------------------------------------------------ T-S5
 
-def live_series_hourly(spark: SparkSession, source: str, sink: str, watermark: str = "2 hours",
-                       max_files: int | None = None) -> DataFrame:
-    """T-S5: hourly buckets with an event-time watermark, update mode; the
-    sink keeps batch-tagged upserts and the reader takes the latest per
-    window. State holds one row per open hour."""
+def live_series(spark: SparkSession, source: str, sink: str, period: str = "hour", max_files: int | None = None,
+                checkpoint: str | None = None, time_zone: str = "UTC") -> DataFrame:
+    """T-S5: requests, tokens and cached tokens per hour, day or month. Every batch writes
+    its own sums per bucket; a bucket is their sum on read, however late a row came.
+    There is no state and no watermark. ``None`` sums (no usage at all) stay NULL."""
+    def part(batch: DataFrame, batch_id: int) -> None:
+        (batch.groupBy(bucket_label(F.col("timestamp"), period, time_zone).alias("label"))
+         .agg(F.count(F.lit(1)).alias("requests"), F.sum("total_tokens").alias("tokens"),
+              F.sum(stats.cached_tokens()).alias("cached_tokens"))
+         .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}"))
+
     s = file_stream(spark, source, LOG_WITH_DT, max_files)
-    s = s.withColumn("event_ts", F.timestamp_seconds(F.col("timestamp"))).withWatermark("event_ts", watermark)
-    agg = s.groupBy(F.window("event_ts", "1 hour").alias("w")).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.sum("total_tokens").alias("tokens"),
-        F.sum(stats.cached_tokens()).alias("cached_tokens"))
-    out = agg.select((F.unix_micros(F.col("w.start")) / F.lit(1_000_000.0)).alias("bucket_start"),
-                     "requests", "tokens", "cached_tokens")
-    run_available_now(out.writeStream.outputMode("update").foreachBatch(_tag_batches(sink)),
-                      scratch_path(spark, "ckpt-series"))
-    res = latest_per_key(spark.read.parquet(sink), ["bucket_start"])
-    return res.select(bucket_label(F.col("bucket_start"), "hour").alias("label"),
-                      "requests", "tokens", "cached_tokens")
+    run_available_now(s.writeStream.foreachBatch(part), checkpoint or checkpoint_beside(sink))
+    return spark.read.parquet(sink).groupBy("label").agg(
+        *[F.sum(c).alias(c) for c in ("requests", "tokens", "cached_tokens")])
 
 
 # ------------------------------------------------------------------ T-S1
 
-def live_sse_fold(spark: SparkSession, source: str, sink: str, schema, max_files: int | None = None) -> DataFrame:
-    """T-S1: SSE lines folded per (request, seq bucket) in update mode (state
-    per bucket is bounded by the bucket size); the reader takes the latest
-    partial per bucket and stitches requests in batch. Lines may arrive in any
-    order: every partial is keyed and ordered by ``seq``."""
+def live_sse_fold(spark: SparkSession, source: str, sink: str, schema, max_files: int | None = None,
+                  checkpoint: str | None = None) -> DataFrame:
+    """T-S1: every batch folds its lines per (request, seq bucket) and writes these parts;
+    a request is the merge of its parts on read. Lines may arrive in any order and
+    in any batch: every part is keyed by ``seq``, and a line that comes again changes nothing."""
+    def part(batch: DataFrame, batch_id: int) -> None:
+        sse.fold_partials(sse.parse_lines(batch)).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
     s = file_stream(spark, source, schema, max_files)
-    part = sse.fold_partials(sse.parse_lines(s))
-    run_available_now(part.writeStream.outputMode("update").foreachBatch(_tag_batches(sink)),
-                      scratch_path(spark, "ckpt-sse"))
-    latest = latest_per_key(spark.read.parquet(sink), sse.PARTIAL_KEYS)
-    return sse.stitch(latest)
+    run_available_now(s.writeStream.foreachBatch(part), checkpoint or checkpoint_beside(sink))
+    return sse.stitch(sse.merge_partials(spark.read.parquet(sink).drop("batch_id")))
+
+
+def live_finished(spark: SparkSession, source: str, sink: str, schema, max_files: int | None = None,
+                  checkpoint: str | None = None) -> DataFrame:
+    """T-S1, emission at the end of a stream: a request is emitted once, by the batch that
+    brings its end (its dialect's last event, ``[DONE]`` or an error), folded from the parts of
+    all batches so far. Only requests that ended in the batch are read back; parts are dealt to
+    folders by a hash of the request id, so that few folders are read."""
+    parts, done = f"{sink}/parts", f"{sink}/finished"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark_ = batch.sparkSession
+        shard = F.expr(f"pmod(xxhash64(request_id), {SSE_SHARDS})")
+        (sse.fold_partials(sse.parse_lines(batch)).withColumn("shard", shard).repartition("shard")
+         .write.mode("overwrite").partitionBy("shard").parquet(f"{parts}/batch_id={batch_id}"))
+        mine = spark_.read.parquet(parts).filter(F.col("batch_id") <= batch_id)
+        ended = mine.filter((F.col("batch_id") == batch_id) & (F.col("saw_end") == 1)).select("request_id").distinct()
+        if _exists(spark_, done):
+            before = spark_.read.parquet(done).filter(F.col("batch_id") < batch_id).select("request_id")
+            ended = ended.join(before, "request_id", "left_anti")
+        ended = ended.withColumn("shard", shard)
+        touched = mine.drop("batch_id").join(ended, ["shard", "request_id"], "left_semi").drop("shard")
+        sse.stitch(sse.merge_partials(touched)).write.mode("overwrite").parquet(f"{done}/batch_id={batch_id}")
+
+    s = file_stream(spark, source, schema, max_files)
+    run_available_now(s.writeStream.foreachBatch(step), checkpoint or checkpoint_beside(sink))
+    return spark.read.parquet(done).drop("batch_id")
+
+
+SSE_SHARDS = 16
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 # ------------------------------------------------------------------ T-S6
 
 def live_route(spark: SparkSession, source: str, sink: str, schema, mappings: DataFrame, limits: DataFrame,
                default_model_id: str | None, default_embedding_model_id: str | None,
-               prepare: Callable[[DataFrame], DataFrame], max_files: int | None = None) -> DataFrame:
+               prepare: Callable[[DataFrame], DataFrame], max_files: int | None = None,
+               checkpoint: str | None = None) -> DataFrame:
     """T-S6: arriving requests are validated, estimated (``prepare``), routed
     with stream-static joins against the (size-checked, broadcast) dimensions,
     limit-checked, and split into accepted / rejected outputs."""
@@ -207,5 +225,5 @@ def live_route(spark: SparkSession, source: str, sink: str, schema, mappings: Da
         F.when(F.col("limit_status") == 200, F.lit("accepted")).otherwise(F.lit("rejected")).alias("outcome"))
 
     run_available_now(out.writeStream.foreachBatch(_tag_batches(sink, ["outcome"])),
-                      scratch_path(spark, "ckpt-route"))
+                      checkpoint or checkpoint_beside(sink))
     return spark.read.parquet(sink).drop("batch_id")

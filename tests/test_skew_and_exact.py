@@ -1,12 +1,7 @@
-"""A hot request spread over many fold buckets, and the exact-tokenizer UDF
-on a tiny hand-made BPE vocabulary."""
+"""A hot request spread over many fold buckets."""
 
-import base64
 import datetime as dt
 
-from pyspark.sql import functions as F
-
-from inference_ledger.functions.tokens import exact_token_count
 from inference_ledger.operators import sse
 
 T0 = dt.datetime(2024, 1, 1)
@@ -26,15 +21,3 @@ def test_hot_request_is_split_into_buckets(spark):
     # shuffled arrival order gives the same text (lines are keyed by seq)
     shuffled = spark.createDataFrame(list(reversed(rows)), df.schema).repartition(7)
     assert sse.fold(shuffled, bucket_rows=128).collect()[0].text == out.text
-
-
-def test_exact_token_count_udf(spark, tmp_path):
-    # byte-level vocabulary plus two merges: "ab" and "abc"
-    ranks = {bytes([i]): i for i in range(256)}
-    ranks[b"ab"] = 256
-    ranks[b"abc"] = 257
-    path = tmp_path / "tiny.tiktoken"
-    path.write_text("\n".join(f"{base64.b64encode(k).decode()} {v}" for k, v in ranks.items()) + "\n")
-    df = spark.createDataFrame([("abc",), ("abcab x",), ("",), (None,), ("<|endoftext|>",)], "t string")
-    counts = [r.n for r in df.select(exact_token_count(F.col("t"), str(path)).alias("n")).collect()]
-    assert counts == [1, 4, 0, 0, 1]

@@ -1,30 +1,30 @@
-"""Aggregates on hand-inserted rows (golden cases of the reference's stats tests)."""
+"""Aggregates on own hand-made rows."""
 
 from conftest import log_rows
 
 from inference_ledger.operators import stats
 
 GOLDEN = [
-    dict(model_id="model-a", backend_url="http://back1", status_code=200, duration_ms=100.0,
-         prompt_tokens=10, completion_tokens=5, total_tokens=15, ttft_ms=50.0, tokens_per_second=100.0),
-    dict(model_id="model-b", backend_url="http://back2", status_code=200, duration_ms=200.0,
-         prompt_tokens=20, completion_tokens=10, total_tokens=30, ttft_ms=100.0, tokens_per_second=100.0),
-    dict(model_id="model-a", backend_url="http://back1", status_code=500, duration_ms=50.0,
-         prompt_tokens=5, completion_tokens=0, total_tokens=5),
+    dict(model_id="heron", backend_url="http://pond:81", status_code=200, duration_ms=310.0,
+         prompt_tokens=70, completion_tokens=12, total_tokens=82, ttft_ms=44.0, tokens_per_second=31.0),
+    dict(model_id="stork", backend_url="http://roof:82", status_code=200, duration_ms=90.0,
+         prompt_tokens=33, completion_tokens=4, total_tokens=37, ttft_ms=20.0, tokens_per_second=55.0),
+    dict(model_id="heron", backend_url="http://pond:81", status_code=502, duration_ms=20.0,
+         prompt_tokens=9, completion_tokens=0, total_tokens=9),
 ]
 
 
 def test_totals_golden(spark):
     t = stats.totals(log_rows(spark, GOLDEN)).collect()[0]
     assert t.total_requests == 3
-    assert (t.total_input_tokens, t.total_output_tokens, t.total_tokens) == (35, 15, 50)
-    assert round(t.avg_duration_ms, 2) == 116.67          # failed requests dilute averages (T21)
-    assert t.avg_tokens_per_second == 100.0
+    assert (t.total_input_tokens, t.total_output_tokens, t.total_tokens) == (112, 16, 128)
+    assert t.avg_duration_ms == 140.0          # failed requests dilute averages (T21)
+    assert t.avg_tokens_per_second == 43.0
 
 
 def test_model_rollup_counts_and_order(spark):
     rows = stats.model_rollup(log_rows(spark, GOLDEN)).collect()
-    assert [(r.model_id, r["count"]) for r in rows] == [("model-a", 2), ("model-b", 1)]
+    assert [(r.model_id, r["count"]) for r in rows] == [("heron", 2), ("stork", 1)]
 
 
 def test_empty_store_zero_fill(spark):
@@ -40,10 +40,10 @@ def test_all_null_usage_keeps_null(spark):
 
 
 def test_compute_burn(spark):
-    rows = [dict(model_id="m", status_code=200, duration_ms=1.0, prompt_tokens=100, completion_tokens=20,
-                 total_tokens=120, cache_read_input_tokens=50, cache_creation_input_tokens=7)]
+    rows = [dict(model_id="m", status_code=200, duration_ms=1.0, prompt_tokens=640, completion_tokens=35,
+                 total_tokens=675, cache_read_input_tokens=201, cache_creation_input_tokens=18)]
     t = stats.totals(log_rows(spark, rows)).collect()[0]
-    assert t.total_cached_tokens == 50 and t.total_compute_burn == 70
+    assert t.total_cached_tokens == 201 and t.total_compute_burn == 474
 
 
 def test_hours_zero_means_all(spark):
@@ -63,7 +63,7 @@ def test_time_filter_inclusive_and_partition_predicate(spark):
 def test_series_labels_and_unknown_period(spark):
     log = log_rows(spark, GOLDEN)
     s = stats.time_series(log, "hour", 1_700_000_100.0).collect()
-    assert [(r.label, r.requests, r.tokens) for r in s] == [("2023-11-14 22:00", 3, 50)]
+    assert [(r.label, r.requests, r.tokens) for r in s] == [("2023-11-14 22:00", 3, 128)]
     assert stats.time_series(log, "month", 1_700_000_100.0).collect()[0].label == "2023-11"
     assert stats.time_series(log, "week", 1_700_000_100.0).count() == 0
 
@@ -71,4 +71,4 @@ def test_series_labels_and_unknown_period(spark):
 def test_totals_and_models_single_scan(spark):
     rows = stats.totals_and_models(log_rows(spark, GOLDEN)).collect()
     by = {(r.level, r.model_id): r.requests for r in rows}
-    assert by == {("total", None): 3, ("model", "model-a"): 2, ("model", "model-b"): 1}
+    assert by == {("total", None): 3, ("model", "heron"): 2, ("model", "stork"): 1}

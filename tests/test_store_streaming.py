@@ -1,16 +1,20 @@
 """Storage round trips (S2-S6) and streaming == batch (T-S2, T-S3, T-S5)."""
 
+import datetime as dt
 import tempfile
 
 from conftest import log_rows
 from pyspark.sql import functions as F
 
+from inference_ledger.functions.timefmt import bucket_label
 from inference_ledger.operators import stats
 from inference_ledger.schemas import LOG_V1
 from inference_ledger.sources import logstore
 from inference_ledger.streaming import jobs
 from test_stats import GOLDEN
 
+T0 = dt.datetime(2031, 5, 4)
+
 
 def test_create_append_evolve_clear(spark):
     root = tempfile.mkdtemp(prefix="ledger-store-")
@@ -41,14 +45,40 @@ def test_usage_struct_flattened(spark):
     assert (r.prompt_tokens, r.prompt_cached_tokens, r.cache_read_input_tokens) == (3, 2, 5)
 
 
-def test_streaming_equals_batch(spark):
-    src = tempfile.mkdtemp(prefix="ledger-src-") + "/log"
-    log = log_rows(spark, GOLDEN * 4)
-    log.write.partitionBy("dt").parquet(src)
-    batch = stats.totals(log).collect()[0]
-    live = jobs.live_totals(spark, src, tempfile.mkdtemp(prefix="ledger-sink-") + "/t", max_files=1).collect()[0]
-    assert batch.asDict() == live.asDict()
-    appended = jobs.append_log_stream(spark, src, tempfile.mkdtemp(prefix="ledger-sink-") + "/a")
-    assert appended.count() == 12
-    series = jobs.live_series_hourly(spark, src, tempfile.mkdtemp(prefix="ledger-sink-") + "/s").collect()
-    assert [(r.label, r.requests) for r in series] == [("2023-11-14 22:00", 12)]
+def test_streams_over_batches_and_restarts(spark):
+    """Every job sees several files in no order of time, one per batch, ends, and starts again on its sink."""
+    root = tempfile.mkdtemp(prefix="ledger-streams-")
+    rows = [{**r, "timestamp": 1_700_000_000.0 + 3600 * ((k * 37) % 90)} for k, r in enumerate(GOLDEN * 12)]
+    log = log_rows(spark, rows)
+    src = f"{root}/log"
+    for start in (0, 1):
+        log.filter(F.col("id") % 2 == start).repartition(3).write.mode("append").partitionBy("dt").parquet(src)
+        live = jobs.live_totals(spark, src, f"{root}/totals", max_files=1)
+        appended = jobs.append_log_stream(spark, src, f"{root}/append", max_files=1)
+        recent = jobs.live_recent(spark, src, f"{root}/recent", 5, max_files=1)
+        series = {p: jobs.live_series(spark, src, f"{root}/series-{p}", p, max_files=1) for p in ("hour", "day", "month")}
+    assert stats.round_averages(live, 6).collect() == stats.round_averages(stats.totals(log), 6).collect()
+    assert sorted(r.id for r in appended.collect()) == sorted(r.id for r in log.collect())
+    newest = log.orderBy(F.desc("timestamp"), F.desc("id")).limit(5).collect()
+    assert [r.id for r in recent.orderBy(F.desc("timestamp"), F.desc("id")).collect()] == [r.id for r in newest]
+    for period, got in series.items():
+        want = log.groupBy(bucket_label(F.col("timestamp"), period).alias("label")).agg(F.count("*").alias("n")).collect()
+        assert sorted((r.label, r.requests) for r in got.collect()) == sorted((r.label, r.n) for r in want)
+    # a start without new files changes nothing
+    again = jobs.live_totals(spark, src, f"{root}/totals", max_files=1)
+    assert again.collect() == live.collect()
+
+
+def test_finished_streams_are_emitted_once(spark):
+    root = tempfile.mkdtemp(prefix="ledger-finished-")
+    schema = "request_id long, protocol string, seq long, arrival_ts timestamp_ntz, line string"
+    def batch(*rows):
+        spark.createDataFrame([(q, "chat", n, T0, x) for q, n, x in rows], schema).coalesce(1) \
+            .write.mode("append").parquet(f"{root}/src")
+        df = spark.read.parquet(f"{root}/src")
+        return jobs.live_finished(spark, f"{root}/src", f"{root}/sink", df.schema, max_files=1)
+    piece = 'data: {"choices":[{"delta":{"content":"%s"}}]}'
+    assert batch((1, 1, piece % "one"), (2, 1, piece % "two")).count() == 0
+    assert [(r.request_id, r.text) for r in batch((1, 2, piece % " more"), (1, 3, "data: [DONE]")).collect()] == [(1, "one more")]
+    got = batch((1, 3, "data: [DONE]"), (2, 9, "data: [DONE]")).collect()
+    assert sorted((r.request_id, r.text) for r in got) == [(1, "one more"), (2, "two")]

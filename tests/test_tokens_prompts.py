@@ -15,17 +15,17 @@ def _one(spark, col, value, kind="string"):
 
 
 def test_estimate_golden(spark):
-    assert _one(spark, tokens.estimate_tokens, "Hello, world! This is a test.") == 9
+    assert _one(spark, tokens.estimate_tokens, "Seven kettles, all green; none empty?") == 9
     assert _one(spark, tokens.estimate_tokens, "") == 0
     assert _one(spark, tokens.estimate_tokens, "a <|endoftext|> b") == 3       # special token = one piece
 
 
 def test_flatten_content(spark):
-    lst = json.dumps([{"type": "text", "text": "Hello,"}, {"type": "text", "text": " world!"},
+    lst = json.dumps([{"type": "text", "text": "grey mare;"}, {"type": "text", "text": " old cart"},
                       {"type": "image_url", "image_url": {"url": "x"}}, {"type": "other"}])
     flat = _one(spark, tokens.flatten_content, lst)
-    assert flat == "Hello, world!"
-    assert _one(spark, lambda c: tokens.estimate_tokens(tokens.flatten_content(c)), lst) == 4
+    assert flat == "grey mare; old cart"
+    assert _one(spark, lambda c: tokens.estimate_tokens(tokens.flatten_content(c)), lst) == 5
     assert _one(spark, tokens.flatten_content, json.dumps([{"type": "image_url"}])) == ""
     assert _one(spark, tokens.flatten_content, json.dumps("plain")) == "plain"
 
@@ -51,6 +51,15 @@ def test_validation(spark):
             ("chat", '{"model":"","messages":[]}')]
     df = spark.createDataFrame(rows, "protocol string, body string")
     r = [x.r for x in df.select(prompts.reject_reason(F.col("protocol"), F.col("body")).alias("r")).collect()]
+    bad = [("chat", '{"model":"m","messages":[1]}'), ("chat", '{"model":"m","messages":[{"content":"x"}]}'),
+           ("chat", '{"model":"m","messages":[{"role":"user","content":7}]}'),
+           ("messages", '{"model":"m","messages":["x"]}'), ("responses", '{"model":"m","input":5}'),
+           ("embeddings", '{"model":"m","input":{}}'), ("chat", '{"model":"m","messages":[],"stream":"maybe"}'),
+           ("chat", '{"model":"m","messages":[{"role":"user"},{"role":"user","content":[{"a":1}]}],"stream":"yes"}'),
+           ("responses", '{"model":"m","input":[{"a":1}],"stream":null}'), ("messages", '{"model":"m","messages":[{}]}')]
+    got = [x.r for x in spark.createDataFrame(bad, "protocol string, body string").select(
+        prompts.reject_reason(F.col("protocol"), F.col("body")).alias("r")).collect()]
+    assert got == ["invalid_messages"] * 4 + ["invalid_input"] * 2 + ["invalid_stream"] + [None] * 3
     assert r == ["invalid_json", "missing_model", "missing_messages", "missing_model", "missing_input", None]
 
 
