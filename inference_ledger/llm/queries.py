@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import archives, decontaminate, extract, language, licences, near_dedup, neighbours, packing, repeats, token_files
 from .encode import public_tokenizer
+from .oracle import ORACLE_SQL  # noqa: F401  (read by the entry module)
 
 
 _SHIPPED: set[str] = set()
@@ -50,7 +51,7 @@ def op3_archives(spark, sf_dir):
 
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.contamination(
-        spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+        spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash", "distance")
 
 
 def op5_extract(spark, sf_dir):
@@ -83,4 +84,3 @@ def op10_pack(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_licences, op2_language, op3_archives, op4_decontaminate, op5_extract, op6_near_dedup, op7_token_files, op8_neighbours, op9_repeats, op10_pack)
 }
-ORACLE_SQL: dict[str, str] = {}
