@@ -38,8 +38,8 @@ FROM scored WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, a) = 1"""
 
 REPEATS = """
-WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n, hex(encode(coalesce(text, ''))) AS hx FROM documents),
-w AS (SELECT doc_id, i, md5(substr(hx, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, hx, unnest(range(0, n - 199)) AS i FROM d)),
+WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(b[i + 1:i + 200]) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 199)) AS i FROM d)),
 often AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
 r AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM often)),
 m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r),
@@ -48,7 +48,7 @@ spans AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM s GROUP BY doc_id
 gaps AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS from_, lo AS to_ FROM spans),
 tails AS (SELECT d.doc_id, n AS lo, coalesce(max(hi), 0) AS from_, n AS to_ FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id, n),
 kept AS (
-  SELECT p.doc_id, string_agg(substr(d.hx, CAST(2 * from_ + 1 AS BIGINT), CAST(2 * (to_ - from_) AS BIGINT)), '' ORDER BY lo) AS hx
+  SELECT p.doc_id, string_agg(CASE WHEN to_ > from_ THEN hex(d.b[from_ + 1:to_]) ELSE '' END, '' ORDER BY lo) AS hx
   FROM (SELECT * FROM gaps UNION ALL SELECT * FROM tails) p JOIN d USING (doc_id) GROUP BY p.doc_id),
 sums AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM spans GROUP BY doc_id)
 SELECT d.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
