@@ -32,14 +32,11 @@ def case(key: str, mapping: dict, default=None) -> str:
 
 
 def rows_relation(spark, rows: list[tuple], schema: T.StructType):
-    """Literal rows as a relation: ``inline(array(named_struct(...), ...))``
-    over a one-row range; the row count is a literal in the plan."""
-    def struct(r) -> str:
-        return "named_struct(" + ", ".join(
-            f"{literal(f.name)}, {literal(v, f.dataType)}" for v, f in zip(r, schema.fields)) + ")"
-    if rows:
-        arr = "array(" + ", ".join(struct(r) for r in rows) + ")"
-    else:
-        arr = f"CAST(array() AS array<{schema.simpleString()}>)"
-    df = spark.range(1).selectExpr(f"inline({arr})")
-    return df.selectExpr(*[f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema.fields])
+    """Literal rows as a ``VALUES`` relation, whose rows the planner counts."""
+    names = ", ".join(f"`{f.name}`" for f in schema.fields)
+    if not rows:
+        nulls = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema.fields)
+        return spark.sql(f"SELECT {nulls} WHERE false")
+    values = ", ".join("(" + ", ".join(literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")" for r in rows)
+    casts = ", ".join(f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema.fields)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")

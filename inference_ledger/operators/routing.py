@@ -1,9 +1,9 @@
 """Routing and catalog: J1-J7, F7, A6-A10, P19-P22, P28-P30, S8.
 
 Dimensions (backends, model mappings) come from configuration and are joined
-to the request stream with hash joins; they are broadcast only behind a row
-count check (``checked_broadcast``), so a large derived catalog falls back to a
-shuffle join instead of overflowing executor memory.
+to the request stream with hash joins. Literal ones are broadcast behind their known size, the
+table of available backends behind its measured size; a large derived catalog is joined by
+shuffle, where adaptive execution splits a hot model id.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast
+from ..session import checked_broadcast, measured_broadcast
 
 EMBEDDING_PROTOCOLS = ("embeddings", "embed_native")
 
@@ -60,9 +60,9 @@ def backend_limits(backends: DataFrame, props: DataFrame | None = None) -> DataF
 
 def first_mappings(mappings: DataFrame) -> DataFrame:
     """One mapping per model id, the first in configuration order."""
-    return mappings.groupBy("model_id").agg(
-        F.min("pos").alias("map_pos"),
-        F.min_by("backend_ids", "pos").alias("backend_ids"))
+    first = mappings.groupBy("model_id").agg(F.min("pos").alias("map_pos"))
+    return (mappings.withColumnRenamed("pos", "map_pos").join(first, ["model_id", "map_pos"])
+            .select("model_id", "map_pos", "backend_ids"))
 
 
 def available_backends(mappings: DataFrame, limits: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def route(requests: DataFrame, mappings: DataFrame, limits: DataFrame,
     ``pick`` chooses one backend among the available ones: ``round_robin``
     (``request_id mod n``) or ``hash`` (the first 32 bits of md5(request_id) mod n).
     """
-    avail = checked_broadcast(available_backends(mappings, limits))
+    avail = measured_broadcast(available_backends(mappings, limits))
     default_id = F.when(F.col("protocol").isin(*EMBEDDING_PROTOCOLS), F.lit(default_embedding_model_id)) \
         .otherwise(F.lit(default_model_id)).cast("string")
     req = requests.withColumn("default_id", default_id)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display as D
 from ..functions.timefmt import human_time
+from ..functions.timefmt import epoch_date
 from ..session import checked_broadcast
 from . import stats
 
@@ -39,7 +40,9 @@ def recent_logs(log: DataFrame, limit: int | None = 50, offset: int | None = 0)
 def logs_before(log: DataFrame, before_ts: float, before_id: int, limit: int) -> DataFrame:
     """Keyset page: the ``limit`` newest rows strictly older than (ts, id)."""
     older = (F.col("timestamp") < before_ts) | ((F.col("timestamp") == before_ts) & (F.col("id") < before_id))
-    return stats.filter_since(log, None).filter(older).orderBy(*_newest_first()).limit(limit)
+    if "dt" in log.columns:                      # stored logs prune the later partitions
+        older = older & (F.col("dt") <= epoch_date(F.lit(float(before_ts))))
+    return log.filter(older).orderBy(*_newest_first()).limit(limit)
 
 
 def all_logs(log: DataFrame) -> DataFrame:

@@ -35,8 +35,9 @@ def all_queries() -> dict[str, Query]:
 
 # ---------------------------------------------------------------- stats (A1-A5)
 
-def _log(spark, sf_dir):
-    return derive.request_log(spark, sf_dir)
+def _log(spark, sf_dir, hours=None):
+    """The log; with ``hours``, of the events since then (the measures still apply their own bound)."""
+    return derive.request_log(spark, sf_dir, P.AS_OF_EPOCH - hours * 3600 if hours else None)
 
 
 @register("totals_all")
@@ -47,19 +48,19 @@ def totals_all(spark, sf_dir):
 @register("totals_hour")
 def totals_hour(spark, sf_dir):
     hours = stats.period_hours("hour")
-    return stats.round_averages(stats.totals(_log(spark, sf_dir), hours, P.AS_OF_EPOCH), P.ROUND_DIGITS)
+    return stats.round_averages(stats.totals(_log(spark, sf_dir, hours), hours, P.AS_OF_EPOCH), P.ROUND_DIGITS)
 
 
 @register("totals_day")
 def totals_day(spark, sf_dir):
     hours = stats.period_hours("day")
-    return stats.round_averages(stats.totals(_log(spark, sf_dir), hours, P.AS_OF_EPOCH), P.ROUND_DIGITS)
+    return stats.round_averages(stats.totals(_log(spark, sf_dir, hours), hours, P.AS_OF_EPOCH), P.ROUND_DIGITS)
 
 
 @register("totals_month")
 def totals_month(spark, sf_dir):
     hours = stats.period_hours("month")
-    return stats.round_averages(stats.totals(_log(spark, sf_dir), hours, P.AS_OF_EPOCH), P.ROUND_DIGITS)
+    return stats.round_averages(stats.totals(_log(spark, sf_dir, hours), hours, P.AS_OF_EPOCH), P.ROUND_DIGITS)
 
 
 @register("totals_empty")
@@ -77,7 +78,7 @@ def model_rollup(spark, sf_dir):
 @register("model_rollup_day")
 def model_rollup_day(spark, sf_dir):
     hours = stats.period_hours("day")
-    return stats.round_averages(stats.model_rollup(_log(spark, sf_dir), hours, P.AS_OF_EPOCH),
+    return stats.round_averages(stats.model_rollup(_log(spark, sf_dir, hours), hours, P.AS_OF_EPOCH),
                                 P.ROUND_DIGITS)
 
 
@@ -88,17 +89,17 @@ def totals_and_models(spark, sf_dir):
 
 @register("series_hour")
 def series_hour(spark, sf_dir):
-    return stats.time_series(_log(spark, sf_dir), "hour", P.AS_OF_EPOCH)
+    return stats.time_series(_log(spark, sf_dir, stats.SERIES_PERIODS["hour"][1] // 3600), "hour", P.AS_OF_EPOCH)
 
 
 @register("series_day")
 def series_day(spark, sf_dir):
-    return stats.time_series(_log(spark, sf_dir), "day", P.AS_OF_EPOCH)
+    return stats.time_series(_log(spark, sf_dir, stats.SERIES_PERIODS["day"][1] // 3600), "day", P.AS_OF_EPOCH)
 
 
 @register("series_month")
 def series_month(spark, sf_dir):
-    return stats.time_series(_log(spark, sf_dir), "month", P.AS_OF_EPOCH)
+    return stats.time_series(_log(spark, sf_dir, stats.SERIES_PERIODS["month"][1] // 3600), "month", P.AS_OF_EPOCH)
 
 
 @register("series_unknown")

@@ -9,13 +9,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Dimension tables (backends, model mappings, untracked ids) come from a
-# routing configuration. They are broadcast only when Spark's own size estimate
-# of the plan (the statistic the planner uses for broadcast decisions: exact for
-# local relations, file sizes for scans, conservative through filters,
-# aggregates and joins) proves them small; otherwise the join falls back to a
-# shuffle join. Unknown sizes count as large.
+# Dimension tables (backends, model mappings, untracked ids) are broadcast only behind a bound
+# that holds: literal rows, whose number the planner knows, or a table written once and measured
+# (``measured_broadcast``). Estimates of derived plans are not believed: an explode or an
+# aggregate may be far larger than its estimate. All other sides get no hint, and
+# adaptive execution decides by the sizes it has measured after their shuffle.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+BROADCAST_MAX_ROWS = 50_000
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -72,26 +72,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of ``df`` (no job is run)."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    except Exception:  # pragma: no cover - e.g. a remote session: treat as unknown
-        return 1 << 62
-    return int(size if isinstance(size, int) else size.toString())
+def literal_bytes(df: DataFrame) -> int | None:
+    """Size of a plan that is literal rows (rows times row width), else None."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.getClass().getSimpleName() != "LocalRelation":
+        return None
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def is_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
-    """True when the plan's size estimate is at most ``max_bytes``."""
-    return estimated_bytes(df) <= max_bytes
+    """True only for literal rows of at most ``max_bytes``."""
+    size = literal_bytes(df)
+    return size is not None and size <= max_bytes
 
 
 def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Broadcast hint only behind a size check; larger (or unknown) sides are
-    returned unhinted so the planner picks a shuffle join."""
+    """Broadcast hint for literal rows of proven size; anything else is returned without a hint."""
     return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
+def measured_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``df`` written once to the shared folder and read back; broadcast if the written table has at
+    most ``max_rows`` rows (``BROADCAST_MAX_ROWS``) and a quarter of ``max_bytes`` on disk."""
+    if is_small(df, max_bytes):
+        return F.broadcast(df)
+    spark = df.sparkSession
+    folder = scratch_path(spark, "dimension")
+    df.write.parquet(folder)
+    written = spark.read.schema(df.schema).parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path)
+    if files.getLength() <= max_bytes // 4 and written.count() <= (max_rows or BROADCAST_MAX_ROWS):
+        return F.broadcast(written)
+    return written
+
+
 def spread(df: DataFrame, min_partitions: int | None = None, key: str | None = None) -> DataFrame:
     """Spread CPU-heavy per-row work (JSON parsing, regex) over the cluster
     when the input has fewer splits than cores (e.g. one large row group).

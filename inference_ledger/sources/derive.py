@@ -11,6 +11,9 @@ in ``plans/oracle.py``.
 
 from __future__ import annotations
 
+import math
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,9 +93,15 @@ def request_log_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_log(spark: SparkSession, sf_dir: str, since: float | None = None) -> DataFrame:
+    """The request log; ``since`` (epoch seconds) bounds the scan of ``events`` itself, so that the
+    bound reaches the file's row groups (the log's own time column is computed)."""
     cols = ("event_id", "ts", "user_id", "event_type", "value", "props")
-    return request_log_from_events(read_table(spark, sf_dir, "events", *cols))
+    events = read_table(spark, sf_dir, "events", *cols)
+    if since is not None and dict(events.dtypes)["ts"] == "timestamp_ntz":
+        floor = datetime.fromtimestamp(math.floor(since), timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        events = events.filter(f"ts >= TIMESTAMP_NTZ'{floor}'")
+    return request_log_from_events(events)
 
 
 def log_columns(df: DataFrame) -> DataFrame:

@@ -61,7 +61,8 @@ def append_log(df: DataFrame, root: str) -> None:
     df = flatten_usage(df)
     if "dt" not in df.columns:
         df = df.withColumn("dt", epoch_date(F.col("timestamp")))
-    df.select(*LOG_COLUMNS, "dt").write.mode("append").partitionBy("dt").parquet(_path(root, REQUEST_LOG))
+    # one file per date, several for a hot one: adaptive execution merges and splits the partitions
+    df.select(*LOG_COLUMNS, "dt").hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(_path(root, REQUEST_LOG))
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
@@ -78,14 +79,37 @@ def read_system_log(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(SYSTEM_LOG).parquet(_path(root, SYSTEM_LOG_TABLE))
 
 
+QUARANTINE = "system_log_quarantine"
+
+
+def with_ids(df: DataFrame, taken: DataFrame) -> DataFrame:
+    """Rows without an ``id`` get one above all ids of ``taken``, unique and growing within
+    each partition; no window and no shuffle (one maximum is read from the table)."""
+    base = taken.agg(F.max("id")).first()[0] or 0
+    new = F.lit(base + 1) + F.monotonically_increasing_id()
+    return df.withColumn("id", F.coalesce(F.col("id"), new) if "id" in df.columns else new)
+
+
+def split_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, bad lines) of JSON lines (column ``value``). Timestamp, level, name and message
+    are required; an ``id`` is not."""
+    parsed = lines.select("value", F.from_json("value", SYSTEM_LOG, {"mode": "PERMISSIVE"}).alias("r"))
+    good = F.expr("r IS NOT NULL AND r.timestamp IS NOT NULL AND r.level IS NOT NULL AND r.name IS NOT NULL "
+                  "AND r.message IS NOT NULL")
+    return parsed.filter(good).select("r.*"), parsed.filter(~good).select("value")
+
+
 def ingest_system_log_json(spark: SparkSession, json_path: str, root: str) -> None:
-    """S3: bulk ingest of application log records (JSON lines with timestamp,
-    level, name, message, traceback?) into the system log. Records lacking a
-    required field are dropped (the write would violate NOT NULL)."""
-    recs = spark.read.schema(SYSTEM_LOG).json(json_path)
-    ok = recs.filter(F.col("id").isNotNull() & F.col("timestamp").isNotNull() & F.col("level").isNotNull()
-                     & F.col("name").isNotNull() & F.col("message").isNotNull())
-    append_system_log(ok, root)
+    """S3: bulk ingest of application log records (JSON lines with timestamp, level, name, message,
+    traceback?, id?) into the system log. Records without id get one; lines that are no
+    record go to the quarantine table as they are."""
+    records, bad = split_records(spark.read.text(json_path).filter("trim(value) <> ''"))
+    append_system_log(with_ids(records, read_system_log(spark, root)), root)
+    bad.write.mode("append").parquet(_path(root, QUARANTINE))
+
+
+def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("value string").parquet(_path(root, QUARANTINE))
 
 
 def clear_tables(spark: SparkSession, root: str) -> None:
@@ -132,6 +156,6 @@ def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, name: str |
     the join key join without an exchange (co-located sort-merge join)."""
     import uuid
     name = name or f"ledger_{uuid.uuid4().hex[:12]}"
-    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
        .option("path", path).saveAsTable(name))
     return name
