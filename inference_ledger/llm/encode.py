@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 
 from .columns import slices
+from .worker import kept
 
-WORDS_KEPT = 900_000    # entries of the dictionary before it is emptied (about 130 MB)
+WORDS_KEPT = 800_000    # entries of the dictionary before it is emptied (about 120 MB)
 SEEN_SLOTS = 1 << 22    # a word is kept from the second time on (one byte per slot)
 _ODD_BLANK = re.compile(r" \s|\s ")
 _TRUE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -128,14 +129,9 @@ def _by_blank(text: str) -> list[str]:
     return text.split(" ")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker process's encoder for this file (built once, kept between tasks)."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The worker process's encoder for this file (kept between tasks)."""
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def texts(batches, name: str = "text"):

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import ranges_within, slices
+from .worker import kept
 
 SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_CHARS = 128, 256, 1 << 17
 ALPHABET = 62
@@ -172,15 +173,9 @@ class Model:
         return names, np.where(letters, np.clip(score, 0, 1), 0.0)
 
 
-_MODELS: dict[tuple, Model] = {}
-
-
 def model(sample: tuple[tuple[str, str], ...]) -> Model:
-    """The worker process's model for this sample (built once, kept between tasks)."""
-    if sample not in _MODELS:
-        _MODELS.clear()
-        _MODELS[sample] = Model(dict(sample))
-    return _MODELS[sample]
+    """The worker process's model for this sample (kept between tasks)."""
+    return kept(("language", sample), lambda: Model(dict(sample)))
 
 
 def with_language(docs: DataFrame, sample: dict[str, str], lang: str = "lang_pred", score: str = "score") -> DataFrame:

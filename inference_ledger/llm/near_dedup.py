@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 from .columns import flat_bytes, lower_ascii, ranges_within, slices, word_bounds, xxh64
 from .components import components
+from .worker import release
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 TREE_NODES = 2048
@@ -70,6 +71,7 @@ def with_fingerprint(docs: DataFrame, name: str = "fp", shingle: int = SHINGLE)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
     def add(batches):
+        release()
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = fingerprints(part.column(part.schema.get_field_index("text")), shingle)

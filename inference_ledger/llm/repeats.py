@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 from .columns import SLICE_BYTES, flat_bytes, ranges_within
+from .worker import release
 
 WINDOW = 200
 GRAM = 32                        # bytes hashed to choose an anchor
@@ -216,6 +217,7 @@ def candidate_pieces(spark: SparkSession, docs: DataFrame) -> DataFrame:
     to the shared folder."""
 
     def pieces(batches):
+        release()
         for batch in batches:
             data, offsets = flat_bytes(batch.column("text"))
             for row, key, piece, start, windows in document_pieces(data, offsets):
@@ -248,6 +250,7 @@ def repeated_pieces(candidates: DataFrame, text: DataFrame, text_at: int) -> Dat
     whole = distinct.filter("variety = 1").select("key", "piece", F.lit(-1).cast("long").alias("mask"))
 
     def cut_out(batches):
+        release()
         for batch in batches:
             for part, column in _row_slices(batch, text_at):
                 data, offsets = flat_bytes(column)
@@ -270,6 +273,7 @@ def repeated_pieces(candidates: DataFrame, text: DataFrame, text_at: int) -> Dat
            .mapInArrow(cut_out, "key long, piece long, weight long, variety long, bytes binary"))
 
     def transforms(batches):
+        release()
         held, windows, last = {}, 0, None
 
         def close():
@@ -321,6 +325,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
         ("n_spans", T.LongType())))])
 
     def remove(batches):
+        release()
         for batch in batches:
             for part, column in _row_slices(batch, text_at):
                 data, offsets = flat_bytes(column)
