@@ -21,7 +21,6 @@ from .worker import kept
 
 WORDS_KEPT = 800_000    # entries of the dictionary before it is emptied (about 120 MB)
 SEEN_SLOTS = 1 << 22    # a word is kept from the second time on (one byte per slot)
-_ODD_BLANK = re.compile(r" \s|\s ")
 _TRUE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -112,23 +111,27 @@ class Encoder:
         if not text:
             return np.empty(0, "<u4")
         head = b""
+        units = text.split(" ")
         if self.keeps_blank:
-            units = (_TRUE_CUT.split if _ODD_BLANK.search(text) else _by_blank)(text)
+            if not units[0] or units[0][-1].isspace():
+                units = _TRUE_CUT.split(text)
             head = b"".join(self._lookup(self._split(units[0])))     # no blank before the first unit
             del units[0]
-        else:
-            units = text.split(" ")
         found = list(map(self.words.get, units))
         if None in found:
-            learnt = self._learn({u for u, x in zip(units, found) if x is None})
+            missing = {u for u, x in zip(units, found) if x is None}
+            if self.keeps_blank and any(not u or u[0].isspace() or u[-1].isspace() for u in missing):
+                # a blank beside other white space is no cut; such units are never kept
+                units = _TRUE_CUT.split(text)
+                head = b"".join(self._lookup(self._split(units[0])))
+                del units[0]
+                found = list(map(self.words.get, units))
+                missing = {u for u, x in zip(units, found) if x is None}
+            learnt = self._learn(missing)
             found = [learnt[u] if x is None else x for u, x in zip(units, found)]
         return np.frombuffer(head + b"".join(found), dtype=self.kind).astype("<u4")
 
 
-def _by_blank(text: str) -> list[str]:
-    return text.split(" ")
-
-
 def encoder(path: str) -> Encoder:
     """The worker process's encoder for this file (kept between tasks)."""
     return kept(("encoder", path), lambda: Encoder(path))
