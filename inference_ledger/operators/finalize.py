@@ -102,6 +102,24 @@ def finalize_responses(joined: DataFrame, estimate: str = "prompt_tokens") -> Da
     )
 
 
+def stream_log(finalized: DataFrame, requests: DataFrame) -> DataFrame:
+    """S2 rows of streamed requests (J8, A16): ``sse.finalize_streams`` with its requests
+    (request_id, requested_model, and target_url if routed). A stream that failed is logged as 500 with
+    its error text; the time is that of the last line, or of the start if none came."""
+    url = F.col("target_url") if "target_url" in requests.columns else F.lit("N/A")
+    req = requests.select("request_id", F.col("requested_model").alias("model_id"), url.alias("backend_url"))
+    j = finalized.join(req, "request_id")
+    none = F.lit(None).cast("bigint")
+    out = j.select(
+        F.col("request_id").alias("id"), epoch_seconds(F.coalesce("last_ts", "started_at")).alias("timestamp"),
+        "model_id", "backend_url",
+        F.when(F.col("saw_error"), F.lit(500)).otherwise(F.lit(200)).cast("int").alias("status_code"),
+        F.coalesce("duration_ms", F.lit(0.0)).alias("duration_ms"),
+        *[(F.col(c) if c in finalized.columns else none).alias(c) for c in USAGE_COLS],
+        "error_message", "ttft_ms", "tokens_per_second")
+    return out.select(*LOG_COLUMNS, epoch_date(F.col("timestamp")).alias("dt"))
+
+
 def build_log(limited: DataFrame, responses: DataFrame, untracked: DataFrame | None = None,
               include_failed: bool = True) -> DataFrame:
     """J8 + S2 projection: one request-log row per request.

@@ -263,7 +263,7 @@ def finalize_streams(folded: DataFrame, stream_requests: DataFrame, estimate: st
     prompt = F.when(seen, F.coalesce(F.col("u_prompt"), est)).otherwise(est)
     completion = F.when(seen, F.col("u_completion")).otherwise(counted)
     staged = j.select(
-        "request_id", "protocol", "text", "started_at", "first_token_ts", "last_ts", "error_message",
+        "request_id", "protocol", "text", "started_at", "first_token_ts", "last_ts", "saw_error", "error_message",
         prompt.alias("prompt_tokens"), completion.alias("completion_tokens"),
         F.when(seen, F.coalesce(F.col("u_total"), prompt + F.col("u_completion"))).otherwise(est + counted)
          .alias("total_tokens"),

@@ -11,7 +11,8 @@ messages dialect's message_start: n prompt, 1 completion).
 from __future__ import annotations
 
 from ..functions.tokens import PIECE_PATTERN
-from .oracle import ORACLE
+from ..sources.derive import MODEL_BY_USER_MOD6
+from .oracle import ORACLE, _measures
 
 PIECE = PIECE_PATTERN.replace("'", "''")
 
@@ -65,7 +66,17 @@ SELECT request_id, text, prompt_tokens, completion_tokens, total_tokens, cache_r
 FROM sd WHERE protocol = '{protocol}'"""
 
 
+_MODEL = " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MODEL_BY_USER_MOD6))
+
 ORACLE.update({
+    "log_build_streams": f"""WITH {STREAM_CTE},
+log AS (
+  SELECT CASE (request_id // 100) % 6 {_MODEL} END AS model_id, prompt_tokens, completion_tokens, total_tokens,
+    CAST(NULL AS BIGINT) AS prompt_cached_tokens, cache_read_input_tokens, ttft_ms, duration_ms,
+    CASE WHEN ttft_ms IS NOT NULL AND duration_ms > ttft_ms AND completion_tokens > 0
+         THEN completion_tokens / ((duration_ms - ttft_ms) / 1000.0) END AS tokens_per_second
+  FROM sd)
+SELECT model_id, count(*) AS "count", {_measures()} FROM log GROUP BY model_id ORDER BY "count" DESC, model_id""",
     "sse_chat": _sse("chat"),
     "sse_responses": _sse("responses"),
     "sse_messages": _sse("messages"),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.prompts import prompt_estimate
-from ..operators import sse
+from ..operators import finalize, sse, stats
 from ..sources import derive
+from . import params as P
 from .registry import register
 
 SSE_OUT = ["request_id", "text", "prompt_tokens", "completion_tokens", "total_tokens",
@@ -35,3 +36,12 @@ def sse_errors(spark, sf_dir):
     """P25: per request, whether the stream carried an error event and ended cleanly."""
     f = sse.fold(derive.sse_lines(spark, sf_dir))
     return f.groupBy("protocol", "saw_done", "saw_error").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@register("log_build_streams")
+def log_build_streams(spark, sf_dir):
+    """Captured stream lines -> folds -> request-log rows -> per-model stats."""
+    req = derive.stream_requests(spark, sf_dir)
+    est = req.withColumn("prompt_tokens", prompt_estimate(F.col("protocol"), F.col("body")))
+    final = sse.finalize_streams(sse.fold(derive.sse_lines(spark, sf_dir)), est)
+    return stats.round_averages(stats.model_rollup(finalize.stream_log(final, req)), P.ROUND_DIGITS)
