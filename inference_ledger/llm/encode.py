@@ -19,7 +19,8 @@ import pyarrow as pa
 from .columns import slices
 from .worker import kept
 
-WORDS_KEPT = 800_000    # entries of the dictionary before it is emptied (about 120 MB)
+WORDS_KEPT = 1_000_000  # entries the dictionary takes (about 150 MB)
+STALE_MISSES = 4_000_000   # misses of a full dictionary after which it starts anew
 SEEN_SLOTS = 1 << 22    # a word is kept from the second time on (one byte per slot)
 _TRUE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -50,6 +51,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}       # units, less the blank before them
         self.inner: dict[str, bytes] = {}       # pre-tokens that no blank comes before
         self.seen = bytearray(SEEN_SLOTS)
+        self.misses = 0
 
     def _split(self, unit: str) -> list[str]:
         """Pre-tokens of a unit, or the unit itself where the library must normalise it."""
@@ -64,9 +66,12 @@ class Encoder:
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of every missing unit; units and pieces met before are kept."""
-        for kept in (self.words, self.inner):
-            if len(kept) > WORDS_KEPT:
-                kept.clear()
+        if len(self.words) >= WORDS_KEPT:
+            self.misses += len(missing)
+            if self.misses > STALE_MISSES:        # other text than it was filled from
+                self.words.clear()
+                self.inner.clear()
+                self.misses = 0
         split, words, inner = self._split, self.words, self.inner
         if self.keeps_blank:
             parts = {u: split(" " + u) for u in missing}
@@ -99,6 +104,8 @@ class Encoder:
 
     def _keep(self, found: dict[str, bytes], into: dict[str, bytes]) -> None:
         seen = self.seen
+        if len(into) >= WORDS_KEPT:
+            return
         for w, ids in found.items():
             slot = hash(w) % SEEN_SLOTS
             if seen[slot]:
