@@ -1,7 +1,9 @@
 """Token ids by a public tokenizer file, with a memory of what was met before.
 
 ``Encoder.encode(text)`` equals encoding the whole text with the tokenizers
-library. Texts are cut only where the tokenizer itself always cuts: at a single
+library, ``encode(text, add_special_tokens=False)``: the file's added tokens
+(``<|endoftext|>``) are one id wherever a text spells them. Texts are cut only where the
+tokenizer itself always cuts: at its added tokens, and at a single
 blank between two characters that are not white space. What lies between is
 looked up in a bounded dictionary; what is missing is cut into the tokenizer's
 own pre-tokens, and the library encodes those not met before.
@@ -33,7 +35,6 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True   # their spellings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -48,6 +49,13 @@ class Encoder:
             pattern = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
                        r"|\s+(?!\S)|\s+")
         self.cut = regex.compile(pattern).findall
+        added = spec.get("added_tokens") or []
+        self.added = {t["content"]: np.array([t["id"]], self.kind).tobytes() for t in added}
+        # the longest of two that start together, as the library takes them
+        self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
+        # others than these (none in the public files) are met only after normalising, or take blanks with them
+        self.plain = all(len(self.cut(t["content"])) > 1 and not any(
+            t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in added)
         self.words: dict[str, bytes] = {}       # units, less the blank before them
         self.inner: dict[str, bytes] = {}       # pre-tokens that no blank comes before
         self.seen = bytearray(SEEN_SLOTS)
@@ -117,6 +125,21 @@ class Encoder:
         """Ids of a whole text (null: empty) as little-endian uint32."""
         if not text:
             return np.empty(0, "<u4")
+        if not self.plain:
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4")
+        if any(t in text for t in self.added):
+            between = list(map(self._ordinary, self.at_added.split(text)))
+            ids = [between[0]]
+            for token, part in zip(self.at_added.findall(text), between[1:]):
+                ids += self.added[token], part
+        else:
+            ids = [self._ordinary(text)]
+        return np.frombuffer(b"".join(ids), dtype=self.kind).astype("<u4")
+
+    def _ordinary(self, text: str) -> bytes:
+        """Ids of a text that holds no added token."""
+        if not text:
+            return b""
         head = b""
         units = text.split(" ")
         if self.keeps_blank:
@@ -136,7 +159,7 @@ class Encoder:
                 missing = {u for u, x in zip(units, found) if x is None}
             learnt = self._learn(missing)
             found = [learnt[u] if x is None else x for u, x in zip(units, found)]
-        return np.frombuffer(head + b"".join(found), dtype=self.kind).astype("<u4")
+        return head + b"".join(found)
 
 
 def encoder(path: str) -> Encoder:

@@ -22,6 +22,47 @@ def test_encoder_equals_the_library(documents, name):
         assert enc.encode(text).tolist() == want
 
 
+ADDED = ["<|endoftext|>", "<|endoftext|> a", "a<|endoftext|>b", "a  <|endoftext|>  b c <|startoftext|><|endoftext|>\n",
+         "<|ENDOFTEXT|> x", "é́ <|endoftext|>Σ ΑΣ<|startoftext|> d", "<|endoftext <|endoftext|>|>", " <|startoftext|> "]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_a_text_equal_a_fresh_library(name):
+    from tokenizers import Tokenizer
+    path = public_tokenizer(name)
+    enc, lib = encoder(path), Tokenizer.from_file(path)
+    for text in ADDED + ADDED + [t for t in ODD if t]:
+        assert enc.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids, text
+    end = lib.token_to_id("<|endoftext|>")
+    assert enc.encode("a<|endoftext|>b").tolist().count(end) == 1
+
+
+def test_added_token_of_another_kind_goes_to_the_library(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+    lib = Tokenizer.from_file(public_tokenizer("word_bpe_49k.json"))
+    lib.add_tokens([AddedToken("Mark", lstrip=True, normalized=True)])
+    path = str(tmp_path / "own.json")
+    lib.save(path)
+    enc, lib = encoder(path), Tokenizer.from_file(path)
+    for text in ADDED + ["a  MARK b", "mark", "x Mark<|endoftext|>"]:
+        assert enc.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
+def test_op7_and_op10_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+    rows = [(k, t) for k, t in enumerate(["a b", "x <|endoftext|> y", "c <|startoftext|>", "d e f"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        lib = Tokenizer.from_file(public_tokenizer(name))
+        ids = [np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4") for _, t in rows]
+        start = np.cumsum([0, *map(len, ids)])
+        got = token_files.token_digest(spark, df, public_tokenizer(name), 1).collect()
+        assert sorted(tuple(r) for r in got) == [(d, int(s), len(x), zlib.crc32(x)) for (d, _), s, x in zip(rows, start, ids)]
+        packed = packing.pack_digest(packing.pack_documents(spark, df, public_tokenizer(name), 1, 64)).collect()
+        assert sorted((p.doc_id, p.offset, p.ids_crc32) for p in packed) == [
+            (d, int(s), zlib.crc32(x)) for (d, _), s, x in zip(rows, start, ids)]
+
+
 @pytest.mark.parametrize("high", [1, 2, 3, 300, 50_000, 1 << 20, 1 << 32])
 @pytest.mark.parametrize("n", [0, 1, 5, 240, 1023, 1024, 1025, 5000])
 def test_simple8b_round_trip(high, n):
