@@ -189,14 +189,16 @@ def repeated_windows(pieces: list[bytes], weights: list[int]) -> list[int]:
 
 # --------------------------------------------------------------------- Spark steps
 
-_PIECE = "did long, th int, key long, piece long, start int, windows int"
+_PIECE = "id1 long, id2 long, key long, piece long, start int, windows int"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """did, th (identity of a row: repeated rows share it), row (all columns of ``docs``)."""
+    """id1, id2 (identity of a row: two independent 64-bit hashes of its doc_id and text, so that
+    only repeated rows share it), row (all columns of ``docs``)."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text")
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"),
-        F.hash(F.col("text"), F.col("doc_id").isNull()).alias("th"),
+        F.xxhash64(doc_id.isNull(), doc_id, text).alias("id1"),
+        F.xxhash64(F.sha2(text, 256), doc_id.isNull(), doc_id).alias("id2"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
@@ -213,7 +215,7 @@ def _row_slices(batch: pa.RecordBatch, text_at: int):
 
 
 def candidate_pieces(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Pieces (did, th, key, piece, start, windows) whose core occurs twice or more, written
+    """Pieces (id1, id2, key, piece, start, windows) whose core occurs twice or more, written
     to the shared folder."""
 
     def pieces(batches):
@@ -223,28 +225,28 @@ def candidate_pieces(spark: SparkSession, docs: DataFrame) -> DataFrame:
             for row, key, piece, start, windows in document_pieces(data, offsets):
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("did").take(take), batch.column("th").take(take),
+                    batch.column("id1").take(take), batch.column("id2").take(take),
                     pa.array(key.view(np.int64)), pa.array(piece.view(np.int64)),
                     pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
-                    names=["did", "th", "key", "piece", "start", "windows"])
+                    names=["id1", "id2", "key", "piece", "start", "windows"])
 
-    found = _keyed(docs.select("doc_id", "text")).select("did", "th", "row.text").mapInArrow(pieces, _PIECE)
+    found = _keyed(docs.select("doc_id", "text")).select("id1", "id2", "row.text").mapInArrow(pieces, _PIECE)
     twice = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     folder = scratch_path(spark, "repeat-candidates")
     found.join(twice.hint("shuffle_hash"), "key").select(
-        "did", "th", "key", "piece", "start", "windows").write.parquet(folder)
+        "id1", "id2", "key", "piece", "start", "windows").write.parquet(folder)
     return spark.read.parquet(folder)
 
 
 def _grouped(rows: DataFrame, *columns: str) -> DataFrame:
     """One row per document with the list of its rows (at most a document's own pieces)."""
-    return rows.groupBy("did", "th").agg(F.collect_list(F.struct(*columns)).alias("list"))
+    return rows.groupBy("id1", "id2").agg(F.collect_list(F.struct(*columns)).alias("list"))
 
 
 def repeated_pieces(candidates: DataFrame, text: DataFrame, text_at: int) -> DataFrame:
     """(key, piece, mask): which windows of every distinct candidate piece are repeated."""
     distinct = candidates.groupBy("key", "piece").agg(
-        F.count("*").alias("weight"), F.min(F.struct("did", "th", "start", "windows")).alias("at"))
+        F.count("*").alias("weight"), F.min(F.struct("id1", "id2", "start", "windows")).alias("at"))
     variety = distinct.groupBy("key").agg(F.count("*").alias("variety"))
     distinct = distinct.join(variety, "key")
     whole = distinct.filter("variety = 1").select("key", "piece", F.lit(-1).cast("long").alias("mask"))
@@ -269,7 +271,7 @@ def repeated_pieces(candidates: DataFrame, text: DataFrame, text_at: int) -> Dat
     wanted = _grouped(distinct.filter("variety > 1").select("at.*", "key", "piece", "weight", "variety"),
                       "key", "piece", "weight", "variety", "start", "windows")
     # rows that share an identity share their text, so each is cut from one of them
-    cut = (text.join(wanted.hint("shuffle_hash"), ["did", "th"]).select("row", "list")
+    cut = (text.join(wanted.hint("shuffle_hash"), ["id1", "id2"]).select("row", "list")
            .mapInArrow(cut_out, "key long, piece long, weight long, variety long, bytes binary"))
 
     def transforms(batches):
@@ -315,9 +317,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``row`` (all columns of ``docs``), kept (binary), n_bytes, n_removed, n_spans per document."""
     candidates = candidate_pieces(spark, docs)
     text_at = docs.columns.index("text")
-    text = _keyed(docs).repartition("did", "th")
+    text = _keyed(docs).repartition("id1", "id2")
     masks = repeated_pieces(candidates, text, text_at)
-    marks = _grouped(candidates.select("did", "th", "key", "piece", "start", "windows").distinct()
+    marks = _grouped(candidates.select("id1", "id2", "key", "piece", "start", "windows").distinct()
                      .join(masks, ["key", "piece"]).filter("mask != 0"), "start", "windows", "mask")
     row_type = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).schema[0]
     schema = T.StructType([row_type, *(T.StructField(n, t) for n, t in (
@@ -355,7 +357,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     pa.array(np.diff(offsets)), pa.array(np.diff(removed)), pa.array(np.diff(spans))],
                     names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return text.join(marks.hint("shuffle_hash"), ["did", "th"], "left").select("row", "list").mapInArrow(remove, schema)
+    return text.join(marks.hint("shuffle_hash"), ["id1", "id2"], "left").select("row", "list").mapInArrow(remove, schema)
 
 
 def repeat_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:

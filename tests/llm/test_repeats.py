@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inference_ledger.llm import queries, repeats
 
@@ -56,6 +57,19 @@ def test_odd_rows(spark, monkeypatch, hot_pieces):
     assert got == Counter((d, *b) for (d, _), b in zip(rows, brute([t for _, t in rows])))
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_texts_that_share_a_32_bit_hash_stay_apart(spark, doc_id):
+    passage = "".join(random.Random(9).choice("abcdefghij klmno") for _ in range(230))
+    pair = (spark.range(300_000).selectExpr(
+        f"concat_ws('', transform(sequence(1, 4 + id % 5), k -> sha2(concat(id, '/', k), 256)), '{passage}') AS text")
+        .selectExpr("text", "hash(text) AS h").groupBy("h").agg(F.collect_list("text").alias("texts"))
+        .filter("array_max(transform(texts, t -> length(t))) > array_min(transform(texts, t -> length(t)))").first())
+    rows = [(doc_id, t) for t in pair.texts] + [(doc_id, "x" * 50 + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in repeats.repeat_digest(spark, df).collect())
+    assert got == Counter((d, *b) for (d, _), b in zip(rows, brute([t for _, t in rows])))
+
+
 def test_merge_equals_one_sort():
     rng = random.Random(5)
     stem = "".join(rng.choice("ab") for _ in range(260))
