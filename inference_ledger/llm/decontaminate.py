@@ -1,17 +1,16 @@
-"""Operator 4: benchmark decontamination with item-sized SimHash windows (DataFrame functions only).
+"""Operator 4: benchmark decontamination with item-sized windows (DataFrame functions only).
 
 A document is contaminated by an item if a window of it, as many five-word shingles long as
-the item (the whole document, if that is shorter), has a SimHash within ``radius`` bits of
-the item's and a weighted (multiset) Jaccard similarity of shingles of at least
-``similarity`` with it.
+the item (the whole document, if that is shorter), has a weighted (multiset) Jaccard
+similarity of shingles of at least ``similarity`` with it.
 
 1. Shingles of all documents are joined with the items' shingles by hash. A window that
-   holds fewer of an item's shingles than the similarity needs cannot pass, so only the
-   others are fingerprinted (this loses nothing).
-2. The fingerprint of every such window and of every item is cut into ``radius + 1``
-   blocks. Two fingerprints within the radius agree in one block at least, so the join on
-   (item, block, value) finds all of them; the distance is then checked.
-3. The similarity is computed on the shingles' words.
+   holds fewer of an item's shingles than the similarity needs cannot pass; all others are
+   candidates. This search is exact: no window of the similarity is lost.
+2. The similarity of every candidate is computed on the shingles' words, and it alone decides.
+   The SimHash distance of window and item is reported beside it. No radius is put on it:
+   fingerprints of windows of the same similarity lie at any distance (with repeated
+   shingles up to half of the bits), so that any radius would lose some.
 
 Words are maximal runs of letters and digits of the lower-cased text. Fewer than five words
 make one shingle; none, no shingle. The items' shingles are broadcast only if their
@@ -31,7 +30,6 @@ from ..session import scratch_path
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 18
 BROADCAST_ROWS = 1_000_000
 
 WORDS = r"filter(split(lower(text), '[^\\p{L}\\p{N}]+'), w -> w <> '')"
@@ -61,13 +59,7 @@ def _documents(docs: DataFrame) -> DataFrame:
         .withColumn("text_hash", F.xxhash64("text"))
 
 
-def _blocks(df: DataFrame, radius: int, *keep: str) -> DataFrame:
-    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
-    blocks = ", ".join(f"shiftrightunsigned(fp, {lo}) & {(1 << (hi - lo)) - 1}L" for lo, hi in zip(cuts, cuts[1:]))
-    return df.select(*keep, "fp", F.posexplode(F.expr(f"array({blocks})")).alias("block", "value"))
-
-
-def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, radius: int = RADIUS,
+def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame,
                   similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash, item_id, first_word, n_words, distance, similarity of the most
     similar window of each contaminated (document, item)."""
@@ -117,23 +109,16 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, radius
                .withColumn("fp", F.expr(simhash("window")))
                .select("doc_id", "text_hash", "text", "item", F.col("width").alias("size"), "first", "fp"))
 
-    # 2. distinct window fingerprints meet the items' through the blocks
-    prints = windows.select("item", "fp").distinct()
-    index = _blocks(items.select("item", "fp").distinct(), radius, "item")
-    probe = _blocks(prints, radius, "item")
-    close = (probe.join(index.withColumnRenamed("fp", "item_fp"), ["item", "block", "value"])
-             .select("item", "fp", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance"))
-             .filter(F.col("distance") <= radius).distinct())
-
-    # 3. exact similarity of what is left
-    words = items.select("item_id", "item", F.expr(WORDS).alias("words")) \
+    # 2. exact similarity of every candidate
+    words = items.select("item_id", "item", F.col("fp").alias("item_fp"), F.expr(WORDS).alias("words")) \
         .withColumn("first", F.lit(0)).withColumn("size", F.expr(f"greatest(size(words) - {SHINGLE - 1}, 1)")) \
-        .select("item_id", "item", F.expr(STRINGS).alias("item_shingles"))
-    both = (windows.join(close, ["item", "fp"])
+        .select("item_id", "item", "item_fp", F.expr(STRINGS).alias("item_shingles"))
+    both = (windows
             .withColumn("words", F.expr(WORDS)).withColumn("shingles", F.expr(STRINGS))
-            .select("doc_id", "text_hash", "item", "first", "distance", "shingles",
+            .select("doc_id", "text_hash", "item", "first", "fp", "shingles",
                     F.expr(f"least(size + {SHINGLE - 1}, size(words))").alias("n_words"))
             .join(words, "item")
+            .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
             .withColumn("common", F.expr("""aggregate(array_intersect(shingles, item_shingles), 0, (n, x) -> n + least(
                 size(filter(shingles, y -> y = x)), size(filter(item_shingles, y -> y = x))))"""))
             .withColumn("similarity", F.expr("common / (size(shingles) + size(item_shingles) - common)"))

@@ -79,6 +79,20 @@ def test_odd_rows(spark):
     assert decontaminate.clean_documents(spark, d, i.limit(0)).count() == len(docs)
 
 
+def test_no_window_is_lost_by_its_fingerprint(spark):
+    rng = random.Random(4)
+    items, docs = [(0, " ".join("ab"[k % 2] for k in range(13)))], [(0, " ".join("ba"[k % 2] for k in range(13)))]
+    for k in range(1, 400):                 # 4 of 5 shingles: similarity 0.8, at any distance
+        w = [f"w{rng.randrange(10**9)}" for _ in range(9)]
+        items.append((k, " ".join(w)))
+        docs.append((k, " ".join(w[:8])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert len(want) == 400
+    assert found(decontaminate.contamination(spark, d, i)) == want
+
+
 def test_large_item_side_is_not_broadcast(spark, monkeypatch):
     docs, items, d, i = fixture(spark)
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
