@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .columns import ranges_within, slices
-from .encode import encoder, texts
+from .encode import encoded, encoder
+from .pretokens import class_runs
 from .token_files import with_starts
 
 SIZE = 2048
@@ -32,29 +33,30 @@ def encode_in_order(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFr
     """Pass one: part, local_start, doc_id, n_tokens, wide, ids
     (little-endian bytes of 16 bits an id, or of 32 where wide)."""
 
-    def encoded(batches):
-        enc, part, written = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4")
-        for batch, column in texts(batches):
-            ids = [np.concatenate([enc.encode(t), end]) for t in column]
-            n = np.array([len(x) for x in ids], np.int64)
-            wide = [len(x) > 0 and int(x.max()) > 0xFFFF for x in ids]
+    classes = class_runs()
+
+    def in_order(batches):
+        part, written = TaskContext.get().partitionId(), 0
+        for batch, ids, offsets in encoded(batches, encoder(tokenizer_path, classes), end_id):
+            n = np.diff(offsets)
+            wide = np.maximum.reduceat(ids, offsets[:-1]) > 0xFFFF     # a document has one id at least
+            at = zip(offsets[:-1].tolist(), offsets[1:].tolist(), wide.tolist())
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(ids), part, np.int32)), pa.array(written + np.cumsum(n) - n),
+                pa.array(np.full(len(n), part, np.int32)), pa.array(written + offsets[:-1]),
                 batch.column(0), pa.array(n), pa.array(wide),
-                pa.array([(x if w else x.astype("<u2")).tobytes() for x, w in zip(ids, wide)], pa.binary())],
+                pa.array([ids[a:b].astype("<u4" if w else "<u2").tobytes() for a, b, w in at], pa.binary())],
                 names=["part", "local_start", "doc_id", "n_tokens", "wide", "ids"])
-            written += int(n.sum())
+            written += len(ids)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                .withColumn("tie", F.xxhash64("text"))
                .repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
                .select("doc_id", "text"))
-    return ordered.mapInArrow(encoded, "part int, local_start long, doc_id long, n_tokens long, wide boolean, ids binary")
+    return ordered.mapInArrow(in_order, "part int, local_start long, doc_id long, n_tokens long, wide boolean, ids binary")
 
 
-def cut_pieces(encoded: DataFrame, size: int = SIZE) -> DataFrame:
+def cut_pieces(rows: DataFrame, size: int = SIZE) -> DataFrame:
     """Pass two over ``encode_in_order``'s written rows: one row per piece, with its ids."""
 
     def pieces(batches):
@@ -76,8 +78,8 @@ def cut_pieces(encoded: DataFrame, size: int = SIZE) -> DataFrame:
                 pa.array(ids, pa.binary())],
                 names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    rows = with_starts(encoded).select("doc_id", "start", "n_tokens", "wide", "ids")
-    return rows.mapInArrow(
+    placed = with_starts(rows).select("doc_id", "start", "n_tokens", "wide", "ids")
+    return placed.mapInArrow(
         pieces, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 

@@ -1,11 +1,13 @@
 """Operator 7: token-id files in Simple-8b words.
 
 File format (``S8B``): a file is a sequence of blocks, each ended by a line
-feed. A block holds whole documents in ascending order::
+feed. A block holds documents in ascending order, 65,536 ids at most; a document of more
+ids goes on in the next block. A file takes 256 blocks, so that its size is bounded::
 
-    4s magic 'S8B1' | i4 part | i8 first id of the block in its part
+    4s magic 'S8B2' | i4 part | i8 first id of the block in its part
+    i8 ids of the first document in earlier blocks | u4 whether the last document goes on
     u4 documents | u4 ids | u4 words | u4 escapes
-    i8[documents] doc_id | u1[documents] doc_id is null | u4[documents] ids of the document
+    i8[documents] doc_id | u1[documents] doc_id is null | u4[documents] ids of the document here
     u4[ceil(ids / 1024)] first word of every run of 1024 ids (so runs decode side by side)
     u8[words] Simple-8b words | u4[escapes] ids that did not fit, in order
 
@@ -30,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .encode import encoder, text_column, texts
+from .encode import encoded, encoder, id_lists
+from .pretokens import class_runs
 
 # fixed values: ids per word and bits per id of each selector
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3], np.int32)
@@ -39,8 +42,8 @@ RUN = 1024                      # ids between two stored word offsets
 ESCAPE = (1 << 20) - 1
 #: for every value, the least selector (from 1: a lone zero has no use for 0) wide enough for it
 _LEAST = (1 + np.searchsorted(1 << BITS[1:], np.arange(ESCAPE + 1), side="right")).astype(np.uint8)
-HEAD = struct.Struct("<4siqIIII")
-BLOCK_IDS = 1 << 16             # a block is closed once it holds this many ids
+HEAD = struct.Struct("<4siqqIIIII")
+BLOCK_IDS = 1 << 16             # most ids of a block
 BLOCKS_PER_FILE = 256
 
 
@@ -120,23 +123,38 @@ def unpack(first: np.ndarray, words: np.ndarray, escapes: np.ndarray, n: int) ->
     return ids
 
 
-def write_block(part: int, first_id: int, docs: list[tuple[int | None, np.ndarray]]) -> bytes:
-    ids = np.concatenate([x for _, x in docs])
+def write_block(part: int, first_id: int, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray,
+                before: int = 0, more: bool = False) -> bytes:
     first, words, escapes = pack(ids)
     return b"".join([
-        HEAD.pack(b"S8B1", part, first_id, len(docs), len(ids), len(words), len(escapes)),
-        np.array([d or 0 for d, _ in docs], "<i8").tobytes(),
-        np.array([d is None for d, _ in docs], "u1").tobytes(),
-        np.array([len(x) for _, x in docs], "<u4").tobytes(),
-        first.tobytes(), words.tobytes(), escapes.tobytes()])
-
-
-def read_blocks(data: bytes):
-    """(part, first id, doc ids, ids) of every block of a file's bytes."""
-    at = 0
+        HEAD.pack(b"S8B2", part, first_id, before, more, len(doc_ids), len(ids), len(words), len(escapes)),
+        np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
+        np.array([d is None for d in doc_ids], "u1").tobytes(),
+        lengths.astype("<u4").tobytes(),
+        first.tobytes(), words.tobytes(), escapes.tobytes(), b"\n"])
+
+
+def write_blocks(part: int, written: int, doc_ids: list[int | None], ids: np.ndarray, offsets: np.ndarray):
+    """Blocks of some documents' ids: whole documents where they fit, else the next ``BLOCK_IDS`` ids of one."""
+    at, total = 0, len(ids)
+    while at < total:
+        a = int(np.searchsorted(offsets, at, "right")) - 1
+        last = int(np.searchsorted(offsets, at + BLOCK_IDS, "right")) - 1      # documents that end here
+        to = int(offsets[last]) if offsets[last] > at else min(at + BLOCK_IDS, total)
+        b = int(np.searchsorted(offsets, to, "left"))
+        edges = np.clip(offsets[a:b + 1], at, to)
+        yield write_block(part, written + at, doc_ids[a:b], ids[at:to], np.diff(edges),
+                          at - int(offsets[a]), bool(offsets[b] > to))
+        at = to
+
+
+def read_blocks(data):
+    """(part, first id, ids of the first document in earlier blocks, whether the last goes on, doc ids, ids,
+    offsets of the documents' ids) of every block of a file's bytes."""
+    data, at = memoryview(data), 0
     while at < len(data):
-        magic, part, first_id, n_docs, n, n_words, n_escapes = HEAD.unpack_from(data, at)
-        if magic != b"S8B1":
+        magic, part, first_id, before, more, n_docs, n, n_words, n_escapes = HEAD.unpack_from(data, at)
+        if magic != b"S8B2":
             raise ValueError("not a token file block")
         at += HEAD.size
 
@@ -147,32 +165,25 @@ def read_blocks(data: bytes):
             return got
         ids, null, lengths = take("<i8", n_docs), take("u1", n_docs), take("<u4", n_docs)
         first, words, escapes = take("<u4", -(-n // RUN)), take("<u8", n_words), take("<u4", n_escapes)
-        if data[at:at + 1] != b"\n":
+        if bytes(data[at:at + 1]) != b"\n":
             raise ValueError("a block does not end where its header says")
         at += 1
-        flat = unpack(first, words, escapes, n)
-        yield part, first_id, [None if z else int(i) for i, z in zip(ids, null)], \
-            np.split(flat, np.cumsum(lengths[:-1], dtype=np.int64))
+        yield part, first_id, before, bool(more), [None if z else i for i, z in zip(ids.tolist(), null.tolist())], \
+            unpack(first, words, escapes, n), np.append(0, np.cumsum(lengths, dtype=np.int64))
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> None:
     """Write the ids of every document, in ascending doc_id order, to ``folder``
     through Spark's own committer (a lost executor's unfinished files never count)."""
 
+    classes = class_runs()
+
     def blocks(batches):
-        enc, part, written = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4")
-        held: list = []
-        size = 0
-        for batch, column in texts(batches):
-            for doc_id, text in zip(text_column(batch, "doc_id"), column):
-                held.append((doc_id, np.concatenate([enc.encode(text), end])))
-                size += len(held[-1][1])
-                if size >= BLOCK_IDS:
-                    yield pa.RecordBatch.from_pydict({"block": [write_block(part, written, held)]})
-                    written, held, size = written + size, [], 0
-        if held:
-            yield pa.RecordBatch.from_pydict({"block": [write_block(part, written, held)]})
+        part, written = TaskContext.get().partitionId(), 0
+        for batch, ids, offsets in encoded(batches, encoder(tokenizer_path, classes), end_id):
+            for block in write_blocks(part, written, batch.column(0).to_pylist(), ids, offsets):
+                yield pa.RecordBatch.from_pydict({"block": [block[:-1]]})     # the text writer ends it
+            written += len(ids)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -184,22 +195,46 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
      .write.option("maxRecordsPerFile", BLOCKS_PER_FILE).mode("overwrite").text(folder))
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document of the files: part, local_start (ids of the part before
-    it), doc_id, n_tokens, ids (binary, little-endian uint32)."""
+PIECE = "part int, local_start long, doc_id long, n_tokens long, before long, whole boolean, ids binary"
+
+
+def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document and block: part, local_start (ids of the part before the document), doc_id, n_tokens (here),
+    before (ids of the document in earlier blocks), whole, ids (binary, little-endian uint32)."""
 
-    def documents(batches):
+    def pieces(batches):
         for batch in batches:
             for data in batch.column(0):
-                for part, first, doc_ids, ids in read_blocks(data.as_py()):
-                    n = np.array([len(x) for x in ids], np.int64)
+                for part, first, before, more, doc_ids, ids, offsets in read_blocks(data.as_buffer()):
+                    n = len(doc_ids)
+                    start, earlier, whole = first + offsets[:-1], np.zeros(n, np.int64), np.ones(n, bool)
+                    start[0] -= before
+                    earlier[0] = before
+                    whole[0] &= before == 0
+                    whole[-1] &= not more
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([part] * len(ids), pa.int32()), pa.array(first + np.cumsum(n) - n, pa.int64()),
-                        pa.array(doc_ids, pa.int64()), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary()),
-                    ], names=["part", "local_start", "doc_id", "n_tokens", "ids"])
+                        pa.array(np.full(n, part, np.int32)), pa.array(start), pa.array(doc_ids, pa.int64()),
+                        pa.array(np.diff(offsets)), pa.array(earlier), pa.array(whole), id_lists(ids, offsets)],
+                        names=["part", "local_start", "doc_id", "n_tokens", "before", "whole", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    return files.mapInArrow(documents, "part int, local_start long, doc_id long, n_tokens long, ids binary")
+    return files.mapInArrow(pieces, PIECE)
+
+
+def joined_pieces(pieces: DataFrame) -> DataFrame:
+    """Documents from their pieces; only those of more than one block are grouped."""
+    parts = F.array_sort(F.collect_list(F.struct("before", "ids")))
+    return pieces.filter("NOT whole").groupBy("part", "local_start", "doc_id").agg(
+        F.sum("n_tokens").alias("n_tokens"),
+        F.aggregate(parts, F.expr("X''"), lambda x, p: F.concat(x, p["ids"])).alias("ids"))
+
+
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document of the files: part, local_start (ids of the part before it), doc_id, n_tokens,
+    ids (binary, little-endian uint32)."""
+    pieces = read_pieces(spark, folder)
+    columns = ["part", "local_start", "doc_id", "n_tokens", "ids"]
+    return pieces.filter("whole").select(columns).unionByName(joined_pieces(pieces).select(columns))
 
 
 def with_starts(rows: DataFrame, size: str = "n_tokens") -> DataFrame:
@@ -218,12 +253,17 @@ def token_digest(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
 
     def crc(batches):
         for batch in batches:
+            whole, ids = batch.column(5).to_pylist(), batch.column(6)
+            got = [zlib.crc32(x.as_buffer()) if w else None for x, w in zip(ids, whole)]
+            rest = [None if w else x.as_py() for x, w in zip(ids, whole)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("ids")], pa.int64())],
-                names=[*batch.schema.names[:-1], "ids_crc32"])
+                [*batch.columns[:-1], pa.array(rest, pa.binary()), pa.array(got, pa.int64())],
+                names=[*batch.schema.names, "ids_crc32"])
 
     slim = scratch_path(spark, "token-digest")
-    (read_token_files(spark, folder)
-     .mapInArrow(crc, "part int, local_start long, doc_id long, n_tokens long, ids_crc32 long")
-     .write.parquet(slim))
-    return with_starts(spark.read.parquet(slim)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    read_pieces(spark, folder).mapInArrow(crc, PIECE + ", ids_crc32 long").write.parquet(slim)
+    rows = spark.read.parquet(slim)
+    columns = ["part", "local_start", "doc_id", "n_tokens", "ids_crc32"]
+    rows = rows.filter("whole").select(columns).unionByName(
+        joined_pieces(rows).withColumn("ids_crc32", F.crc32("ids")).select(columns))
+    return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")

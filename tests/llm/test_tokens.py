@@ -75,8 +75,23 @@ def test_simple8b_round_trip(high, n):
         assert len(words) <= -(-n // 100)
 
 
+@pytest.mark.parametrize("block_ids", [1, 7, 64, 1 << 16])
+def test_documents_that_go_on_in_the_next_block(spark, monkeypatch, tmp_path, block_ids):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", block_ids)
+    lengths = [1, 3, 200, 1, 7, 14, 64, 65]
+    at = np.append(0, np.cumsum(lengths))
+    ids = np.arange(at[-1], dtype="<u4") * 997
+    blocks = list(token_files.write_blocks(5, 100, [None, *range(1, 8)], ids, at))
+    assert all(len(b[5]) <= block_ids for b in token_files.read_blocks(b"".join(blocks)))
+    (tmp_path / "part-0").write_bytes(b"".join(blocks))
+    got = sorted(token_files.read_token_files(spark, f"file://{tmp_path}").collect(), key=lambda r: r.local_start)
+    assert [(r.part, r.local_start, r.doc_id, r.n_tokens) for r in got] == [
+        (5, 100 + int(a), k or None, n) for k, (a, n) in enumerate(zip(at, lengths))]
+    assert b"".join(bytes(r.ids) for r in got) == ids.tobytes()
+
+
 def test_damaged_block_is_refused():
-    block = token_files.write_block(0, 0, [(1, np.arange(50, dtype="<u4"))])
+    block = token_files.write_block(0, 0, [1], np.arange(50, dtype="<u4"), np.array([50]))
     with pytest.raises(ValueError):
         list(token_files.read_blocks(block[:-1] + b"xx"))
     with pytest.raises(ValueError):
