@@ -9,8 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (archives, decontaminate, extract, language, licences, near_dedup, neighbours, packing, prefix_bpe,
-               repeats, token_files)
+from . import (archives, decontaminate, divergence, extract, language, licences, near_dedup, neighbours, packing,
+               prefix_bpe, repair, repeats, token_files)
 from .encode import public_tokenizer
 from .oracle import ORACLE_SQL  # noqa: F401  (read by the entry module)
 
@@ -82,11 +82,19 @@ def op10_pack(spark, sf_dir):
         spark, table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=1))
 
 
+def op11_repair(spark, sf_dir):
+    return repair.repair(spark, repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_divergence(spark, sf_dir):
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark, sf_dir):
     return prefix_bpe.encoding_digest(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_licences, op2_language, op3_archives, op4_decontaminate, op5_extract, op6_near_dedup, op7_token_files, op8_neighbours, op9_repeats, op10_pack,
-                              op13_bpe)
+                              op11_repair, op12_divergence, op13_bpe)
 }
