@@ -213,6 +213,7 @@ def stitch(part: DataFrame) -> DataFrame:
         F.min("first_token_ts").alias("first_token_ts"),
         F.max("last_ts").alias("last_ts"),
         (F.max("saw_done") == 1).alias("saw_done"),
+        (F.max("saw_end") == 1).alias("saw_end"),
         (F.max("saw_error") == 1).alias("saw_error"),
         F.max("err").alias("err"),
         F.max("last_usage").alias("last_usage"),
@@ -223,7 +224,7 @@ def stitch(part: DataFrame) -> DataFrame:
     msgs = F.col("protocol") == "messages"
     lu = F.col("last_usage.v")
     return whole.select(
-        "request_id", "protocol", "text", "usage_seen", "first_token_ts", "last_ts", "saw_done", "saw_error",
+        "request_id", "protocol", "text", "usage_seen", "first_token_ts", "last_ts", "saw_done", "saw_end", "saw_error",
         F.col("err.v").alias("error_message"),
         F.when(msgs, F.col("m_in.v")).otherwise(lu.getField("u_prompt")).alias("u_prompt"),
         F.when(msgs, F.coalesce(F.col("m_out.v"), F.lit(0).cast("bigint"))).otherwise(lu.getField("u_completion")).alias("u_completion"),

@@ -71,4 +71,13 @@ FROM limited2""",
 _ = R
 
 ORACLE["stream_system_recent"] = ORACLE["system_logs_topk"]
-ORACLE["stream_system_ingest"] = ORACLE["system_log_ingest"]
+ORACLE["stream_finished"] = ORACLE["stream_sse"]
+ORACLE["stream_system_ingest"] = f"""WITH {SYSLOG_CTE},
+good AS (SELECT * FROM syslog WHERE id % 50 NOT IN (7, 8))
+SELECT 'stored' AS kind, level, name, count(*) AS records, count(traceback) AS with_traceback, CAST(NULL AS BIGINT) AS id_span
+FROM good GROUP BY level, name
+UNION ALL SELECT 'ids', NULL, NULL, count(*), count(traceback), count(*) FROM good
+UNION ALL SELECT 'quarantined', NULL, NULL, count(*), NULL, NULL FROM syslog WHERE id % 50 IN (7, 8)"""
+ORACLE["log_ids"] = f"""WITH {LOG_CTE}
+SELECT count(*) AS requests, count(*) AS distinct_ids, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id,
+  CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM log"""

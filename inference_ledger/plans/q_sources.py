@@ -74,6 +74,18 @@ def system_log_ingest(spark, sf_dir):
         F.count("traceback").alias("with_traceback"))
 
 
+@register("log_ids")
+def log_ids(spark, sf_dir):
+    """The log gives the ids. Three appends of rows without id; ids are dense over all of them."""
+    root = scratch_path(spark, "ids")
+    log = derive.request_log(spark, sf_dir).drop("id").withColumn("_third", F.expr("pmod(xxhash64(struct(*)), 3)"))
+    for k in range(3):
+        logstore.append_log(log.filter(F.col("_third") == k).drop("_third"), root)
+    return logstore.read_log(spark, root).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_distinct("id").alias("distinct_ids"), F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"), F.sum("total_tokens").alias("total_tokens"))
+
+
 @register("export_json")
 def export_json(spark, sf_dir):
     """The stats document (totals + nested per-model array) as JSON, read

@@ -76,10 +76,7 @@ def stream_series_month(spark, sf_dir):
     return _series(spark, sf_dir, "month")
 
 
-def _sse(spark, sf_dir, job):
-    src, sink = scratch_path(spark, "src-sse"), scratch_path(spark, "sink-sse")
-    lines = derive.sse_lines(spark, sf_dir)
-    folded = _twice(lines, src, lambda: job(spark, src, sink, lines.schema, PER_BATCH))
+def _final(spark, sf_dir, folded):
     req = derive.stream_requests(spark, sf_dir)
     req = req.withColumn("prompt_tokens", prompt_estimate(F.col("protocol"), F.col("body")))
     return sse.finalize_streams(folded, req).select(*SSE_OUT)
@@ -87,7 +84,24 @@ def _sse(spark, sf_dir, job):
 
 @register("stream_sse")
 def stream_sse(spark, sf_dir):
-    return _sse(spark, sf_dir, jobs.live_sse_fold)
+    src, sink = scratch_path(spark, "src-sse"), scratch_path(spark, "sink-sse")
+    lines = derive.sse_lines(spark, sf_dir)
+    parts = _twice(lines, src, lambda: jobs.live_sse_fold(spark, src, sink, lines.schema, PER_BATCH))
+    return _final(spark, sf_dir, sse.stitch(parts))
+
+
+@register("stream_finished")
+def stream_finished(spark, sf_dir):
+    """T-S1 emission: the last lines of all streams come first, then the rest in two batches, the job starting
+    again before the last; the newest revisions equal the fold of all lines."""
+    src, sink = scratch_path(spark, "src-ends"), scratch_path(spark, "sink-finished")
+    lines = derive.sse_lines(spark, sf_dir)
+    wave = lines.withColumn("_wave", F.expr(f"IF(seq >= {derive.SEQ_DONE}, 0, 1 + pmod(xxhash64(request_id, seq), 2))"))
+    for waves in ((0, 1), (2,)):
+        for k in waves:
+            wave.filter(F.col("_wave") == k).drop("_wave").coalesce(1).write.mode("append").parquet(src)
+        done = jobs.live_finished(spark, src, sink, lines.schema, max_files=1)
+    return _final(spark, sf_dir, done)
 
 
 @register("stream_route")
@@ -112,10 +126,17 @@ def stream_system_recent(spark, sf_dir):
 
 @register("stream_system_ingest")
 def stream_system_ingest(spark, sf_dir):
-    """S3 streaming ingest of JSON-lines application logs into the system log."""
-    from ..schemas import SYSTEM_LOG
+    """S3 as a stream: records without ids get dense ones, lines that are no record are kept apart."""
     src, sink = scratch_path(spark, "src-syslog"), scratch_path(spark, "sink-syslog")
-    s = _twice(derive.system_log(spark, sf_dir), src, lambda: jobs.ingest_system_log_stream(
-        spark, src, sink, SYSTEM_LOG, PER_BATCH), "json")
-    return s.groupBy("level", "name").agg(F.count(F.lit(1)).alias("records"),
-                                          F.count("traceback").alias("with_traceback"))
+    stored, bad = _twice(derive.system_log_lines(spark, sf_dir), src,
+                         lambda: jobs.ingest_system_log_stream(spark, src, sink, PER_BATCH), "text")
+    count = F.count(F.lit(1)).alias("records")
+    none = F.lit(None).cast("long")
+    by_name = stored.groupBy("level", "name").agg(count, F.count("traceback").alias("with_traceback")).select(
+        F.lit("stored").alias("kind"), "*", none.alias("id_span"))
+    ids = stored.agg(F.count_distinct("id").alias("records"), F.count("traceback").alias("with_traceback"),
+                     F.max("id").alias("id_span")).select(F.lit("ids").alias("kind"), F.lit(None).cast("string").alias("level"),
+                                                          F.lit(None).cast("string").alias("name"), "*")
+    apart = bad.agg(count).select(F.lit("quarantined").alias("kind"), F.lit(None).cast("string").alias("level"),
+                                  F.lit(None).cast("string").alias("name"), "records", none.alias("with_traceback"), none.alias("id_span"))
+    return by_name.unionByName(ids).unionByName(apart)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timefmt import epoch_date
 from ..schemas import LOG, LOG_COLUMNS, LOG_WITH_DT, SYSTEM_LOG
+from .ids import IdClaims, with_dense_ids
 
 REQUEST_LOG = "request_log"
 SYSTEM_LOG_TABLE = "system_log"
@@ -56,9 +57,20 @@ def flatten_usage(df: DataFrame, usage_col: str = "usage") -> DataFrame:
     )
 
 
+def claims_of(spark: SparkSession, root: str, table: str) -> IdClaims:
+    """The id claims of a table; a table that was filled before there were claims is read once."""
+    def taken() -> int:
+        if not _exists(spark, _path(root, table)):
+            return 0
+        return spark.read.schema("id long").parquet(_path(root, table)).agg(F.max("id")).first()[0] or 0
+    return IdClaims(spark, _path(root, f"{table}-ids"), taken)
+
+
 def append_log(df: DataFrame, root: str) -> None:
-    """Append request-log rows, partitioned by ``dt``."""
+    """Append request-log rows, partitioned by ``dt``. Rows without an ``id`` get the next ones."""
     df = flatten_usage(df)
+    if "id" not in df.columns or df.schema["id"].nullable:
+        df = with_dense_ids(df, claims_of(df.sparkSession, root, REQUEST_LOG))
     if "dt" not in df.columns:
         df = df.withColumn("dt", epoch_date(F.col("timestamp")))
     # one file per date, several for a hot one: adaptive execution merges and splits the partitions
@@ -82,14 +94,6 @@ def read_system_log(spark: SparkSession, root: str) -> DataFrame:
 QUARANTINE = "system_log_quarantine"
 
 
-def with_ids(df: DataFrame, taken: DataFrame) -> DataFrame:
-    """Rows without an ``id`` get one above all ids of ``taken``, unique and growing within
-    each partition; no window and no shuffle (one maximum is read from the table)."""
-    base = taken.agg(F.max("id")).first()[0] or 0
-    new = F.lit(base + 1) + F.monotonically_increasing_id()
-    return df.withColumn("id", F.coalesce(F.col("id"), new) if "id" in df.columns else new)
-
-
 def split_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, bad lines) of JSON lines (column ``value``). Timestamp, level, name and message
     are required; an ``id`` is not."""
@@ -104,7 +108,7 @@ def ingest_system_log_json(spark: SparkSession, json_path: str, root: str) -> No
     traceback?, id?) into the system log. Records without id get one; lines that are no
     record go to the quarantine table as they are."""
     records, bad = split_records(spark.read.text(json_path).filter("trim(value) <> ''"))
-    append_system_log(with_ids(records, read_system_log(spark, root)), root)
+    append_system_log(with_dense_ids(records, claims_of(spark, root, SYSTEM_LOG_TABLE)), root)
     bad.write.mode("append").parquet(_path(root, QUARANTINE))
 
 

@@ -3,9 +3,9 @@
 Every job reads a file stream with a declared schema. Its checkpoint stands beside its
 sink (``<sink>-checkpoint``, or where the caller says), so a second start on the same
 sink goes on where the first ended, and the batch ids of the sink never start again.
-Sinks are idempotent: Spark's file sink, or ``foreachBatch`` that overwrites the
-folder of its batch id. What a batch contributes is algebraic (counts, sums, the
-first and last by sequence number) and is added up on read, so no result
+Sinks are idempotent: Spark's file sink, or ``foreachBatch`` into the folder of its batch
+id. What a batch contributes is algebraic (counts, sums, the first and last by sequence number):
+parts go to a ``PartLog``, which merges them level by level, and are added up on read. No result
 depends on the order in which files arrive, and no row is ever late.
 
 ``run_available_now`` drives a query with ``trigger(availableNow=True)`` and
@@ -19,10 +19,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.timefmt import bucket_label
 from ..operators import routing, sse, stats
-from ..schemas import LOG_COLUMNS, LOG_WITH_DT
+from ..schemas import LOG_COLUMNS, LOG_WITH_DT, SYSTEM_LOG
+from ..sources.ids import IdClaims, with_dense_ids
+from ..sources.logstore import split_records
+from .partlog import FANOUT, PartLog
 
 
 def checkpoint_beside(sink: str) -> str:
@@ -69,14 +73,18 @@ def append_log_stream(spark: SparkSession, source: str, sink: str, max_files: in
 # ------------------------------------------------------------------ T-S3
 
 def live_totals(spark: SparkSession, source: str, sink: str, max_files: int | None = None,
-                checkpoint: str | None = None) -> DataFrame:
+                checkpoint: str | None = None, fanout: int = FANOUT) -> DataFrame:
     """T-S3: every batch writes one row of counts and sums; the totals are their sums on read."""
-    def part(batch: DataFrame, batch_id: int) -> None:
-        stats.total_parts(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-
     s = file_stream(spark, source, LOG_WITH_DT, max_files)
-    run_available_now(s.writeStream.foreachBatch(part), checkpoint or checkpoint_beside(sink))
-    return stats.totals_of_parts(spark.read.parquet(sink))
+    schema = stats.total_parts(spark.createDataFrame([], LOG_WITH_DT)).schema
+
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
+
+    log = PartLog(spark, sink, schema, merge, fanout=fanout)
+    run_available_now(s.writeStream.foreachBatch(lambda batch, k: log.add(k, stats.total_parts(batch))),
+                      checkpoint or checkpoint_beside(sink))
+    return stats.totals_of_parts(log.read())
 
 
 # ------------------------------------------------------------------ T-S4
@@ -110,20 +118,28 @@ def live_recent(spark: SparkSession, source: str, sink: str, k: int = 50, max_fi
     return spark.read.parquet(f"{sink}/v={last}")
 
 
-def ingest_system_log_stream(spark: SparkSession, source: str, sink: str, schema, max_files: int | None = None,
-                             checkpoint: str | None = None) -> DataFrame:
-    """S3 as a stream: application log records arriving as JSON lines are
-    appended to the system-log table (file sink, exactly once); records
-    lacking a required field are dropped."""
-    r = spark.readStream.schema(schema)
+def ingest_system_log_stream(spark: SparkSession, source: str, sink: str, max_files: int | None = None,
+                             checkpoint: str | None = None, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+    """S3 as a stream: application log records arriving as JSON lines. A batch goes to two sinks under its
+    batch id: records, with the next ids where they bring none, and lines that are no record, as they are. A batch that is
+    replayed finds what it has stored, or its claim on ids, and stores nothing twice. Returns
+    (records, quarantine)."""
+    records = PartLog(spark, f"{sink}/records", SYSTEM_LOG, lambda df: df, fanout=fanout)
+    quarantine = PartLog(spark, f"{sink}/quarantine", "value string", lambda df: df, fanout=fanout)
+    claims = IdClaims(spark, f"{sink}/ids")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        good, bad = split_records(batch.filter("trim(value) <> ''"))
+        if not records.has(batch_id):
+            numbered = with_dense_ids(good, claims, f"batch {batch_id}")
+            records.add(batch_id, numbered.select(*[f.name for f in SYSTEM_LOG.fields]))
+        quarantine.add(batch_id, bad)
+
+    r = spark.readStream
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
-    s = r.json(source)
-    ok = s.filter(F.col("id").isNotNull() & F.col("timestamp").isNotNull() & F.col("level").isNotNull()
-                  & F.col("name").isNotNull() & F.col("message").isNotNull())
-    run_available_now(ok.writeStream.format("parquet").outputMode("append").option("path", sink),
-                      checkpoint or checkpoint_beside(sink))
-    return spark.read.schema(schema).parquet(sink)
+    run_available_now(r.text(source).writeStream.foreachBatch(step), checkpoint or checkpoint_beside(sink))
+    return records.read(), quarantine.read()
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
@@ -142,71 +158,88 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 
 # ------------------------------------------------------------------ T-S5
 
+SERIES_PART = "label string, requests long, tokens long, cached_tokens long"
+
+
 def live_series(spark: SparkSession, source: str, sink: str, period: str = "hour", max_files: int | None = None,
-                checkpoint: str | None = None, time_zone: str = "UTC") -> DataFrame:
+                checkpoint: str | None = None, time_zone: str = "UTC", fanout: int = FANOUT) -> DataFrame:
     """T-S5: requests, tokens and cached tokens per hour, day or month. Every batch writes
     its own sums per bucket; a bucket is their sum on read, however late a row came.
     There is no state and no watermark. ``None`` sums (no usage at all) stay NULL."""
-    def part(batch: DataFrame, batch_id: int) -> None:
-        (batch.groupBy(bucket_label(F.col("timestamp"), period, time_zone).alias("label"))
-         .agg(F.count(F.lit(1)).alias("requests"), F.sum("total_tokens").alias("tokens"),
-              F.sum(stats.cached_tokens()).alias("cached_tokens"))
-         .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}"))
+    def part(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(bucket_label(F.col("timestamp"), period, time_zone).alias("label")).agg(
+            F.count(F.lit(1)).alias("requests"), F.sum("total_tokens").alias("tokens"),
+            F.sum(stats.cached_tokens()).alias("cached_tokens"))
+
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("requests", "tokens", "cached_tokens")])
 
+    log = PartLog(spark, sink, SERIES_PART, merge, fanout=fanout)
     s = file_stream(spark, source, LOG_WITH_DT, max_files)
-    run_available_now(s.writeStream.foreachBatch(part), checkpoint or checkpoint_beside(sink))
-    return spark.read.parquet(sink).groupBy("label").agg(
-        *[F.sum(c).alias(c) for c in ("requests", "tokens", "cached_tokens")])
+    run_available_now(s.writeStream.foreachBatch(lambda batch, k: log.add(k, part(batch))),
+                      checkpoint or checkpoint_beside(sink))
+    return merge(log.read())
 
 
 # ------------------------------------------------------------------ T-S1
 
+def _fold_schema(spark: SparkSession, schema):
+    return sse.fold_partials(sse.parse_lines(spark.createDataFrame([], schema))).schema
+
+
 def live_sse_fold(spark: SparkSession, source: str, sink: str, schema, max_files: int | None = None,
-                  checkpoint: str | None = None) -> DataFrame:
+                  checkpoint: str | None = None, fanout: int = FANOUT) -> DataFrame:
     """T-S1: every batch folds its lines per (request, seq bucket) and writes these parts;
     a request is the merge of its parts on read. Lines may arrive in any order and
     in any batch: every part is keyed by ``seq``, and a line that comes again changes nothing."""
-    def part(batch: DataFrame, batch_id: int) -> None:
-        sse.fold_partials(sse.parse_lines(batch)).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-
+    log = PartLog(spark, sink, _fold_schema(spark, schema), sse.merge_partials, fanout=fanout)
     s = file_stream(spark, source, schema, max_files)
-    run_available_now(s.writeStream.foreachBatch(part), checkpoint or checkpoint_beside(sink))
-    return sse.stitch(sse.merge_partials(spark.read.parquet(sink).drop("batch_id")))
+    run_available_now(
+        s.writeStream.foreachBatch(lambda batch, k: log.add(k, sse.fold_partials(sse.parse_lines(batch)))),
+        checkpoint or checkpoint_beside(sink))
+    return sse.merge_partials(log.read())
 
 
-def live_finished(spark: SparkSession, source: str, sink: str, schema, max_files: int | None = None,
-                  checkpoint: str | None = None) -> DataFrame:
-    """T-S1, emission at the end of a stream: a request is emitted once, by the batch that
-    brings its end (its dialect's last event, ``[DONE]`` or an error), folded from the parts of
-    all batches so far. Only requests that ended in the batch are read back; parts are dealt to
-    folders by a hash of the request id, so that few folders are read."""
-    parts, done = f"{sink}/parts", f"{sink}/finished"
+SSE_SHARDS = 64
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark_ = batch.sparkSession
-        shard = F.expr(f"pmod(xxhash64(request_id), {SSE_SHARDS})")
-        (sse.fold_partials(sse.parse_lines(batch)).withColumn("shard", shard).repartition("shard")
-         .write.mode("overwrite").partitionBy("shard").parquet(f"{parts}/batch_id={batch_id}"))
-        mine = spark_.read.parquet(parts).filter(F.col("batch_id") <= batch_id)
-        ended = mine.filter((F.col("batch_id") == batch_id) & (F.col("saw_end") == 1)).select("request_id").distinct()
-        if _exists(spark_, done):
-            before = spark_.read.parquet(done).filter(F.col("batch_id") < batch_id).select("request_id")
-            ended = ended.join(before, "request_id", "left_anti")
-        ended = ended.withColumn("shard", shard)
-        touched = mine.drop("batch_id").join(ended, ["shard", "request_id"], "left_semi").drop("shard")
-        sse.stitch(sse.merge_partials(touched)).write.mode("overwrite").parquet(f"{done}/batch_id={batch_id}")
 
-    s = file_stream(spark, source, schema, max_files)
-    run_available_now(s.writeStream.foreachBatch(step), checkpoint or checkpoint_beside(sink))
-    return spark.read.parquet(done).drop("batch_id")
+def newest(revisions: DataFrame) -> DataFrame:
+    """The newest revision of every request."""
+    rest = [c for c in revisions.columns if c not in ("request_id", "protocol")]
+    return revisions.groupBy("request_id", "protocol").agg(
+        F.expr(f"max_by(struct({', '.join(rest)}), revision) AS _r")).select("request_id", "protocol", "_r.*")
 
 
-SSE_SHARDS = 16
+def live_finished(spark: SparkSession, source: str, sink: str, schema, max_files: int | None = None,
+                  checkpoint: str | None = None, fanout: int = FANOUT) -> DataFrame:
+    """T-S1, emission at the end of a stream (its dialect's last event, ``[DONE]`` or an error). Every batch
+    emits a row (request, revision = batch id) for each request that it touched and whose end is known,
+    folded from the parts of all batches so far: the first when the end comes, a corrected one when
+    lines come after it. Reading takes the newest revision, so that files may come in any order.
+
+    Parts are dealt to folders by a hash of the request; a batch reads the folders that its requests lie in, at most
+    ``SSE_SHARDS`` numbers on the driver, and of these only its own requests go on. Columns:
+    ``sse.stitch`` and ``revision``."""
+    shard = F.expr(f"CAST(pmod(xxhash64(request_id), {SSE_SHARDS}) AS INT)").alias("shard")
+    fold = _fold_schema(spark, schema)
+    parts = PartLog(spark, f"{sink}/parts", fold.add("shard", T.IntegerType()), lambda df: sse.merge_partials(df).select("*", shard).repartition("shard"),
+                    ["shard"], fanout)
+    emitted = sse.stitch(spark.createDataFrame([], _fold_schema(spark, schema))).schema.add("revision", T.LongType())
+    done = PartLog(spark, f"{sink}/finished", emitted, newest, fanout=fanout)
 
+    def step(batch: DataFrame, batch_id: int) -> None:
+        parts.add(batch_id, sse.fold_partials(sse.parse_lines(batch)).select("*", shard).repartition("shard"))
+        if done.has(batch_id):
+            return
+        touched = batch.select("request_id", shard).distinct()
+        where = [r.shard for r in touched.select("shard").distinct().collect()]
+        mine = parts.read().filter(F.col("shard").isin(where)).join(touched, ["shard", "request_id"], "left_semi")
+        whole = sse.stitch(sse.merge_partials(mine.drop("shard"))).filter("saw_end")
+        done.add(batch_id, whole.withColumn("revision", F.lit(batch_id).cast("long")))
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    s = file_stream(spark, source, schema, max_files)
+    run_available_now(s.writeStream.foreachBatch(step), checkpoint or checkpoint_beside(sink))
+    return newest(done.read())
 
 
 # ------------------------------------------------------------------ T-S6

@@ -67,18 +67,3 @@ def test_streams_over_batches_and_restarts(spark):
     # a start without new files changes nothing
     again = jobs.live_totals(spark, src, f"{root}/totals", max_files=1)
     assert again.collect() == live.collect()
-
-
-def test_finished_streams_are_emitted_once(spark):
-    root = tempfile.mkdtemp(prefix="ledger-finished-")
-    schema = "request_id long, protocol string, seq long, arrival_ts timestamp_ntz, line string"
-    def batch(*rows):
-        spark.createDataFrame([(q, "chat", n, T0, x) for q, n, x in rows], schema).coalesce(1) \
-            .write.mode("append").parquet(f"{root}/src")
-        df = spark.read.parquet(f"{root}/src")
-        return jobs.live_finished(spark, f"{root}/src", f"{root}/sink", df.schema, max_files=1)
-    piece = 'data: {"choices":[{"delta":{"content":"%s"}}]}'
-    assert batch((1, 1, piece % "one"), (2, 1, piece % "two")).count() == 0
-    assert [(r.request_id, r.text) for r in batch((1, 2, piece % " more"), (1, 3, "data: [DONE]")).collect()] == [(1, "one more")]
-    got = batch((1, 3, "data: [DONE]"), (2, 9, "data: [DONE]")).collect()
-    assert sorted((r.request_id, r.text) for r in got) == [(1, "one more"), (2, "two")]
