@@ -2,9 +2,9 @@
 F9) and payload normalisation (P26, P27).
 
 Sub-documents are taken with ``get_json_object``, which keeps the original key
-order and writes compact JSON. The reference estimates over Python-style JSON
-(spaced separators, ASCII escapes); the native estimate over compact JSON is
-therefore labelled an estimate (T9).
+order and writes compact JSON, and spelled as Python spells them (``", "``, ``": "``, ASCII escapes;
+T9), since the prompt is counted over that text. A list ``system`` is spelled as JSON, not as
+a Python ``repr``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .jsontext import canonical, last_wins, members, python_json, written
 from .tokens import estimate_tokens
 
 
@@ -39,6 +40,10 @@ def _quoted(s: Column) -> Column:
     return arr.substr(F.lit(2), F.length(arr) - 2)
 
 
+# chat messages whose fields are already in a record's order, none null
+PLAIN_MESSAGES = r'^\[(?:\{"role":"(?:[^"\\]++|\\.)*+"(?:,"content":"(?:[^"\\]++|\\.)*+")?\},?)*+\]$'
+
+
 PROMPT_FIELDS = ("messages", "tools", "input", "system")
 
 
@@ -53,27 +58,27 @@ def prompt_text(protocol: Column, body: Column, v: Column | None = None,
     def raw(name: str) -> Column:
         return fields[name] if fields else json_of(body, "$." + name)
 
-    tools = F.coalesce(raw("tools"), F.lit(""))
-    messages = F.coalesce(raw("messages"), F.lit("[]"))
+    tools = F.coalesce(python_json(raw("tools")), F.lit(""))
+    messages = F.coalesce(python_json(raw("messages")), F.lit("[]"))
     inp_kind = kind(v, "$.input")
     inp_json = raw("input")
     inp_str = F.try_variant_get(v, "$.input", "string")
     # responses: str(instructions) + json(input) + json(tools); a string input is JSON-quoted
     responses = F.concat(
         F.coalesce(F.try_variant_get(v, "$.instructions", "string"), F.lit("")),
-        F.when(inp_kind == "STRING", _quoted(inp_str)).otherwise(F.coalesce(inp_json, F.lit(""))),
+        F.coalesce(python_json(F.when(inp_kind == "STRING", _quoted(inp_str)).otherwise(inp_json)), F.lit("")),
         tools)
     # messages: json(messages) + str(system) + json(tools)
     system_kind = kind(v, "$.system")
     system = F.when(system_kind == "STRING", F.try_variant_get(v, "$.system", "string")) \
-        .otherwise(F.coalesce(raw("system"), F.lit("")))
+        .otherwise(F.coalesce(python_json(raw("system")), F.lit("")))
     msgs = F.concat(messages, system, tools)
     # embeddings: string as-is; list of strings joined by newline; else JSON
     first_is_str = kind(v, "$.input[0]") == "STRING"
     emb = (F.when(inp_kind == "STRING", inp_str)
            .when(inp_kind.startswith("ARRAY") & first_is_str,
                  F.array_join(F.from_json(inp_json, "array<string>"), "\n"))
-           .otherwise(F.coalesce(inp_json, F.lit("null"))))
+           .otherwise(F.coalesce(python_json(inp_json), F.lit("null"))))
     return (F.when(v.isNull(), F.lit(""))
             .when(protocol == "chat", F.concat(messages, tools))
             .when(protocol == "responses", responses)
@@ -95,12 +100,25 @@ FIELD_PREFIX = "_raw_"
 
 
 def with_parsed(df, body: str = "body"):
-    """Adds the body parsed once as VARIANT (column ``_body_v``) and the raw
+    """Adds the body parsed once as VARIANT (column ``_body_v``; of a repeated key, the last value) and the raw
     JSON text of the top-level prompt fields from one ``json_tuple`` pass
-    (columns ``_raw_<field>``)."""
+    (columns ``_raw_<field>``). Messages of a chat are records: role and content first, null fields dropped."""
     names = [FIELD_PREFIX + f for f in PROMPT_FIELDS]
-    raw = df.select("*", F.json_tuple(F.col(body), *PROMPT_FIELDS).alias(*names))
-    return raw.withColumn(PARSED, parsed(F.col(body)))
+    one = last_wins(df, body, PARSED, "_text")
+    raw = one.select("*", F.json_tuple(F.col("_text"), *PROMPT_FIELDS).alias(*names)).drop("_text")
+    if "protocol" not in df.columns:
+        return raw
+    name = FIELD_PREFIX + "messages"
+    plain = PLAIN_MESSAGES.replace("\\", "\\\\")
+    doc = f"""concat('{{"messages":', get_json_object({name}, '$'), '}}')"""
+    return raw.withColumn(name, F.expr(
+        f"IF(protocol = 'chat' AND NOT {name} RLIKE '{plain}', coalesce({members(doc, 'false', 'true')}.vals[0], {name}), {name})"))
+
+
+def with_estimate(df, body: str = "body", out: str = "prompt_tokens"):
+    """``df`` with the prompt-token estimate of its captured requests (columns protocol and ``body``)."""
+    estimate = prompt_estimate(F.col("protocol"), F.col(body), F.col(PARSED), parsed_fields())
+    return with_parsed(df, body).withColumn(out, estimate).select(*[c for c in df.columns if c != out], out)
 
 
 def parsed_fields() -> dict[str, Column]:
@@ -162,22 +180,24 @@ def reject_status(reason: Column, protocol: Column) -> Column:
             .otherwise(F.lit(422)))
 
 
-def normalise_payload(body: Column, stream: Column) -> Column:
-    """P26 + P27 over the top-level object: drop null fields, and on streamed
-    chat/responses requests force ``stream_options.include_usage = true``
-    (added when absent, overwritten when present, non-object values left
-    alone). Returns MAP<STRING, VARIANT>."""
-    m = F.from_json(body, "map<string,variant>")
-    kept = F.map_filter(m, lambda k, x: ~F.is_variant_null(x))
-    so = kept.getItem("stream_options")
-    so_kind = F.schema_of_variant(so)
-    so_map = F.from_json(F.to_json(so), "map<string,variant>")
-    so_new = F.map_concat(F.map_filter(so_map, lambda k, x: k != F.lit("include_usage")),
-                          F.create_map(F.lit("include_usage"), F.parse_json(F.lit("true"))))
-    with_so = F.map_concat(F.map_filter(kept, lambda k, x: k != F.lit("stream_options")),
-                           F.create_map(F.lit("stream_options"), F.parse_json(F.to_json(so_new))))
-    forced = (F.when(so.isNull(), F.map_concat(kept, F.create_map(
-                  F.lit("stream_options"), F.parse_json(F.lit('{"include_usage":true}')))))
-              .when(so_kind.startswith("OBJECT"), with_so)
-              .otherwise(kept))
-    return F.when(stream, forced).otherwise(kept)
+def with_payload(df, body: str = "body", messages: str = "false", force: str = "false", out: str = "payload"):
+    """P26 + P27: the body as it is forwarded (column ``out``, JSON text in its own order; NULL if it is no JSON object). Null
+    fields of the request are dropped, and where ``messages`` holds (chat, whose messages are records too)
+    those of each message; values inside free-form objects (tools, content parts, items) stay. Where ``force``
+    holds, ``stream_options.include_usage`` is true: added, or overwritten in an object; other
+    values are left alone. ``messages`` and ``force`` are SQL conditions."""
+    usage = "'\"include_usage\"'"
+    staged = df.withColumn("_m", F.expr(members(canonical(body), "true", messages)))
+    staged = staged.withColumn("_at", F.expr("CAST(array_position(_m.keys, '\"stream_options\"') AS INT)"))
+    staged = staged.withColumn("_own", F.expr("CASE WHEN _at > 0 THEN element_at(_m.vals, _at) END"))
+    staged = staged.withColumn("_o", F.expr(f"CASE WHEN _own LIKE '{{%' THEN {members('_own')} END"))
+    staged = staged.withColumn("_o", F.expr(f"""CASE WHEN _o IS NULL THEN NULL
+        WHEN array_contains(_o.keys, {usage}) THEN named_struct('keys', _o.keys,
+          'vals', zip_with(_o.keys, _o.vals, (k, v) -> IF(k = {usage}, 'true', v)))
+        ELSE named_struct('keys', concat(_o.keys, array({usage})), 'vals', concat(_o.vals, array('true'))) END"""))
+    staged = staged.withColumn("_m", F.expr(f"""CASE WHEN NOT ({force}) OR _m IS NULL THEN _m
+        WHEN _at = 0 THEN named_struct('keys', concat(_m.keys, array('"stream_options"')),
+          'vals', concat(_m.vals, array('{{"include_usage":true}}')))
+        WHEN _o IS NULL THEN _m
+        ELSE named_struct('keys', _m.keys, 'vals', transform(_m.vals, (v, i) -> IF(i + 1 = _at, {written('_o')}, v))) END"""))
+    return staged.withColumn(out, F.expr(written("_m"))).drop("_m", "_at", "_own", "_o")

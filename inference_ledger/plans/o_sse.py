@@ -31,7 +31,9 @@ sa AS (
 ),
 sb AS (
   SELECT *, CAST(len(w) AS BIGINT) AS nw,
-    '[{{"role":"user","content":' || CAST(to_json(coalesce(prev_text, '')) AS VARCHAR) || '}}]' AS ptext,
+    '[{{"role": "user", "content": ' || array_to_string(list_transform(
+      string_split(CAST(to_json(coalesce(prev_text, '')) AS VARCHAR), ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE '\\u' || format('{{:04x}}', unicode(c)) END), '') || '}}]' AS ptext,
     CASE WHEN protocol <> 'responses' THEN 1
          WHEN w[1] <> '' THEN 1 WHEN len(w) > 1 THEN 2 END AS first_idx
   FROM sa

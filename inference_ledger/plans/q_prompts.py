@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.prompts import (PARSED, normalise_payload, parsed_fields, prompt_estimate, prompt_text,
-                                 reject_reason, reject_status, with_parsed)
+from ..functions.jsontext import last_wins
+from ..functions.prompts import (PARSED, parsed_fields, prompt_estimate, prompt_text, reject_reason, reject_status,
+                                 with_parsed, with_payload)
 from ..functions.tokens import estimate_tokens, flatten_content
 from ..session import spread
 from ..sources import derive
@@ -54,18 +55,12 @@ def request_validate(spark, sf_dir):
 
 @register("payload_normalise")
 def payload_normalise(spark, sf_dir):
-    req = derive.requests(spark, sf_dir)
-    req = req.filter(F.col("protocol").isin("chat", "responses", "messages"))
-    v = F.try_parse_json(F.col("body"))
-    force = F.col("protocol").isin("chat", "responses") & F.coalesce(
-        F.try_variant_get(v, "$.stream", "boolean"), F.lit(False))
-    staged = req.select("request_id", "protocol", "body", force.alias("_force"))
-    m = normalise_payload(F.col("body"), F.col("_force"))
-    out = staged.select("request_id", "protocol", m.alias("_m"))
-    return out.filter(F.col("_m").isNotNull()).select(
-        "request_id", "protocol",
-        F.array_join(F.array_sort(F.map_keys("_m")), ",").alias("field_keys"),
-        F.to_json(F.col("_m").getItem("stream_options")).alias("stream_options"))
+    """P26 + P27: the whole payload that is forwarded, for chat, responses and messages."""
+    req = last_wins(derive.requests(spark, sf_dir).filter(F.col("protocol").isin("chat", "responses", "messages")), "body", "_v", "_t")
+    streamed = F.coalesce(F.try_variant_get("_v", "$.stream", "boolean"), F.lit(False))
+    req = req.withColumn("_force", F.col("protocol").isin("chat", "responses") & streamed)
+    out = with_payload(req, "body", "protocol = 'chat'", "_force")
+    return out.filter("payload IS NOT NULL").select("request_id", "protocol", "payload")
 
 
 @register("content_flatten")

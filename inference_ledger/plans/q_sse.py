@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.prompts import prompt_estimate
+from ..functions.prompts import with_estimate
 from ..operators import finalize, sse, stats
 from ..sources import derive
 from . import params as P
@@ -15,8 +15,7 @@ SSE_OUT = ["request_id", "text", "prompt_tokens", "completion_tokens", "total_to
 
 
 def stream_results(spark, sf_dir):
-    req = derive.stream_requests(spark, sf_dir)
-    req = req.withColumn("prompt_tokens", prompt_estimate(F.col("protocol"), F.col("body")))
+    req = with_estimate(derive.stream_requests(spark, sf_dir))
     return sse.finalize_streams(sse.fold(derive.sse_lines(spark, sf_dir)), req)
 
 
@@ -42,6 +41,5 @@ def sse_errors(spark, sf_dir):
 def log_build_streams(spark, sf_dir):
     """Captured stream lines -> folds -> request-log rows -> per-model stats."""
     req = derive.stream_requests(spark, sf_dir)
-    est = req.withColumn("prompt_tokens", prompt_estimate(F.col("protocol"), F.col("body")))
-    final = sse.finalize_streams(sse.fold(derive.sse_lines(spark, sf_dir)), est)
+    final = sse.finalize_streams(sse.fold(derive.sse_lines(spark, sf_dir)), with_estimate(req))
     return stats.round_averages(stats.model_rollup(finalize.stream_log(final, req)), P.ROUND_DIGITS)

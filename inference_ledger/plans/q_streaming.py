@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import routing, sse, stats
-from ..functions.prompts import prompt_estimate
+from ..functions.prompts import with_estimate
 from ..session import scratch_path
 from ..sources import config, derive
 from ..streaming import jobs
@@ -77,8 +77,7 @@ def stream_series_month(spark, sf_dir):
 
 
 def _final(spark, sf_dir, folded):
-    req = derive.stream_requests(spark, sf_dir)
-    req = req.withColumn("prompt_tokens", prompt_estimate(F.col("protocol"), F.col("body")))
+    req = with_estimate(derive.stream_requests(spark, sf_dir))
     return sse.finalize_streams(folded, req).select(*SSE_OUT)
 
 

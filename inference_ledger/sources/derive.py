@@ -159,7 +159,8 @@ PROTOCOL_SQL = ("CASE WHEN event_type IN ('click', 'error') THEN 'chat' WHEN eve
 def requests_from_events(events: DataFrame) -> DataFrame:
     """Captured request bodies, one per event (schema ``REQUESTS`` + model
     columns). Bodies are built as literal text so that the oracle can rebuild
-    them byte for byte. A few bodies are malformed on purpose (F8/F9).
+    them byte for byte. A few bodies are malformed on purpose (F8/F9); some repeat keys (the last counts), hold
+    nulls at every depth or text beyond ASCII.
     Written as SQL select lists (few driver round trips)."""
     model = sqltext.case("pmod(user_id, 6)", dict(enumerate(MODEL_BY_USER_MOD6)))
     s1 = events.selectExpr(
@@ -172,8 +173,11 @@ def requests_from_events(events: DataFrame) -> DataFrame:
         "CASE WHEN event_id % 2 = 1 THEN 'true' ELSE 'false' END AS _stream")
     s3 = s2.selectExpr(
         "*",
-        """concat('[{"role":"user","content":"', _txt, '"}]') AS _msgs""",
-        """concat('{"model":"', requested_model, '",') AS _head""")
+        """CASE WHEN event_id % 61 = 4 THEN concat('[{"role":"user","content":"', _txt, ' caf\u00e9 \u5927\u575d \U0001f600 "}]')
+             WHEN event_id % 71 = 3 AND protocol = 'chat'
+               THEN concat('[{"name":null,"role":"system","role":"user","content":"', _txt, '"}]')
+             ELSE concat('[{"role":"user","content":"', _txt, '"}]') END AS _msgs""",
+        """concat(CASE WHEN event_id % 71 = 3 THEN '{"model":"other","model":"' ELSE '{"model":"' END, requested_model, '",') AS _head""")
     body = """CASE
       WHEN event_id % 97 = 13 THEN 'not-json{'
       WHEN event_id % 89 = 7 THEN concat('{"messages":', _msgs, ',"input":"', _txt, '"}')
@@ -181,7 +185,8 @@ def requests_from_events(events: DataFrame) -> DataFrame:
       WHEN protocol = 'chat' THEN concat(_head, '"messages":', _msgs, ',"stream":', _stream,
         CASE WHEN event_id % 5 = 0 THEN ',"tools":[{"type":"function","function":{"name":"lookup"}}]' ELSE '' END,
         CASE WHEN event_id % 7 = 0 THEN ',"temperature":0.5,"top_p":null' ELSE '' END,
-        CASE WHEN event_id % 9 = 0 THEN ',"stream_options":{"chunk_size":1}' ELSE '' END, '}')
+        CASE WHEN event_id % 9 = 0 THEN ',"stream_options":{"every":250,"tag":null}' ELSE '' END,
+        CASE WHEN event_id % 11 = 0 THEN ',"metadata":{"team":"north","owner":null},"stop":["\u00b6"]' ELSE '' END, '}')
       WHEN protocol = 'responses' THEN concat(_head, '"instructions":"Be brief.","input":',
         CASE WHEN event_id % 3 = 0 THEN _msgs ELSE concat('"', _txt, '"') END, ',"stream":', _stream, '}')
       WHEN protocol = 'messages' THEN concat(_head, '"max_tokens":256,"system":"You are terse.","messages":',
@@ -226,7 +231,7 @@ def responses_from_events(events: DataFrame) -> DataFrame:
       WHEN protocol = 'chat' THEN
         CASE WHEN event_id % 53 = 0 THEN '{"choices":[],"usage":{"prompt_tokens":null,"input_tokens":5,"completion_tokens":1}}'
              WHEN _has_usage THEN concat('{"id":"r","choices":[{"index":0,"message":{"role":"assistant","content":"ok"}}],',
-               '"usage":{"prompt_tokens":', _pts, ',"completion_tokens":', _cts, ',"total_tokens":', _ptct,
+               CASE WHEN event_id % 67 = 5 THEN '"usage":{"prompt_tokens":1},"usage":{"prompt_tokens":2,"prompt_tokens":' ELSE '"usage":{"prompt_tokens":' END, _pts, ',"completion_tokens":', _cts, ',"total_tokens":', _ptct,
                CASE WHEN event_id % 3 = 0 THEN concat(',"prompt_tokens_details":{"cached_tokens":', CAST(_half AS STRING), '}')
                     ELSE '' END, '}', _timings, '}')
              WHEN event_id % 2 = 0 THEN '{"choices":[],"usage":{}}' ELSE '{"choices":[]}' END

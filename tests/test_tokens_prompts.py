@@ -38,9 +38,9 @@ def test_prompt_text_per_protocol(spark):
             ("embed_native", '{"model":"m","input":"a"}')]
     df = spark.createDataFrame(rows, "protocol string, body string")
     out = [r.t for r in df.select(prompts.prompt_text(F.col("protocol"), F.col("body")).alias("t")).collect()]
-    assert out[0] == '[{"role":"user","content":"hi"}][{"t":1}]'
+    assert out[0] == '[{"role": "user", "content": "hi"}][{"t": 1}]'
     assert out[1] == 'Be."hi"'
-    assert out[2] == '[{"role":"user","content":"hi"}]S'
+    assert out[2] == '[{"role": "user", "content": "hi"}]S'
     assert out[3] == "a\nb"
     assert out[4] == ""
 
@@ -63,22 +63,6 @@ def test_validation(spark):
     assert r == ["invalid_json", "missing_model", "missing_messages", "missing_model", "missing_input", None]
 
 
-def test_payload_normalise(spark):
-    rows = [('{"model":"m","temperature":null,"stream":true}', True),
-            ('{"model":"m","stream_options":{"chunk_size":1}}', True),
-            ('{"model":"m","stream_options":{"include_usage":false,"x":2}}', True),
-            ('{"model":"m","stream_options":"keep"}', True),
-            ('{"model":"m","top_p":0.5}', False)]
-    df = spark.createDataFrame(rows, "body string, force boolean")
-    m = prompts.normalise_payload(F.col("body"), F.col("force"))
-    out = df.select(F.array_sort(F.map_keys(m)).alias("k"), F.to_json(m.getItem("stream_options")).alias("so")).collect()
-    assert out[0].k == ["model", "stream", "stream_options"] and out[0].so == '{"include_usage":true}'
-    assert out[1].so == '{"chunk_size":1,"include_usage":true}'
-    assert out[2].so == '{"include_usage":true,"x":2}'
-    assert out[3].so == '"keep"'
-    assert out[4].k == ["model", "top_p"] and out[4].so is None
-
-
 def test_config_loading(tmp_path):
     good = {"backends": [{"id": "b", "url": "http://b"}], "model_mappings": [{"model_id": "m", "backend_ids": ["b"]}]}
     assert config.load_config(good)["backends"][0]["id"] == "b"
