@@ -1,7 +1,7 @@
 """SSE stream fold: F5, F6, A11-A16, P7, P25 (+ T6, T7, T19, T22).
 
 ``fold`` turns captured lines ``(request_id, protocol, seq, arrival_ts, line)``
-into one row per request with the accumulated text, the last usage (chat /
+into one row per request with the token count of its text, the last usage (chat /
 responses: the whole last valid object; messages: per-field cumulative), the
 first-token time, the stream end and error flags -- all with native
 aggregates, no Python.
@@ -10,7 +10,7 @@ Skew: a request's lines are first aggregated per ``(request_id, seq bucket)``
 (at most ``bucket_rows`` lines per group), then the bucket partials are
 stitched per request. Order-insensitive pieces (min/max over structs keyed by
 ``seq``) are algebraic and pre-aggregate map-side; the only ordered piece, the
-text, is concatenated within bounded buckets first.
+text, stays in its buckets: it is returned as rows (request, part, text), and counted by segments that merge.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import usage as U
 from ..functions.timefmt import duration_ms
-from ..functions.tokens import estimate_tokens
+from ..functions.tokens import merged_segments, segment_tokens, text_segment
 
 BUCKET_ROWS = 4096
 DATA_PREFIX = "data: "
@@ -202,14 +202,35 @@ def merge_partials(parts: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_list("pieces"))).alias("pieces"), *least, *most)
 
 
+def text_parts(part: DataFrame) -> DataFrame:
+    """(request_id, protocol, part, text), the text of every seq bucket that has one. A request's text
+    is these rows in order of ``part``; it is never one value."""
+    text = F.array_join(F.transform(F.array_sort("pieces"), lambda x: x.getField("piece")), "")
+    return part.filter(F.size("pieces") > 0).select("request_id", "protocol", F.col("bucket").alias("part"), text.alias("text"))
+
+
+GROUP = 4096        # buckets whose segments are merged at once
+
+
+def text_tokens(part: DataFrame) -> DataFrame:
+    """(request_id, protocol, text_tokens): the estimate over a request's whole text, from segments of its parts.
+    A token that two parts share counts once. Segments are merged in groups of buckets, then per request, so
+    that no row holds more than ``GROUP`` of them for every 2^24 lines."""
+    parts = text_parts(part).select("request_id", "protocol", "part", text_segment(F.col("text")).alias("segment"))
+
+    def merged(df: DataFrame, order: str, *keys: str) -> DataFrame:
+        listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "segment"))).alias("_s"))
+        return listed.select(*keys, merged_segments(F.transform("_s", lambda x: x["segment"])).alias("segment"))
+
+    groups = merged(parts.withColumn("group", F.expr(f"part div {GROUP}")), "part", "request_id", "protocol", "group")
+    whole = merged(groups, "group", "request_id", "protocol")
+    return whole.select("request_id", "protocol", segment_tokens(F.col("segment")).alias("text_tokens"))
+
+
 def stitch(part: DataFrame) -> DataFrame:
-    """Phase 2: combine the bucket partials of each request (text in bucket
-    order; the rest are max/min over (seq, value) structs)."""
-    part = part.withColumn("text_part", F.array_join(F.transform(
-        F.array_sort("pieces"), lambda x: x.getField("piece")), ""))
+    """Phase 2: combine the bucket partials of each request: the text as a count, the rest as max/min
+    over (seq, value) structs."""
     whole = part.groupBy("request_id", "protocol").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "text_part"))),
-                                 lambda x: x.getField("text_part")), "").alias("text"),
         F.min("first_token_ts").alias("first_token_ts"),
         F.max("last_ts").alias("last_ts"),
         (F.max("saw_done") == 1).alias("saw_done"),
@@ -220,11 +241,11 @@ def stitch(part: DataFrame) -> DataFrame:
         F.max("any_usage").isNotNull().alias("usage_seen"),
         F.max("m_in").alias("m_in"), F.max("m_out").alias("m_out"),
         F.max("m_creation").alias("m_creation"), F.max("m_read").alias("m_read"),
-    )
+    ).join(text_tokens(part), ["request_id", "protocol"], "left")
     msgs = F.col("protocol") == "messages"
     lu = F.col("last_usage.v")
     return whole.select(
-        "request_id", "protocol", "text", "usage_seen", "first_token_ts", "last_ts", "saw_done", "saw_end", "saw_error",
+        "request_id", "protocol", F.coalesce("text_tokens", F.lit(0)).cast("bigint").alias("text_tokens"), "usage_seen", "first_token_ts", "last_ts", "saw_done", "saw_end", "saw_error",
         F.col("err.v").alias("error_message"),
         F.when(msgs, F.col("m_in.v")).otherwise(lu.getField("u_prompt")).alias("u_prompt"),
         F.when(msgs, F.coalesce(F.col("m_out.v"), F.lit(0).cast("bigint"))).otherwise(lu.getField("u_completion")).alias("u_completion"),
@@ -236,13 +257,19 @@ def stitch(part: DataFrame) -> DataFrame:
 
 
 def fold(lines: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """A11-A15 per request. Output: request_id, protocol, text, usage_seen,
+    """A11-A15 per request. Output: request_id, protocol, text_tokens, usage_seen,
     u_prompt/u_completion/u_total/u_cached/u_creation/u_read (chat/responses:
     fields of the last valid usage object; messages: cumulative per field),
-    first_token_ts, last_ts, saw_done, saw_error."""
+    first_token_ts, last_ts, saw_done, saw_end, saw_error."""
     return stitch(fold_partials(parse_lines(lines), bucket_rows))
 
 
+def with_text(results: DataFrame, parts: DataFrame) -> DataFrame:
+    """Results of requests beside their text: a row per request and part, part 0 with an empty text where there is none."""
+    return (results.join(parts.select("request_id", "part", "text"), "request_id", "left")
+            .withColumn("part", F.coalesce("part", F.lit(0)).cast("bigint")).withColumn("text", F.coalesce("text", F.lit(""))))
+
+
 def finalize_streams(folded: DataFrame, stream_requests: DataFrame, estimate: str = "prompt_tokens") -> DataFrame:
     """A16 + P7 + J8 for streams: join every request (start time and prompt estimate) to its
     fold; a request without a captured line keeps the estimate. With usage: prompt falls back to
@@ -254,17 +281,17 @@ def finalize_streams(folded: DataFrame, stream_requests: DataFrame, estimate: st
                                F.col(estimate).alias("_est"))
     j = (req.join(folded, "request_id", "left")
          .withColumn("protocol", F.coalesce("protocol", "_protocol")).drop("_protocol")
-         .withColumn("text", F.coalesce("text", F.lit("")))
+         .withColumn("text_tokens", F.coalesce("text_tokens", F.lit(0)))
          .withColumn("usage_seen", F.coalesce("usage_seen", F.lit(False)))
          .withColumn("saw_error", F.coalesce("saw_error", F.lit(False))))
     est = F.col("_est").cast("bigint")
     clean = ~F.col("saw_error")
-    counted = F.when(clean, estimate_tokens(F.col("text"))).otherwise(F.lit(0).cast("bigint"))
+    counted = F.when(clean, F.col("text_tokens").cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     seen = F.col("usage_seen")
     prompt = F.when(seen, F.coalesce(F.col("u_prompt"), est)).otherwise(est)
     completion = F.when(seen, F.col("u_completion")).otherwise(counted)
     staged = j.select(
-        "request_id", "protocol", "text", "started_at", "first_token_ts", "last_ts", "saw_error", "error_message",
+        "request_id", "protocol", "started_at", "first_token_ts", "last_ts", "saw_error", "error_message",
         prompt.alias("prompt_tokens"), completion.alias("completion_tokens"),
         F.when(seen, F.coalesce(F.col("u_total"), prompt + F.col("u_completion"))).otherwise(est + counted)
          .alias("total_tokens"),

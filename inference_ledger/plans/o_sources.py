@@ -4,7 +4,7 @@ batch operators they mirror)."""
 from __future__ import annotations
 
 from .o_routing import DEMO_DIMS, LIMIT_CTE, REQ_CTE, ROUTE_CTE
-from .o_sse import STREAM_CTE
+from .o_sse import sse_rows
 from .o_views import LOG_COLS
 from .oracle import LOG_CTE, ORACLE, SYSLOG_CTE, R
 
@@ -55,13 +55,7 @@ SELECT strftime(make_timestamp(CAST(round("timestamp" * 1000000.0) AS BIGINT)),
   count(*) AS requests, CAST(sum(total_tokens) AS BIGINT) AS tokens,
   CAST(sum(coalesce(prompt_cached_tokens, 0) + coalesce(cache_read_input_tokens, 0)) AS BIGINT) AS cached_tokens
 FROM log GROUP BY 1""",
-    "stream_sse": f"""WITH {STREAM_CTE}
-SELECT request_id, text, prompt_tokens, completion_tokens, total_tokens, cache_read_input_tokens, ttft_ms,
-  duration_ms,
-  CASE WHEN ttft_ms IS NOT NULL AND duration_ms > ttft_ms AND completion_tokens > 0
-       THEN completion_tokens / ((duration_ms - ttft_ms) / 1000.0) END AS tokens_per_second,
-  error_message
-FROM sd""",
+    "stream_sse": sse_rows(""),
     "stream_route": f"""WITH {REQ_CTE}, {DEMO_DIMS}, {ROUTE_CTE}, {LIMIT_CTE}
 SELECT request_id, protocol, resolved_model, backend_id,
   CAST(CASE WHEN limit_exceeded THEN 400 ELSE route_status END AS INTEGER) AS limit_status,

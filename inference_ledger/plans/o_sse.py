@@ -11,7 +11,8 @@ messages dialect's message_start: n prompt, 1 completion).
 from __future__ import annotations
 
 from ..functions.tokens import PIECE_PATTERN
-from ..sources.derive import MODEL_BY_USER_MOD6
+from ..sources.derive import MODEL_BY_USER_MOD6, SEQ_FIRST_DELTA
+from .q_sse import PART_LINES
 from .oracle import ORACLE, _measures
 
 PIECE = PIECE_PATTERN.replace("'", "''")
@@ -19,7 +20,7 @@ PIECE = PIECE_PATTERN.replace("'", "''")
 STREAM_CTE = f"""
 sa AS (
   SELECT c.conv_id, c.turn, c.text, p.text AS prev_text,
-    CAST(c.conv_id * 100 + c.turn AS BIGINT) AS request_id,
+    CAST((c.conv_id + c.turn) * (c.conv_id + c.turn + 1) // 2 + c.turn AS BIGINT) AS request_id,
     CASE c.conv_id % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'responses' ELSE 'messages' END AS protocol,
     (c.conv_id % 4 <> 0 AND c.conv_id % 7 <> 3) AS has_usage,
     (c.conv_id % 7 = 3) AS fails,
@@ -47,7 +48,7 @@ sc AS (
   FROM sb
 ),
 sd AS (
-  SELECT request_id, protocol, text, fails,
+  SELECT request_id, conv_id, protocol, text, w, fails,
     CASE WHEN fails THEN 'Backend HTTP 500: overloaded' END AS error_message,
     CAST(CASE WHEN has_usage OR start_usage_only THEN n ELSE est END AS BIGINT) AS prompt_tokens,
     CAST(CASE WHEN has_usage THEN nw WHEN start_usage_only THEN 1 ELSE counted END AS BIGINT) AS completion_tokens,
@@ -58,14 +59,27 @@ sd AS (
 )"""
 
 
-def _sse(protocol: str) -> str:
-    return f"""WITH {STREAM_CTE}
-SELECT request_id, text, prompt_tokens, completion_tokens, total_tokens, cache_read_input_tokens, ttft_ms,
-  duration_ms,
+#: the words of a text by the part that their line falls in; a part of empty words alone is none
+PARTS = f"""parts AS (
+  SELECT request_id, part, string_agg(piece, '' ORDER BY i) AS ptext FROM (
+    SELECT request_id, i, CAST(({SEQ_FIRST_DELTA} + i) // {PART_LINES} AS BIGINT) AS part,
+      CASE WHEN i = 0 THEN w[1] ELSE ' ' || w[i + 1] END AS piece
+    FROM (SELECT request_id, w, unnest(range(len(w))) AS i FROM sd))
+  WHERE piece <> '' GROUP BY ALL)"""
+
+
+def sse_rows(where: str) -> str:
+    return f"""WITH {STREAM_CTE}, {PARTS}
+SELECT sd.request_id, coalesce(part, CAST(0 AS BIGINT)) AS part, coalesce(ptext, '') AS text, prompt_tokens, completion_tokens,
+  total_tokens, cache_read_input_tokens, ttft_ms, duration_ms,
   CASE WHEN ttft_ms IS NOT NULL AND duration_ms > ttft_ms AND completion_tokens > 0
        THEN completion_tokens / ((duration_ms - ttft_ms) / 1000.0) END AS tokens_per_second,
   error_message
-FROM sd WHERE protocol = '{protocol}'"""
+FROM sd LEFT JOIN parts ON parts.request_id = sd.request_id {where}"""
+
+
+def _sse(protocol: str) -> str:
+    return sse_rows(f"WHERE protocol = '{protocol}'")
 
 
 _MODEL = " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MODEL_BY_USER_MOD6))
@@ -73,7 +87,7 @@ _MODEL = " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MODEL_BY_USER_MOD
 ORACLE.update({
     "log_build_streams": f"""WITH {STREAM_CTE},
 log AS (
-  SELECT CASE (request_id // 100) % 6 {_MODEL} END AS model_id, prompt_tokens, completion_tokens, total_tokens,
+  SELECT CASE conv_id % 6 {_MODEL} END AS model_id, prompt_tokens, completion_tokens, total_tokens,
     CAST(NULL AS BIGINT) AS prompt_cached_tokens, cache_read_input_tokens, ttft_ms, duration_ms,
     CASE WHEN ttft_ms IS NOT NULL AND duration_ms > ttft_ms AND completion_tokens > 0
          THEN completion_tokens / ((duration_ms - ttft_ms) / 1000.0) END AS tokens_per_second

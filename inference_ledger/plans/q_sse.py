@@ -10,18 +10,22 @@ from ..sources import derive
 from . import params as P
 from .registry import register
 
-SSE_OUT = ["request_id", "text", "prompt_tokens", "completion_tokens", "total_tokens",
+# lines of a part of a text: small, so that the fixture's texts have several
+PART_LINES = 64
+SSE_OUT = ["request_id", "part", "text", "prompt_tokens", "completion_tokens", "total_tokens",
            "cache_read_input_tokens", "ttft_ms", "duration_ms", "tokens_per_second", "error_message"]
 
 
-def stream_results(spark, sf_dir):
-    req = with_estimate(derive.stream_requests(spark, sf_dir))
-    return sse.finalize_streams(sse.fold(derive.sse_lines(spark, sf_dir)), req)
+def stream_results(spark, sf_dir, protocol):
+    req = with_estimate(derive.stream_requests(spark, sf_dir).filter(F.col("protocol") == protocol))
+    lines = derive.sse_lines(spark, sf_dir).filter(F.col("protocol") == protocol)
+    parts = sse.fold_partials(sse.parse_lines(lines), PART_LINES)
+    return sse.with_text(sse.finalize_streams(sse.stitch(parts), req), sse.text_parts(parts))
 
 
 def _sse(protocol):
     def q(spark, sf_dir):
-        return stream_results(spark, sf_dir).filter(F.col("protocol") == protocol).select(*SSE_OUT)
+        return stream_results(spark, sf_dir, protocol).select(*SSE_OUT)
     return q
 
 

@@ -14,7 +14,7 @@ from ..sources import config, derive
 from ..streaming import jobs
 from . import params as P
 from .q_routing import CFG, prepare_requests
-from .q_sse import SSE_OUT
+from .q_sse import PART_LINES, SSE_OUT
 from .registry import register
 
 
@@ -76,17 +76,17 @@ def stream_series_month(spark, sf_dir):
     return _series(spark, sf_dir, "month")
 
 
-def _final(spark, sf_dir, folded):
+def _final(spark, sf_dir, folded, texts):
     req = with_estimate(derive.stream_requests(spark, sf_dir))
-    return sse.finalize_streams(folded, req).select(*SSE_OUT)
+    return sse.with_text(sse.finalize_streams(folded, req), texts).select(*SSE_OUT)
 
 
 @register("stream_sse")
 def stream_sse(spark, sf_dir):
     src, sink = scratch_path(spark, "src-sse"), scratch_path(spark, "sink-sse")
     lines = derive.sse_lines(spark, sf_dir)
-    parts = _twice(lines, src, lambda: jobs.live_sse_fold(spark, src, sink, lines.schema, PER_BATCH))
-    return _final(spark, sf_dir, sse.stitch(parts))
+    parts = _twice(lines, src, lambda: jobs.live_sse_fold(spark, src, sink, lines.schema, PER_BATCH, part_lines=PART_LINES))
+    return _final(spark, sf_dir, sse.stitch(parts), sse.text_parts(parts))
 
 
 @register("stream_finished")
@@ -99,8 +99,8 @@ def stream_finished(spark, sf_dir):
     for waves in ((0, 1), (2,)):
         for k in waves:
             wave.filter(F.col("_wave") == k).drop("_wave").coalesce(1).write.mode("append").parquet(src)
-        done = jobs.live_finished(spark, src, sink, lines.schema, max_files=1)
-    return _final(spark, sf_dir, done)
+        done, texts = jobs.live_finished(spark, src, sink, lines.schema, max_files=1, part_lines=PART_LINES)
+    return _final(spark, sf_dir, done, texts)
 
 
 @register("stream_route")

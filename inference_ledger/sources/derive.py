@@ -325,8 +325,11 @@ CATALOG_DEFAULT_EMBEDDING_MODEL = "m-21-2"
 STREAM_PROTOCOL_BY_CONV_MOD3 = ["chat", "responses", "messages"]
 STREAM_EPOCH = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
 SEQ_FIRST_DELTA = 10
-SEQ_USAGE = 1_000_000
-SEQ_DONE = 1_000_001
+SEQ_USAGE = 1 << 40         # beyond the words of any text
+SEQ_DONE = SEQ_USAGE + 1
+#: one number for a conversation and a turn: pairs are counted along their diagonals, so that no two share one
+STREAM_ID = "((conv_id + turn) * (conv_id + turn + 1) div 2 + turn)"
+STREAM_START = f"timestampadd(SECOND, CAST(request_id % 100000000 AS INT), {STREAM_EPOCH})"
 STREAM_ERROR_TEXT = "Backend HTTP 500: overloaded"
 STREAM_ERROR_OPENAI = '{"error":{"message":"Backend HTTP 500: overloaded","type":"api_error","code":500}}'
 STREAM_ERROR_MESSAGES = '{"error":{"message":"Backend HTTP 500: overloaded","type":"api_error"}}'
@@ -339,7 +342,7 @@ def _json_str(c: Column) -> Column:
 
 
 def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One streamed request per assistant turn: request_id = conv_id*100+turn,
+    """One streamed request per assistant turn: request_id counts the pairs (conv_id, turn),
     protocol by conv_id mod 3, prompt = the preceding turn's text. The previous
     turn is found with an equi-join on (conv_id, turn), which hash-partitions
     on both keys, so one very long conversation is spread over many tasks."""
@@ -350,11 +353,11 @@ def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     proto = sqltext.case("pmod(conv_id, 3)", dict(enumerate(STREAM_PROTOCOL_BY_CONV_MOD3)))
     model = sqltext.case("pmod(conv_id, 6)", dict(enumerate(MODEL_BY_USER_MOD6)))
     staged = j.selectExpr(
-        "conv_id * 100 + turn AS request_id", f"{proto} AS protocol", f"{model} AS requested_model",
+        f"{STREAM_ID} AS request_id", f"{proto} AS protocol", f"{model} AS requested_model",
         f"""concat('[{{"role":"user","content":', {_json_str_sql("coalesce(prev_text, '')")}, '}}]') AS _msgs""")
     return staged.selectExpr(
         "request_id", "protocol",
-        f"timestampadd(SECOND, request_id, {STREAM_EPOCH}) AS started_at",
+        f"{STREAM_START} AS started_at",
         """CASE WHEN protocol = 'responses'
              THEN concat('{"model":"', requested_model, '","input":', _msgs, ',"stream":true}')
              ELSE concat('{"model":"', requested_model, '","messages":', _msgs, ',"stream":true}') END AS body""",
@@ -376,7 +379,7 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = spread(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     proto = sqltext.case("pmod(conv_id, 3)", dict(enumerate(STREAM_PROTOCOL_BY_CONV_MOD3)))
     a = conv.filter("role = 'assistant'").selectExpr(
-        "conv_id * 100 + turn AS request_id", f"{proto} AS protocol",
+        f"{STREAM_ID} AS request_id", f"{proto} AS protocol",
         "conv_id % 4 <> 0 AS has_usage", "conv_id % 7 = 3 AS fails",
         "CAST(length(text) AS BIGINT) AS n", "split(text, ' ') AS w")
     a = a.selectExpr("*", "CAST(size(w) AS BIGINT) AS nw")
@@ -413,5 +416,5 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.selectExpr(
         "request_id", "protocol", "seq",
         f"timestampadd(MILLISECOND, CASE WHEN seq < {SEQ_USAGE} THEN seq ELSE nw + 20 + (seq - {SEQ_USAGE}) END, "
-        f"timestampadd(SECOND, request_id, {STREAM_EPOCH})) AS arrival_ts",
+        f"{STREAM_START}) AS arrival_ts",
         "line")

@@ -188,14 +188,14 @@ def _fold_schema(spark: SparkSession, schema):
 
 
 def live_sse_fold(spark: SparkSession, source: str, sink: str, schema, max_files: int | None = None,
-                  checkpoint: str | None = None, fanout: int = FANOUT) -> DataFrame:
+                  checkpoint: str | None = None, fanout: int = FANOUT, part_lines: int = sse.BUCKET_ROWS) -> DataFrame:
     """T-S1: every batch folds its lines per (request, seq bucket) and writes these parts;
-    a request is the merge of its parts on read. Lines may arrive in any order and
+    a request is the merge of its parts on read (``sse.stitch``, ``sse.text_parts``). Lines may arrive in any order and
     in any batch: every part is keyed by ``seq``, and a line that comes again changes nothing."""
     log = PartLog(spark, sink, _fold_schema(spark, schema), sse.merge_partials, fanout=fanout)
     s = file_stream(spark, source, schema, max_files)
     run_available_now(
-        s.writeStream.foreachBatch(lambda batch, k: log.add(k, sse.fold_partials(sse.parse_lines(batch)))),
+        s.writeStream.foreachBatch(lambda batch, k: log.add(k, sse.fold_partials(sse.parse_lines(batch), part_lines))),
         checkpoint or checkpoint_beside(sink))
     return sse.merge_partials(log.read())
 
@@ -211,15 +211,16 @@ def newest(revisions: DataFrame) -> DataFrame:
 
 
 def live_finished(spark: SparkSession, source: str, sink: str, schema, max_files: int | None = None,
-                  checkpoint: str | None = None, fanout: int = FANOUT) -> DataFrame:
+                  checkpoint: str | None = None, fanout: int = FANOUT,
+                  part_lines: int = sse.BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """T-S1, emission at the end of a stream (its dialect's last event, ``[DONE]`` or an error). Every batch
     emits a row (request, revision = batch id) for each request that it touched and whose end is known,
     folded from the parts of all batches so far: the first when the end comes, a corrected one when
     lines come after it. Reading takes the newest revision, so that files may come in any order.
 
     Parts are dealt to folders by a hash of the request; a batch reads the folders that its requests lie in, at most
-    ``SSE_SHARDS`` numbers on the driver, and of these only its own requests go on. Columns:
-    ``sse.stitch`` and ``revision``."""
+    ``SSE_SHARDS`` numbers on the driver, and of these only its own requests go on. Returns (``sse.stitch`` and
+    ``revision`` of the finished requests, their ``sse.text_parts``)."""
     shard = F.expr(f"CAST(pmod(xxhash64(request_id), {SSE_SHARDS}) AS INT)").alias("shard")
     fold = _fold_schema(spark, schema)
     parts = PartLog(spark, f"{sink}/parts", fold.add("shard", T.IntegerType()), lambda df: sse.merge_partials(df).select("*", shard).repartition("shard"),
@@ -228,7 +229,7 @@ def live_finished(spark: SparkSession, source: str, sink: str, schema, max_files
     done = PartLog(spark, f"{sink}/finished", emitted, newest, fanout=fanout)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        parts.add(batch_id, sse.fold_partials(sse.parse_lines(batch)).select("*", shard).repartition("shard"))
+        parts.add(batch_id, sse.fold_partials(sse.parse_lines(batch), part_lines).select("*", shard).repartition("shard"))
         if done.has(batch_id):
             return
         touched = batch.select("request_id", shard).distinct()
@@ -239,7 +240,9 @@ def live_finished(spark: SparkSession, source: str, sink: str, schema, max_files
 
     s = file_stream(spark, source, schema, max_files)
     run_available_now(s.writeStream.foreachBatch(step), checkpoint or checkpoint_beside(sink))
-    return newest(done.read())
+    finished = newest(done.read())
+    lines_of = parts.read().drop("shard").join(finished.select("request_id", "protocol"), ["request_id", "protocol"], "left_semi")
+    return finished, sse.text_parts(sse.merge_partials(lines_of))
 
 
 # ------------------------------------------------------------------ T-S6

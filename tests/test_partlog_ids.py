@@ -126,15 +126,18 @@ def test_a_stream_that_ended_is_corrected_by_later_lines(spark, tmp_path):
         rows = [(q, "chat", n, T0, x) for q, n, x in rows]
         everything.extend(rows)
         spark.createDataFrame(rows, LINES).coalesce(1).write.mode("append").parquet(src)
-        return {r.request_id: (r.text, r.revision) for r in
-                jobs.live_finished(spark, src, sink, schema, max_files=1, fanout=2).collect()}
-    assert batch((1, 9, "data: [DONE]"), (2, 1, PIECE % "open")) == {1: ("", 0)}
-    assert batch((1, 2, PIECE % "cd"), (2, 2, PIECE % " too")) == {1: ("cd", 1)}
-    assert batch((1, 1, PIECE % "ab"), (2, 3, "data: [DONE]")) == {1: ("abcd", 2), 2: ("open too", 2)}
-    assert batch((3, 1, PIECE % "x")) == {1: ("abcd", 2), 2: ("open too", 2)}
-    assert batch((1, 1, PIECE % "ab")) == {1: ("abcd", 4), 2: ("open too", 2)}       # a line that comes again
-    whole = {r.request_id: r.text for r in sse.fold(spark.createDataFrame(everything, LINES)).filter("saw_end").collect()}
-    assert whole == {1: "abcd", 2: "open too"}
+        done, texts = jobs.live_finished(spark, src, sink, schema, max_files=1, fanout=2, part_lines=2)
+        text = {}
+        for r in texts.orderBy("request_id", "part").collect():
+            text[r.request_id] = text.get(r.request_id, "") + r.text
+        return {r.request_id: (text.get(r.request_id, ""), r.text_tokens, r.revision) for r in done.collect()}
+    assert batch((1, 9, "data: [DONE]"), (2, 1, PIECE % "open")) == {1: ("", 0, 0)}
+    assert batch((1, 2, PIECE % "cd"), (2, 2, PIECE % " too")) == {1: ("cd", 1, 1)}
+    assert batch((1, 1, PIECE % "ab"), (2, 3, "data: [DONE]")) == {1: ("abcd", 1, 2), 2: ("open too", 2, 2)}
+    assert batch((3, 1, PIECE % "x")) == {1: ("abcd", 1, 2), 2: ("open too", 2, 2)}
+    assert batch((1, 1, PIECE % "ab")) == {1: ("abcd", 1, 4), 2: ("open too", 2, 2)}       # a line that comes again
+    whole = {r.request_id: r.text_tokens for r in sse.fold(spark.createDataFrame(everything, LINES)).filter("saw_end").collect()}
+    assert whole == {1: 1, 2: 2}
 
 
 def test_system_log_stream_keeps_every_line_once(spark, tmp_path, monkeypatch):

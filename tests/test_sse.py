@@ -2,9 +2,13 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from inference_ledger.functions.tokens import estimate_tokens, merged_segments, segment_tokens, text_segment
 from inference_ledger.operators import sse
 
 START = dt.datetime(2031, 5, 4, 3, 2, 1)
@@ -22,7 +26,9 @@ def lines(protocol, *parts, request=77, step=25):
 def fold(spark, rows, estimate=11, request=77, bucket_rows=4):
     df = spark.createDataFrame(rows, SCHEMA)
     req = spark.createDataFrame([(request, START, estimate)], "request_id long, started_at timestamp_ntz, prompt_tokens long")
-    return sse.finalize_streams(sse.fold(df, bucket_rows=bucket_rows), req).collect()[0]
+    parts = sse.fold_partials(sse.parse_lines(df), bucket_rows)
+    rows = sse.with_text(sse.finalize_streams(sse.stitch(parts), req), sse.text_parts(parts)).orderBy("part").collect()
+    return Row(**{**rows[0].asDict(), "part": len(rows), "text": "".join(r.text for r in rows)})
 
 
 def delta(text):
@@ -103,5 +109,27 @@ def test_parts_of_several_batches_merge(spark):
     rows = lines("messages", *[block(c) for c in "merge me please"], {"type": "message_stop"})
     parts = [sse.fold_partials(sse.parse_lines(spark.createDataFrame(x, SCHEMA)), 4)
              for x in (rows[::2], rows[1::2], rows[2:7])]
-    whole = sse.stitch(sse.merge_partials(parts[0].union(parts[1]).union(parts[2]))).collect()
-    assert [r.text for r in whole] == ["merge me please"]
+    merged = sse.merge_partials(parts[0].union(parts[1]).union(parts[2]))
+    assert "".join(r.text for r in sse.text_parts(merged).orderBy("part").collect()) == "merge me please"
+    assert [r.text_tokens for r in sse.stitch(merged).collect()] == [3]
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>abc 1234567 x!?", "大坝由谁负责大坝。由谁", "aaaaaaaaaaaa", "<|<|a_1|>|>!<|b|>", "  \n 1 2 "])
+def test_a_token_cut_across_parts_counts_once(spark, text):
+    want = spark.createDataFrame([(text,)], "t string").select(estimate_tokens(F.col("t")).alias("n")).first().n
+    r = fold(spark, lines("chat", *[delta(c) for c in text], "data: [DONE]"), bucket_rows=5)
+    assert r.text == text and r.part > 1 and r.completion_tokens == want
+
+
+def test_segments_merge_to_the_count_of_the_whole(spark):
+    rng = random.Random(4)
+    bits = ["a", "bc", "1", "4567", "<|", "|>", "_", "<", "|", ">", " ", "\n", "!", "?.", "é", "大坝", "½", "٣", "<|x|>", "😀", "\xa0"]
+    rows = []
+    for _ in range(2000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        cuts = sorted(rng.randint(0, len(t)) for _ in range(rng.randint(0, 4)))
+        rows.append((t, [t[a:b] for a, b in zip([0, *cuts], [*cuts, len(t)])]))
+    df = spark.createDataFrame(rows, "t string, parts array<string>")
+    got = df.select("t", estimate_tokens(F.col("t")).alias("want"), segment_tokens(merged_segments(
+        F.transform("parts", text_segment))).alias("got")).collect()
+    assert [r.t for r in got if r.want != r.got] == []
