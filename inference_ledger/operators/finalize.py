@@ -103,10 +103,28 @@ def finalize_responses(joined: DataFrame, estimate: str = "prompt_tokens") -> Da
     )
 
 
+# fixed values: how the texts of failed streams begin
+BACKEND_TEXT, CONNECTION_TEXT = r"^Backend HTTP ([0-9]{3})", "Connection error ("
+CLASS_TEXT = r"^(?:Connection error|Internal proxy stream error|Internal error) \(([A-Za-z0-9_.]+)\)"
+
+
+def failure_status(code: Column, text: Column) -> Column:
+    """Status of a failed stream: the code that its error event carries (the backend's own, 502 or 500), else, in the
+    dialect without codes, what its text says; 500 for anything else."""
+    backend = F.regexp_extract(F.coalesce(text, F.lit("")), BACKEND_TEXT, 1).try_cast("int")
+    return F.coalesce(F.when(code.between(400, 599), code), backend,
+                      F.when(text.startswith(CONNECTION_TEXT), F.lit(502)), F.lit(500)).cast("int")
+
+
+def failure_class(text: Column) -> Column:
+    """The exception class that an error text names, or NULL."""
+    return F.nullif(F.regexp_extract(text, CLASS_TEXT, 1), F.lit(""))
+
+
 def stream_log(finalized: DataFrame, requests: DataFrame) -> DataFrame:
     """S2 rows of streamed requests (J8, A16): ``sse.finalize_streams`` with its requests
-    (request_id, requested_model, and target_url if routed). A stream that failed is logged as 500 with
-    its error text; the time is that of the last line, or of the start if none came."""
+    (request_id, requested_model, and target_url if routed). A stream that failed is logged with its own status and
+    error text; the time is that of the last line, or of the start if none came."""
     url = F.col("target_url") if "target_url" in requests.columns else F.lit("N/A")
     req = requests.select("request_id", F.col("requested_model").alias("model_id"), url.alias("backend_url"))
     j = finalized.join(req, "request_id")
@@ -114,7 +132,8 @@ def stream_log(finalized: DataFrame, requests: DataFrame) -> DataFrame:
     out = j.select(
         F.col("request_id").alias("id"), epoch_seconds(F.coalesce("last_ts", "started_at")).alias("timestamp"),
         "model_id", "backend_url",
-        F.when(F.col("saw_error"), F.lit(500)).otherwise(F.lit(200)).cast("int").alias("status_code"),
+        F.when(F.col("saw_error"), failure_status(F.col("error_code"), F.col("error_message"))).otherwise(
+            F.lit(200)).cast("int").alias("status_code"),
         F.coalesce("duration_ms", F.lit(0.0)).alias("duration_ms"),
         *[(F.col(c) if c in finalized.columns else none).alias(c) for c in USAGE_COLS],
         "error_message", "ttft_ms", "tokens_per_second")

@@ -128,6 +128,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.when(is_obj, _usage_object(v, proto)).alias("_u"),
         ((F.col("line") == "event: error") | (is_obj & U.has(v, "$.error"))).alias("_error"),
         F.when(is_obj, F.try_variant_get(v, "$.error.message", "string")).alias("_err_msg"),
+        F.when(is_obj, U.as_int(v, "$.error.code")).alias("_err_code"),
         F.when(is_obj, F.try_variant_get(v, "$.type", "string").isin(*END_EVENTS)).alias("_last"),
     )
     # chat/responses: usage_from_dict with a deferred fallback prompt; only on usage lines
@@ -146,7 +147,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         return F.when(on, col)
 
     return staged.select(
-        "request_id", "protocol", "seq", "arrival_ts", "_done", "_error", "_err_msg", "first_token", "piece",
+        "request_id", "protocol", "seq", "arrival_ts", "_done", "_error", "_err_msg", "_err_code", "first_token", "piece",
         (F.col("_done") | F.coalesce("_error", F.lit(False)) | F.coalesce("_last", F.lit(False))).alias("_end"),
         F.coalesce(u(valid), F.lit(False)).alias("has_usage"),
         u(prompt).alias("u_prompt"), u(completion).alias("u_completion"), u(total).alias("u_total"),
@@ -183,6 +184,7 @@ def fold_partials(parsed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
         F.max(F.col("_end").cast("int")).alias("saw_end"),
         F.max(F.col("_error").cast("int")).alias("saw_error"),
         _last(F.col("_err_msg").isNotNull(), F.col("_err_msg")).alias("err"),
+        _last(F.col("_err_code").isNotNull(), F.col("_err_code")).alias("err_code"),
         _last(F.col("has_usage"), usage_struct).alias("last_usage"),
         F.max(F.when(F.col("has_usage"), F.col("seq"))).alias("any_usage"),
         _last(F.col("m_in_has"), F.col("m_in")).alias("m_in"),
@@ -196,7 +198,7 @@ def merge_partials(parts: DataFrame) -> DataFrame:
     """Parts of the same bucket from several batches as one: everything in a part is a
     minimum, a maximum by ``seq`` or a set keyed by ``seq``, so repeats change nothing."""
     least = [F.min(c).alias(c) for c in ("first_token_ts",)]
-    most = [F.max(c).alias(c) for c in ("last_ts", "saw_done", "saw_end", "saw_error", "err", "last_usage",
+    most = [F.max(c).alias(c) for c in ("last_ts", "saw_done", "saw_end", "saw_error", "err", "err_code", "last_usage",
                                         "any_usage", "m_in", "m_out", "m_creation", "m_read")]
     return parts.groupBy(*PARTIAL_KEYS).agg(
         F.array_distinct(F.flatten(F.collect_list("pieces"))).alias("pieces"), *least, *most)
@@ -236,7 +238,7 @@ def stitch(part: DataFrame) -> DataFrame:
         (F.max("saw_done") == 1).alias("saw_done"),
         (F.max("saw_end") == 1).alias("saw_end"),
         (F.max("saw_error") == 1).alias("saw_error"),
-        F.max("err").alias("err"),
+        F.max("err").alias("err"), F.max("err_code").alias("err_code"),
         F.max("last_usage").alias("last_usage"),
         F.max("any_usage").isNotNull().alias("usage_seen"),
         F.max("m_in").alias("m_in"), F.max("m_out").alias("m_out"),
@@ -246,7 +248,7 @@ def stitch(part: DataFrame) -> DataFrame:
     lu = F.col("last_usage.v")
     return whole.select(
         "request_id", "protocol", F.coalesce("text_tokens", F.lit(0)).cast("bigint").alias("text_tokens"), "usage_seen", "first_token_ts", "last_ts", "saw_done", "saw_end", "saw_error",
-        F.col("err.v").alias("error_message"),
+        F.col("err.v").alias("error_message"), F.col("err_code.v").alias("error_code"),
         F.when(msgs, F.col("m_in.v")).otherwise(lu.getField("u_prompt")).alias("u_prompt"),
         F.when(msgs, F.coalesce(F.col("m_out.v"), F.lit(0).cast("bigint"))).otherwise(lu.getField("u_completion")).alias("u_completion"),
         F.when(msgs, F.lit(None).cast("bigint")).otherwise(lu.getField("u_total")).alias("u_total"),
@@ -291,7 +293,7 @@ def finalize_streams(folded: DataFrame, stream_requests: DataFrame, estimate: st
     prompt = F.when(seen, F.coalesce(F.col("u_prompt"), est)).otherwise(est)
     completion = F.when(seen, F.col("u_completion")).otherwise(counted)
     staged = j.select(
-        "request_id", "protocol", "started_at", "first_token_ts", "last_ts", "saw_error", "error_message",
+        "request_id", "protocol", "started_at", "first_token_ts", "last_ts", "saw_error", "error_message", "error_code",
         prompt.alias("prompt_tokens"), completion.alias("completion_tokens"),
         F.when(seen, F.coalesce(F.col("u_total"), prompt + F.col("u_completion"))).otherwise(est + counted)
          .alias("total_tokens"),

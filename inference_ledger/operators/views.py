@@ -58,8 +58,10 @@ def system_logs_top(system_log: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def with_pager(page: DataFrame, limit: int, offset: int) -> DataFrame:
-    """has_prev = offset > 0; has_next = the page is full. The window spans
-    one page (at most ``limit`` rows), never the table."""
+    """has_prev = offset > 0; has_next = the page is full. The window spans one page (at most ``limit``
+    rows); without a limit there is no next page and no window."""
+    if limit is None or limit < 0:
+        return page.withColumn("has_prev", F.lit(offset > 0)).withColumn("has_next", F.lit(False))
     n = F.count(F.lit(1)).over(Window.partitionBy())
     return page.withColumn("has_prev", F.lit(offset > 0)).withColumn("has_next", n == F.lit(limit))
 

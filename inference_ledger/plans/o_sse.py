@@ -11,12 +11,16 @@ messages dialect's message_start: n prompt, 1 completion).
 from __future__ import annotations
 
 from ..functions.tokens import PIECE_PATTERN
-from ..sources.derive import MODEL_BY_USER_MOD6, SEQ_FIRST_DELTA
+from ..sources.derive import MODEL_BY_USER_MOD6, SEQ_FIRST_DELTA, STREAM_ERRORS
 from .q_sse import PART_LINES
+from . import o_usage  # noqa: F401  (its statement of plain calls is part of one here)
 from .oracle import ORACLE, _measures
 
 PIECE = PIECE_PATTERN.replace("'", "''")
 
+_ERROR_TEXT = " ".join(f"WHEN {k} THEN '{t}'" for k, (t, _) in enumerate(STREAM_ERRORS))
+_ERROR_CODE = " ".join(f"WHEN {k} THEN {c}" for k, (_, c) in enumerate(STREAM_ERRORS))
+
 STREAM_CTE = f"""
 sa AS (
   SELECT c.conv_id, c.turn, c.text, p.text AS prev_text,
@@ -49,7 +53,8 @@ sc AS (
 ),
 sd AS (
   SELECT request_id, conv_id, protocol, text, w, fails,
-    CASE WHEN fails THEN 'Backend HTTP 500: overloaded' END AS error_message,
+    CASE WHEN fails THEN CASE conv_id // 21 % 3 {_ERROR_TEXT} END END AS error_message,
+    CAST(CASE WHEN fails THEN CASE conv_id // 21 % 3 {_ERROR_CODE} END ELSE 200 END AS INTEGER) AS status_code,
     CAST(CASE WHEN has_usage OR start_usage_only THEN n ELSE est END AS BIGINT) AS prompt_tokens,
     CAST(CASE WHEN has_usage THEN nw WHEN start_usage_only THEN 1 ELSE counted END AS BIGINT) AS completion_tokens,
     CAST(CASE WHEN has_usage THEN n + nw WHEN start_usage_only THEN n + 1 ELSE est + counted END AS BIGINT) AS total_tokens,
@@ -84,6 +89,17 @@ def _sse(protocol: str) -> str:
 
 _MODEL = " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MODEL_BY_USER_MOD6))
 
+_BY_STATUS = """model_id, status_code, count(*) AS requests, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
+  CAST(sum(total_tokens) AS BIGINT) AS total_tokens, count(error_message) AS errors"""
+_PLAIN_CALLS = ORACLE["log_build"].removeprefix("WITH ").rsplit("SELECT * FROM lg WHERE", 1)[0]
+
+ORACLE["log_build_all"] = f"""WITH {STREAM_CTE}, {_PLAIN_CALLS},
+every_call AS (
+  SELECT model_id, status_code, prompt_tokens, total_tokens, error_message FROM lg
+  WHERE model_id NOT IN ('orphan-model', 'unmapped-model')
+  UNION ALL SELECT CASE conv_id % 6 {_MODEL} END, status_code, prompt_tokens, total_tokens, error_message FROM sd)
+SELECT {_BY_STATUS} FROM every_call GROUP BY ALL"""
+
 ORACLE.update({
     "log_build_streams": f"""WITH {STREAM_CTE},
 log AS (

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import with_estimate
 from ..operators import finalize, sse, stats
-from ..sources import derive
+from ..session import scratch_path
+from ..sources import derive, logstore
 from . import params as P
+from .q_usage import plain_log
 from .registry import register
 
 # lines of a part of a text: small, so that the fixture's texts have several
@@ -47,3 +49,16 @@ def log_build_streams(spark, sf_dir):
     req = derive.stream_requests(spark, sf_dir)
     final = sse.finalize_streams(sse.fold(derive.sse_lines(spark, sf_dir)), with_estimate(req))
     return stats.round_averages(stats.model_rollup(finalize.stream_log(final, req)), P.ROUND_DIGITS)
+
+
+@register("log_build_all")
+def log_build_all(spark, sf_dir):
+    """One log of plain calls and streams (J8, S2): both append rows without ids, the log numbers them."""
+    req = derive.stream_requests(spark, sf_dir)
+    streams = finalize.stream_log(sse.finalize_streams(sse.fold(derive.sse_lines(spark, sf_dir)), with_estimate(req)), req)
+    root = scratch_path(spark, "log-all")
+    for rows in (plain_log(spark, sf_dir), streams):
+        logstore.append_log(rows.drop("id"), root)
+    return logstore.read_log(spark, root).groupBy("model_id", "status_code").agg(
+        F.count(F.lit(1)).alias("requests"), F.sum("prompt_tokens").alias("prompt_tokens"),
+        F.sum("total_tokens").alias("total_tokens"), F.count("error_message").alias("errors"))

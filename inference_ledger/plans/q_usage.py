@@ -43,12 +43,14 @@ def error_normalise(spark, sf_dir):
                     detail.alias("error_detail"))
 
 
+def plain_log(spark, sf_dir):
+    limited = routing.check_limit(_routed(spark, sf_dir))
+    return finalize.build_log(limited, derive.responses(spark, sf_dir), config.untracked_df(spark, CFG))
+
+
 @register("log_build")
 def log_build(spark, sf_dir):
-    limited = routing.check_limit(_routed(spark, sf_dir))
-    log = finalize.build_log(limited, derive.responses(spark, sf_dir),
-                             config.untracked_df(spark, CFG))
-    return derive.log_columns(log)
+    return derive.log_columns(plain_log(spark, sf_dir))
 
 
 @register("log_build_bucketed")

@@ -27,8 +27,8 @@ def recent_logs_page3(spark, sf_dir):
 @register("recent_logs_keyset")
 def recent_logs_keyset(spark, sf_dir):
     # keyset page: the 50 newest rows older than the as-of instant
-    return derive.log_columns(views.logs_before(_log(spark, sf_dir), P.AS_OF_EPOCH - 24 * 3600,
-                                                2 ** 62, P.RECENT_LIMIT))
+    before = P.AS_OF_EPOCH - 24 * 3600
+    return derive.log_columns(views.logs_before(derive.request_log(spark, sf_dir, until=before), before, 2 ** 62, P.RECENT_LIMIT))
 
 
 @register("all_logs")

@@ -93,14 +93,17 @@ def request_log_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def request_log(spark: SparkSession, sf_dir: str, since: float | None = None) -> DataFrame:
-    """The request log; ``since`` (epoch seconds) bounds the scan of ``events`` itself, so that the
-    bound reaches the file's row groups (the log's own time column is computed)."""
+def request_log(spark: SparkSession, sf_dir: str, since: float | None = None, until: float | None = None) -> DataFrame:
+    """The request log; ``since`` and ``until`` (epoch seconds) bound the scan of ``events`` itself, so that the
+    bounds reach the file's row groups (the log's own time column is computed)."""
     cols = ("event_id", "ts", "user_id", "event_type", "value", "props")
     events = read_table(spark, sf_dir, "events", *cols)
     if since is not None and dict(events.dtypes)["ts"] == "timestamp_ntz":
         floor = datetime.fromtimestamp(math.floor(since), timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         events = events.filter(f"ts >= TIMESTAMP_NTZ'{floor}'")
+    if until is not None and dict(events.dtypes)["ts"] == "timestamp_ntz":
+        ceiling = datetime.fromtimestamp(math.ceil(until), timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        events = events.filter(f"ts <= TIMESTAMP_NTZ'{ceiling}'")
     return request_log_from_events(events)
 
 
@@ -330,9 +333,10 @@ SEQ_DONE = SEQ_USAGE + 1
 #: one number for a conversation and a turn: pairs are counted along their diagonals, so that no two share one
 STREAM_ID = "((conv_id + turn) * (conv_id + turn + 1) div 2 + turn)"
 STREAM_START = f"timestampadd(SECOND, CAST(request_id % 100000000 AS INT), {STREAM_EPOCH})"
-STREAM_ERROR_TEXT = "Backend HTTP 500: overloaded"
-STREAM_ERROR_OPENAI = '{"error":{"message":"Backend HTTP 500: overloaded","type":"api_error","code":500}}'
-STREAM_ERROR_MESSAGES = '{"error":{"message":"Backend HTTP 500: overloaded","type":"api_error"}}'
+# how failed streams end, by conv_id div 21 mod 3: text and code
+STREAM_ERRORS = [("Backend HTTP 429: queue is full", 429), ("Connection error (ConnectTimeout): no answer", 502),
+                 ("Internal proxy stream error (ValueError): bad chunk", 500)]
+STREAM_ERROR_KIND = "pmod(conv_id div 21, 3)"
 
 
 def _json_str(c: Column) -> Column:
@@ -374,13 +378,13 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     non-data line, a malformed data line, dialect-specific text deltas (one
     per word), an optional usage chunk and ``[DONE]``. Usage is present iff
     conv_id mod 4 <> 0; streams with conv_id mod 7 = 3 fail: no usage chunk,
-    and the proxy's error event (P25) replaces the clean end.
+    and the proxy's error event (P25; backend, connection or internal) replaces the clean end.
     arrival_ts = request start + offset(seq) ms. Written as SQL select lists."""
     conv = spread(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     proto = sqltext.case("pmod(conv_id, 3)", dict(enumerate(STREAM_PROTOCOL_BY_CONV_MOD3)))
     a = conv.filter("role = 'assistant'").selectExpr(
         f"{STREAM_ID} AS request_id", f"{proto} AS protocol",
-        "conv_id % 4 <> 0 AS has_usage", "conv_id % 7 = 3 AS fails",
+        "conv_id", "conv_id % 4 <> 0 AS has_usage", "conv_id % 7 = 3 AS fails",
         "CAST(length(text) AS BIGINT) AS n", "split(text, ' ') AS w")
     a = a.selectExpr("*", "CAST(size(w) AS BIGINT) AS nw")
     usage_line = f"""CASE WHEN has_usage AND NOT fails THEN CASE
@@ -392,10 +396,12 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     start_line = f"""CASE WHEN protocol = 'messages' AND has_usage THEN
         concat('data: {{"type":"message_start","message":{{"usage":{{"input_tokens":', CAST(n AS STRING),
           ',"output_tokens":1,"cache_read_input_tokens":', CAST(CAST(floor(n / 4) AS BIGINT) AS STRING), '}}}}}}') END"""
-    end_line = (f"CASE WHEN NOT fails THEN 'data: [DONE]' WHEN protocol = 'messages' THEN 'event: error' "
-                f"ELSE {sqltext.literal('data: ' + STREAM_ERROR_OPENAI)} END")
-    after_end = (f"CASE WHEN fails THEN CASE WHEN protocol = 'messages' "
-                 f"THEN {sqltext.literal('data: ' + STREAM_ERROR_MESSAGES)} ELSE 'data: [DONE]' END END")
+    plain = sqltext.case(STREAM_ERROR_KIND, {
+        k: 'data: {"error":{"message":"%s","type":"api_error"}}' % t for k, (t, _) in enumerate(STREAM_ERRORS)})
+    coded = sqltext.case(STREAM_ERROR_KIND, {
+        k: 'data: {"error":{"message":"%s","type":"api_error","code":%d}}' % e for k, e in enumerate(STREAM_ERRORS)})
+    end_line = f"CASE WHEN NOT fails THEN 'data: [DONE]' WHEN protocol = 'messages' THEN 'event: error' ELSE {coded} END"
+    after_end = f"CASE WHEN fails THEN CASE WHEN protocol = 'messages' THEN {plain} ELSE 'data: [DONE]' END END"
     fixed = a.selectExpr("request_id", "protocol", "nw", f"""inline(array(
         named_struct('seq', CAST(1 AS BIGINT), 'line', 'event: start'),
         named_struct('seq', CAST(2 AS BIGINT), 'line', 'data: half a line'),

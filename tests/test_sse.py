@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from inference_ledger.functions.tokens import estimate_tokens, merged_segments, segment_tokens, text_segment
-from inference_ledger.operators import sse
+from inference_ledger.operators import finalize, sse
 
 START = dt.datetime(2031, 5, 4, 3, 2, 1)
 SCHEMA = "request_id long, protocol string, seq long, arrival_ts timestamp_ntz, line string"
@@ -133,3 +133,13 @@ def test_segments_merge_to_the_count_of_the_whole(spark):
     got = df.select("t", estimate_tokens(F.col("t")).alias("want"), segment_tokens(merged_segments(
         F.transform("parts", text_segment))).alias("got")).collect()
     assert [r.t for r in got if r.want != r.got] == []
+
+
+def test_status_of_a_failed_stream(spark):
+    rows = [(429, "Backend HTTP 503: x", 429, None), (None, "Backend HTTP 503: x", 503, None), (None, "Connection error (ReadTimeout): y", 502, "ReadTimeout"),
+            (7, "Internal proxy stream error (ValueError): z", 500, "ValueError"), (None, None, 500, None)]
+    df = spark.createDataFrame(rows, "code int, text string, want int, class string")
+    for r in df.select("*", finalize.failure_status(F.col("code"), F.col("text")).alias("got"), finalize.failure_class(F.col("text")).alias("c")).collect():
+        assert (r.got, r.c) == (r.want, r["class"])
+    failed = fold(spark, lines("chat", delta("x"), {"error": {"message": "too many", "type": "t", "code": 429}}))
+    assert failed.error_code == 429 and failed.error_message == "too many"

@@ -56,3 +56,9 @@ def test_untracked_replaces_and_drops(spark):
     assert kept == ["local-model"]
     none = spark.createDataFrame([], "model_id string")
     assert views.drop_untracked(log, none).count() == 2
+
+
+def test_pager_without_limit_has_no_window(spark):
+    page = views.with_pager(spark.range(3), -1, 0)
+    assert "Window" not in page._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.has_prev, r.has_next) for r in page.collect()} == {(False, False)}
