@@ -7,10 +7,17 @@ Pass one decides each block by itself: blocks in a part of the page that its ele
 its class, id or role names as a menu, header, footer, sidebar, notice, advert, form or
 reader comment are bad, and so are link lists; long blocks with stop words are good, and
 in an article element long blocks are good anyway; short blocks stay open ("near good" if
-they have stop words or stand in the article, else "short").
+they have stop words or stand in the article, else "short"). A name does not count on a wrapper: a part that
+holds the page's main article, or, for names that also describe a page's layout and for forms, more
+than half of the page's text outside links. On pages whose words are hardly ever in the
+stop-word list (other languages), sentence marks take the place of stop words; a character of a script
+without word gaps counts as three.
 Pass two gives open blocks the label of the nearest decided neighbours: both good, good;
-both bad, bad; different, good for near-good blocks only. The page's edges count as bad,
-but open blocks of an article element without a good block are good.
+both bad, bad; different, good for near-good blocks only. The page's edges count as bad.
+Open blocks of an article element with good blocks are good, and so are those of any article on a page
+where no article has one.
+
+The markup is read once from left to right: a tag that never ends drops the rest of the page, as browsers do.
 
 Cases: null and empty pages give empty text. Markup cut off at the end is dropped, an unclosed block ends
 with the page. Null page_id and url pass through; repeated rows are extracted each. An
@@ -52,106 +59,181 @@ menu nav ol option p pre section select summary table tbody td textarea tfoot th
 DROPPED = frozenset("""aside button datalist dialog fieldset footer form head label legend menu nav option select
 textarea title""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|masthead|topbar|cookies?|consent|notice|notification|alert|popup|modal|overlay|newsletter|subscri\w+|"
-    r"signup|login|comments?|replies|respond|disqus|share|sharing|social|related|recommend\w*|widget|pagination|"
-    r"pager|toolbar|skip|hidden|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+# names of parts: those that say what a part is, and those that are also said of a whole page's layout
+STRONG = re.compile(
+    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|"
+    r"topbar|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscri\w+|signup|login|comments?|"
+    r"replies|respond|disqus|share|sharing|related|recommend\w*|pagination|pager|toolbar|skip|contentinfo)(?:$|[_-])", re.I)
+WEAK = re.compile(r"(?:^|[_-])(?:sidebar|side|banner|overlay|social|widget|search|complementary|hidden)(?:$|[_-])", re.I)
+# a name that says whether the page has such a part, not that this is one
+LAYOUT = re.compile(r"^(?:no|non|with|without|has|have|is|layout)[_-]|[_-](?:open|closed|on|off|enabled|disabled|layout|results)$", re.I)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|object|iframe|canvas|audio|video)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<[!?/][^>]*>|<[/!?a-zA-Z][^<]*\Z", re.S | re.I)
+RAW = frozenset("script style noscript template svg math object iframe canvas audio video".split())
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)>")
+_HREF = re.compile(r"\bhref\b", re.I)
+_SENTENCE = re.compile(r"[.!?…。！？؟।։።](?:\s|$|[^\w\s])|[。！？]")
+_WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _WORD = re.compile(r"[^\W\d_]+")
 # an open element of the key ends where one of these begins
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
              "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
 
-class Block:
-    __slots__ = ("text", "links", "bad", "article", "heading", "label")
+class Part:
+    """An element that its tag or its name marks as no main text. ``kind``: 1 by a name that layouts share or
+    as a form, 2 by a name, 3 always. ``inside`` is the article that it stands in; ``text`` and ``articles`` are what
+    stands in it."""
+    __slots__ = ("kind", "inside", "text", "articles")
 
-    def __init__(self, text: str, links: int, bad: bool, article: int, heading: bool):
-        self.text, self.links, self.bad, self.article, self.heading = text, links, bad, article, heading
-        self.label = ""
+    def __init__(self, kind: int, inside: int):
+        self.kind, self.inside, self.text, self.articles = kind, inside, 0, set()
+
+
+class Block:
+    __slots__ = ("text", "links", "parts", "bad", "article", "heading", "label")
+
+    def __init__(self, text: str, links: int, parts: tuple, article: int, heading: bool):
+        self.text, self.links, self.parts, self.article, self.heading = text, links, parts, article, heading
+        self.bad, self.label = False, ""
+
+
+def markup(page: str):
+    """(text before, tag or None, whether it closes, attributes) of every tag, in one pass; at last the
+    text behind the last tag."""
+    at = look = 0
+    while (m := _OPEN.search(page, look)) is not None:
+        start = m.start()
+        piece = page[at:start]
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = look = len(page) if end < 0 else end + 3
+            yield piece, None, False, ""
+            continue
+        tag = _TAG.match(page, start)
+        if tag is None:
+            if page[start + 1] in "!?" or (page[start + 1] == "/" and not page[start + 2:start + 3].isalpha()):
+                end = page.find(">", start)
+                at = look = len(page) if end < 0 else end + 1
+                yield piece, None, False, ""
+                continue
+            yield piece, None, False, ""       # a tag that never ends
+            return
+        close, name, rest = tag[1], tag[2].lower(), tag[3]
+        at = look = tag.end()
+        if name in RAW and not close and not rest.endswith("/"):
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = look = len(page) if end is None else end.end()
+            yield piece, None, False, ""
+            continue
+        yield piece, name, bool(close), rest
+    yield page[at:], None, False, ""
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order. ``article`` is the number of the article they stand in, or 0."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []          # open elements: tag, in a bad part, article number
+    stack: list[tuple[str, tuple, int]] = []         # open elements: tag, marked parts, article number
     parts: list[str] = []
-    linked = links = articles = 0
+    link = -1                                        # open elements when the link began
+    links = articles = 0
 
     def end_block():
         nonlocal parts, links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                out.append(Block(text, links, bad, article, any(t[0] in _HEADINGS for t in stack[-2:])))
+                within, article = (stack[-1][1], stack[-1][2]) if stack else ((), 0)
+                out.append(Block(text, min(links, len(text)), within, article, any(t[0] in _HEADINGS for t in stack[-2:])))
         parts, links = [], 0
 
-    at = 0
-    for m in _MARKUP.finditer(page):
-        piece = page[at:m.start()]
-        at = m.end()
+    def opened(tag: str, kind: int):
+        nonlocal articles
+        within, article = (stack[-1][1], stack[-1][2]) if stack else ((), 0)
+        if kind:
+            within = (*within, Part(kind, article))
+        if tag in ("article", "main") and not article:
+            articles += 1
+            article = articles
+        stack.append((tag, within, article))
+
+    for piece, tag, close, rest in markup(page):
         if piece:
             parts.append(piece)
-            if linked:
+            if link >= 0:
                 links += len(piece)
-        tag = m["tag"]
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
-            linked = 0 if m["close"] else 1
+            link = -1 if close or not _HREF.search(rest) else len(stack)
         if tag not in BLOCKS:
-            if tag not in VOID and not m["close"] and _ATTRIBUTE.search(m["rest"]) and _bad_hint(tag, m["rest"]):
+            if tag not in VOID and not close and (kind := _marked(tag, rest)):
                 end_block()
-                _open(stack, tag, True)
-            elif m["close"] and any(t[0] == tag for t in stack):
+                opened(tag, kind)
+            elif close and any(t[0] == tag for t in stack):
                 end_block()
                 _close(stack, tag)
-            continue
-        end_block()
-        if tag in VOID:
-            continue
-        if m["close"]:
-            _close(stack, tag)
-            continue
-        while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
-        bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        if tag in ("article", "main") and not article and not bad:
-            articles += 1
-            article = articles
-        own = tag in DROPPED or (tag == "header" and not article) or _bad_hint(tag, m["rest"])
-        stack.append((tag, bad or own, article))
-    if page[at:]:
-        parts.append(page[at:])
+        else:
+            end_block()
+            if tag in VOID:
+                continue
+            if close:
+                _close(stack, tag)
+            else:
+                while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
+                    stack.pop()
+                within_article = bool(stack and stack[-1][2])
+                kind = 3 if tag in DROPPED and tag not in WRAPPERS else 1 if tag in WRAPPERS else 0
+                if tag == "header" and not within_article:
+                    kind = 2
+                opened(tag, max(kind, _marked(tag, rest)))
+        if link > len(stack):                        # the element that the link began in has ended
+            link = -1
     end_block()
+    _weigh(out)
     return out
 
 
+def _weigh(found: list[Block]) -> None:
+    """Which blocks stand in a marked part; a part that wraps the page's main text does not count."""
+    article_text: dict[int, int] = {}
+    total = 0
+    for b in found:
+        size = len(b.text) - b.links
+        total += size
+        article_text[b.article] = article_text.get(b.article, 0) + size
+        for p in b.parts:
+            p.text += size
+            p.articles.add(b.article)
+    main, size = max(((a, n) for a, n in article_text.items() if a), key=lambda x: x[1], default=(0, 0))
+    if size < LONG:
+        main = 0
+
+    def wraps(p: Part) -> bool:
+        if main:
+            return main in p.articles and p.inside != main
+        return p.kind == 1 and 2 * p.text > total
+    for b in found:
+        b.bad = any(p.kind == 3 or not wraps(p) for p in b.parts)
+
+
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+WRAPPERS = frozenset(("form", "fieldset"))
 
 
-def _bad_hint(tag: str, rest: str) -> bool:
+def _marked(tag: str, rest: str) -> int:
+    """Kind of part that an element's attributes name: 0 none, 1 or 2 by its class, id or role, 3 hidden."""
     if not rest.strip() or tag in ("html", "body", "main"):
-        return False
+        return 0
     if _HIDDEN.search(rest):
-        return True
-    return any(HINT.search(a or b or c) for a, b, c in _ATTRIBUTE.findall(rest)) and tag != "article"
-
-
-def _open(stack: list, tag: str, bad: bool) -> None:
-    before = stack[-1] if stack else ("", False, 0)
-    stack.append((tag, before[1] or bad, before[2]))
+        return 3
+    if tag == "article":
+        return 0
+    names = [x for a, b, c in _ATTRIBUTE.findall(rest) for x in (a or b or c).split() if not LAYOUT.search(x)]
+    return 2 if any(map(STRONG.search, names)) else 1 if any(map(WEAK.search, names)) else 0
 
 
 def _close(stack: list, tag: str) -> None:
@@ -161,13 +243,23 @@ def _close(stack: list, tag: str) -> None:
             return
 
 
+def _width(text: str) -> int:
+    return len(text) + 2 * len(_WIDE.findall(text))
+
+
 def classify(found: list[Block]) -> None:
     """Both passes; sets ``label`` to good or bad."""
-    for b in found:
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        size = len(b.text)
-        if b.bad or b.links > MAX_LINKS * size:
+    words_of = [_WORD.findall(b.text.lower()) for b in found]
+    stops_of = [sum(w in STOP_WORDS for w in words) for words in words_of]
+    plain = [i for i, b in enumerate(found) if not b.bad and _width(b.text) >= SHORT]
+    listed = sum(stops_of[i] for i in plain) >= STOPS_LOW / 2 * sum(len(words_of[i]) for i in plain)
+    for i, b in enumerate(found):
+        size = _width(b.text)
+        if listed:
+            stops = stops_of[i] / len(words_of[i]) if words_of[i] else 0.0
+        else:                                       # a language without list
+            stops = STOPS_HIGH if _SENTENCE.search(b.text) else 0.0
+        if b.bad or b.links > MAX_LINKS * len(b.text):
             b.label = "bad"
         elif b.heading:
             b.label = "neargood" if b.article or size > SHORT else "short"
@@ -197,7 +289,7 @@ def classify(found: list[Block]) -> None:
             b.label = left
         else:
             b.label = "good" if first[i] == "neargood" else "bad"
-        if b.article and b.label == "bad" and b.article not in good_articles:
+        if b.article and (b.article in good_articles or b.label == "bad" and not good_articles):
             b.label = "good"
 
 

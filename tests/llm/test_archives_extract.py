@@ -99,6 +99,64 @@ def test_op5_boilerplate():
         extract.main_text(odd)
 
 
+TWO = f"<article><h1>T</h1><p>{LONG.format('a')}</p><p>{LONG.format('b')}</p></article>"
+BOTH = "\n\n".join(["T", LONG.format("a"), LONG.format("b")])
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<form action=x><input name=q>{}</form>', '<form><p>Search</p>{}</form>', '<div class="layout with-sidebar">{}</div>',
+    '<div class="single-post comments-open">{}</div>', '<section class="no-sidebar">{}</section>', '<div class="search-results">{}</div>',
+    '<div class="sidebar">{}</div>', '<div class="content has-sidebar"><div class="sidebar"><p>Menu</p></div>{}</div>',
+    '<a name=x>{}', '<aside><article class="teaser">Read on</article></aside>{}'])
+def test_a_wrapper_does_not_drop_the_article(wrapper):
+    assert extract.main_text("<body>" + wrapper.format(TWO) + "<footer>F</footer>") == BOTH
+
+
+def test_parts_within_an_article_are_dropped_still():
+    inner = TWO.replace("</h1>", f"</h1><div class=sidebar><p>{LONG.format('s')}</p></div><form><p>{LONG.format('f')}</p></form>")
+    comments = f"<div class=comments><p>{LONG.format('c')}</p><p>{LONG.format('d')}</p><p>{LONG.format('e')}</p></div>"
+    assert extract.main_text(inner + comments) == BOTH
+    assert extract.main_text(f"<div style='display:none'>{TWO}</div>") == ""
+
+
+def test_a_link_ends_with_its_block_and_needs_a_target():
+    assert extract.main_text(f"<p><a name=x>{LONG.format('a')}</p><p>{LONG.format('b')}</p>") == "\n\n".join(BOTH.split("\n\n")[1:])
+    assert extract.main_text(f"<p><a href=x>More</p><p>{LONG.format('a')}</p><p>{LONG.format('b')}</p>").endswith("\n\n".join(BOTH.split("\n\n")[1:]))
+    assert extract.main_text(f"<a href=x><div>{LONG.format('a')}</div></a><a href=y><div>{LONG.format('b')}</div></a>") == ""
+
+
+# a long paragraph of the writers' own in five scripts; pages without article element
+SCRIPTS = [
+    "Каждое утро дворник сметает листья у старой мельницы, и каждое утро ветер приносит новые. Он не сердится. Он говорит, что без листьев двор был бы совсем пуст, а метла скучала бы в сарае.",
+    "每天早上看门人都把老磨坊门前的落叶扫成一堆，可是每天早上风又吹来新的叶子。他从不生气。他说没有落叶的院子太空了，扫帚放在棚子里也会寂寞的。孩子们喜欢听他讲这些话。",
+    "كل صباح يكنس الحارس أوراق الشجر أمام الطاحونة القديمة، وكل صباح تحمل الريح أوراقا جديدة. لا يغضب أبدا. يقول إن الساحة بلا أوراق تكون فارغة جدا، وإن المكنسة تشتاق إلى العمل؟",
+    "Κάθε πρωί ο φύλακας σκουπίζει τα φύλλα μπροστά στον παλιό μύλο, και κάθε πρωί ο αέρας φέρνει καινούρια. Δεν θυμώνει ποτέ. Λέει πως χωρίς φύλλα η αυλή θα ήταν άδεια και η σκούπα θα βαριόταν.",
+    "हर सुबह चौकीदार पुरानी चक्की के सामने पत्ते झाड़ता है, और हर सुबह हवा नए पत्ते ले आती है। वह कभी नाराज़ नहीं होता। वह कहता है कि पत्तों के बिना आँगन बहुत सूना होता और झाड़ू भी ऊब जाती।",
+]
+
+
+@pytest.mark.parametrize("text", SCRIPTS)
+def test_pages_without_article_in_other_scripts(text):
+    page = (f"<html><body><div class=menu><a href=a>1</a> <a href=b>2</a></div><div><p>{text}</p><p>{text[::-1][:5]}{text}</p></div>"
+            f"<div class=footer><p>{text}</p></div><ul><li><a href=c>{text}</a></ul></body>")
+    assert extract.main_text(page) == f"{text}\n\n{text[::-1][:5]}{text}"
+
+
+@pytest.mark.parametrize("bit", ['<a "', "<a '", "<script", '<a ="', "<p x='", "<!--", "<", "</ ", "<a href=", '<a b="c" ', "<svg><p"])
+def test_markup_is_read_in_linear_time(bit):
+    import time
+    start = time.perf_counter()
+    extract.main_text(bit * 100_000)
+    extract.main_text(bit * 100_000 + ">")
+    assert time.perf_counter() - start < 5
+
+
+def test_a_tag_that_never_ends_drops_the_rest_only():
+    assert extract.main_text(TWO + '<p class="x') == BOTH
+    assert extract.main_text('<p title="5" tall" class=y>' + TWO) == BOTH
+    assert extract.main_text("1 < 2 " + TWO).endswith(BOTH)
+
+
 def test_op5_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, PAGE), (None, None, PAGE), (2, "v", "")],
                                "page_id long, url string, html string").selectExpr("*", "1 AS text")
