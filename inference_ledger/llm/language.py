@@ -4,7 +4,8 @@ A suffix automaton per language, of a bounded sample of labelled text, tells whe
 match from any place of a text ends. A text is cut greedily into such matches (phrases);
 the language whose automaton needs the fewest phrases per character wins, the first name on a tie.
 
-Letters are lower-cased; letters outside the sample's ``ALPHABET`` most frequent ones are one symbol; a run of
+Letters are lower-cased. The sample's ``ALPHABET`` most frequent ones are a symbol each; every other letter is spelled
+by three digits of its code point, so that no two letters are taken for each other, in any script. A run of
 other characters is one blank. Texts are parsed in segments of ``SEGMENT`` symbols, all
 segments of an Arrow slice side by side: one table look-up per symbol and language.
 
@@ -34,7 +35,8 @@ from .worker import kept
 SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_CHARS = 128, 256, 1 << 17
 ALPHABET = 62
 SEGMENT = 1024
-BLANK, OTHER = 0, 1
+BLANK, LETTER, DIGIT, SPELLED = 0, 2, 64, 255      # first symbols of letters and digits; mark of a spelled letter
+WIDTH = DIGIT + 64
 UNKNOWN = "und"
 
 
@@ -106,19 +108,21 @@ class Model:
     def __init__(self, sample: dict[str, str]):
         self.langs = sorted(sample)
         count = Counter(c for s in sample.values() for c in s.lower() if c.isalpha() and len(c) == 1)
-        alphabet = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        self.width = 2 + len(alphabet)
+        alphabet = {c: LETTER + k for k, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])}
+        self.width = WIDTH
         self.classes = np.zeros(0x110000, np.uint8)
+        self.lower = np.arange(0x110000, dtype=np.uint32)
         for cp in range(0x110000):
-            if chr(cp).isalpha():
-                self.classes[cp] = OTHER
-        for k, c in enumerate(alphabet):
-            for form in {c, c.upper(), c.title()}:
-                if len(form) == 1:
-                    self.classes[ord(form)] = 2 + k
+            c = chr(cp)
+            if c.isalpha():
+                small = c.lower()
+                if len(small) == 1:
+                    self.lower[cp] = ord(small)
+                self.classes[cp] = alphabet.get(small, SPELLED)
+        most = TRAIN_CHARS // max(len(self.langs), 1)
         tables, self.base, at = [], [], 0
         for x in self.langs:
-            table = SuffixAutomaton(self.symbols(sample[x])[0].tolist()).parser(self.width)
+            table = SuffixAutomaton(self.symbols(sample[x])[0][:most].tolist()).parser(self.width)
             tables.append(table.ravel())
             self.base.append(at)
             at += table.size
@@ -126,12 +130,22 @@ class Model:
 
     def symbols(self, text: str) -> tuple[np.ndarray, bool]:
         """Symbols of a text and whether it has a letter."""
-        s = self.classes[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+        s = self.classes[points]
         if not len(s):
             return s, False
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] != BLANK) | (s[:-1] != BLANK)
-        return s[keep], bool(s.any())
+        s = s[keep]
+        spelled = s == SPELLED
+        if spelled.any():
+            points = self.lower[points[keep][spelled]]
+            size = np.where(spelled, 3, 1)
+            at = (np.cumsum(size) - size)[spelled]
+            s = np.repeat(s, size)
+            for k, digit in enumerate((points >> 12, points >> 6, points)):
+                s[at + k] = DIGIT + (digit & 63)
+        return s, bool(s.any())
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases per symbol [language, text], texts with a letter)."""
