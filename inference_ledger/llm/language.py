@@ -91,7 +91,7 @@ class SuffixAutomaton:
     def parser(self, width: int) -> np.ndarray:
         """Table [state, symbol] of a greedy parse: (4 * width * next state + phrases ended)."""
         root = self.next[0]
-        table = np.empty((len(self.next), width), np.int64)
+        table = np.empty((len(self.next), width), np.int32)
         # no transition: the phrase ends, and the symbol starts the next (or is one by itself)
         fresh = np.array([4 * width * root[c] + 1 if c in root else 2 for c in range(width)])
         table[:] = fresh
@@ -126,7 +126,7 @@ class Model:
             tables.append(table.ravel())
             self.base.append(at)
             at += table.size
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.empty(0, np.int32)
+        self.table = np.concatenate(tables) if tables else np.empty(0, np.int32)
 
     def symbols(self, text: str) -> tuple[np.ndarray, bool]:
         """Symbols of a text and whether it has a letter."""
