@@ -187,17 +187,21 @@ def with_payload(df, body: str = "body", messages: str = "false", force: str = "
     holds, ``stream_options.include_usage`` is true: added, or overwritten in an object; other
     values are left alone. ``messages`` and ``force`` are SQL conditions."""
     usage = "'\"include_usage\"'"
-    staged = df.withColumn("_m", F.expr(members(canonical(body), "true", messages)))
-    staged = staged.withColumn("_at", F.expr("CAST(array_position(_m.keys, '\"stream_options\"') AS INT)"))
-    staged = staged.withColumn("_own", F.expr("CASE WHEN _at > 0 THEN element_at(_m.vals, _at) END"))
-    staged = staged.withColumn("_o", F.expr(f"CASE WHEN _own LIKE '{{%' THEN {members('_own')} END"))
-    staged = staged.withColumn("_o", F.expr(f"""CASE WHEN _o IS NULL THEN NULL
-        WHEN array_contains(_o.keys, {usage}) THEN named_struct('keys', _o.keys,
-          'vals', zip_with(_o.keys, _o.vals, (k, v) -> IF(k = {usage}, 'true', v)))
-        ELSE named_struct('keys', concat(_o.keys, array({usage})), 'vals', concat(_o.vals, array('true'))) END"""))
-    staged = staged.withColumn("_m", F.expr(f"""CASE WHEN NOT ({force}) OR _m IS NULL THEN _m
-        WHEN _at = 0 THEN named_struct('keys', concat(_m.keys, array('"stream_options"')),
-          'vals', concat(_m.vals, array('{{"include_usage":true}}')))
-        WHEN _o IS NULL THEN _m
-        ELSE named_struct('keys', _m.keys, 'vals', transform(_m.vals, (v, i) -> IF(i + 1 = _at, {written('_o')}, v))) END"""))
-    return staged.withColumn(out, F.expr(written("_m"))).drop("_m", "_at", "_own", "_o")
+    # each step is bound to a lambda's variable: as columns, the optimizer would write every fold many times over
+    def bound(value: str, name: str, then: str) -> str:
+        return f"transform(array({value}), {name} -> {then})[0]"
+
+    at = "CAST(array_position(m.keys, '\"stream_options\"') AS INT)"
+    own = "CASE WHEN p.at > 0 AND element_at(p.m.vals, p.at) LIKE '{%' THEN element_at(p.m.vals, p.at) END"
+    options = f"""IF(array_contains(o.keys, {usage}),
+        named_struct('keys', o.keys, 'vals', zip_with(o.keys, o.vals, (k, v) -> IF(k = {usage}, 'true', v))),
+        named_struct('keys', concat(o.keys, array({usage})), 'vals', concat(o.vals, array('true'))))"""
+    replaced = bound(f"IF(q.text IS NULL, NULL, {members('q.text')})", "o", f"IF(o IS NULL, NULL, {bound(options, 'n', written('n'))})")
+    forced = f"""CASE WHEN NOT ({force}) OR p.m IS NULL THEN p.m
+        WHEN p.at = 0 THEN named_struct('keys', concat(p.m.keys, array('"stream_options"')),
+          'vals', concat(p.m.vals, array('{{"include_usage":true}}')))
+        ELSE {bound(f"named_struct('text', {own})", "q", bound(replaced, "r", """IF(r IS NULL, p.m, named_struct('keys', p.m.keys,
+          'vals', transform(p.m.vals, (v, i) -> IF(i + 1 = p.at, r, v))))"""))} END"""
+    whole = bound(members(canonical(body), "true", messages), "m", bound(
+        f"named_struct('m', m, 'at', {at})", "p", bound(forced, "w", written("w"))))
+    return df.withColumn(out, F.expr(whole))
