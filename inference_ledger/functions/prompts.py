@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import NATIVE_PROTOCOLS
 from .jsontext import canonical, last_wins, members, python_json, written
 from .tokens import estimate_tokens
 
@@ -91,7 +92,7 @@ def prompt_estimate(protocol: Column, body: Column, v: Column | None = None,
                     fields: dict[str, Column] | None = None) -> Column:
     """Native prompt-token estimate; the native embedding passthrough counts 0."""
     v = parsed(body) if v is None else v
-    return F.when((protocol == "embed_native") | v.isNull(), F.lit(0).cast("bigint")) \
+    return F.when(protocol.isin(*NATIVE_PROTOCOLS) | v.isNull(), F.lit(0).cast("bigint")) \
         .otherwise(estimate_tokens(prompt_text(protocol, body, v, fields)))
 
 
@@ -138,7 +139,7 @@ def reject_reason(protocol: Column, body: Column, v: Column | None = None) -> Co
     msgs_ok = F.coalesce(kind(v, "$.messages"), F.lit("")).startswith("ARRAY")
     input_kind = F.coalesce(kind(v, "$.input"), F.lit("VOID"))
     input_present = input_kind != "VOID"
-    native = protocol == "embed_native"
+    native = protocol.isin(*NATIVE_PROTOCOLS)
 
     def kind_of(x: Column, path: str = "$") -> Column:
         return F.coalesce(F.schema_of_variant(F.variant_get(x, path, "variant")), F.lit("VOID"))
@@ -176,7 +177,7 @@ def reject_reason(protocol: Column, body: Column, v: Column | None = None) -> Co
 def reject_status(reason: Column, protocol: Column) -> Column:
     """400 for the native passthrough's own checks, 422 for schema validation."""
     return (F.when(reason.isNull(), F.lit(None).cast("int"))
-            .when(protocol == "embed_native", F.lit(400))
+            .when(protocol.isin(*NATIVE_PROTOCOLS), F.lit(400))
             .otherwise(F.lit(422)))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import usage as U
 from ..functions.jsontext import last_wins
 from ..functions.timefmt import duration_ms, epoch_date, epoch_seconds
-from ..schemas import LOG_COLUMNS
+from ..schemas import LOG_COLUMNS, NATIVE_PROTOCOLS
 from ..session import checked_broadcast
 
 # fixed values: error texts for failures without a backend body
@@ -62,7 +62,7 @@ def finalize_responses(joined: DataFrame, estimate: str = "prompt_tokens") -> Da
     parsed = last_wins(joined.select(*base), "body", "_data", "_text").drop("_text")
     data = F.col("_data")
     est = F.col("_est").cast("bigint")
-    native = F.col("protocol") == "embed_native"
+    native = F.col("protocol").isin(*NATIVE_PROTOCOLS)
     oa = U.openai_usage(data, est)
     nu = U.native_embed_usage(data)
     ttft, tps = U.timings(data)

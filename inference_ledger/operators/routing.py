@@ -11,15 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast, measured_broadcast
+from ..schemas import NATIVE_PROTOCOLS
+from ..session import BROADCAST_MAX_ROWS, checked_broadcast, is_small, measured_broadcast
 
-EMBEDDING_PROTOCOLS = ("embeddings", "embed_native")
+EMBEDDING_PROTOCOLS = ("embeddings", *NATIVE_PROTOCOLS)
 
 # fixed values: the request path per protocol, the limit-error types and the
 # catalog's substitute context length
 PATH_BY_PROTOCOL = {"chat": "/v1/chat/completions", "responses": "/v1/responses",
                     "messages": "/v1/messages", "embeddings": "/v1/embeddings",
-                    "embed_native": "/api/embed"}
+                    "embed_native": "/api/embed", "embeddings_native": "/api/embeddings"}
 LIMIT_ERROR_TYPE = "exceed_context_size_error"
 LIMIT_ERROR_TYPE_MESSAGES = "invalid_request_error"
 LIST_DEFAULT_CONTEXT = 4096
@@ -59,10 +60,15 @@ def backend_limits(backends: DataFrame, props: DataFrame | None = None) -> DataF
 
 
 def first_mappings(mappings: DataFrame) -> DataFrame:
-    """One mapping per model id, the first in configuration order."""
-    first = mappings.groupBy("model_id").agg(F.min("pos").alias("map_pos"))
-    return (mappings.withColumnRenamed("pos", "map_pos").join(first, ["model_id", "map_pos"])
-            .select("model_id", "map_pos", "backend_ids"))
+    """One mapping per model id, the first in configuration order (one shuffle, no self-join)."""
+    return mappings.groupBy("model_id").agg(F.min("pos").alias("map_pos"),
+                                            F.min_by("backend_ids", "pos").alias("backend_ids"))
+
+
+def first_positions(heads: DataFrame) -> DataFrame:
+    """J1/A7 on mappings without their backends (pos, model_id): the mappings that win. A catalogue
+    whose backends are rows of their own collects them for these only."""
+    return heads.groupBy("model_id").agg(F.min("pos").alias("pos")).select("pos", "model_id")
 
 
 def available_backends(mappings: DataFrame, limits: DataFrame) -> DataFrame:
@@ -78,10 +84,23 @@ def available_backends(mappings: DataFrame, limits: DataFrame) -> DataFrame:
     return (fm.join(per_model, "model_id", "left")
               .select("model_id", "map_pos",
                       F.coalesce(F.col("backends"), F.array().cast(
-                          "array<struct<pos:int,id:string,url:string,context_limit:bigint>>")).alias("backends"),
+                          "array<struct<pos:bigint,id:string,url:string,context_limit:bigint>>")).alias("backends"),
                       "max_limit"))
 
 
+def _backend_lookup(mappings: DataFrame, limits: DataFrame) -> DataFrame:
+    """``available_backends`` to be joined to requests. Literal dimensions are counted where they stand,
+    without a job: a mapping's id can name as many backends as share it, which bounds the entries.
+    Within the bound the lookup is broadcast as part of the query's own plan; other
+    dimensions are written once and measured."""
+    avail = available_backends(mappings, limits)
+    if is_small(mappings) and is_small(limits):
+        named = sum(r[0] for r in mappings.select(F.size("backend_ids")).collect())     # literal rows
+        if named * len(limits.select("id").collect()) <= BROADCAST_MAX_ROWS:
+            return F.broadcast(avail)
+    return measured_broadcast(avail)
+
+
 def route(requests: DataFrame, mappings: DataFrame, limits: DataFrame,
           default_model_id: str | None, default_embedding_model_id: str | None,
           pick: str = "round_robin") -> DataFrame:
@@ -96,7 +115,7 @@ def route(requests: DataFrame, mappings: DataFrame, limits: DataFrame,
     ``pick`` chooses one backend among the available ones: ``round_robin``
     (``request_id mod n``) or ``hash`` (the first 32 bits of md5(request_id) mod n).
     """
-    avail = measured_broadcast(available_backends(mappings, limits))
+    avail = _backend_lookup(mappings, limits)
     default_id = F.when(F.col("protocol").isin(*EMBEDDING_PROTOCOLS), F.lit(default_embedding_model_id)) \
         .otherwise(F.lit(default_model_id)).cast("string")
     req = requests.withColumn("default_id", default_id)
@@ -135,11 +154,13 @@ def route(requests: DataFrame, mappings: DataFrame, limits: DataFrame,
     )
 
 
+# fixed value: the text of a limit error
+LIMIT_MESSAGE = "request (%d tokens) exceeds the available context size (%d tokens), try increasing it"
+
+
 def limit_message(prompt_tokens: Column, limit: Column) -> Column:
     """P21."""
-    return F.format_string(
-        "request (%d tokens) exceeds the available context size (%d tokens), try increasing it",
-        prompt_tokens, limit)
+    return F.format_string(LIMIT_MESSAGE, prompt_tokens, limit)
 
 
 def limit_error_json(protocol: Column, message: Column) -> Column:
@@ -157,7 +178,7 @@ def check_limit(routed: DataFrame, prompt_tokens: str = "prompt_tokens") -> Data
     checked (T20). Adds limit_exceeded, limit_status, limit_error."""
     pt = F.col(prompt_tokens)
     lim = F.col("backend_limit")
-    exceeded = ((F.col("route_status") == 200) & (F.col("protocol") != "embed_native")
+    exceeded = ((F.col("route_status") == 200) & ~F.col("protocol").isin(*NATIVE_PROTOCOLS)
                 & lim.isNotNull() & (pt > lim))
     msg = limit_message(pt, lim)
     return routed.select(

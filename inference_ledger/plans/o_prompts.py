@@ -20,7 +20,7 @@ ORACLE.update({
     "prompt_text_chat": _prompt(["chat"]),
     "prompt_text_responses": _prompt(["responses"]),
     "prompt_text_messages": _prompt(["messages"]),
-    "prompt_text_embeddings": _prompt(["embeddings", "embed_native"]),
+    "prompt_text_embeddings": _prompt(["embeddings", "embed_native", "embeddings_native"]),
     "token_estimate": f"""
 SELECT source, grp, count(*) AS texts,
   CAST(sum(CASE WHEN text IS NULL OR text = '' THEN 0 ELSE len(regexp_extract_all(text, '{PIECE}')) END) AS BIGINT) AS token_estimate

@@ -6,6 +6,7 @@ from __future__ import annotations
 from .o_routing import DEMO_DIMS, LIMIT_CTE, REQ_CTE, ROUTE_CTE
 from .o_sse import sse_rows
 from .o_views import LOG_COLS
+from . import params as P
 from .oracle import LOG_CTE, ORACLE, SYSLOG_CTE, R
 
 CUTOFF = 1705276800.0
@@ -75,3 +76,8 @@ UNION ALL SELECT 'quarantined', NULL, NULL, count(*), NULL, NULL FROM syslog WHE
 ORACLE["log_ids"] = f"""WITH {LOG_CTE}
 SELECT count(*) AS requests, count(*) AS distinct_ids, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id,
   CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM log"""
+ORACLE["recent_logs_deep"] = f"""WITH {LOG_CTE}
+SELECT {LOG_COLS} FROM log ORDER BY "timestamp" DESC, id DESC LIMIT {P.RECENT_LIMIT} OFFSET {P.DEEP_OFFSET}"""
+ORACLE["export_models"] = ORACLE["totals_and_models"]
+ORACLE["export_series"] = " UNION ALL ".join(
+    f"SELECT *, '{p}' AS period FROM ({ORACLE['series_' + p]})" for p in ("hour", "day", "month"))

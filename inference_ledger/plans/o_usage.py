@@ -12,7 +12,7 @@ rs_k AS (
   SELECT event_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
     CASE WHEN event_type IN ('click', 'error') THEN 'chat' WHEN event_type = 'view' THEN 'responses'
          WHEN event_type = 'signup' THEN 'messages'
-         WHEN event_id % 2 = 1 THEN 'embed_native' ELSE 'embeddings' END AS protocol
+         WHEN event_id % 4 = 1 THEN 'embed_native' WHEN event_id % 4 = 3 THEN 'embeddings_native' ELSE 'embeddings' END AS protocol
   FROM events
 ),
 rs_u AS (
@@ -94,7 +94,7 @@ fin_d AS (
 ),
 fin_e AS (
   SELECT *,
-    CASE WHEN protocol = 'embed_native' THEN true
+    CASE WHEN protocol IN ('embed_native', 'embeddings_native') THEN true
          WHEN u_present THEN (up IS NOT NULL AND uc IS NOT NULL AND ut IS NOT NULL)
          ELSE true END AS u_valid
   FROM fin_d
@@ -106,20 +106,20 @@ fin AS (
          ELSE status_code END AS INTEGER) AS final_status,
     (failure_kind IS NULL AND decodable AND u_valid) AS good,
     CASE WHEN failure_kind IS NULL AND decodable AND u_valid THEN
-      CASE WHEN protocol = 'embed_native' THEN coalesce(TRY_CAST(json_extract(jd, '$.prompt_eval_count') AS BIGINT), 0)
+      CASE WHEN protocol IN ('embed_native', 'embeddings_native') THEN coalesce(TRY_CAST(json_extract(jd, '$.prompt_eval_count') AS BIGINT), 0)
            WHEN u_present THEN up ELSE CAST(est AS BIGINT) END
       ELSE CAST(est AS BIGINT) END AS prompt_tokens,
-    CASE WHEN failure_kind IS NULL AND decodable AND u_valid AND protocol <> 'embed_native' AND u_present
+    CASE WHEN failure_kind IS NULL AND decodable AND u_valid AND protocol NOT IN ('embed_native', 'embeddings_native') AND u_present
       THEN uc ELSE 0 END AS completion_tokens,
     CASE WHEN failure_kind IS NULL AND decodable AND u_valid THEN
-      CASE WHEN protocol = 'embed_native' THEN coalesce(TRY_CAST(json_extract(jd, '$.prompt_eval_count') AS BIGINT), 0)
+      CASE WHEN protocol IN ('embed_native', 'embeddings_native') THEN coalesce(TRY_CAST(json_extract(jd, '$.prompt_eval_count') AS BIGINT), 0)
            WHEN u_present THEN ut ELSE CAST(est AS BIGINT) END
       ELSE CAST(est AS BIGINT) END AS total_tokens,
-    CASE WHEN failure_kind IS NULL AND decodable AND u_valid AND protocol <> 'embed_native' AND u_present
+    CASE WHEN failure_kind IS NULL AND decodable AND u_valid AND protocol NOT IN ('embed_native', 'embeddings_native') AND u_present
       THEN TRY_CAST(json_extract(jd, '$.usage.prompt_tokens_details.cached_tokens') AS BIGINT) END AS prompt_cached_tokens,
-    CASE WHEN failure_kind IS NULL AND decodable AND u_valid AND protocol <> 'embed_native' AND u_present
+    CASE WHEN failure_kind IS NULL AND decodable AND u_valid AND protocol NOT IN ('embed_native', 'embeddings_native') AND u_present
       THEN TRY_CAST(json_extract(jd, '$.usage.cache_creation_input_tokens') AS BIGINT) END AS cache_creation_input_tokens,
-    CASE WHEN failure_kind IS NULL AND decodable AND u_valid AND protocol <> 'embed_native' AND u_present
+    CASE WHEN failure_kind IS NULL AND decodable AND u_valid AND protocol NOT IN ('embed_native', 'embeddings_native') AND u_present
       THEN TRY_CAST(json_extract(jd, '$.usage.cache_read_input_tokens') AS BIGINT) END AS cache_read_input_tokens,
     CASE WHEN failure_kind IS NULL AND decodable AND u_valid
       THEN TRY_CAST(json_extract(jd, '$.timings.prompt_ms') AS DOUBLE) END AS ttft_ms,
@@ -152,7 +152,7 @@ ORACLE.update({
     "usage_chat": _usage(["chat"]),
     "usage_responses": _usage(["responses"]),
     "usage_messages": _usage(["messages"]),
-    "usage_embed": _usage(["embeddings", "embed_native"]),
+    "usage_embed": _usage(["embeddings", "embed_native", "embeddings_native"]),
     "error_normalise": f"""WITH {REQ_CTE}, {RESP_CTE},
 e AS (SELECT r.request_id, req.protocol, r.status_code, r.body,
         CASE WHEN json_valid(r.body) THEN r.body END AS jb

@@ -139,5 +139,5 @@ SELECT CAST(NULL AS VARCHAR) AS label, count(*) AS requests, CAST(sum(total_toke
 
 
 def all_oracles() -> dict[str, str]:
-    from . import o_more  # noqa: F401  (adds the remaining statements)
+    from . import o_views, o_routing, o_usage, o_sse, o_prompts, o_sources  # noqa: F401  (each adds its statements)
     return dict(ORACLE)

@@ -30,7 +30,7 @@ def _prompt(protocols):
 register("prompt_text_chat")(_prompt(["chat"]))
 register("prompt_text_responses")(_prompt(["responses"]))
 register("prompt_text_messages")(_prompt(["messages"]))
-register("prompt_text_embeddings")(_prompt(["embeddings", "embed_native"]))
+register("prompt_text_embeddings")(_prompt(["embeddings", "embed_native", "embeddings_native"]))
 
 
 @register("token_estimate")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import PARSED, parsed_fields, prompt_estimate, reject_reason, reject_status, with_parsed
 from ..operators import routing
+from ..session import scratch_path
 from ..sources import config, derive
 from .registry import register
 
@@ -70,7 +71,9 @@ def limit_check(spark, sf_dir):
 def _catalog(spark, sf_dir):
     backends = derive.catalog_backends(spark, sf_dir)
     limits = routing.backend_limits(backends, derive.catalog_props(spark, sf_dir))
-    return derive.catalog_mappings(spark, sf_dir), backends, limits
+    # the catalogue shows first mappings only, so only their backends are collected
+    kept = routing.first_positions(derive.catalog_heads(spark, sf_dir))
+    return derive.catalog_mappings(spark, sf_dir, kept), backends, limits
 
 
 @register("config_dims")
@@ -98,3 +101,16 @@ def model_browser(spark, sf_dir):
     browser = routing.model_browser(m, b, limits, derive.CATALOG_DEFAULT_MODEL,
                                     derive.CATALOG_DEFAULT_EMBEDDING_MODEL)
     return routing.flatten_browser(browser)
+
+
+@register("config_file")
+def config_file(spark, sf_dir):
+    """A catalogue written as a folder of JSON lines, some of them faulty, and read with the rules of
+    a configuration: records and rejected lines per reason."""
+    folder = scratch_path(spark, "catalogue")
+    derive.catalog_lines(spark, sf_dir).write.text(folder)
+    backends, mappings, rejected = config.read_records(spark, folder)
+    return (backends.selectExpr("'backend' AS kind", "CAST(NULL AS STRING) AS reason", "context_size AS n")
+            .unionByName(mappings.selectExpr("'mapping' AS kind", "CAST(NULL AS STRING) AS reason", "size(backend_ids) AS n"))
+            .unionByName(rejected.selectExpr("'rejected' AS kind", "reason", "CAST(NULL AS INT) AS n"))
+            .groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("n")))

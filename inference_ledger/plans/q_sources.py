@@ -99,6 +99,33 @@ def export_json(spark, sf_dir):
         "total_requests", "m.model_id", "m.count", "m.total_tokens", "m.total_compute_burn")
 
 
+@register("export_models")
+def export_models(spark, sf_dir):
+    """Totals and models as JSON lines, read back with their schema."""
+    path = scratch_path(spark, "export-models")
+    rows = stats.round_averages(stats.totals_and_models(derive.request_log(spark, sf_dir)), P.ROUND_DIGITS)
+    logstore.export_models_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@register("export_series")
+def export_series(spark, sf_dir):
+    """The time series of every period as JSON lines, read back."""
+    path = scratch_path(spark, "export-series")
+    series = {p: stats.time_series(derive.request_log(spark, sf_dir, P.AS_OF_EPOCH - seconds), p, P.AS_OF_EPOCH)
+              for p, (_, seconds) in stats.SERIES_PERIODS.items()}
+    logstore.export_series_json(series, path)
+    return spark.read.schema(series["hour"].schema.add("period", "string")).json(path)
+
+
+@register("recent_logs_deep")
+def recent_logs_deep(spark, sf_dir):
+    """L2: a page far back in a stored log; only the dates that hold it are opened."""
+    root = scratch_path(spark, "deep")
+    logstore.append_log(derive.request_log(spark, sf_dir), root)
+    return derive.log_columns(logstore.stored_page(logstore.read_log(spark, root), P.RECENT_LIMIT, P.DEEP_OFFSET))
+
+
 @register("export_logs_page")
 def export_logs_page(spark, sf_dir):
     """A log page exported as JSON lines and read back with the log schema."""

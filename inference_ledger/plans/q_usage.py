@@ -29,7 +29,7 @@ def _usage(protocols):
 register("usage_chat")(_usage(["chat"]))
 register("usage_responses")(_usage(["responses"]))
 register("usage_messages")(_usage(["messages"]))
-register("usage_embed")(_usage(["embeddings", "embed_native"]))
+register("usage_embed")(_usage(["embeddings", "embed_native", "embeddings_native"]))
 
 
 @register("error_normalise")

@@ -59,23 +59,18 @@ USAGE = T.StructType([
 ])
 
 BACKENDS = T.StructType([
-    T.StructField("pos", T.IntegerType(), False),
+    T.StructField("pos", T.LongType(), False),
     T.StructField("id", T.StringType(), False),
     T.StructField("url", T.StringType(), False),
     T.StructField("context_size", T.IntegerType(), True),
 ])
 
 MODEL_MAPPINGS = T.StructType([
-    T.StructField("pos", T.IntegerType(), False),
+    T.StructField("pos", T.LongType(), False),
     T.StructField("model_id", T.StringType(), False),
     T.StructField("backend_ids", T.ArrayType(T.StringType(), False), False),
 ])
 
-SETTINGS = T.StructType([
-    T.StructField("default_model_id", T.StringType(), True),
-    T.StructField("default_embedding_model_id", T.StringType(), True),
-])
-
 UNTRACKED = T.StructType([T.StructField("model_id", T.StringType(), False)])
 
 BACKEND_PROPS = T.StructType([
@@ -106,4 +101,6 @@ SSE_LINES = T.StructType([
     T.StructField("line", T.StringType(), True),
 ])
 
-PROTOCOLS = ("chat", "responses", "messages", "embeddings", "embed_native")
+# the native embedding paths are forwarded as they come, without an estimate or a limit check
+NATIVE_PROTOCOLS = ("embed_native", "embeddings_native")
+PROTOCOLS = ("chat", "responses", "messages", "embeddings", *NATIVE_PROTOCOLS)

@@ -14,8 +14,9 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..schemas import BACKENDS, MODEL_MAPPINGS, SETTINGS, UNTRACKED
+from ..schemas import BACKENDS, MODEL_MAPPINGS, UNTRACKED
 
 # fixed values: the demo routing configuration used by the routing queries.
 # b1 has a trailing slash, b3 a /v1 suffix; chat-medium is mapped twice (the
@@ -101,11 +102,32 @@ def mappings_df(spark: SparkSession, cfg: dict) -> DataFrame:
     return _local(spark, rows, MODEL_MAPPINGS)
 
 
-def settings_df(spark: SparkSession, cfg: dict) -> DataFrame:
-    cfg = load_config(cfg)
-    return _local(spark, [(cfg.get("default_model_id"), cfg.get("default_embedding_model_id"))], SETTINGS)
-
-
 def untracked_df(spark: SparkSession, cfg: dict) -> DataFrame:
     cfg = load_config(cfg)
     return _local(spark, [(m,) for m in (cfg.get("untracked_models") or [])], UNTRACKED)
+
+
+#: a catalogue too large for one document: JSON lines, each a backend or a mapping with its position
+RECORD = "kind string, pos bigint, id string, url string, context_size variant, model_id string, backend_ids variant"
+
+
+def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S7 for a large catalogue: (backends, mappings, rejected lines) of a folder of JSON lines, in the
+    ``BACKENDS`` and ``MODEL_MAPPINGS`` schemas. The rules of ``load_config`` hold per record: a position, a
+    backend's id and url, an integer context size or none, a mapping's model id and a list of backend ids.
+    Rejected lines keep their text and the reason; credentials are never read."""
+    rows = spark.read.text(path).filter("trim(value) <> ''").select(
+        "value", F.from_json("value", RECORD, {"mode": "PERMISSIVE"}).alias("r")).select("value", "r.*")
+    size, ids = "coalesce(schema_of_variant(context_size), 'VOID')", "coalesce(schema_of_variant(backend_ids), 'VOID')"
+    rows = rows.withColumn("reason", F.expr(f"""CASE
+        WHEN kind IS NULL OR kind NOT IN ('backend', 'mapping') OR pos IS NULL THEN 'no record'
+        WHEN kind = 'backend' AND (id IS NULL OR url IS NULL) THEN 'id or url missing'
+        WHEN kind = 'backend' AND {size} NOT IN ('VOID', 'BIGINT') THEN 'context size no integer'
+        WHEN kind = 'mapping' AND model_id IS NULL THEN 'model id missing'
+        WHEN kind = 'mapping' AND {ids} NOT IN ('ARRAY<STRING>', 'ARRAY<VOID>') THEN 'backend ids no list' END"""))
+    good = F.col("reason").isNull()
+    backends = rows.filter(good & (F.col("kind") == "backend")).selectExpr(
+        "pos", "id", "url", "try_variant_get(context_size, '$', 'int') AS context_size")
+    mappings = rows.filter(good & (F.col("kind") == "mapping")).selectExpr(
+        "pos", "model_id", "variant_get(backend_ids, '$', 'array<string>') AS backend_ids")
+    return backends, mappings, rows.filter(~good).select("value", "reason")

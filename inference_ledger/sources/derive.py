@@ -30,7 +30,7 @@ PROTOCOL_BY_EVENT = {"click": "chat", "error": "chat", "view": "responses",
                      "signup": "messages", "purchase": "embeddings"}
 PATH_BY_PROTOCOL = {"chat": "/v1/chat/completions", "responses": "/v1/responses",
                     "messages": "/v1/messages", "embeddings": "/v1/embeddings",
-                    "embed_native": "/api/embed"}
+                    "embed_native": "/api/embed", "embeddings_native": "/api/embeddings"}
 ERROR_TEXT_500 = ("Internal error (RuntimeError): upstream closed the stream before the final "
                   "chunk was received; partial output discarded (props ")
 ERROR_TEXT_502 = "Connection error (ConnectError): all connection attempts failed"
@@ -146,7 +146,8 @@ def system_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def protocol_for_event(event_type: Column, event_id: Column) -> Column:
     base = _case(event_type, PROTOCOL_BY_EVENT)
-    return F.when((base == "embeddings") & (event_id % 2 == 1), F.lit("embed_native")).otherwise(base)
+    return F.when((base == "embeddings") & (event_id % 4 == 1), F.lit("embed_native")) \
+        .when((base == "embeddings") & (event_id % 4 == 3), F.lit("embeddings_native")).otherwise(base)
 
 
 def _prompt_words(event_type: Column, k: Column) -> Column:
@@ -155,7 +156,8 @@ def _prompt_words(event_type: Column, k: Column) -> Column:
 
 PROTOCOL_SQL = ("CASE WHEN event_type IN ('click', 'error') THEN 'chat' WHEN event_type = 'view' THEN 'responses' "
                 "WHEN event_type = 'signup' THEN 'messages' "
-                "WHEN event_type = 'purchase' AND event_id % 2 = 1 THEN 'embed_native' "
+                "WHEN event_type = 'purchase' AND event_id % 4 = 1 THEN 'embed_native' "
+                "WHEN event_type = 'purchase' AND event_id % 4 = 3 THEN 'embeddings_native' "
                 "WHEN event_type = 'purchase' THEN 'embeddings' END")
 
 
@@ -282,11 +284,11 @@ def catalog_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
     later entry wins in the catalog). Schema ``BACKENDS``."""
     s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").filter("s_acctbal >= 0")
     main = s.selectExpr(
-        "CAST(s_suppkey AS INT) AS pos", "concat('b', CAST(s_suppkey AS STRING)) AS id",
+        "2 * s_suppkey AS pos", "concat('b', CAST(s_suppkey AS STRING)) AS id",
         f"{SUPPLIER_URL_SQL} AS url",
         "CAST(CASE WHEN s_nationkey % 4 = 0 THEN NULL ELSE (s_nationkey + 1) * 1024 END AS INT) AS context_size")
     mirror = s.filter("s_nationkey = 0").selectExpr(
-        "CAST(s_suppkey + 10000000 AS INT) AS pos", "concat('b', CAST(s_suppkey AS STRING)) AS id",
+        "2 * s_suppkey + 1 AS pos", "concat('b', CAST(s_suppkey AS STRING)) AS id",
         "concat('http://mirror', CAST(s_suppkey AS STRING), ':8080') AS url", "CAST(512 AS INT) AS context_size")
     return main.unionByName(mirror)
 
@@ -301,22 +303,41 @@ def catalog_props(spark: SparkSession, sf_dir: str) -> DataFrame:
              CAST((s_nationkey + 1) * 2048 AS STRING), '}}') ELSE '{"default_generation_settings":{}}' END AS json""")
 
 
-def catalog_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model mappings derived from ``part`` and ``lineitem``: one mapping per
-    part (position = part key), model id from brand and size class (so ids
-    repeat and the first mapping must win), backends = the part's suppliers in
-    ``lineitem``, ascending. One shuffle (group lineitem by part); the
-    per-part supplier set is built by partial aggregation."""
-    part = read_table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size")
-    li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey")
-    per_part = li.groupBy("l_partkey").agg(F.expr("array_sort(collect_set(l_suppkey)) AS _s"))
-    j = part.join(per_part, part.p_partkey == per_part.l_partkey, "left")
-    return j.selectExpr(
-        "CAST(p_partkey AS INT) AS pos",
-        "concat('m-', lower(regexp_replace(p_brand, 'Brand#', '')), '-', CAST(p_size % 5 AS STRING)) AS model_id",
+def catalog_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings without their backends, one per part: position = part key, model id from brand and
+    size class (so ids repeat and the first mapping must win)."""
+    return read_table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size").selectExpr(
+        "CAST(p_partkey AS BIGINT) AS pos",
+        "concat('m-', lower(regexp_replace(p_brand, 'Brand#', '')), '-', CAST(p_size % 5 AS STRING)) AS model_id")
+
+
+def catalog_mappings(spark: SparkSession, sf_dir: str, heads: DataFrame | None = None) -> DataFrame:
+    """Model mappings: the ``heads`` (default: every part) with the part's suppliers in ``lineitem``,
+    ascending, as backends. Lines of other parts leave before the one shuffle of
+    ``lineitem``, and (part, supplier) pairs are made distinct before they become arrays."""
+    heads = catalog_heads(spark, sf_dir) if heads is None else heads
+    pairs = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey") \
+        .selectExpr("CAST(l_partkey AS BIGINT) AS pos", "l_suppkey") \
+        .join(heads.select("pos"), "pos", "left_semi").distinct()
+    per_part = pairs.groupBy("pos").agg(F.expr("array_sort(collect_list(l_suppkey)) AS _s"))
+    return heads.join(per_part, "pos", "left").selectExpr(
+        "pos", "model_id",
         "transform(coalesce(_s, CAST(array() AS array<bigint>)), x -> concat('b', CAST(x AS STRING))) AS backend_ids")
 
 
+def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue as JSON lines (column ``value``), one per backend and mapping. By position mod 31, lines
+    are cut short (3), lack a field (4) or hold a value of another type (5)."""
+    fault = "CASE pmod(pos, 31) WHEN 3 THEN substr({0}, 1, 20) WHEN 4 THEN {1} WHEN 5 THEN {2} ELSE {0} END AS value"
+    b = catalog_backends(spark, sf_dir).selectExpr("*", "'backend' AS kind").selectExpr(fault.format(
+        "to_json(struct(kind, pos, id, url, context_size))", "to_json(struct(kind, pos, id, context_size))",
+        "to_json(struct(kind, pos, id, url, 'much' AS context_size))"))
+    m = catalog_mappings(spark, sf_dir).selectExpr("*", "'mapping' AS kind").selectExpr(fault.format(
+        "to_json(struct(kind, pos, model_id, backend_ids))", "to_json(struct(kind, pos, backend_ids))",
+        "to_json(struct(kind, pos, model_id, 'b1' AS backend_ids))"))
+    return b.unionByName(m)
+
+
 # fixed values: catalog defaults of the derived configuration
 CATALOG_DEFAULT_MODEL = "m-13-0"
 CATALOG_DEFAULT_EMBEDDING_MODEL = "m-21-2"

@@ -144,6 +144,47 @@ def export_stats_json(totals_and_models: DataFrame, path: str) -> None:
     stats_document(totals_and_models).coalesce(1).write.mode("overwrite").json(path)
 
 
+def export_models_json(totals_and_models: DataFrame, path: str) -> None:
+    """Totals and models as JSON lines, a row each, for logs with any number of (client-chosen) model ids."""
+    totals_and_models.write.mode("overwrite").json(path)
+
+
+def export_series_json(series: dict[str, DataFrame], path: str) -> None:
+    """Time series as JSON lines, a folder per period (``period=hour`` ...), ordered by label within."""
+    for period, df in series.items():
+        df.write.mode("overwrite").json(f"{path.rstrip('/')}/period={period}")
+
+
+def rows_per_date(log: DataFrame) -> list[tuple]:
+    """(dt, rows) of a stored log, newest first, rows without a date last. The scan reads no column, only
+    the counts in the files' footers; the result has one row per date of the log."""
+    counted = log.groupBy("dt").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("dt").desc_nulls_last())
+    return [(r.dt, r.n) for r in counted.collect()]
+
+
+def stored_page(log: DataFrame, limit: int, offset: int = 0, counts: list[tuple] | None = None) -> DataFrame:
+    """L2 on a stored log at any offset: ``counts`` (``rows_per_date``, kept by the caller between pages) tell
+    which dates hold the page, and only their partitions are opened; rows of newer dates are
+    skipped by their number. Equal to ``views.recent_logs``."""
+    lim, skip = (None if limit is None or limit < 0 else int(limit)), max(0, int(offset or 0))
+    wanted, left = [], lim
+    for dt, n in counts if counts is not None else rows_per_date(log):
+        if not wanted and skip >= n:
+            skip -= n
+            continue
+        wanted.append(dt)
+        if left is not None:
+            left -= n - (skip if len(wanted) == 1 else 0)
+            if left <= 0:
+                break
+    dates = [d for d in wanted if d is not None]
+    here = F.col("dt").between(F.lit(min(dates)), F.lit(max(dates))) if dates else F.lit(False)
+    here = here | F.col("dt").isNull() if None in wanted else here
+    page = log.filter(here).orderBy(F.desc("timestamp"), F.desc("id"))
+    page = page.offset(skip) if skip else page
+    return page if lim is None else page.limit(lim)
+
+
 def export_logs_json(page: DataFrame, path: str) -> None:
     """A log page as JSON lines."""
     page.write.mode("overwrite").json(path)
