@@ -103,3 +103,39 @@ def test_main_path_runs_no_python(spark):
     df = queries.op4_decontaminate(spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_exact_way_finds_the_same(spark):
+    docs, items, d, i = fixture(spark)
+    assert found(decontaminate.contamination(spark, d, i, exact=True)) == brute(docs, items)
+
+
+def test_one_common_shingle_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    phrase = "this is the common phrase"
+    words = lambda n: " ".join(f"z{rng.randrange(10**9)}" for _ in range(n))
+    d = spark.createDataFrame([(k, f"{words(20)} {phrase} {words(20)}") for k in range(60)], "doc_id long, text string")
+    i = spark.createDataFrame([(k, f"{words(10)} {phrase} {words(10)}") for k in range(40)], "item_id long, text string")
+    sizes = []
+    real = decontaminate._few
+    monkeypatch.setattr(decontaminate, "_few", lambda df: sizes.append(df.count()) or real(df))
+    assert decontaminate.contamination(spark, d, i).count() == 0
+    assert sizes[-1] == 0                    # no hit of the index
+
+
+def test_index_finds_all_within_the_radius(spark):
+    rng = random.Random(7)
+    signed = lambda x: x - 2 ** 64 if x >= 2 ** 63 else x
+    items = [(k, 5 + k % 2, rng.getrandbits(64)) for k in range(60)]
+    prints = []
+    for k, size, fp in items:
+        for n in (0, 1, 9, 16, 22, 23, 24, 30):
+            x = fp
+            for bit in rng.sample(range(64), n):
+                x ^= 1 << bit
+            prints.append((size, x))
+    i = spark.createDataFrame([(k, s, signed(f)) for k, s, f in items], "item long, size int, fp long")
+    p = spark.createDataFrame([(s, signed(f)) for s, f in set(prints)], "size int, fp long")
+    got = sorted(tuple(r) for r in decontaminate._within_radius(p, i, len(items)).collect())
+    assert got == sorted((s, signed(f), k, (f ^ g).bit_count()) for s, f in set(prints) for k, t, g in items
+                         if s == t and (f ^ g).bit_count() <= decontaminate.RADIUS)
