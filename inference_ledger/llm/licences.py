@@ -1,12 +1,13 @@
 """Operator 1: licence scan with a positional index of rare words.
 
-Each template is a run of words with mandatory key phrases. Its rarest word over all
-documents (highest inverse document frequency) is its entry in the index: word -> (template,
-place). Every place of such a word in a document proposes an alignment of the template; the
-places of its other words, rarest first, are intersected with it by relative position. An alignment
-counts if every mandatory phrase stands there in full and the matched words hold ``ENOUGH``
-of the template's weight. The base phrases are templates that are mandatory as a whole, so
-each of their places is found through their rarest word.
+Each template is a run of words with mandatory key phrases. The index holds the places of every template
+word in a file. A template is entered through the file's own rarest of its mandatory words: the one with
+the fewest places there, of equals that with the highest inverse document frequency over all documents. Every
+place of that word proposes alignments; the places of the template's other words are intersected with them
+by relative position, mandatory words first. An alignment counts if every mandatory phrase stands there in
+full and the matched words hold ``ENOUGH`` of the template's weight. As an alignment that counts holds all
+mandatory words, the entry misses none, whatever the other words are and whatever the corpus
+holds. The base phrases are templates that are mandatory as a whole.
 
 Words: A-Z in lower case, then maximal runs of digits, a-z and non-ASCII characters.
 
@@ -129,31 +130,42 @@ def word_weights(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
 
 class Index:
-    """Positional index: the rarest word of each template, and its place there."""
+    """Positional index of a slice of files: template word -> its places, file by file."""
 
     def __init__(self, all_templates: list[Template], vocabulary: Vocabulary, weights: np.ndarray):
-        self.entries = []
+        self.weights, self.templates = weights, []
         for t in all_templates:
             numbers = np.array([vocabulary.number[w] for w in t.words])
-            rarest_first = np.argsort(-weights[numbers], kind="stable")
-            self.entries.append((t, numbers, weights[numbers], rarest_first))
+            weight = weights[numbers]
+            # mandatory words first, of them the rarest first
+            order = np.lexsort((-weight, ~t.needed))
+            self.templates.append((t, numbers, weight, order, order[:int(t.needed.sum())]))
 
     def scan(self, number: np.ndarray, words: np.ndarray):
         """For every alignment that counts: (row, first word, template, score)."""
         begin = np.cumsum(words) - words
-        row_of = np.repeat(np.arange(len(words)), words)
         hits = np.flatnonzero(number >= 0)
-        at_number = number[hits]
-        for t, numbers, weight, order in self.entries:
-            place = hits[at_number == numbers[order[0]]]
-            row = row_of[place]
-            start = place - order[0]
+        row_of_hit = np.repeat(np.arange(len(words)), words)[hits]
+        # postings: hits by (template word, file), places ascending
+        key = number[hits].astype(np.int64) * max(len(words), 1) + row_of_hit
+        order_of_hits = np.argsort(key, kind="stable")
+        key, places = key[order_of_hits], hits[order_of_hits]
+        rows = np.unique(row_of_hit)
+        for t, numbers, weight, order, mandatory in self.templates:
+            keys = numbers[mandatory][:, None] * len(words) + rows      # mandatory is ordered rarest first, so ties go there
+            lo, hi = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
+            rarest = np.argmin(hi - lo, axis=0)
+            at = np.arange(len(rows))
+            lo, n = lo[rarest, at], (hi - lo)[rarest, at]               # none, if a mandatory word is not in the file
+            row = np.repeat(rows, n)
+            place = places[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            start = place - np.repeat(mandatory[rarest], n)
             score = np.zeros(len(place))
             alive = np.ones(len(place), bool)
-            for k in order:                      # intersect by relative position, rarest word first
-                at = start + k
-                inside = (at >= begin[row]) & (at < begin[row] + words[row])
-                same = inside & (number[np.clip(at, 0, max(len(number) - 1, 0))] == numbers[k])
+            for k in order:                      # intersect by relative position
+                there = start + k
+                inside = (there >= begin[row]) & (there < begin[row] + words[row])
+                same = inside & (number[np.clip(there, 0, max(len(number) - 1, 0))] == numbers[k])
                 score += weight[k] * same
                 if t.needed[k]:
                     alive &= same

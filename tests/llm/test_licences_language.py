@@ -49,6 +49,52 @@ def test_op1_odd_rows(spark):
     assert licences.scan_licences(df.limit(0)).count() == 0
 
 
+def every_place(text, weights, vocabulary):
+    """All templates at all places of a text, plainly."""
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in (text or "")))
+    out = set()
+    for t in licences.templates():
+        weight = [weights[vocabulary.number[x]] for x in t.words]
+        for first in range(-len(t.words), len(w)):
+            same = [0 <= first + k < len(w) and w[first + k] == x for k, x in enumerate(t.words)]
+            score = sum(x for x, s in zip(weight, same) if s) / sum(weight)
+            if all(s for s, need in zip(same, t.needed) if need) and score >= licences.ENOUGH - 1e-12:
+                out.add((t.label, first, round(score, 9)))
+    return out
+
+
+def test_op1_finds_every_alignment(spark):
+    rng = random.Random(9)
+    texts = ["Distributed under the MIT License", "licensed under the General Public License version 3", "", None,
+             "MIT License", "the mit license mit license the mit license",
+             "Licensed under the Apache License, Version 2.0 the the the under under"]
+    for t in licences.templates():
+        for _ in range(12):
+            w = list(t.words)
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = rng.choice(["gnu", "license", "zz", "under", "the"])
+            texts.append(" ".join([*rng.choices(["the", "license", "under", "qq", "cc"], k=rng.randrange(6)), *w,
+                                   *rng.choices(["public", "by", "gnu", "2", "0"], k=rng.randrange(4))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary = licences.Vocabulary([w for t in licences.templates() for w in t.words])
+    weights = licences.word_weights(df, vocabulary)
+    n = 0
+    for r in licences.scan_licences(df).collect():
+        got = {(p.label, p.first_word, round(p.score, 9)) for p in r.places}
+        want = every_place(texts[r.doc_id], weights, vocabulary)
+        assert got == want, texts[r.doc_id]
+        assert r.labels == ",".join(sorted({x[0] for x in want}))
+        n += len(want)
+    assert n > 150
+
+
+def test_op1_notice_with_another_rare_word(spark):
+    """Of the words of a notice only the mandatory ones decide where it is looked for."""
+    texts = ["Distributed under the MIT License", *["released here"] * 3, *["nothing at all"] * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in licences.scan_licences(df).collect() if "mit" in r.labels.split(",")} == {0}
+
+
 def test_cross_parse_is_greedy_longest_match():
     rng = random.Random(1)
     sample = {"x": "".join(rng.choice("abc ") for _ in range(300)), "y": "".join(rng.choice("bcd") for _ in range(300))}
