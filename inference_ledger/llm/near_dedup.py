@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.heavy import heavy_join, heavy_keys
 from ..session import scratch_path
 from .columns import flat_bytes, lower_ascii, ranges_within, slices, word_bounds, xxh64
 from .components import components
@@ -182,7 +183,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODE
         .select("key.block", "key.value", "fp")
     sizes = (dealt.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1")
              .withColumn("trees", F.expr(f"CAST(ceil(n / {tree_nodes}) AS INT)")))
-    rows = (dealt.join(sizes, ["block", "value"])
+    heavy = heavy_keys(sizes.select("block", "value", "n"), n_blocks * fps.count())
+    rows = (heavy_join(dealt, sizes, ["block", "value"], heavy, ["fp"])
             .withColumn("own", F.expr("CAST(pmod(xxhash64(fp), trees) AS INT)"))
             .withColumn("tree", F.explode(F.expr("sequence(own, trees - 1)")))   # each pair of trees meets once
             .select("block", "value", "tree", "fp", (F.col("own") != F.col("tree")).alias("guest")))
@@ -234,17 +236,22 @@ def _links(pairs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def near_groups(spark: SparkSession, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_groups(spark: SparkSession, prints: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """(fp, root, component_id) per distinct fingerprint of ``prints`` (doc_id, fp; a
-    written table: it is read three times)."""
+    written table: it is read three times), and the fingerprints (fp) that very many rows share."""
     folder = scratch_path(spark, "fingerprint-classes")
-    prints.groupBy("fp").agg(F.min("doc_id").alias("least")).write.parquet(folder)
+    prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).write.parquet(folder)
     classes = spark.read.parquet(folder)
+    n_classes, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     roots = components(spark, near_links(classes.select("fp"), radius))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(least, "root")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    groups = heavy_join(rooted.select("fp", "root"), least.drop("n"), ["root"],
+                        heavy_keys(least.select("root", "n"), n_classes), ["fp"])
+    folder = scratch_path(spark, "fingerprint-groups")
+    groups.write.parquet(folder)
+    return spark.read.parquet(folder), heavy_keys(classes.select("fp", "n"), n_rows)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -254,7 +261,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
                                  F.col("text").cast("string").alias("text"))) \
         .select("doc_id", "fp").write.parquet(folder)
     prints = spark.read.parquet(folder)
-    return (prints.join(near_groups(spark, prints), "fp")
+    groups, heavy = near_groups(spark, prints)
+    return (heavy_join(prints, groups, ["fp"], heavy, ["doc_id"])
             .select("doc_id", F.expr("lower(lpad(hex(fp), 16, '0'))").alias("fingerprint"), "component_id"))
 
 
@@ -267,7 +275,8 @@ def one_per_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
     (with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                                   *keys)).select("doc_id", "did", "th", "fp").write.parquet(folder))
     prints = spark.read.parquet(folder)
-    kept = (prints.join(near_groups(spark, prints).select("fp", "root"), "fp")
+    groups, heavy = near_groups(spark, prints)
+    kept = (heavy_join(prints, groups.select("fp", "root"), ["fp"], heavy, ["did", "th"])
             .groupBy("root").agg(F.min(F.struct("did", "th")).alias("first")).select("first.*"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys)
     return rows.join(kept, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).select("row.*")
