@@ -7,7 +7,7 @@ Every byte covered by a 200-byte string that also starts anywhere else is remove
    offsets of one 64-byte cell before it form a piece: at most 64 windows that all
    cover the same core of 137 bytes. Windows can only be equal if their cores are.
 2. *Candidates.* Pieces whose core occurs once are dropped (a count with map-side sums, then
-   a join). Equal pieces are kept once, with their number.
+   a join that spreads the pieces of a core which very many share). Equal pieces are kept once, with their number.
 3. *Transforms.* Where a core has several distinct pieces, their text goes to the task of the
    core. Shards of pieces get a Burrows-Wheeler transform over 8-byte symbols; the shards
    are merged by refining their interleave one symbol at a time, never by sorting their
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.heavy import heavy_join, heavy_keys
 from ..session import scratch_path
 from .columns import SLICE_BYTES, flat_bytes, ranges_within
 from .worker import release
@@ -214,9 +215,9 @@ def _row_slices(batch: pa.RecordBatch, text_at: int):
         lo = hi
 
 
-def candidate_pieces(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def candidate_pieces(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Pieces (id1, id2, key, piece, start, windows) whose core occurs twice or more, written
-    to the shared folder."""
+    to the shared folder; the cores (key) that very many of them share; their number."""
 
     def pieces(batches):
         release()
@@ -231,24 +232,30 @@ def candidate_pieces(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     names=["id1", "id2", "key", "piece", "start", "windows"])
 
     found = _keyed(docs.select("doc_id", "text")).select("id1", "id2", "row.text").mapInArrow(pieces, _PIECE)
-    twice = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    folder = scratch_path(spark, "repeat-cores")
+    found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").write.parquet(folder)
+    twice = spark.read.parquet(folder)
+    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = heavy_keys(twice, total)
     folder = scratch_path(spark, "repeat-candidates")
-    found.join(twice.hint("shuffle_hash"), "key").select(
+    heavy_join(found, twice, ["key"], heavy, ["id1", "id2", "start"], hint="shuffle_hash").select(
         "id1", "id2", "key", "piece", "start", "windows").write.parquet(folder)
-    return spark.read.parquet(folder)
+    return spark.read.parquet(folder), heavy, total
 
 
 def _grouped(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row per document with the list of its rows (at most a document's own pieces)."""
-    return rows.groupBy("id1", "id2").agg(F.collect_list(F.struct(*columns)).alias("list"))
+    """One row per document with the set of its rows (at most a document's own pieces; equal rows of the
+    table, which share an identity, add nothing)."""
+    return rows.groupBy("id1", "id2").agg(F.collect_set(F.struct(*columns)).alias("list"))
 
 
-def repeated_pieces(candidates: DataFrame, text: DataFrame, text_at: int) -> DataFrame:
-    """(key, piece, mask): which windows of every distinct candidate piece are repeated."""
+def repeated_pieces(candidates: DataFrame, heavy: DataFrame, text: DataFrame, text_at: int) -> DataFrame:
+    """(key, piece, mask): which windows of every distinct candidate piece are repeated. ``heavy``
+    are the cores that very many candidates share."""
     distinct = candidates.groupBy("key", "piece").agg(
         F.count("*").alias("weight"), F.min(F.struct("id1", "id2", "start", "windows")).alias("at"))
     variety = distinct.groupBy("key").agg(F.count("*").alias("variety"))
-    distinct = distinct.join(variety, "key")
+    distinct = heavy_join(distinct, variety, ["key"], heavy, ["piece"])
     whole = distinct.filter("variety = 1").select("key", "piece", F.lit(-1).cast("long").alias("mask"))
 
     def cut_out(batches):
@@ -315,12 +322,15 @@ def repeated_pieces(candidates: DataFrame, text: DataFrame, text_at: int) -> Dat
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``row`` (all columns of ``docs``), kept (binary), n_bytes, n_removed, n_spans per document."""
-    candidates = candidate_pieces(spark, docs)
+    candidates, heavy, total = candidate_pieces(spark, docs)
     text_at = docs.columns.index("text")
     text = _keyed(docs).repartition("id1", "id2")
-    masks = repeated_pieces(candidates, text, text_at)
-    marks = _grouped(candidates.select("id1", "id2", "key", "piece", "start", "windows").distinct()
-                     .join(masks, ["key", "piece"]).filter("mask != 0"), "start", "windows", "mask")
+    folder = scratch_path(spark, "repeat-masks")
+    repeated_pieces(candidates, heavy, text, text_at).filter("mask != 0").write.parquet(folder)
+    often = (candidates.join(F.broadcast(heavy), "key", "left_semi")
+             .groupBy("key", "piece").agg(F.count("*").alias("n")))
+    marks = _grouped(heavy_join(candidates, spark.read.parquet(folder), ["key", "piece"], heavy_keys(often, total),
+                                ["id1", "id2", "start"]), "start", "windows", "mask")
     row_type = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).schema[0]
     schema = T.StructType([row_type, *(T.StructField(n, t) for n, t in (
         ("kept", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()),
