@@ -25,6 +25,8 @@ repeat each other. Texts under 200 bytes keep all. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.heavy import heavy_join, heavy_keys
-from ..session import scratch_path
+from ..session import drop_finished_shuffles, scratch_path
 from .columns import SLICE_BYTES, flat_bytes, ranges_within
 from .worker import release
 
@@ -234,12 +236,14 @@ def candidate_pieces(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, D
     found = _keyed(docs.select("doc_id", "text")).select("id1", "id2", "row.text").mapInArrow(pieces, _PIECE)
     folder = scratch_path(spark, "repeat-cores")
     found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").write.parquet(folder)
+    drop_finished_shuffles(spark)
     twice = spark.read.parquet(folder)
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     heavy = heavy_keys(twice, total)
     folder = scratch_path(spark, "repeat-candidates")
     heavy_join(found, twice, ["key"], heavy, ["id1", "id2", "start"], hint="shuffle_hash").select(
         "id1", "id2", "key", "piece", "start", "windows").write.parquet(folder)
+    drop_finished_shuffles(spark)
     return spark.read.parquet(folder), heavy, total
 
 
@@ -250,13 +254,13 @@ def _grouped(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def repeated_pieces(candidates: DataFrame, heavy: DataFrame, text: DataFrame, text_at: int) -> DataFrame:
-    """(key, piece, mask): which windows of every distinct candidate piece are repeated. ``heavy``
-    are the cores that very many candidates share."""
+    """(key, piece, weight, mask): which windows of every distinct candidate piece are repeated, and how often the
+    piece occurs. ``heavy`` are the cores that very many candidates share."""
     distinct = candidates.groupBy("key", "piece").agg(
         F.count("*").alias("weight"), F.min(F.struct("id1", "id2", "start", "windows")).alias("at"))
     variety = distinct.groupBy("key").agg(F.count("*").alias("variety"))
     distinct = heavy_join(distinct, variety, ["key"], heavy, ["piece"])
-    whole = distinct.filter("variety = 1").select("key", "piece", F.lit(-1).cast("long").alias("mask"))
+    whole = distinct.filter("variety = 1").select("key", "piece", "weight", F.lit(-1).cast("long").alias("mask"))
 
     def cut_out(batches):
         release()
@@ -289,9 +293,9 @@ def repeated_pieces(candidates: DataFrame, heavy: DataFrame, text: DataFrame, te
             if held:
                 (keys, pieces), (texts, weights) = zip(*held), zip(*held.values())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(pieces, pa.int64()),
+                    [pa.array(keys, pa.int64()), pa.array(pieces, pa.int64()), pa.array(weights, pa.int64()),
                      pa.array(repeated_windows(list(texts), list(weights)), pa.int64())],
-                    names=["key", "piece", "mask"])
+                    names=["key", "piece", "weight", "mask"])
 
         for batch in batches:
             for key, piece, weight, text in zip(*(batch.column(k).to_pylist()
@@ -306,7 +310,7 @@ def repeated_pieces(candidates: DataFrame, heavy: DataFrame, text: DataFrame, te
 
     merged = (cut.filter(f"variety <= {HOT_PIECES}").select("key", "piece", "weight", "bytes")
               .repartition("key").sortWithinPartitions("key")
-              .mapInArrow(transforms, "key long, piece long, mask long"))
+              .mapInArrow(transforms, "key long, piece long, weight long, mask long"))
 
     # windows of a core with very many distinct pieces, each by its own content
     single = (cut.filter(f"variety > {HOT_PIECES}")
@@ -315,24 +319,27 @@ def repeated_pieces(candidates: DataFrame, heavy: DataFrame, text: DataFrame, te
               .withColumn("window", F.expr(f"sha2(substring(bytes, k + 1, {WINDOW}), 256)"))
               .select("key", "piece", "weight", "k", "window").dropDuplicates(["key", "piece", "k"]))
     often = single.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select("window")
-    hot = (single.join(often, "window").groupBy("key", "piece")
+    hot = (single.join(often, "window").groupBy("key", "piece", "weight")
            .agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask")))
     return whole.union(merged).union(hot)
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``row`` (all columns of ``docs``), kept (binary), n_bytes, n_removed, n_spans per document."""
+def remove_repeats(spark: SparkSession, docs: DataFrame, finish: Callable | None = None, schema=None) -> DataFrame:
+    """``row`` (all columns of ``docs``), kept (binary), n_bytes, n_removed, n_spans per document; or the columns of
+    ``schema`` that ``finish`` makes of a batch of these, in the same Python process."""
     candidates, heavy, total = candidate_pieces(spark, docs)
     text_at = docs.columns.index("text")
     text = _keyed(docs).repartition("id1", "id2")
     folder = scratch_path(spark, "repeat-masks")
     repeated_pieces(candidates, heavy, text, text_at).filter("mask != 0").write.parquet(folder)
-    often = (candidates.join(F.broadcast(heavy), "key", "left_semi")
-             .groupBy("key", "piece").agg(F.count("*").alias("n")))
-    marks = _grouped(heavy_join(candidates, spark.read.parquet(folder), ["key", "piece"], heavy_keys(often, total),
+    drop_finished_shuffles(spark)
+    found = spark.read.parquet(folder)
+    # a piece that occurs twice or more is repeated, so that all that occur often are found
+    often = heavy_keys(found.select("key", "piece", "weight"), total, "weight")
+    marks = _grouped(heavy_join(candidates, found.select("key", "piece", "mask"), ["key", "piece"], often,
                                 ["id1", "id2", "start"]), "start", "windows", "mask")
     row_type = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).schema[0]
-    schema = T.StructType([row_type, *(T.StructField(n, t) for n, t in (
+    marked = T.StructType([row_type, *(T.StructField(n, t) for n, t in (
         ("kept", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()),
         ("n_spans", T.LongType())))])
 
@@ -362,12 +369,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 begins[at] = gone[at]                       # spans end with their document
                 spans = np.concatenate([[0], np.cumsum(begins)])[offsets]
                 cut = offsets - removed
-                yield pa.RecordBatch.from_arrays([
+                batch = pa.RecordBatch.from_arrays([
                     part.column("row"), pa.array([kept_data[x:y] for x, y in zip(cut, cut[1:])], pa.binary()),
                     pa.array(np.diff(offsets)), pa.array(np.diff(removed)), pa.array(np.diff(spans))],
                     names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
+                yield finish(batch) if finish else batch
 
-    return text.join(marks.hint("shuffle_hash"), ["id1", "id2"], "left").select("row", "list").mapInArrow(remove, schema)
+    return text.join(marks.hint("shuffle_hash"), ["id1", "id2"], "left").select("row", "list").mapInArrow(remove, schema if finish else marked)
 
 
 def repeat_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -382,16 +390,15 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     names = docs.columns
     sizes_at = names.index("n_chars") if "n_chars" in names else None
 
-    def decode(batches):
-        for batch in batches:
-            row, kept = batch.column(0), batch.column(1)
-            columns = [row.field(i) for i in range(row.type.num_fields)]
-            was_null = columns[text_at].is_null().to_pylist()
-            text = [None if null else x.as_buffer().to_pybytes().decode("utf-8", "ignore")
-                    for null, x in zip(was_null, kept)]
-            columns[text_at] = pa.array(text, pa.string())
-            if sizes_at is not None:
-                columns[sizes_at] = pa.array([None if t is None else len(t) for t in text], columns[sizes_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return remove_repeats(spark, docs).select("row", "kept").mapInArrow(decode, docs.schema)
+    def decode(batch):
+        row, kept = batch.column(0), batch.column(1)
+        columns = [row.field(i) for i in range(row.type.num_fields)]
+        was_null = columns[text_at].is_null().to_pylist()
+        text = [None if null else x.as_buffer().to_pybytes().decode("utf-8", "ignore")
+                for null, x in zip(was_null, kept)]
+        columns[text_at] = pa.array(text, pa.string())
+        if sizes_at is not None:
+            columns[sizes_at] = pa.array([None if t is None else len(t) for t in text], columns[sizes_at].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return remove_repeats(spark, docs, decode, docs.schema)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAVY = 1024
@@ -21,6 +21,12 @@ def heavy_keys(counts: DataFrame, total: int, n: str = "n") -> DataFrame:
     return counts.filter(F.col(n) * HEAVY >= F.lit(total)).drop(n)
 
 
+def light_salt(keys: list[str]) -> Column:
+    """Salt of keys that are not dealt. It has two values, so that it adds next to nothing to what a join shuffles,
+    and is no constant, which the optimizer would take out of the join's keys."""
+    return F.pmod(F.xxhash64(*keys), F.lit(2))
+
+
 def heavy_join(rows: DataFrame, table: DataFrame, keys: list[str], heavy: DataFrame, spread: list[str],
                how: str = "inner", hint: str | None = None) -> DataFrame:
     """``rows`` joined (inner or left) to ``table``, which has one row per key, by ``keys``.
@@ -33,7 +39,7 @@ def heavy_join(rows: DataFrame, table: DataFrame, keys: list[str], heavy: DataFr
     named = F.broadcast(heavy.select(*keys))
     hot = packed.join(named, keys, "left_semi").withColumnRenamed("_light", "_hot")
     known = heavy.select(*keys, F.lit(True).alias("_heavy")).join(F.broadcast(hot), keys, "left")
-    own = F.xxhash64(*keys)              # not a constant, which the optimizer would take out of the join's keys
+    own = light_salt(keys)
     light = packed.withColumn("_salt", own)
     unkeyed = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
     out = (rows.join(F.broadcast(known), keys, "left")

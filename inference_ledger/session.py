@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of queries that are over. Its cleaner does so when the driver collects garbage,
+    which may be long after a step has written its result; called between the written steps of an operator,
+    so that their shuffles do not lie on the disks side by side."""
+    for _ in range(2):          # the second finds what the first has left to be finished
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def literal_bytes(df: DataFrame) -> int | None:
     """Size of a plan that is literal rows (rows times row width), else None."""
     plan = df._jdf.queryExecution().optimizedPlan()

@@ -111,3 +111,31 @@ def test_empty_and_columns(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect()) == [(1, "", 0), (2, "q", 1), (3, None, None)]
     assert repeats.repeat_digest(spark, df.limit(0)).count() == 0
+
+
+def copies_of(n):
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefghij klmno") for _ in range(900))
+    other = "".join(rng.choice("abcdefghij klmno") for _ in range(600))
+    return [(i, text) for i in range(n)] + [(1000, other), (1001, text[:300] + other), (1002, None)]
+
+
+def test_pieces_bring_their_weight(spark):
+    """How often a piece occurs comes with its mask; candidates are not read and counted again for it."""
+    df = spark.createDataFrame(copies_of(300), "doc_id long, text string")
+    candidates, heavy, total = repeats.candidate_pieces(spark, df)
+    found = repeats.repeated_pieces(candidates, heavy, repeats._keyed(df).repartition("id1", "id2"), 1)
+    got = {(r.key, r.piece): r.weight for r in found.filter("mask != 0").collect()}
+    count = {(r.key, r.piece): r["count"] for r in candidates.groupBy("key", "piece").count().collect()}
+    assert max(got.values()) >= 300 and {k for k, n in count.items() if n > 1} <= set(got)
+    assert all(count[k] == n for k, n in got.items())
+    plan = repeats.remove_repeats(spark, df)._jdf.queryExecution().optimizedPlan().toString()
+    semi = [x for x in plan.split("Join LeftSemi")[1:]]
+    assert all("start#" not in x.split("Join")[0] for x in semi)        # on tables of keys alone
+
+
+def test_one_python_process_a_task(spark):
+    df = spark.createDataFrame(copies_of(3), "doc_id long, text string")
+    out = repeats.without_repeats(spark, df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.text) for r in out.collect())[:2] == [(0, ""), (1, "")]

@@ -1,9 +1,12 @@
 """Joins that spread heavy keys give what a plain join gives, and leave no task with a key's rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from inference_ledger.operators.heavy import HEAVY, heavy_join, heavy_keys
+from inference_ledger.operators.heavy import HEAVY, heavy_join, heavy_keys, light_salt
+from inference_ledger.session import drop_finished_shuffles
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +50,24 @@ def test_rows_of_a_heavy_key_are_dealt(spark, rows, table):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert max(dealt) < 2 * sorted(dealt)[len(dealt) // 2]
+
+
+def test_salt_of_light_keys_is_narrow(rows):
+    assert rows.select(light_salt(["k"]).alias("s")).distinct().count() == 2
+
+
+def test_shuffle_files_of_finished_queries_go(spark, rows):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {str(f) for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = files()
+    rows.repartition(5, "id").write.format("noop").mode("overwrite").save()
+    mine = files() - before
+    assert mine
+    drop_finished_shuffles(spark)
+    for _ in range(100):
+        if not mine & files():
+            break
+        time.sleep(0.2)
+    assert not mine & files()
