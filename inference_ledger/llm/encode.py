@@ -21,7 +21,7 @@ from . import pretokens
 from .columns import flat_bytes, ranges_within, slices
 from .worker import kept
 
-WORDS_KEPT = 1_000_000  # entries the dictionary takes (about 150 MB)
+WORDS_KEPT = 400_000    # entries the dictionary takes (about 60 MB)
 STALE_MISSES = 4_000_000   # misses of a full dictionary after which it starts anew
 SEEN_SLOTS = 1 << 22    # in a half full dictionary a unit is kept from the second time on (one byte per slot)
 SLICE = 2 << 20         # bytes of text handled at once

@@ -12,8 +12,6 @@ are packed each. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,6 +23,7 @@ from .columns import ranges_within, slices
 from .encode import encoded, encoder
 from .pretokens import class_runs
 from .token_files import with_starts
+from .worker import release
 
 SIZE = 2048
 
@@ -60,6 +59,7 @@ def cut_pieces(rows: DataFrame, size: int = SIZE) -> DataFrame:
     """Pass two over ``encode_in_order``'s written rows: one row per piece, with its ids."""
 
     def pieces(batches):
+        release()            # the first pass's dictionary
         for batch in (part for b in batches for part in slices(b, "ids")):
             begin = batch.column("start").to_numpy()
             n = batch.column("n_tokens").to_numpy()
@@ -94,13 +94,4 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, en
 
 def pack_digest(pieces: DataFrame) -> DataFrame:
     """Replace each piece's ids by their CRC-32."""
-
-    def crc(batches):
-        for batch in batches:
-            got = [zlib.crc32(x.as_buffer()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(got, pa.int64())], names=[*batch.schema.names[:-1], "ids_crc32"])
-
-    return (pieces.mapInArrow(crc, "doc_id long, start long, length long, doc_tokens long, sequence_id long, "
-                                   "offset long, ids_crc32 long")
-            .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
