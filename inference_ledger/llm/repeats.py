@@ -218,7 +218,7 @@ def _row_slices(batch: pa.RecordBatch, text_at: int):
 
 
 def candidate_pieces(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Pieces (id1, id2, key, piece, start, windows) whose core occurs twice or more, written
+    """Pieces (id1, id2, key, piece, start, windows, n) whose core occurs twice or more (``n`` times), written
     to the shared folder; the cores (key) that very many of them share; their number."""
 
     def pieces(batches):
@@ -242,7 +242,7 @@ def candidate_pieces(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, D
     heavy = heavy_keys(twice, total)
     folder = scratch_path(spark, "repeat-candidates")
     heavy_join(found, twice, ["key"], heavy, ["id1", "id2", "start"], hint="shuffle_hash").select(
-        "id1", "id2", "key", "piece", "start", "windows").write.parquet(folder)
+        "id1", "id2", "key", "piece", "start", "windows", "n").write.parquet(folder)
     drop_finished_shuffles(spark)
     return spark.read.parquet(folder), heavy, total
 
@@ -256,11 +256,15 @@ def _grouped(rows: DataFrame, *columns: str) -> DataFrame:
 def repeated_pieces(candidates: DataFrame, heavy: DataFrame, text: DataFrame, text_at: int) -> DataFrame:
     """(key, piece, weight, mask): which windows of every distinct candidate piece are repeated, and how often the
     piece occurs. ``heavy`` are the cores that very many candidates share."""
-    distinct = candidates.groupBy("key", "piece").agg(
+    distinct = candidates.groupBy("key", "piece", "n").agg(
         F.count("*").alias("weight"), F.min(F.struct("id1", "id2", "start", "windows")).alias("at"))
-    variety = distinct.groupBy("key").agg(F.count("*").alias("variety"))
-    distinct = heavy_join(distinct, variety, ["key"], heavy, ["piece"])
-    whole = distinct.filter("variety = 1").select("key", "piece", "weight", F.lit(-1).cast("long").alias("mask"))
+    # a piece that occurs as often as its core is the core's only one
+    whole = distinct.filter("weight = n").select("key", "piece", "weight", F.lit(-1).cast("long").alias("mask"))
+    several = distinct.filter("weight < n")
+    # only a core that occurs more than HOT_PIECES times can have more distinct pieces
+    often = several.filter(f"n > {HOT_PIECES}")
+    variety = often.groupBy("key").agg(F.count("*").alias("variety"))
+    often = heavy_join(often, variety, ["key"], heavy, ["piece"])
 
     def cut_out(batches):
         release()
@@ -268,22 +272,22 @@ def repeated_pieces(candidates: DataFrame, heavy: DataFrame, text: DataFrame, te
             for part, column in _row_slices(batch, text_at):
                 data, offsets = flat_bytes(column)
                 data = data.tobytes()
-                out = {"key": [], "piece": [], "weight": [], "variety": [], "bytes": []}
+                out = {"key": [], "piece": [], "weight": [], "bytes": []}
                 for at, wanted in zip(offsets, part.column("list").to_pylist()):
                     for w in wanted:
                         lo = int(at) + w["start"]
-                        for name in ("key", "piece", "weight", "variety"):
+                        for name in ("key", "piece", "weight"):
                             out[name].append(w[name])
                         out["bytes"].append(data[lo:lo + w["windows"] + WINDOW - 1])
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-                    ("key", pa.int64()), ("piece", pa.int64()), ("weight", pa.int64()),
-                    ("variety", pa.int64()), ("bytes", pa.binary())]))
+                    ("key", pa.int64()), ("piece", pa.int64()), ("weight", pa.int64()), ("bytes", pa.binary())]))
 
-    wanted = _grouped(distinct.filter("variety > 1").select("at.*", "key", "piece", "weight", "variety"),
-                      "key", "piece", "weight", "variety", "start", "windows")
-    # rows that share an identity share their text, so each is cut from one of them
-    cut = (text.join(wanted.hint("shuffle_hash"), ["id1", "id2"]).select("row", "list")
-           .mapInArrow(cut_out, "key long, piece long, weight long, variety long, bytes binary"))
+    def cut(pieces):
+        wanted = _grouped(pieces.select("at.*", "key", "piece", "weight"),
+                          "key", "piece", "weight", "start", "windows")
+        # rows that share an identity share their text, so each is cut from one of them
+        return (text.join(wanted.hint("shuffle_hash"), ["id1", "id2"]).select("row", "list")
+                .mapInArrow(cut_out, "key long, piece long, weight long, bytes binary"))
 
     def transforms(batches):
         release()
@@ -308,18 +312,19 @@ def repeated_pieces(candidates: DataFrame, heavy: DataFrame, text: DataFrame, te
                 windows += len(text) - WINDOW + 1
         yield from close()
 
-    merged = (cut.filter(f"variety <= {HOT_PIECES}").select("key", "piece", "weight", "bytes")
+    merged = (cut(several.filter(f"n <= {HOT_PIECES}").unionByName(
+                  often.filter(f"variety <= {HOT_PIECES}").drop("variety")))
               .repartition("key").sortWithinPartitions("key")
               .mapInArrow(transforms, "key long, piece long, weight long, mask long"))
 
     # windows of a core with very many distinct pieces, each by its own content
-    single = (cut.filter(f"variety > {HOT_PIECES}")
+    single = (cut(often.filter(f"variety > {HOT_PIECES}"))
               .select("key", "piece", "weight", "bytes",
                       F.explode(F.expr(f"sequence(0, length(bytes) - {WINDOW})")).alias("k"))
               .withColumn("window", F.expr(f"sha2(substring(bytes, k + 1, {WINDOW}), 256)"))
               .select("key", "piece", "weight", "k", "window").dropDuplicates(["key", "piece", "k"]))
-    often = single.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select("window")
-    hot = (single.join(often, "window").groupBy("key", "piece", "weight")
+    twice = single.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select("window")
+    hot = (single.join(twice, "window").groupBy("key", "piece", "weight")
            .agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask")))
     return whole.union(merged).union(hot)
 

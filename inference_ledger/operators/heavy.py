@@ -37,7 +37,8 @@ def heavy_join(rows: DataFrame, table: DataFrame, keys: list[str], heavy: DataFr
     values = [c for c in table.columns if c not in keys]
     packed = table.select(*keys, F.struct(*values).alias("_light"))
     named = F.broadcast(heavy.select(*keys))
-    hot = packed.join(named, keys, "left_semi").withColumnRenamed("_light", "_hot")
+    # a semi join would be moved below the aggregate that makes ``table``, onto all rows it was made from
+    hot = packed.join(named, keys).withColumnRenamed("_light", "_hot")
     known = heavy.select(*keys, F.lit(True).alias("_heavy")).join(F.broadcast(hot), keys, "left")
     own = light_salt(keys)
     light = packed.withColumn("_salt", own)

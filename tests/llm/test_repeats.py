@@ -134,6 +134,31 @@ def test_pieces_bring_their_weight(spark):
     assert all("start#" not in x.split("Join")[0] for x in semi)        # on tables of keys alone
 
 
+def test_pieces_bring_how_often_their_core_occurs(spark):
+    """No candidate is joined again to find out whether its core has other pieces."""
+    df = spark.createDataFrame(copies_of(300), "doc_id long, text string")
+    candidates, heavy, _ = repeats.candidate_pieces(spark, df)
+    count = {r.key: r["count"] for r in candidates.groupBy("key").count().collect()}
+    assert max(count.values()) >= 300
+    assert all(count[r.key] == r.n for r in candidates.select("key", "n").distinct().collect())
+    found = repeats.repeated_pieces(candidates, heavy, repeats._keyed(df).repartition("id1", "id2"), 1)
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_pieces_of_a_frequent_core(spark, monkeypatch):
+    """Cores that occur more than HOT_PIECES times, some of them with fewer distinct pieces than that."""
+    monkeypatch.setattr(repeats, "HOT_PIECES", 8)
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefghij klmno") for _ in range(240))
+    rows = copies_of(30) + [(2000 + i, "%03d" % i * 30 + passage + "%03d" % i * 30) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = repeats.candidate_pieces(spark, df)[0].groupBy("key").agg(F.countDistinct("piece").alias("v"), F.max("n").alias("n"))
+    kinds = {(min(r.v, 9), r.n > 8) for r in pieces.collect()}
+    assert {(1, True), (9, True)} <= kinds and any(1 < v <= 8 and many for v, many in kinds)
+    got = Counter(tuple(r) for r in repeats.repeat_digest(spark, df).collect())
+    assert got == Counter((d, *b) for (d, _), b in zip(rows, brute([t for _, t in rows])))
+
+
 def test_one_python_process_a_task(spark):
     df = spark.createDataFrame(copies_of(3), "doc_id long, text string")
     out = repeats.without_repeats(spark, df)

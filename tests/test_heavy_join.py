@@ -52,6 +52,15 @@ def test_rows_of_a_heavy_key_are_dealt(spark, rows, table):
     assert max(dealt) < 2 * sorted(dealt)[len(dealt) // 2]
 
 
+def test_table_is_cut_to_heavy_keys_after_it_is_made(rows):
+    """The heavy keys' rows are taken from the table, at most HEAVY of them, not from all rows that it is counted from."""
+    counts = rows.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))
+    out = heavy_join(rows, counts, ["k"], heavy_keys(counts, 20_000), ["id"])
+    assert "LeftSemi" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = rows.join(counts, "k").select("id", "k", "n")
+    assert sorted(out.collect()) == sorted(want.collect())
+
+
 def test_salt_of_light_keys_is_narrow(rows):
     assert rows.select(light_salt(["k"]).alias("s")).distinct().count() == 2
 
