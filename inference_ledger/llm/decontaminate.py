@@ -41,13 +41,14 @@ RADIUS = 23
 BLOCKS = 8
 BROADCAST_ROWS = 1_000_000
 
-WORDS = r"filter(split(lower(text), '[^\\p{L}\\p{N}]+'), w -> w <> '')"
-_FIVE = ", ".join(f"word_hashes[i + {k}]" for k in range(SHINGLE))
+WORDS = r"array_remove(split(lower(text), '[^\\p{L}\\p{N}]+'), '')"
+_FIVE = "xxhash64(" + ", ".join(f"word_hashes[i + {k}]" for k in range(SHINGLE)) + ")"
+_ALL = "coalesce(aggregate(word_hashes, 0L, (a, h) -> xxhash64(a, h)), 0L)"
 HASHES = f"""CASE WHEN size(word_hashes) = 0 THEN array()
-    WHEN size(word_hashes) < {SHINGLE} THEN array(aggregate(word_hashes, 0L, (a, h) -> xxhash64(a, h)))
-    ELSE transform(sequence(0, size(word_hashes) - {SHINGLE}), i -> xxhash64({_FIVE})) END"""
+    WHEN size(word_hashes) < {SHINGLE} THEN array({_ALL})
+    ELSE transform(sequence(0, size(word_hashes) - {SHINGLE}), i -> {_FIVE}) END"""
 STRINGS = f"""CASE WHEN size(words) < {SHINGLE} THEN array(array_join(words, ' '))
-    ELSE transform(sequence(first, first + width - 1), i -> array_join(slice(words, i + 1, {SHINGLE}), ' ')) END"""
+    ELSE transform(sequence(0, size(words) - {SHINGLE}), i -> array_join(slice(words, i + 1, {SHINGLE}), ' ')) END"""
 #: repeated shingles numbered: the second 'a' is 'a #1' (a shingle's words hold no '#')
 NUMBERED = """CASE WHEN size(array_distinct(strings)) = size(strings) THEN strings
     ELSE transform(strings, (s, i) -> IF(array_position(strings, s) = i + 1, s,
@@ -60,10 +61,25 @@ def simhash(shingles: str) -> str:
         shiftleft(1L, b), 0L))"""
 
 
-def _hashed(df: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and the shingle hashes of text."""
-    return (df.select(*keep, F.expr(f"transform({WORDS}, w -> xxhash64(w))").alias("word_hashes"))
-            .select(*keep, F.expr(HASHES).alias("hashes")))
+def _word_hashes(df: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and the hashes of text's words."""
+    return df.select(*keep, F.expr(f"transform({WORDS}, w -> xxhash64(w))").alias("word_hashes"))
+
+
+def _exploded(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n (shingles of the text), at, hash: a row for each shingle. Its hash is taken behind the
+    explode, in compiled code, from the words' hashes: a lambda over all places of a text leaves some hundred bytes
+    of boxed numbers a word to the garbage collector. The lambda of short texts stands in a projection of its own, since
+    one that holds a lambda is not compiled. The outer explode keeps the planner from testing the array
+    for emptiness below the projection that builds it, where each inner reference would compute it again."""
+    short = f"IF(size(word_hashes) < {SHINGLE}, {_ALL}, 0L)"
+    return (_word_hashes(docs, "doc_id", "text_hash")
+            .select("doc_id", "text_hash", "word_hashes", F.expr(short).alias("short"))
+            .select("doc_id", "text_hash", "word_hashes", "short", F.posexplode_outer("word_hashes").alias("i", "word"))
+            .withColumn("n", F.expr(f"greatest(size(word_hashes) - {SHINGLE - 1}, least(size(word_hashes), 1))"))
+            .filter("i < n")
+            .select("doc_id", "text_hash", "n", F.col("i").alias("at"),
+                    F.expr(f"IF(size(word_hashes) < {SHINGLE}, short, {_FIVE})").alias("hash")))
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -72,7 +88,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def _set_of(df: DataFrame) -> DataFrame:
-    """With ``shingles``, the numbered shingles of the ``width`` from word ``first`` on, and their SimHash ``fp``."""
+    """With ``shingles``, the numbered shingles of ``words``, and their SimHash ``fp``."""
     return (df.withColumn("strings", F.expr(STRINGS)).withColumn("shingles", F.expr(NUMBERED)).drop("strings")
             .withColumn("element_hashes", F.expr("transform(shingles, s -> xxhash64(s))"))
             .withColumn("fp", F.expr(simhash("element_hashes"))).drop("element_hashes"))
@@ -80,12 +96,9 @@ def _set_of(df: DataFrame) -> DataFrame:
 
 def _starts(docs: DataFrame, shingles: DataFrame, key: list[str], similarity: float) -> DataFrame:
     """doc_id, text_hash, the key, width and the starts of all windows that hold as many of the key's shingles
-    as the similarity needs. The outer explode keeps the planner from testing the array for emptiness
-    below the projections that build it, where each inner reference would compute it again; the
-    join drops its nulls."""
+    as the similarity needs."""
     need = f"CAST(ceil({similarity} * (size + width) / (1 + {similarity}) - 1e-9) AS INT)"
-    return (_hashed(docs, "doc_id", "text_hash")
-            .select("doc_id", "text_hash", F.size("hashes").alias("n"), F.posexplode_outer("hashes").alias("at", "hash"))
+    return (_exploded(docs)
             .join(shingles, "hash")
             .groupBy("doc_id", "text_hash", "n", *key)
             .agg(F.sort_array(F.collect_set("at")).alias("hits"))
@@ -135,10 +148,10 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame,
     docs = _documents(docs)
     items = items.select("item_id", F.col("text").cast("string").alias("text")).distinct() \
         .withColumn("item", F.xxhash64("item_id", "text"))
-    items = (_hashed(items, "item_id", "item", "text").filter("size(hashes) > 0")
-             .select("item_id", "item", F.size("hashes").alias("size"), "hashes", F.expr(WORDS).alias("words"),
-                     F.lit(0).alias("first"), F.size("hashes").alias("width")))
-    items = written(_set_of(items).drop("words", "first", "width"), "benchmark-items")
+    items = (_word_hashes(items, "item_id", "item", "text")
+             .select("item_id", "item", "text", F.expr(HASHES).alias("hashes")).filter("size(hashes) > 0")
+             .select("item_id", "item", F.size("hashes").alias("size"), "hashes", F.expr(WORDS).alias("words")))
+    items = written(_set_of(items).drop("words"), "benchmark-items")
 
     # 1. windows; docs without any are not read again
     key = ["item", "size"] if exact else ["size"]
@@ -148,11 +161,13 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame,
     same = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & (a.text_hash == b.text_hash)
     marked = starts.select("doc_id", "text_hash").distinct()
     marked = F.broadcast(marked) if starts.count() <= BROADCAST_ROWS else marked
-    found = docs.join(marked, same(docs, marked), "left_semi").dropDuplicates(["doc_id", "text_hash"]) \
-        .select("doc_id", "text_hash", F.expr(WORDS).alias("words"))
-    windows = _set_of(found.join(starts, same(found, starts))
-                      .select(found.doc_id, found.text_hash, *key, "width", "words", F.explode("starts").alias("first"))) \
-        .withColumn("n_words", F.expr(f"least(width + {SHINGLE - 1}, size(words))")).drop("words", "width")
+    found = docs.join(marked, same(docs, marked), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    # texts move as texts (their words as an array take several times the room), and each window's row holds its own words only
+    cut = (found.join(starts, same(found, starts))
+           .select(found.doc_id, found.text_hash, *key, "width", "starts", F.expr(WORDS).alias("words"))
+           .select("doc_id", "text_hash", *key, "width", "words", F.explode("starts").alias("first"))
+           .withColumn("words", F.expr(f"slice(words, first + 1, width + {SHINGLE - 1})")).drop("width"))
+    windows = _set_of(cut.withColumn("n_words", F.size("words"))).drop("words")
 
     # 2. items within the radius of each different fingerprint
     near = items.select("item_id", "item", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"))

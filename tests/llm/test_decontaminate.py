@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from inference_ledger.llm import decontaminate, queries
 
 from .conftest import SF
@@ -139,3 +141,35 @@ def test_index_finds_all_within_the_radius(spark):
     got = sorted(tuple(r) for r in decontaminate._within_radius(p, i, len(items)).collect())
     assert got == sorted((s, signed(f), k, (f ^ g).bit_count()) for s, f in set(prints) for k, t, g in items
                          if s == t and (f ^ g).bit_count() <= decontaminate.RADIUS)
+
+
+def test_shingles_of_documents_are_hashed_in_compiled_code(spark):
+    d = spark.createDataFrame([(0, "a b c d e f")], "doc_id long, text string")
+    shingles = F.broadcast(spark.createDataFrame([(5, 1)], "size int, hash long"))
+    plan = decontaminate._starts(decontaminate._documents(d), shingles, ["size"], 0.8)._jdf.queryExecution()
+    plan = plan.executedPlan().toString()
+    below = plan[plan.index("BroadcastHashJoin"):]
+    assert "Generate" in below and "transform(sequence" not in below     # no lambda over all places of a text
+
+
+def test_hashes_in_compiled_code_are_those_of_the_items(spark):
+    texts = [None, "", " .,- ", "a", "A b", "a b c d", "a b c d e", "\u00c4 \u00e9 x3 \u4e2d\u6587 y,z  q-r", " ".join("ab"[k % 2] for k in range(40))]
+    d = decontaminate._documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    hashes = decontaminate._word_hashes(d, "doc_id").select("doc_id", F.expr(decontaminate.HASHES).alias("hashes"))
+    want = hashes.select("doc_id", F.size("hashes"), F.posexplode("hashes")).collect()
+    got = decontaminate._exploded(d).select("doc_id", "n", "at", "hash").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert Counter(r.doc_id for r in got) == {k: len(shingles(t)) for k, t in enumerate(texts) if shingles(t)}
+
+
+def test_rows_of_windows_hold_their_own_words(spark, monkeypatch):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"z{rng.randrange(10**9)}" for _ in range(n))
+    item = words(30)
+    docs = [(k, f"{words(2000)} {item} {words(2000)}") for k in range(3)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(0, item)], "item_id long, text string")
+    most, real = [], decontaminate._set_of
+    monkeypatch.setattr(decontaminate, "_set_of", lambda df: most.append(df.select(F.max(F.size("words"))).first()[0]) or real(df))
+    assert found(decontaminate.contamination(spark, d, i)) == brute(docs, [(0, item)])
+    assert most == [30, 30]                  # of the item and of the windows
